@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.functions import text as X
 from siteatlas.functions import urls as U
+from siteatlas.functions.bind import let, let_all
 
 # ---- fixed values -----------------------------------------------------------
 NAMED_ENTITIES = [
@@ -45,24 +46,32 @@ def empty_scripts(html: Column) -> Column:
     return F.regexp_replace(bare, rf"(?is)(<(script|style)(?=[\s/>]){ATTRS}>).*?(</\2\s*>)", "$1$3")
 
 
-def decode_entities(text: Column) -> Column:
-    """Numeric references, then the common named ones."""
-
-    def one(piece: Column) -> Column:
-        code = F.regexp_extract(piece, r"^(x[0-9a-fA-F]{1,6}|\d{1,7});", 1)
+def _numeric_reference(piece: Column) -> Column:
+    """What follows ``&#``: the character and the rest, or the text as it was."""
+    def char(code: Column) -> Column:
         digits = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.substring(code, 2, 8)).otherwise(
             F.conv(code, 10, 16))
-        char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
         rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
-        return F.when(code == "", F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, rest))
+        return F.when(code == "", F.concat(F.lit("&#"), piece)).otherwise(
+            F.concat(F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"), rest))
+
+    return let(F.regexp_extract(piece, r"^([xX][0-9a-fA-F]{1,6}|\d{1,7});", 1), char)
+
 
-    pieces = F.split(text, "&#")
-    numeric = F.concat(pieces[0], F.array_join(
-        F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
-    out = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
+def _decoded(text: Column) -> Column:
+    def joined(pieces: Column) -> Column:
+        return F.concat(pieces[0], F.array_join(F.transform(
+            F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), _numeric_reference), ""))
+
+    out = F.when(F.contains(text, F.lit("&#")), let(F.split(text, "&#"), joined)).otherwise(text)
     for entity, char in NAMED_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    return out
+
+
+def decode_entities(text: Column) -> Column:
+    """Numeric references, then the common named ones."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t)).otherwise(t))
 
 
 def text_of(fragment: Column) -> Column:
@@ -70,9 +79,9 @@ def text_of(fragment: Column) -> Column:
     return X.trimmed(decode_entities(F.regexp_replace(fragment, r"(?s)<[^>]*>", "")))
 
 
-def body_text(html: Column) -> Column:
-    """Lower-cased text of the body."""
-    clean = drop_scripts(html)
+def body_text(html: Column, with_scripts: bool = False) -> Column:
+    """Lower-cased text of the body; ``with_scripts`` keeps inline script text."""
+    clean = F.regexp_replace(html, r"(?is)<!--.*?-->", "") if with_scripts else drop_scripts(html)
     body = F.regexp_replace(clean, r"(?is)^.*?<body\b[^>]*>|<head\b[^>]*>.*?</head\s*>", "")
     return F.lower(text_of(body))
 
@@ -115,7 +124,7 @@ def has_attr(tag: Column, name: str) -> Column:
 
 
 def or_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def is_hidden(tag: Column) -> Column:
@@ -138,10 +147,12 @@ def meta(html: Column) -> Column:
     """map name-or-property -> content; the last tag of a name wins."""
     found = F.transform(open_tags(drop_scripts(html), "meta"), lambda t: F.struct(
         F.coalesce(or_null(attr(t, "name")), attr(t, "property")).alias("key"), attr(t, "content").alias("value")))
+    def last_of_each(full: Column) -> Column:
+        return F.filter(full, lambda m, i: ~F.exists(
+            F.slice(full, i + 2, F.size(full)), lambda later: later.key == m.key))
+
     full = F.filter(found, lambda m: (m.key != "") & (m.value != ""))
-    last = F.filter(full, lambda m, i: ~F.exists(
-        F.slice(full, i + 2, F.size(full)), lambda later: later.key == m.key))
-    return F.map_from_entries(last)
+    return F.map_from_entries(let(full, last_of_each))
 
 
 def head_links(html: Column, rel: str) -> Column:
@@ -150,22 +161,23 @@ def head_links(html: Column, rel: str) -> Column:
 
 
 def canonical(html: Column, url: Column) -> Column:
-    href = attr(F.try_element_at(head_links(html, "canonical"), F.lit(1)), "href")
-    return F.when(href != "", U.resolve(href, url))
+    href = or_null(attr(F.try_element_at(head_links(html, "canonical"), F.lit(1)), "href"))
+    return U.resolve(href, url)
 
 
 def hreflang(html: Column, url: Column) -> Column:
     found = F.transform(head_links(html, "alternate"), lambda t: F.struct(
         attr(t, "hreflang").alias("lang"), attr(t, "href").alias("href")))
     full = F.filter(found, lambda a: (a.lang != "") & (a.href != ""))
-    return F.filter(F.transform(full, lambda a: F.struct(a.lang.alias("lang"), U.resolve(a.href, url).alias("url"))),
-                    lambda a: a.url.isNotNull())
+    placed = let(U.base_of(url), lambda base: F.transform(
+        full, lambda a: F.struct(a.lang.alias("lang"), U.resolve_on(a.href, base).alias("url"))))
+    return F.filter(placed, lambda a: a.url.isNotNull())
 
 
 def meta_refresh(html: Column, url: Column) -> Column:
     tag = first_where(open_tags(drop_scripts(html), "meta"), lambda t: F.lower(attr(t, "http-equiv")) == "refresh")
-    target = X.trimmed(F.regexp_extract(attr(tag, "content"), r"(?i)url=(.+)", 1))
-    return F.when(target != "", U.resolve(target, url))
+    target = or_null(X.trimmed(F.regexp_extract(attr(tag, "content"), r"(?i)url=(.+)", 1)))
+    return U.resolve(target, url)
 
 
 def resource_count(html: Column) -> Column:
@@ -176,7 +188,10 @@ def resource_count(html: Column) -> Column:
 
 def is_spa(html: Column) -> Column:
     """Framework markers that are visible in archived HTML."""
-    tags = empty_scripts(html)
+    return let(empty_scripts(html), lambda tags: _spa_marks(html, tags))
+
+
+def _spa_marks(html: Column, tags: Column) -> Column:
     return (html.rlike(r"__NEXT_DATA__|__NUXT__")
             | tags.rlike(r"(?is)<[a-z][^>]*\sid\s*=\s*[\"']?__next[\"'\s>]")
             | tags.rlike(r"(?is)<[a-z][^>]*\sng-version(?=[\s=/>])")
@@ -188,8 +203,10 @@ def is_spa(html: Column) -> Column:
 
 def status_guess(html: Column) -> Column:
     """Status read from the page text when no response was kept."""
-    text = body_text(html)
+    return let(body_text(html), _status_said)
 
+
+def _status_said(text: Column) -> Column:
     def says(*parts: str) -> Column:
         hit = F.contains(text, F.lit(parts[0]))
         for part in parts[1:]:
@@ -207,8 +224,9 @@ def anchors(html: Column) -> Column:
     """Anchors with an href: array<struct<tag, text>>, in document order."""
     found = F.regexp_extract_all(
         drop_scripts(html), F.lit(rf"(?is)<a(?=\s){ATTRS}>[^<]*+(?:<(?!/?a[\s>])[^<]*+)*+"), 0)
-    return F.transform(F.filter(found, lambda b: has_attr(head_tag(b), "href")),
-                       lambda b: F.struct(head_tag(b).alias("tag"), text_of(inner(b)).alias("text")))
+    split = F.transform(found, lambda b: F.struct(head_tag(b).alias("tag"), b.alias("block")))
+    return F.transform(F.filter(split, lambda a: has_attr(a["tag"], "href")),
+                       lambda a: F.struct(a["tag"].alias("tag"), text_of(inner(a["block"])).alias("text")))
 
 
 def raw_links(html: Column) -> Column:
@@ -222,27 +240,35 @@ def links_from(raw: Column, url: Column) -> Column:
     def plain(u: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(u, r"(?s)#.*$", ""), r"/$", "")
 
-    here = plain(F.concat(U.origin(url), U.path(url), U.search(url)))
-    found = F.transform(raw, lambda a: F.struct(
-        U.resolve(a.href, url).alias("href"), F.substring(a.text, 1, 200).alias("text"), a.hidden.alias("hidden")))
-    kept = F.transform(F.filter(found, lambda a: a.href.rlike(r"(?i)^https?://")), lambda a: F.struct(
-        plain(a.href).alias("href"), a.text.alias("text"), a.hidden.alias("hidden")))
-    other = F.filter(kept, lambda a: a.href != here)
-    hrefs = F.transform(other, lambda a: a.href)
-    first = F.filter(other, lambda a, i: (F.array_position(hrefs, a.href) == i + 1) & ~a.hidden)
-    return F.transform(first, lambda a: F.struct(a.href.alias("href"), a.text.alias("text")))
+    def first_of_each(other: Column) -> Column:
+        hrefs = F.transform(other, lambda a: a.href)
+        return let(hrefs, lambda seen: F.filter(
+            other, lambda a, i: (F.array_position(seen, a.href) == i + 1) & ~a.hidden))
+
+    def placed(base: Column) -> Column:
+        found = F.transform(raw, lambda a: F.struct(
+            U.resolve_on(a.href, base).alias("href"), F.substring(a.text, 1, 200).alias("text"), a.hidden.alias("hidden")))
+        kept = F.transform(F.filter(found, lambda a: a.href.rlike(r"(?i)^https?://")), lambda a: F.struct(
+            plain(a.href).alias("href"), a.text.alias("text"), a.hidden.alias("hidden")))
+        here = plain(F.concat(base["origin"], base["path"], base["search"]))
+        other = let(here, lambda h: F.filter(kept, lambda a: a.href != h))
+        return let(other, first_of_each)
+
+    return F.transform(let(U.base_of(url), placed), lambda a: F.struct(a.href.alias("href"), a.text.alias("text")))
 
 
 def nav_links(html: Column, limit: int = 50) -> Column:
     """Raw navigation anchors with label fallbacks; first ``limit``."""
-    wanted = F.filter(anchors(html), lambda a: ~is_hidden(a.tag) & (attr(a.tag, "href") != "")
-                      & (attr(a.tag, "href") != "#") & ~attr(a.tag, "href").rlike(r"^(javascript|mailto):"))
+    named = F.transform(anchors(html), lambda a: F.struct(
+        a.tag.alias("tag"), a.text.alias("text"), attr(a.tag, "href").alias("href"), attr(a.tag, "id").alias("id")))
+    wanted = F.filter(named, lambda a: (a["href"] != "") & (a["href"] != "#") & ~is_hidden(a["tag"])
+                      & ~a["href"].rlike(r"^(javascript|mailto):"))
     return F.slice(F.transform(wanted, lambda a: F.struct(
-        F.coalesce(or_null(a.text), or_null(attr(a.tag, "aria-label")), or_null(attr(a.tag, "title")),
+        F.coalesce(or_null(a["text"]), or_null(attr(a["tag"], "aria-label")), or_null(attr(a["tag"], "title")),
                    F.lit("Link")).alias("label"),
-        F.when(attr(a.tag, "id") != "", F.concat(F.lit("#"), attr(a.tag, "id"))).otherwise(
-            F.concat(F.lit('a[href="'), attr(a.tag, "href"), F.lit('"]'))).alias("selector"),
-        attr(a.tag, "href").alias("href"), attr(a.tag, "target").alias("target"))), 1, limit)
+        F.when(a["id"] != "", F.concat(F.lit("#"), a["id"])).otherwise(
+            F.concat(F.lit('a[href="'), a["href"], F.lit('"]'))).alias("selector"),
+        a["href"].alias("href"), attr(a["tag"], "target").alias("target"))), 1, limit)
 
 
 def headings(html: Column, levels: str = "1-4", first: int = 20, max_text: int = 200) -> Column:
@@ -276,9 +302,8 @@ def control_blocks(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(CONTROL), 0)
 
 
-def control_type(block: Column) -> Column:
+def control_type(tag: Column) -> Column:
     """type attribute, else the element name."""
-    tag = head_tag(block)
     return F.coalesce(or_null(attr(tag, "type")), tag_name(tag))
 
 
@@ -286,35 +311,36 @@ def form_blocks(html: Column) -> Column:
     return blocks(drop_scripts(html), "form")
 
 
-def form_action(tag: Column, url: Column) -> Column:
-    raw = attr(tag, "action")
-    return F.when(raw == "", url).otherwise(U.resolve(raw, url))
+def form_action(tag: Column, url: Column, base: Column) -> Column:
+    return let(attr(tag, "action"), lambda raw: F.when(raw == "", url).otherwise(U.resolve_on(raw, base)))
 
 
 def form_method(tag: Column) -> Column:
     """Anything but post and dialog is a GET form."""
-    asked = F.upper(attr(tag, "method"))
-    return F.when(asked.isin("POST", "DIALOG"), asked).otherwise(F.lit("GET"))
+    return let(F.upper(attr(tag, "method")), lambda asked: F.when(
+        asked.isin("POST", "DIALOG"), asked).otherwise(F.lit("GET")))
 
 
 def forms(html: Column, url: Column) -> Column:
-    return F.transform(form_blocks(html), lambda b: F.struct(
-        form_action(head_tag(b), url).alias("action"), form_method(head_tag(b)).alias("method"),
-        F.transform(control_blocks(b), lambda c: F.struct(
-            or_null(attr(head_tag(c), "name")).alias("name"), control_type(c).alias("type"),
-            has_attr(head_tag(c), "required").alias("required"))).alias("inputs")))
+    """array<struct<action, method, inputs>>."""
+    def row(b: Column, base: Column) -> Column:
+        inputs = F.transform(control_blocks(b), lambda c: let(head_tag(c), lambda tag: F.struct(
+            or_null(attr(tag, "name")).alias("name"), control_type(tag).alias("type"),
+            has_attr(tag, "required").alias("required"))))
+        return let(head_tag(b), lambda tag: F.struct(
+            form_action(tag, url, base).alias("action"), form_method(tag).alias("method"), inputs.alias("inputs")))
+
+    return let(U.base_of(url), lambda base: F.transform(form_blocks(html), lambda b: row(b, base)))
 
 
 def button_blocks(html: Column, input_types: tuple[str, ...] = ("button", "submit"), roles: bool = True) -> Column:
     """Buttons, button-like inputs and, with ``roles``, role=button elements."""
-    def wanted(b: Column) -> Column:
-        tag = head_tag(b)
-        name = tag_name(tag)
+    def wanted(tag: Column) -> Column:
         role = (F.lower(attr(tag, "role")) == "button") if roles else F.lit(False)
-        return ((name == "button") | role
-                | ((name == "input") & F.lower(attr(tag, "type")).isin(*input_types)))
+        return ((tag_name(tag) == "button") | role
+                | ((tag_name(tag) == "input") & F.lower(attr(tag, "type")).isin(*input_types)))
 
-    return F.filter(F.regexp_extract_all(html, F.lit(BUTTON), 0), wanted)
+    return F.filter(F.regexp_extract_all(html, F.lit(BUTTON), 0), lambda b: let(head_tag(b), wanted))
 
 
 def button_text(block: Column) -> Column:
@@ -336,22 +362,23 @@ def labels(html: Column) -> Column:
 
 def label_for(known: Column, tag: Column) -> Column:
     """Text of the first label of a control; NULL when it has none."""
-    wanted = attr(tag, "id")
-    return F.when(wanted != "", or_null(first_where(known, lambda x: x.target == wanted).text))
+    return let(attr(tag, "id"), lambda wanted: F.when(
+        wanted != "", or_null(first_where(known, lambda x: x.target == wanted).text)))
 
 
 def control_value(block: Column) -> Column:
-    tag = head_tag(block)
+    """Value a control starts with."""
     options = F.transform(F.regexp_extract_all(
-        block, F.lit(rf"(?is)<option(?=[\s/>]){ATTRS}>[^<]*+"), 0), lambda o: F.struct(
-            has_attr(head_tag(o), "selected").alias("selected"),
-            F.when(has_attr(head_tag(o), "value"), attr(head_tag(o), "value")).otherwise(text_of(o)).alias("value")))
-    chosen = F.coalesce(first_where(options, lambda o: o.selected).value,
-                        F.try_element_at(options, F.lit(1)).value, F.lit(""))
-    ticked = F.lower(attr(tag, "type")).isin("checkbox", "radio") & ~has_attr(tag, "value")
-    return (F.when(tag_name(tag) == "select", chosen)
-            .when(tag_name(tag) == "textarea", decode_entities(F.regexp_replace(inner(block), r"(?is)</textarea\s*>$", "")))
-            .when(ticked, F.lit("on")).otherwise(attr(tag, "value")))
+        block, F.lit(rf"(?is)<option(?=[\s/>]){ATTRS}>[^<]*+"), 0), lambda o: let(head_tag(o), lambda tag: F.struct(
+            has_attr(tag, "selected").alias("selected"),
+            F.when(has_attr(tag, "value"), attr(tag, "value")).otherwise(text_of(o)).alias("value"))))
+    chosen = let(options, lambda all_of: F.coalesce(
+        first_where(all_of, lambda o: o.selected).value, F.try_element_at(all_of, F.lit(1)).value, F.lit("")))
+    typed = decode_entities(F.regexp_replace(inner(block), r"(?is)</textarea\s*>$", ""))
+    return let(head_tag(block), lambda tag: (
+        F.when(tag_name(tag) == "select", chosen).when(tag_name(tag) == "textarea", typed)
+        .when(F.lower(attr(tag, "type")).isin("checkbox", "radio") & ~has_attr(tag, "value"), F.lit("on"))
+        .otherwise(attr(tag, "value"))))
 
 
 def select_options(block: Column) -> Column:
@@ -363,36 +390,36 @@ def select_options(block: Column) -> Column:
 
 def form_fields(html: Column) -> Column:
     """Fields, then buttons, of each form in document order."""
-    known = labels(html)
-
-    def field(c: Column, n: Column, i: Column) -> Column:
-        tag = head_tag(c)
+    def field(c: Column, tag: Column, known: Column, n: Column, i: Column) -> Column:
         name = tag_name(tag)
         kind = (F.when(name.isin("select", "textarea"), name)
                 .when(F.lower(attr(tag, "type")).isin("checkbox", "radio"), F.lower(attr(tag, "type")))
                 .otherwise(F.lit("input")))
         label = F.coalesce(label_for(known, tag), or_null(attr(tag, "aria-label")),
                            or_null(attr(tag, "placeholder")), or_null(attr(tag, "name")), F.lit("Unnamed Field"))
-        selector = (F.when(attr(tag, "id") != "", F.concat(F.lit("#"), attr(tag, "id")))
-                    .when(attr(tag, "name") != "", F.concat(F.lit('[name="'), attr(tag, "name"), F.lit('"]')))
-                    .otherwise(F.concat(F.lit("form:nth-of-type("), n + 1, F.lit(") "), name,
-                                        F.lit(":nth-of-type("), i + 1, F.lit(")"))))
+        selector = F.coalesce(
+            F.concat(F.lit("#"), or_null(attr(tag, "id"))),
+            F.concat(F.lit('[name="'), or_null(attr(tag, "name")), F.lit('"]')),
+            F.concat(F.lit("form:nth-of-type("), n + 1, F.lit(") "), name, F.lit(":nth-of-type("), i + 1, F.lit(")")))
         return F.struct(n.alias("form"), kind.alias("kind"), label.alias("label"), attr(tag, "name").alias("name"),
                         attr(tag, "placeholder").alias("placeholder"), has_attr(tag, "required").alias("required"),
                         control_value(c).alias("value"), selector.alias("selector"))
 
     def press(b: Column, n: Column, i: Column) -> Column:
-        tag = head_tag(b)
-        selector = F.when(attr(tag, "id") != "", F.concat(F.lit("#"), attr(tag, "id"))).otherwise(
+        selector = F.coalesce(
+            F.concat(F.lit("#"), or_null(attr(head_tag(b), "id"))),
             F.concat(F.lit("form:nth-of-type("), n + 1, F.lit(") button:nth-of-type("), i + 1, F.lit(")")))
         return F.struct(n.alias("form"), F.lit("button").alias("kind"),
                         F.coalesce(or_null(button_text(b)), F.lit("Submit")).alias("label"), F.lit("").alias("name"),
                         F.lit("").alias("placeholder"), F.lit(False).alias("required"), F.lit("").alias("value"),
                         selector.alias("selector"))
 
-    return F.flatten(F.transform(form_blocks(html), lambda b, n: F.concat(
-        F.transform(control_blocks(b), lambda c, i: field(c, n, i)),
-        F.transform(button_blocks(b, ("submit",), roles=False), lambda p, i: press(p, n, i)))))
+    def all_forms(known: Column) -> Column:
+        return F.flatten(F.transform(form_blocks(html), lambda b, n: F.concat(
+            F.transform(control_blocks(b), lambda c, i: let(head_tag(c), lambda tag: field(c, tag, known, n, i))),
+            F.transform(button_blocks(b, ("submit",), roles=False), lambda p, i: press(p, n, i)))))
+
+    return let(labels(html), all_forms)
 
 
 def loose_buttons(html: Column) -> Column:
@@ -406,17 +433,17 @@ def loose_buttons(html: Column) -> Column:
             F.transform(button_blocks(outside), lambda b: F.struct(b.alias("block"), F.lit(True).alias("loose"))),
             F.transform(button_blocks(inside), lambda b: F.struct(b.alias("block"), F.lit(False).alias("loose"))))
 
-    numbered = F.transform(F.flatten(F.transform(parts, flagged)),
-                           lambda x, i: F.struct(x.block.alias("block"), x.loose.alias("loose"), i.alias("pos")))
-    shown = F.filter(numbered, lambda x: x.loose & ~is_hidden(head_tag(x.block)))
+    numbered = F.transform(F.flatten(F.transform(parts, flagged)), lambda x, i: F.struct(
+        x.block.alias("block"), head_tag(x.block).alias("tag"), x.loose.alias("loose"), i.alias("pos")))
+    shown = F.filter(numbered, lambda x: x.loose & ~is_hidden(x["tag"]))
 
     def row(x: Column) -> Column:
-        tag = head_tag(x.block)
-        label = F.coalesce(or_null(button_text(x.block)), or_null(attr(tag, "aria-label")), F.lit("Button"))
-        selector = (F.when(attr(tag, "id") != "", F.concat(F.lit("#"), attr(tag, "id")))
-                    .when(attr(tag, "aria-label") != "",
-                          F.concat(tag_name(tag), F.lit('[aria-label="'), attr(tag, "aria-label"), F.lit('"]')))
-                    .otherwise(F.concat(tag_name(tag), F.lit(":nth-of-type("), x.pos + 1, F.lit(")"))))
+        name = tag_name(x["tag"])
+        label = F.coalesce(or_null(button_text(x["block"])), or_null(attr(x["tag"], "aria-label")), F.lit("Button"))
+        selector = F.coalesce(
+            F.concat(F.lit("#"), or_null(attr(x["tag"], "id"))),
+            F.concat(name, F.lit('[aria-label="'), or_null(attr(x["tag"], "aria-label")), F.lit('"]')),
+            F.concat(name, F.lit(":nth-of-type("), x["pos"] + 1, F.lit(")")))
         return F.struct(label.alias("label"), selector.alias("selector"))
 
     return F.transform(shown, row)
@@ -424,69 +451,93 @@ def loose_buttons(html: Column) -> Column:
 
 def hash_routes(html: Column, url: Column) -> Column:
     """Hash links that look like routes, then quoted routes of inline scripts."""
-    bare = drop_scripts(html)
-    tags = F.filter(open_tags(bare, "a"), lambda t: attr(t, "href").rlike(r"^#!?/"))
-    linked = F.transform(tags, lambda t: F.concat(U.origin(url), U.path(url), attr(t, "href")))
+    hrefs = F.filter(F.transform(open_tags(drop_scripts(html), "a"), lambda t: attr(t, "href")),
+                     lambda h: h.rlike(r"^#!?/"))
     inline = F.filter(blocks(F.regexp_replace(html, r"(?is)<!--.*?-->", ""), "script"),
                       lambda b: ~has_attr(head_tag(b), "src"))
     quoted = F.flatten(F.transform(inline, lambda b: F.regexp_extract_all(
         b, F.lit(r"""(?i)['"](/[a-z][a-z0-9-/]*)['"]"""), 1)))
-    routes = F.transform(F.filter(quoted, lambda r: F.length(r) < 100), lambda r: F.concat(U.origin(url), r))
-    return F.array_distinct(F.concat(linked, routes))
+    return let(U.base_of(url), lambda base: F.array_distinct(F.concat(
+        F.transform(hrefs, lambda h: F.concat(base["origin"], base["path"], h)),
+        F.transform(F.filter(quoted, lambda r: F.length(r) < 100), lambda r: F.concat(base["origin"], r)))))
 
 
 def attr_routes(html: Column, url: Column) -> Column:
     """Routes named by element attributes: array<struct<url, found_by, text>>."""
-    bare = drop_scripts(html)
-    body = rf"{ATTRS}>[^<]*+"
-    groups = []
-    for name in ROUTE_ATTRIBUTES:
-        found = F.regexp_extract_all(bare, F.lit(rf"(?is)<[a-z][a-z0-9-]*(?=\s[^>]*{name}){body}"), 0)
-        groups.append(F.transform(F.filter(found, lambda b, n=name: attr(head_tag(b), n) != ""), lambda b, n=name: F.struct(
-            U.resolve(attr(head_tag(b), n), url).alias("url"), F.lit("data-attr").alias("found_by"),
-            F.substring(text_of(inner(b)), 1, 100).alias("text"))))
-    roles = F.filter(F.regexp_extract_all(bare, F.lit(rf"(?is)<[a-z][a-z0-9-]*(?=\s[^>]*role){body}"), 0),
-                     lambda b: attr(head_tag(b), "role") == "link")
-    groups.append(F.flatten(F.transform(roles, lambda b: F.transform(
-        F.regexp_extract_all(head_tag(b), F.lit(r"""(?is)\s[^\s"'>=/]+\s*=\s*["']?((?:/|http)[^"'\s>]*)"""), 1),
-        lambda v: F.struct(U.resolve(v, url).alias("url"), F.lit("aria").alias("found_by"),
-                           F.substring(text_of(inner(b)), 1, 100).alias("text"))))))
-    hashed = F.filter(anchors(html), lambda a: attr(a.tag, "href").rlike(r"^#!?/"))
-    groups.append(F.transform(hashed, lambda a: F.struct(
-        U.resolve(F.concat(U.origin(url), F.lit("/"), attr(a.tag, "href")), url).alias("url"),
-        F.lit("hash").alias("found_by"), F.substring(a.text, 1, 100).alias("text"))))
-    every = F.filter(F.concat(*groups), lambda r: F.startswith(r.url, F.lit("http")))
-    seen = F.transform(every, lambda r: r.url)
-    return F.filter(every, lambda r, i: F.array_position(seen, r.url) == i + 1)
+    def opening(bare: Column, name: str) -> Column:
+        """Elements with the attribute and the text right after their start tag."""
+        found = F.regexp_extract_all(bare, F.lit(rf"(?is)<[a-z][a-z0-9-]*(?=\s[^>]*{name}){ATTRS}>[^<]*+"), 0)
+        return F.transform(found, lambda b: F.struct(
+            head_tag(b).alias("tag"), F.substring(text_of(inner(b)), 1, 100).alias("text")))
+
+    def found(href: Column, by: str, text: Column) -> Column:
+        return F.struct(href.alias("href"), F.lit(by).alias("found_by"), text.alias("text"))
+
+    def named(bare: Column, name: str) -> Column:
+        return F.transform(opening(bare, name), lambda e: found(attr(e["tag"], name), "data-attr", e["text"]))
+
+    def linked(bare: Column) -> Column:
+        roles = F.filter(opening(bare, "role"), lambda e: attr(e["tag"], "role") == "link")
+        return F.flatten(F.transform(roles, lambda e: F.transform(
+            F.regexp_extract_all(e["tag"], F.lit(r"""(?is)\s[^\s"'>=/]+\s*=\s*["']?((?:/|http)[^"'\s>]*)"""), 1),
+            lambda v: found(v, "aria", e["text"]))))
+
+    hashed = F.filter(F.transform(anchors(html), lambda a: found(
+        F.concat(F.lit("/"), attr(a.tag, "href")), "hash", F.substring(a.text, 1, 100))),
+        lambda r: r.href.rlike(r"^/#!?/"))
+
+    def every(bare: Column) -> Column:
+        return F.filter(F.concat(*[named(bare, n) for n in ROUTE_ATTRIBUTES], linked(bare), hashed),
+                        lambda r: r.href != "")
+
+    def placed(base: Column) -> Column:
+        rows = F.transform(let(drop_scripts(html), every), lambda r: F.struct(
+            U.resolve_on(r.href, base).alias("url"), r.found_by.alias("found_by"), r.text.alias("text")))
+        return F.filter(rows, lambda r: F.startswith(r.url, F.lit("http")))
+
+    def first_of_each(rows: Column) -> Column:
+        return let(F.transform(rows, lambda r: r.url), lambda seen: F.filter(
+            rows, lambda r, i: F.array_position(seen, r.url) == i + 1))
+
+    return let(let(U.base_of(url), placed), first_of_each)
+
+
+def _class_box(bare: Column, word: str) -> Column:
+    """Content of the first element whose class holds ``word``."""
+    return F.regexp_extract(
+        bare, rf"""(?is)<([a-z][a-z0-9]*)(?=\s)[^>]*\sclass\s*=\s*["'][^"'>]*{word}[^"'>]*["'][^>]*>(.*?)</\1\s*>""", 2)
 
 
 def pagination(html: Column, url: Column) -> Column:
     """struct<next_url, prev_url, current_page> from ordered candidates."""
-    bare = drop_scripts(html)
-    tags = open_tags(bare, "a")
-
-    def link_rel(name: str) -> Column:
-        return U.resolve(or_null(attr(F.try_element_at(head_links(html, name), F.lit(1)), "href")), url)
-
-    def anchor(test) -> Column:
-        return U.resolve(or_null(attr(first_where(tags, lambda t: test(t) & (attr(t, "href") != "")), "href")), url)
-
-    def within(word: str, last: bool) -> Column:
-        """First or last anchor inside the first element whose class holds ``word``."""
-        box = F.regexp_extract(
-            bare, rf"(?is)<([a-z][a-z0-9]*)\s[^>]*class\s*=\s*[\"'][^\"']*{word}[^\"']*[\"'][^>]*>(.*?)</\1\s*>", 2)
-        inside = F.filter(open_tags(box, "a"), lambda t: attr(t, "href") != "")
-        return U.resolve(or_null(attr(F.try_element_at(inside, F.lit(-1 if last else 1)), "href")), url)
-
-    box = F.regexp_extract(
-        bare, r"(?is)<([a-z][a-z0-9]*)\s[^>]*class\s*=\s*[\"'][^\"']*pagination[^\"']*[\"'][^>]*>(.*?)</\1\s*>", 2)
-    active = F.regexp_extract(
-        box, r"(?is)<[a-z][^>]*(?:class\s*=\s*[\"'](?:[^\"']*\s)?active(?:\s[^\"']*)?[\"']|aria-current\s*=\s*[\"']page[\"'])[^>]*>\s*(\d+)", 1)
-    return F.struct(
-        F.coalesce(link_rel("next"), anchor(lambda t: F.lower(attr(t, "rel")) == "next"), within("next", False),
-                   within("pagination", True),
-                   anchor(lambda t: F.contains(F.lower(attr(t, "aria-label")), F.lit("next")))).alias("next_url"),
-        F.coalesce(link_rel("prev"), anchor(lambda t: F.lower(attr(t, "rel")) == "prev"), within("prev", False),
-                   within("pagination", False),
-                   anchor(lambda t: F.contains(F.lower(attr(t, "aria-label")), F.lit("prev")))).alias("prev_url"),
-        or_null(active).cast("int").alias("current_page"))
+    def anchor_in(box: Column, at: int) -> Column:
+        hrefs = F.filter(F.transform(open_tags(box, "a"), lambda t: attr(t, "href")), lambda h: h != "")
+        return F.try_element_at(hrefs, F.lit(at))
+
+    def candidates(p: Column) -> Column:
+        def rel(name: str) -> Column:
+            return first_where(p["tags"], lambda x: x["rel"] == name)["href"]
+
+        def labelled(word: str) -> Column:
+            return first_where(p["tags"], lambda x: F.contains(x["label"], F.lit(word)))["href"]
+
+        active = F.regexp_extract(
+            p["pages"], r"""(?is)<[a-z][^>]*(?:class\s*=\s*["'](?:[^"']*\s)?active(?:\s[^"']*)?["']|aria-current\s*=\s*["']page["'])[^>]*>\s*(\d+)""", 1)
+
+        def ladder(name: str, at: int) -> Column:
+            return F.coalesce(first_where(p["links"], lambda x: x["rel"] == name)["href"], rel(name),
+                              anchor_in(p[name], 1), anchor_in(p["pages"], at), labelled(name))
+
+        return let(U.base_of(url), lambda base: F.struct(
+            U.resolve_on(ladder("next", -1), base).alias("next_url"),
+            U.resolve_on(ladder("prev", 1), base).alias("prev_url"), or_null(active).cast("int").alias("current_page")))
+
+    def described(bare: Column, name: str) -> Column:
+        rows = F.transform(open_tags(bare, name), lambda t: F.struct(
+            F.lower(attr(t, "rel")).alias("rel"), attr(t, "href").alias("href"),
+            F.lower(attr(t, "aria-label")).alias("label")))
+        return F.filter(rows, lambda x: x["href"] != "")
+
+    return let(drop_scripts(html), lambda bare: let_all({
+        "tags": described(bare, "a"), "links": described(bare, "link"), "pages": _class_box(bare, "pagination"),
+        "next": _class_box(bare, "next"), "prev": _class_box(bare, "prev")}, candidates))

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteatlas.functions.bind import let, let_all
+
 # ---- fixed values -----------------------------------------------------------
 TRACKING_PARAMS = [
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content",
@@ -302,6 +304,10 @@ def hierarchy_line(url: Column, scope: Scope) -> Column:
 
 def _no_dots(where: Column) -> Column:
     """Collapse ``.`` and ``..`` segments of an absolute path."""
+    return F.when(where.rlike(r"/\.{1,2}(/|$)"), let(where, _fold_dots)).otherwise(where)
+
+
+def _fold_dots(where: Column) -> Column:
     parts = F.split(F.regexp_replace(where, r"^/", ""), "/")
     folded = F.aggregate(
         parts, F.array().cast("array<string>"),
@@ -309,33 +315,45 @@ def _no_dots(where: Column) -> Column:
         .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
     closing = F.when(where.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
     joined = F.concat(F.lit("/"), F.array_join(folded, "/"))
-    tidy = F.when(joined == "/", joined).otherwise(F.concat(joined, closing))
-    return F.when(where.rlike(r"/\.{1,2}(/|$)"), tidy).otherwise(where)
+    return F.when(joined == "/", joined).otherwise(F.concat(joined, closing))
+
+
+def base_of(url: Column) -> Column:
+    """The parts of a page URL that links are resolved against."""
+    return F.struct(is_http(url).alias("http"), scheme(url).alias("scheme"), origin(url).alias("origin"),
+                    path(url).alias("path"), search(url).alias("search"))
+
+
+def resolve_on(href: Column, base: Column) -> Column:
+    """Absolute form of ``href`` against a ``base_of`` struct; NULL if it has none."""
+    def found(p: Column) -> Column:
+        link = p["link"]
+        tail = F.regexp_extract(link, r"(?s)([?#].*)$", 1)
+        local = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+        folder = F.regexp_replace(base["path"], r"[^/]*$", "")
+        absolute = F.concat(p["scheme"], F.lit("://"), F.regexp_replace(_piece(link, 2), r"^.*@", ""),
+                            _no_dots(path(link)), _piece(link, 4), _piece(link, 5))
+        ladder = (F.when(p["http"], absolute)
+                  .when(link.rlike("^//[^/?#]"), F.concat(base["scheme"], F.lit(":"), link))
+                  .when(p["scheme"] != "", F.when(~p["scheme"].isin("http", "https"), link))
+                  .when(F.startswith(link, F.lit("/")), F.concat(base["origin"], _no_dots(local), tail))
+                  .when(F.startswith(link, F.lit("?")), F.concat(base["origin"], base["path"], link))
+                  .when(link.rlike("^(#|$)"), F.concat(base["origin"], base["path"], base["search"], link))
+                  .otherwise(F.concat(base["origin"], _no_dots(F.concat(folder, local)), tail)))
+        return F.when(base["http"], ladder).when(p["http"], absolute)
 
-
-def resolve(href: Column, base: Column) -> Column:
-    """Absolute form of ``href`` seen on page ``base``; NULL if it has none."""
     link = F.regexp_replace(href, r"^\s+|\s+$", "")
-    tail = F.regexp_extract(link, r"(?s)([?#].*)$", 1)
-    local = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    absolute = F.concat(scheme(link), F.lit("://"), F.regexp_replace(_piece(link, 2), r"^.*@", ""),
-                        _no_dots(path(link)), _piece(link, 4), _piece(link, 5))
-    found = (F.when(is_http(link), absolute)
-             .when(F.startswith(link, F.lit("//")) & is_http(F.concat(F.lit("http:"), link)),
-                   F.concat(scheme(base), F.lit(":"), link))
-             .when(link.rlike(ANY_SCHEME), F.when(~scheme(link).isin("http", "https"), link))
-             .when(F.startswith(link, F.lit("/")), F.concat(origin(base), _no_dots(local), tail))
-             .when(F.startswith(link, F.lit("?")), F.concat(origin(base), path(base), link))
-             .when(F.startswith(link, F.lit("#")), F.concat(origin(base), path(base), search(base), link))
-             .when(link == "", F.concat(origin(base), path(base), search(base)))
-             .otherwise(F.concat(origin(base), _no_dots(F.concat(folder, local)), tail)))
-    return F.when(is_http(base), found).when(is_http(link), absolute)
+    return let(link, lambda x: let_all({"link": x, "scheme": scheme(x), "http": is_http(x)}, found))
+
+
+def resolve(href: Column, url: Column) -> Column:
+    """Absolute form of ``href`` seen on page ``url``; NULL if it has none."""
+    return let(base_of(url), lambda base: resolve_on(href, base))
 
 
 def same_origin(href: Column, base: Column) -> Column:
-    target = resolve(href, base)
-    return F.coalesce(is_http(target) & (origin(target) == origin(base)), F.lit(False))
+    internal = let(resolve(href, base), lambda target: is_http(target) & (origin(target) == origin(base)))
+    return F.coalesce(internal, F.lit(False))
 
 
 def is_download(url: Column) -> Column:
