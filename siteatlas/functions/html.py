@@ -35,9 +35,10 @@ BLOCK_TAGS = ("address|article|aside|blockquote|body|center|details|dialog|dir|d
 
 
 def drop_scripts(html: Column) -> Column:
-    """HTML without comments, scripts and styles."""
-    return F.regexp_replace(
-        html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>", "")
+    """HTML without comments, scripts and styles: the ``bare`` text most
+    functions here read.  One scan; stage it as a column when several follow.
+    """
+    return F.regexp_replace(html, r"(?is)<(?:!--.*?-->|(script|style|noscript)\b.*?</\1\s*>)", "")
 
 
 def empty_scripts(html: Column) -> Column:
@@ -138,14 +139,14 @@ def first_where(items: Column, test) -> Column:
 
 # ---- head ---------------------------------------------------------------------
 
-def title(html: Column) -> Column:
-    found = F.regexp_extract(drop_scripts(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+def title(bare: Column) -> Column:
+    found = F.regexp_extract(bare, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
     return X.trimmed(F.regexp_replace(decode_entities(found), r"\s+", " "))
 
 
-def meta(html: Column) -> Column:
+def meta(bare: Column) -> Column:
     """map name-or-property -> content; the last tag of a name wins."""
-    found = F.transform(open_tags(drop_scripts(html), "meta"), lambda t: F.struct(
+    found = F.transform(open_tags(bare, "meta"), lambda t: F.struct(
         F.coalesce(or_null(attr(t, "name")), attr(t, "property")).alias("key"), attr(t, "content").alias("value")))
     def last_of_each(full: Column) -> Column:
         return F.filter(full, lambda m, i: ~F.exists(
@@ -155,18 +156,18 @@ def meta(html: Column) -> Column:
     return F.map_from_entries(let(full, last_of_each))
 
 
-def head_links(html: Column, rel: str) -> Column:
+def head_links(bare: Column, rel: str) -> Column:
     """<link> tags with the given rel."""
-    return F.filter(open_tags(drop_scripts(html), "link"), lambda t: F.lower(attr(t, "rel")) == rel)
+    return F.filter(open_tags(bare, "link"), lambda t: F.lower(attr(t, "rel")) == rel)
 
 
-def canonical(html: Column, url: Column) -> Column:
-    href = or_null(attr(F.try_element_at(head_links(html, "canonical"), F.lit(1)), "href"))
+def canonical(bare: Column, url: Column) -> Column:
+    href = or_null(attr(F.try_element_at(head_links(bare, "canonical"), F.lit(1)), "href"))
     return U.resolve(href, url)
 
 
-def hreflang(html: Column, url: Column) -> Column:
-    found = F.transform(head_links(html, "alternate"), lambda t: F.struct(
+def hreflang(bare: Column, url: Column) -> Column:
+    found = F.transform(head_links(bare, "alternate"), lambda t: F.struct(
         attr(t, "hreflang").alias("lang"), attr(t, "href").alias("href")))
     full = F.filter(found, lambda a: (a.lang != "") & (a.href != ""))
     placed = let(U.base_of(url), lambda base: F.transform(
@@ -174,8 +175,8 @@ def hreflang(html: Column, url: Column) -> Column:
     return F.filter(placed, lambda a: a.url.isNotNull())
 
 
-def meta_refresh(html: Column, url: Column) -> Column:
-    tag = first_where(open_tags(drop_scripts(html), "meta"), lambda t: F.lower(attr(t, "http-equiv")) == "refresh")
+def meta_refresh(bare: Column, url: Column) -> Column:
+    tag = first_where(open_tags(bare, "meta"), lambda t: F.lower(attr(t, "http-equiv")) == "refresh")
     target = or_null(X.trimmed(F.regexp_extract(attr(tag, "content"), r"(?i)url=(.+)", 1)))
     return U.resolve(target, url)
 
@@ -192,13 +193,20 @@ def is_spa(html: Column) -> Column:
 
 
 def _spa_marks(html: Column, tags: Column) -> Column:
-    return (html.rlike(r"__NEXT_DATA__|__NUXT__")
-            | tags.rlike(r"(?is)<[a-z][^>]*\sid\s*=\s*[\"']?__next[\"'\s>]")
-            | tags.rlike(r"(?is)<[a-z][^>]*\sng-version(?=[\s=/>])")
-            | F.exists(open_tags(tags, "[a-z][a-z0-9-]*"), lambda t: (
-                ((attr(t, "id") == "app") & has_attr(t, "data-v-app"))
-                | ((attr(t, "id") == "root") & has_attr(t, "data-reactroot"))))
-            | F.exists(open_tags(tags, "script"), lambda t: F.contains(attr(t, "src"), F.lit("chunk"))))
+    """Cheap substring tests first; tags are looked at only where they hit."""
+    def mount(mark: str, name: str) -> Column:
+        hit = F.exists(open_tags(tags, "[a-z][a-z0-9-]*"), lambda t: (attr(t, "id") == name) & has_attr(t, mark))
+        return F.when(F.contains(tags, F.lit(mark)), hit).otherwise(F.lit(False))
+
+    def tag_like(mark: str, pattern: str) -> Column:
+        return F.when(F.contains(tags, F.lit(mark)), tags.rlike(pattern)).otherwise(F.lit(False))
+
+    chunks = F.exists(open_tags(tags, "script"), lambda t: F.contains(attr(t, "src"), F.lit("chunk")))
+    return (F.contains(html, F.lit("__NEXT_DATA__")) | F.contains(html, F.lit("__NUXT__"))
+            | tag_like("__next", r"(?is)<[a-z][^>]*\sid\s*=\s*[\"']?__next[\"'\s>]")
+            | tag_like("ng-version", r"(?is)<[a-z][^>]*\sng-version(?=[\s=/>])")
+            | mount("data-v-app", "app") | mount("data-reactroot", "root")
+            | F.when(F.contains(tags, F.lit("chunk")), chunks).otherwise(F.lit(False)))
 
 
 def status_guess(html: Column) -> Column:
@@ -220,18 +228,18 @@ def _status_said(text: Column) -> Column:
 
 # ---- body ---------------------------------------------------------------------
 
-def anchors(html: Column) -> Column:
+def anchors(bare: Column) -> Column:
     """Anchors with an href: array<struct<tag, text>>, in document order."""
     found = F.regexp_extract_all(
-        drop_scripts(html), F.lit(rf"(?is)<a(?=\s){ATTRS}>[^<]*+(?:<(?!/?a[\s>])[^<]*+)*+"), 0)
+        bare, F.lit(rf"(?is)<a(?=\s){ATTRS}>[^<]*+(?:<(?!/?a[\s>])[^<]*+)*+"), 0)
     split = F.transform(found, lambda b: F.struct(head_tag(b).alias("tag"), b.alias("block")))
     return F.transform(F.filter(split, lambda a: has_attr(a["tag"], "href")),
                        lambda a: F.struct(a["tag"].alias("tag"), text_of(inner(a["block"])).alias("text")))
 
 
-def raw_links(html: Column) -> Column:
+def raw_links(bare: Column) -> Column:
     """array<struct<href, text, hidden>> before resolution."""
-    return F.transform(anchors(html), lambda a: F.struct(
+    return F.transform(anchors(bare), lambda a: F.struct(
         attr(a.tag, "href").alias("href"), a.text.alias("text"), is_hidden(a.tag).alias("hidden")))
 
 
@@ -257,9 +265,9 @@ def links_from(raw: Column, url: Column) -> Column:
     return F.transform(let(U.base_of(url), placed), lambda a: F.struct(a.href.alias("href"), a.text.alias("text")))
 
 
-def nav_links(html: Column, limit: int = 50) -> Column:
+def nav_links(bare: Column, limit: int = 50) -> Column:
     """Raw navigation anchors with label fallbacks; first ``limit``."""
-    named = F.transform(anchors(html), lambda a: F.struct(
+    named = F.transform(anchors(bare), lambda a: F.struct(
         a.tag.alias("tag"), a.text.alias("text"), attr(a.tag, "href").alias("href"), attr(a.tag, "id").alias("id")))
     wanted = F.filter(named, lambda a: (a["href"] != "") & (a["href"] != "#") & ~is_hidden(a["tag"])
                       & ~a["href"].rlike(r"^(javascript|mailto):"))
@@ -271,31 +279,31 @@ def nav_links(html: Column, limit: int = 50) -> Column:
         a["href"].alias("href"), attr(a["tag"], "target").alias("target"))), 1, limit)
 
 
-def headings(html: Column, levels: str = "1-4", first: int = 20, max_text: int = 200) -> Column:
+def headings(bare: Column, levels: str = "1-4", first: int = 20, max_text: int = 200) -> Column:
     """First ``first`` headings, then the non-empty ones of those."""
     found = F.slice(F.regexp_extract_all(
-        drop_scripts(html), F.lit(rf"(?is)<h([{levels}])(?=[\s/>]){ATTRS}>.*?</h\1\s*>"), 0), 1, first)
+        bare, F.lit(rf"(?is)<h([{levels}])(?=[\s/>]){ATTRS}>.*?</h\1\s*>"), 0), 1, first)
     rows = F.transform(found, lambda b: F.struct(
         F.regexp_extract(b, r"(?i)^<h(\d)", 1).cast("int").alias("level"),
         F.substring(text_of(b), 1, max_text).alias("text")))
     return F.filter(rows, lambda h: h.text != "")
 
 
-def paragraphs(html: Column, first: int = 10) -> Column:
+def paragraphs(bare: Column, first: int = 10) -> Column:
     """Paragraph texts cut to 200 characters, more than 20 long, first ten.
 
     A paragraph ends at its end tag or where a block element starts or ends.
     """
-    pieces = F.split(drop_scripts(html), rf"(?is)<p(?=[\s/>]){ATTRS}>")
+    pieces = F.split(bare, rf"(?is)<p(?=[\s/>]){ATTRS}>")
     texts = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.substring(
         text_of(F.regexp_replace(p, rf"(?is)</?(?:{BLOCK_TAGS})(?=[\s/>]).*$", "")), 1, 200))
     return F.slice(F.filter(texts, lambda t: F.length(t) > 20), 1, first)
 
 
-CONTROL = (rf"(?is)<input(?=[\s/>]){ATTRS}>|<select(?=[\s/>]){ATTRS}>.*?(?:</select\s*>|\z)"
-           rf"|<textarea(?=[\s/>]){ATTRS}>.*?(?:</textarea\s*>|\z)")
-BUTTON = (rf"(?is)<button(?=[\s/>]){ATTRS}>.*?(?:</button\s*>|\z)|<input(?=[\s/>]){ATTRS}>"
-          rf"|<([a-z][a-z0-9-]*)(?=\s[^>]*role\s*=\s*[\"']?button){ATTRS}>.*?(?:</\1\s*>|\z)")
+# One leading "<" lets the matcher skip text between tags.
+CONTROL = (rf"(?is)<(?:input(?=[\s/>]){ATTRS}>|(select|textarea)(?=[\s/>]){ATTRS}>.*?(?:</\1\s*>|\z))")
+BUTTON = (rf"(?is)<(?:button(?=[\s/>]){ATTRS}>.*?(?:</button\s*>|\z)|input(?=[\s/>]){ATTRS}>"
+          rf"|([a-z][a-z0-9-]*)(?=\s[^>]*role\s*=\s*[\"']?button){ATTRS}>.*?(?:</\1\s*>|\z))")
 
 
 def control_blocks(html: Column) -> Column:
@@ -307,8 +315,8 @@ def control_type(tag: Column) -> Column:
     return F.coalesce(or_null(attr(tag, "type")), tag_name(tag))
 
 
-def form_blocks(html: Column) -> Column:
-    return blocks(drop_scripts(html), "form")
+def form_blocks(bare: Column) -> Column:
+    return blocks(bare, "form")
 
 
 def form_action(tag: Column, url: Column, base: Column) -> Column:
@@ -321,7 +329,7 @@ def form_method(tag: Column) -> Column:
         asked.isin("POST", "DIALOG"), asked).otherwise(F.lit("GET")))
 
 
-def forms(html: Column, url: Column) -> Column:
+def forms(bare: Column, url: Column) -> Column:
     """array<struct<action, method, inputs>>."""
     def row(b: Column, base: Column) -> Column:
         inputs = F.transform(control_blocks(b), lambda c: let(head_tag(c), lambda tag: F.struct(
@@ -330,7 +338,7 @@ def forms(html: Column, url: Column) -> Column:
         return let(head_tag(b), lambda tag: F.struct(
             form_action(tag, url, base).alias("action"), form_method(tag).alias("method"), inputs.alias("inputs")))
 
-    return let(U.base_of(url), lambda base: F.transform(form_blocks(html), lambda b: row(b, base)))
+    return let(U.base_of(url), lambda base: F.transform(form_blocks(bare), lambda b: row(b, base)))
 
 
 def button_blocks(html: Column, input_types: tuple[str, ...] = ("button", "submit"), roles: bool = True) -> Column:
@@ -347,15 +355,15 @@ def button_text(block: Column) -> Column:
     return F.coalesce(or_null(text_of(block)), attr(head_tag(block), "value"))
 
 
-def buttons(html: Column) -> Column:
-    shown = F.filter(button_blocks(drop_scripts(html)), lambda b: ~is_hidden(head_tag(b)))
+def buttons(bare: Column) -> Column:
+    shown = F.filter(button_blocks(bare), lambda b: ~is_hidden(head_tag(b)))
     return F.transform(shown, lambda b: F.struct(
         F.substring(button_text(b), 1, 100).alias("text"), or_null(attr(head_tag(b), "type")).alias("type")))
 
 
-def labels(html: Column) -> Column:
+def labels(bare: Column) -> Column:
     """array<struct<target, text>> of label elements with a ``for``."""
-    found = F.transform(blocks(drop_scripts(html), "label"), lambda b: F.struct(
+    found = F.transform(blocks(bare, "label"), lambda b: F.struct(
         attr(head_tag(b), "for").alias("target"), text_of(b).alias("text")))
     return F.filter(found, lambda x: x.target != "")
 
@@ -388,7 +396,7 @@ def select_options(block: Column) -> Column:
     return F.filter(found, lambda v: v != "")
 
 
-def form_fields(html: Column) -> Column:
+def form_fields(bare: Column) -> Column:
     """Fields, then buttons, of each form in document order."""
     def field(c: Column, tag: Column, known: Column, n: Column, i: Column) -> Column:
         name = tag_name(tag)
@@ -415,16 +423,16 @@ def form_fields(html: Column) -> Column:
                         selector.alias("selector"))
 
     def all_forms(known: Column) -> Column:
-        return F.flatten(F.transform(form_blocks(html), lambda b, n: F.concat(
+        return F.flatten(F.transform(form_blocks(bare), lambda b, n: F.concat(
             F.transform(control_blocks(b), lambda c, i: let(head_tag(c), lambda tag: field(c, tag, known, n, i))),
             F.transform(button_blocks(b, ("submit",), roles=False), lambda p, i: press(p, n, i)))))
 
-    return let(labels(html), all_forms)
+    return let(labels(bare), all_forms)
 
 
-def loose_buttons(html: Column) -> Column:
+def loose_buttons(bare: Column) -> Column:
     """Buttons outside forms, with label fallbacks."""
-    parts = F.split(drop_scripts(html), r"(?i)</form(?=[\s>])")
+    parts = F.split(bare, r"(?i)</form(?=[\s>])")
 
     def flagged(part: Column) -> Column:
         outside = F.regexp_replace(part, r"(?is)<form(?=[\s/>]).*$", "")
@@ -449,9 +457,9 @@ def loose_buttons(html: Column) -> Column:
     return F.transform(shown, row)
 
 
-def hash_routes(html: Column, url: Column) -> Column:
+def hash_routes(html: Column, bare: Column, url: Column) -> Column:
     """Hash links that look like routes, then quoted routes of inline scripts."""
-    hrefs = F.filter(F.transform(open_tags(drop_scripts(html), "a"), lambda t: attr(t, "href")),
+    hrefs = F.filter(F.transform(open_tags(bare, "a"), lambda t: attr(t, "href")),
                      lambda h: h.rlike(r"^#!?/"))
     inline = F.filter(blocks(F.regexp_replace(html, r"(?is)<!--.*?-->", ""), "script"),
                       lambda b: ~has_attr(head_tag(b), "src"))
@@ -462,7 +470,7 @@ def hash_routes(html: Column, url: Column) -> Column:
         F.transform(F.filter(quoted, lambda r: F.length(r) < 100), lambda r: F.concat(base["origin"], r)))))
 
 
-def attr_routes(html: Column, url: Column) -> Column:
+def attr_routes(bare: Column, url: Column) -> Column:
     """Routes named by element attributes: array<struct<url, found_by, text>>."""
     def opening(bare: Column, name: str) -> Column:
         """Elements with the attribute and the text right after their start tag."""
@@ -482,7 +490,7 @@ def attr_routes(html: Column, url: Column) -> Column:
             F.regexp_extract_all(e["tag"], F.lit(r"""(?is)\s[^\s"'>=/]+\s*=\s*["']?((?:/|http)[^"'\s>]*)"""), 1),
             lambda v: found(v, "aria", e["text"]))))
 
-    hashed = F.filter(F.transform(anchors(html), lambda a: found(
+    hashed = F.filter(F.transform(anchors(bare), lambda a: found(
         F.concat(F.lit("/"), attr(a.tag, "href")), "hash", F.substring(a.text, 1, 100))),
         lambda r: r.href.rlike(r"^/#!?/"))
 
@@ -491,7 +499,7 @@ def attr_routes(html: Column, url: Column) -> Column:
                         lambda r: r.href != "")
 
     def placed(base: Column) -> Column:
-        rows = F.transform(let(drop_scripts(html), every), lambda r: F.struct(
+        rows = F.transform(every(bare), lambda r: F.struct(
             U.resolve_on(r.href, base).alias("url"), r.found_by.alias("found_by"), r.text.alias("text")))
         return F.filter(rows, lambda r: F.startswith(r.url, F.lit("http")))
 
@@ -508,7 +516,7 @@ def _class_box(bare: Column, word: str) -> Column:
         bare, rf"""(?is)<([a-z][a-z0-9]*)(?=\s)[^>]*\sclass\s*=\s*["'][^"'>]*{word}[^"'>]*["'][^>]*>(.*?)</\1\s*>""", 2)
 
 
-def pagination(html: Column, url: Column) -> Column:
+def pagination(bare: Column, url: Column) -> Column:
     """struct<next_url, prev_url, current_page> from ordered candidates."""
     def anchor_in(box: Column, at: int) -> Column:
         hrefs = F.filter(F.transform(open_tags(box, "a"), lambda t: attr(t, "href")), lambda h: h != "")
@@ -538,6 +546,6 @@ def pagination(html: Column, url: Column) -> Column:
             F.lower(attr(t, "aria-label")).alias("label")))
         return F.filter(rows, lambda x: x["href"] != "")
 
-    return let(drop_scripts(html), lambda bare: let_all({
+    return let_all({
         "tags": described(bare, "a"), "links": described(bare, "link"), "pages": _class_box(bare, "pagination"),
-        "next": _class_box(bare, "next"), "prev": _class_box(bare, "prev")}, candidates))
+        "next": _class_box(bare, "next"), "prev": _class_box(bare, "prev")}, candidates)

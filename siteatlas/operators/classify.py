@@ -63,8 +63,8 @@ def _input(html: Column, test) -> Column:
 def _clickables(bare: Column) -> Column:
     """Anchors and buttons in document order, as blocks."""
     found = F.regexp_extract_all(bare, F.lit(
-        rf"(?is)<(a|button)(?=[\s>]){H.ATTRS}>.*?(?:</\1\s*>|\z)"
-        rf"|<([a-z][a-z0-9-]*)(?=\s[^>]*role\s*=\s*[\"']?button){H.ATTRS}>.*?(?:</\2\s*>|\z)"), 0)
+        rf"(?is)<(?:(a|button)(?=[\s>]){H.ATTRS}>.*?(?:</\1\s*>|\z)"
+        rf"|([a-z][a-z0-9-]*)(?=\s[^>]*role\s*=\s*[\"']?button){H.ATTRS}>.*?(?:</\2\s*>|\z))"), 0)
     return found
 
 
@@ -193,10 +193,10 @@ def structural_analysis(html: Column, page_title: Column) -> Column:
         F.array().cast("array<struct<selector: string, description: string, user_action: string>>").alias("elements"),
         none.alias("steps"), none.alias("common_issues"))
     read = let(H.drop_scripts(html), lambda bare: let_all({
-        "bare": bare, "title": F.coalesce(H.or_null(page_title), H.title(html)),
-        "h1": F.coalesce(F.try_element_at(H.headings(html, "1", first=1, max_text=1 << 20), F.lit(1))["text"], F.lit("")),
-        "about": F.coalesce(F.try_element_at(H.meta(html), F.lit("description")), F.lit("")),
-        "labels": H.labels(html), "form": F.try_element_at(H.form_blocks(html), F.lit(1))}, analysed))
+        "bare": bare, "title": F.coalesce(H.or_null(page_title), H.title(bare)),
+        "h1": F.coalesce(F.try_element_at(H.headings(bare, "1", first=1, max_text=1 << 20), F.lit(1))["text"], F.lit("")),
+        "about": F.coalesce(F.try_element_at(H.meta(bare), F.lit("description")), F.lit("")),
+        "labels": H.labels(bare), "form": F.try_element_at(H.form_blocks(bare), F.lit(1))}, analysed))
     return F.when(F.coalesce(html, F.lit("")) == "", unread).otherwise(read)
 
 

@@ -20,23 +20,27 @@ SAMPLE_VALUES = [
 ]
 # -----------------------------------------------------------------------------
 
-html, url = F.col("html"), F.col("url")
+def staged(pages: DataFrame) -> DataFrame:
+    """Pages with script-free HTML as ``bare``, scanned out once."""
+    return pages.withColumn("bare", H.drop_scripts(F.col("html")))
 
 
 def page_structure(pages: DataFrame) -> DataFrame:
     """One nested row per page; html itself is not carried on."""
-    raw = pages.select("*", H.raw_links(html).alias("_raw"))
+    bare, url = F.col("bare"), F.col("url")
+    raw = staged(pages).withColumn("raw_links", H.raw_links(bare))
     extra = [c for c in pages.columns if c not in ("page_id", "url", "html")]
     return raw.select(
-        "page_id", "url", *extra, H.title(html).alias("title"), H.links_from(F.col("_raw"), url).alias("links"),
-        H.forms(html, url).alias("forms"), H.buttons(html).alias("buttons"), H.meta(html).alias("meta"),
-        H.headings(html).alias("headings"), H.is_spa(html).alias("is_spa"), F.length(html).alias("text_length"))
+        "page_id", "url", *extra, H.title(bare).alias("title"), H.links_from(F.col("raw_links"), url).alias("links"),
+        H.forms(bare, url).alias("forms"), H.buttons(bare).alias("buttons"), H.meta(bare).alias("meta"),
+        H.headings(bare).alias("headings"), H.is_spa(F.col("html")).alias("is_spa"),
+        F.length("html").alias("text_length"))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, position, href, text): resolved out-links."""
-    raw = pages.select("page_id", "url", H.raw_links(html).alias("raw"))
-    return raw.select("page_id", F.posexplode(H.links_from(F.col("raw"), url)).alias("position", "link")).select(
+    raw = pages.select("page_id", "url", H.raw_links(H.drop_scripts(F.col("html"))).alias("raw"))
+    return raw.select("page_id", F.posexplode(H.links_from(F.col("raw"), F.col("url"))).alias("position", "link")).select(
         "page_id", "position", "link.href", "link.text")
 
 
@@ -46,7 +50,7 @@ def exploded(pages: DataFrame, rows: Column) -> DataFrame:
 
 
 def form_inputs(pages: DataFrame) -> DataFrame:
-    forms = exploded(pages, H.forms(html, url)).select(
+    forms = exploded(staged(pages), H.forms(F.col("bare"), F.col("url"))).select(
         "page_id", F.col("position").alias("form"), "item.action", "item.method", F.explode_outer("item.inputs").alias("i"))
     return forms.select("page_id", "form", "action", "method", "i.name", "i.type", "i.required")
 
@@ -77,10 +81,12 @@ def form_targets(pages: DataFrame, max_forms: int = 3) -> DataFrame:
                            F.when(f["required"], F.lit("test")))
         return F.struct(f["name"].alias("name"), F.when(~f["type"].isin("hidden", "submit"), value).alias("value"))
 
-    forms = let(U.base_of(url), lambda base: F.transform(H.form_blocks(html), lambda b: let(H.head_tag(b), lambda tag: F.struct(
-        H.form_action(tag, url, base).alias("action"), H.form_method(tag).alias("method"), fields(b).alias("fields")))))
+    forms = let(U.base_of(F.col("url")), lambda base: F.transform(H.form_blocks(F.col("bare")), lambda b: let(
+        H.head_tag(b), lambda tag: F.struct(
+            H.form_action(tag, F.col("url"), base).alias("action"), H.form_method(tag).alias("method"),
+            fields(b).alias("fields")))))
     asked = F.slice(F.filter(forms, lambda f: (f["method"] == "GET") & (F.size(f["fields"]) > 0)), 1, max_forms)
-    rows = exploded(pages, asked)
+    rows = exploded(staged(pages), asked)
     pairs = F.filter(F.transform("item.fields", filled), lambda f: f["value"].isNotNull())
     text = F.array_join(F.transform(pairs, lambda f: F.concat(
         F.url_encode(f["name"]), F.lit("="), F.url_encode(f["value"]))), "&")
@@ -90,10 +96,10 @@ def form_targets(pages: DataFrame, max_forms: int = 3) -> DataFrame:
 
 def dom_summary(pages: DataFrame) -> DataFrame:
     """Title, first ten headings and four element counts."""
-    bare = H.drop_scripts(html)
-    return pages.select(
-        "page_id", "url", H.title(html).alias("title"),
-        F.slice(F.transform(H.headings(html, "1-3", first=10, max_text=1 << 20), lambda h: h["text"]), 1, 10).alias("headings"),
+    bare = F.col("bare")
+    return staged(pages).select(
+        "page_id", "url", H.title(bare).alias("title"),
+        F.slice(F.transform(H.headings(bare, "1-3", first=10, max_text=1 << 20), lambda h: h["text"]), 1, 10).alias("headings"),
         F.size(H.open_tags(bare, "form")).alias("form_count"),
         F.size(F.filter(H.open_tags(bare, "a"), lambda t: H.has_attr(t, "href"))).alias("link_count"),
         F.size(H.open_tags(bare, "input|select|textarea")).alias("input_count"),
@@ -102,31 +108,31 @@ def dom_summary(pages: DataFrame) -> DataFrame:
 
 def prompt_elements(pages: DataFrame, limit: int = 20) -> DataFrame:
     """Inputs, then buttons, first ``limit``: (page_id, position, type, name, label, required, text)."""
-    bare = H.drop_scripts(html)
+    bare = F.col("bare")
     none = F.lit("")
     tags = F.filter(F.transform(H.control_blocks(bare), lambda c: H.head_tag(c)),
                     lambda tag: F.lower(H.attr(tag, "type")) != "hidden")
-    inputs = let(H.labels(html), lambda known: F.transform(tags, lambda tag: F.struct(
+    inputs = let(H.labels(bare), lambda known: F.transform(tags, lambda tag: F.struct(
         H.control_type(tag).alias("type"), H.attr(tag, "name").alias("name"),
         F.coalesce(H.label_for(known, tag), H.attr(tag, "placeholder")).alias("label"),
         H.has_attr(tag, "required").alias("required"), none.alias("text"))))
     presses = F.transform(H.button_blocks(bare, ("submit",), roles=False), lambda b: F.struct(
         F.lit("button").alias("type"), none.alias("name"), none.alias("label"), F.lit(False).alias("required"),
         H.button_text(b).alias("text")))
-    rows = exploded(pages, F.slice(F.concat(inputs, presses), 1, limit))
+    rows = exploded(staged(pages), F.slice(F.concat(inputs, presses), 1, limit))
     return rows.select("page_id", "position", "item.*")
 
 
 def doc_page(pages: DataFrame) -> DataFrame:
     """What a documentation page needs: headings, forms, button texts, link count."""
-    bare = H.drop_scripts(html)
-    heads = F.filter(F.transform(H.headings(html, "1-3", first=1 << 20, max_text=1 << 20), lambda h: h["text"]),
+    bare = F.col("bare")
+    heads = F.filter(F.transform(H.headings(bare, "1-3", first=1 << 20, max_text=1 << 20), lambda h: h["text"]),
                      lambda t: t != "")
     presses = F.filter(F.transform(H.button_blocks(bare, ("submit",)), lambda b: H.text_of(b)),
                        lambda t: (t != "") & (F.length(t) < 50))
     extra = [c for c in pages.columns if c not in ("page_id", "url", "html")]
-    return pages.select(
-        "page_id", "url", *extra, H.title(html).alias("title"), F.slice(heads, 1, 10).alias("headings"),
+    return staged(pages).select(
+        "page_id", "url", *extra, H.title(bare).alias("title"), F.slice(heads, 1, 10).alias("headings"),
         F.size(H.open_tags(bare, "form")).alias("forms"), F.slice(presses, 1, 10).alias("buttons"),
         F.size(F.filter(H.open_tags(bare, "a"), lambda t: H.has_attr(t, "href"))).alias("links"))
 

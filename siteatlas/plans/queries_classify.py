@@ -8,7 +8,6 @@ from siteatlas.operators import classify
 from siteatlas.plans.catalog import CTE_RICH, Tables, query
 from siteatlas.plans.queries_extract import BODY_TEXT, TITLE, plain
 
-html, url = F.col("html"), F.col("url")
 H1 = plain("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")
 
 
@@ -17,7 +16,7 @@ H1 = plain("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")
   CASE WHEN page_id % 13 = 2 THEN 'OAuth/SSO login detected (google). Please sign in using the browser window.' WHEN page_id % 5 = 0
     THEN 'Login page detected. Please log in.' WHEN page_id % 12 = 5 THEN 'CAPTCHA detected.' ELSE '' END AS message FROM pages""")
 def cls_obstacle(t: Tables):
-    found = t.rich_pages.select("page_id", classify.obstacle(html, url).alias("o"))
+    found = t.rich_pages.select("page_id", classify.obstacle(F.col("html"), F.col("url")).alias("o"))
     return found.select("page_id", F.coalesce("o.type", F.lit("")).alias("type"),
                         F.coalesce(F.array_join("o.providers", ","), F.lit("")).alias("providers"),
                         F.coalesce("o.message", F.lit("")).alias("message"))
@@ -25,7 +24,7 @@ def cls_obstacle(t: Tables):
 
 @query("cls_challenge", "SELECT page_id, CASE WHEN page_id % 12 = 7 THEN 'cloudflare' END AS challenge FROM pages")
 def cls_challenge(t):
-    return t.rich_pages.select("page_id", classify.challenge(html).alias("challenge"))
+    return t.rich_pages.select("page_id", classify.challenge(F.col("html")).alias("challenge"))
 
 
 @query("cls_session", f"""WITH {CTE_RICH}, s AS (SELECT *, CASE WHEN page_id % 20 = 1 THEN 401 WHEN page_id % 20 = 2 THEN 403 ELSE 200 END AS status,
@@ -34,13 +33,13 @@ def cls_challenge(t):
     AND regexp_matches({BODY_TEXT}, 'sign in|log in|login')) THEN 'login_redirect' ELSE 'valid' END END AS state FROM s""")
 def cls_session(t):
     status = F.when(F.col("page_id") % 20 == 1, 401).when(F.col("page_id") % 20 == 2, 403).otherwise(200)
-    final = F.when(F.col("page_id") % 16 == 3, "https://example.com/Login?next=x").otherwise(url)
-    return t.rich_pages.select("page_id", classify.session_state(html, final, status).alias("state"))
+    final = F.when(F.col("page_id") % 16 == 3, "https://example.com/Login?next=x").otherwise(F.col("url"))
+    return t.rich_pages.select("page_id", classify.session_state(F.col("html"), final, status).alias("state"))
 
 
 @query("cls_logged_in", "SELECT page_id, page_id % 14 = 9 AS logged_in FROM pages")
 def cls_logged_in(t):
-    return t.rich_pages.select("page_id", classify.logged_in(html).alias("logged_in"))
+    return t.rich_pages.select("page_id", classify.logged_in(F.col("html")).alias("logged_in"))
 
 
 USERS = f"""array_to_string(list_filter([CASE WHEN regexp_matches({BODY_TEXT}, 'admin|manage') THEN 'Administrators' END,
@@ -50,7 +49,7 @@ USERS = f"""array_to_string(list_filter([CASE WHEN regexp_matches({BODY_TEXT}, '
 
 @query("cls_target_users", f"WITH {CTE_RICH} SELECT page_id, coalesce(nullif({USERS}, ''), 'General users') AS users FROM rich")
 def cls_target_users(t):
-    return t.rich_pages.select("page_id", F.array_join(classify.target_users(html), ",").alias("users"))
+    return t.rich_pages.select("page_id", F.array_join(classify.target_users(F.col("html")), ",").alias("users"))
 
 
 # What the rules of rich pages imply for the structural analysis.
@@ -80,4 +79,4 @@ def flat_analysis(frame):
 
 @query("cls_structural", f"WITH {CTE_RICH} {STRUCTURAL}")
 def cls_structural(t):
-    return flat_analysis(t.rich_pages.select("page_id", classify.structural_analysis(html, F.lit("")).alias("a")))
+    return flat_analysis(t.rich_pages.select("page_id", classify.structural_analysis(F.col("html"), F.lit("")).alias("a")))

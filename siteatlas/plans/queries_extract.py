@@ -13,10 +13,10 @@ from siteatlas.functions import html as H
 from siteatlas.functions import text as X
 from siteatlas.functions import urls as U
 from siteatlas.operators import dom, structure
+from siteatlas.operators.structure import staged
 from siteatlas.operators.archive import latest_per_url
 from siteatlas.plans.catalog import CTE_RICH, Tables, query
 
-html, url = F.col("html"), F.col("url")
 BASE = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 BPATH = "coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/')"
 
@@ -56,7 +56,7 @@ def src_pages(t: Tables):
 
 @query("ext_title", f"SELECT page_id, {TITLE} AS title FROM pages")
 def ext_title(t):
-    return t.pages.select("page_id", H.title(html).alias("title"))
+    return staged(t.pages).select("page_id", H.title(F.col("bare")).alias("title"))
 
 
 ANCHORS = f"""blocks AS (SELECT page_id, url, regexp_extract_all({CLEAN}, '(?is)<a [^>]*>.*?</a>') AS l FROM rich),
@@ -79,7 +79,7 @@ def ext_links(t):
   coalesce(nullif(text, ''), 'Link') AS label, 'a[href="' || {un('raw')} || '"]' AS selector, {un('raw')} AS href, '' AS target FROM links
   WHERE raw <> '#' AND raw <> '') SELECT * FROM n WHERE position < 50""")
 def ext_nav_links(t):
-    return rows(t, t.rich_pages, H.nav_links(html))
+    return rows(t, staged(t.rich_pages), H.nav_links(F.col("bare")))
 
 
 FORMS = f"""f AS (SELECT page_id, url, 0 AS form, {BASE} || '/search/' || (page_id % 11) AS action, 'GET' AS method,
@@ -112,7 +112,7 @@ def ext_forms(t):
   FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM pages WHERE page_id % 5 = 0))
   SELECT page_id, CAST(form AS BIGINT) AS form, x.kind AS kind, x.label AS label, x.value AS value, x.required AS required, x.selector AS selector FROM f""")
 def ext_form_fields(t):
-    return rows(t, t.rich_pages, H.form_fields(html), form="CAST(item.form AS BIGINT)", kind="item.kind", label="item.label",
+    return rows(t, staged(t.rich_pages), H.form_fields(F.col("bare")), form="CAST(item.form AS BIGINT)", kind="item.kind", label="item.label",
                 value="item.value", required="item.required", selector="item.selector").drop("position")
 
 
@@ -122,7 +122,7 @@ def ext_form_fields(t):
   CASE WHEN page_id % 4 = 0 THEN [{'text': 'Save all ' || (page_id % 10), 'type': NULL}, {'text': '', 'type': NULL}, {'text': 'Reset', 'type': 'button'}] ELSE [] END)) AS x FROM pages)
   SELECT page_id, x.text AS text, x.type AS type FROM b""")
 def ext_buttons(t):
-    return rows(t, t.rich_pages, H.buttons(html)).drop("position")
+    return rows(t, staged(t.rich_pages), H.buttons(F.col("bare"))).drop("position")
 
 
 @query("ext_loose_buttons", """WITH b AS (SELECT page_id, CAST(page_id % 3 = 0 AS INT) + CAST(page_id % 5 = 0 AS INT) AS n FROM pages WHERE page_id % 4 = 0),
@@ -130,18 +130,18 @@ def ext_buttons(t):
   {'label': 'Menu', 'selector': 'div[aria-label="Menu"]'}, {'label': 'Reset', 'selector': 'input:nth-of-type(' || (n + 3) || ')'}]) AS x FROM b)
   SELECT page_id, x.label AS label, x.selector AS selector FROM u""")
 def ext_loose_buttons(t):
-    return rows(t, t.rich_pages, H.loose_buttons(html)).drop("position")
+    return rows(t, staged(t.rich_pages), H.loose_buttons(F.col("bare"))).drop("position")
 
 
 @query("ext_meta", """SELECT page_id, unnest(['description', 'og:type']) AS name, unnest(['About & more ' || (page_id % 12), 'article']) AS content FROM pages""")
 def ext_meta(t):
-    return t.rich_pages.select("page_id", F.explode(H.meta(html)).alias("name", "content"))
+    return staged(t.rich_pages).select("page_id", F.explode(H.meta(F.col("bare"))).alias("name", "content"))
 
 
 @query("ext_headings", f"""WITH h AS (SELECT page_id, unnest(regexp_extract_all({CLEAN}, '(?is)<h[1-4]>.*?</h[1-4]>')) AS b FROM pages)
   SELECT page_id, CAST(substr(b, 3, 1) AS BIGINT) AS level, substr({plain('b')}, 1, 200) AS text FROM h""")
 def ext_headings(t):
-    return rows(t, t.pages, H.headings(html), level="CAST(item.level AS BIGINT)", text="item.text").drop("position")
+    return rows(t, staged(t.pages), H.headings(F.col("bare")), level="CAST(item.level AS BIGINT)", text="item.text").drop("position")
 
 
 BLOCK_END = "(?is)</?(?:" + H.BLOCK_TAGS + ")[\\s/>].*$"
@@ -151,38 +151,38 @@ BLOCK_END = "(?is)</?(?:" + H.BLOCK_TAGS + ")[\\s/>].*$"
   x AS (SELECT page_id, list_filter(list_transform(l, lambda b: substr({plain(f"regexp_replace(b, '{BLOCK_END}', '')")}, 1, 200)), lambda s: length(s) > 20)[1:10] AS l FROM p)
   SELECT page_id, unnest(range(len(l))) AS position, unnest(l) AS text FROM x""")
 def ext_paragraphs(t):
-    return rows(t, t.pages, H.paragraphs(html), text="item")
+    return rows(t, staged(t.pages), H.paragraphs(F.col("bare")), text="item")
 
 
 @query("ext_canonical", f"SELECT page_id, {BASE} || '/c/' || (page_id % 40) AS canonical FROM pages")
 def ext_canonical(t):
-    return t.rich_pages.select("page_id", H.canonical(html, url).alias("canonical"))
+    return staged(t.rich_pages).select("page_id", H.canonical(F.col("bare"), F.col("url")).alias("canonical"))
 
 
 @query("ext_hreflang", f"""SELECT page_id, unnest(['de', 'fr']) AS lang, unnest([{BASE} || '/de/' || (page_id % 30), 'https://fr.example.com/x']) AS url FROM pages""")
 def ext_hreflang(t):
-    return t.rich_pages.select("page_id", F.inline(H.hreflang(html, url)))
+    return staged(t.rich_pages).select("page_id", F.inline(H.hreflang(F.col("bare"), F.col("url"))))
 
 
 @query("ext_pagination", f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {BASE} || {BPATH} || '?page=' || (page_id % 7 + 1)
     WHEN page_id % 8 = 3 THEN {BASE} || '/p/3' END AS next_url, CASE WHEN page_id % 8 = 3 THEN {BASE} || '/p/1' END AS prev_url,
   CASE WHEN page_id % 8 = 3 THEN CAST(page_id % 5 AS BIGINT) END AS current_page FROM pages""")
 def ext_pagination(t):
-    found = t.rich_pages.select("page_id", H.pagination(html, url).alias("p"))
+    found = staged(t.rich_pages).select("page_id", H.pagination(F.col("bare"), F.col("url")).alias("p"))
     return found.select("page_id", "p.next_url", "p.prev_url", F.col("p.current_page").cast("bigint").alias("current_page"))
 
 
 @query("ext_hash_routes", f"""SELECT page_id, unnest(CASE WHEN page_id % 7 = 0 THEN [{BASE} || {BPATH} || '#/r/' || (page_id % 9), {BASE} || {BPATH} || '#!/s',
   {BASE} || '/route-' || (page_id % 5), {BASE} || '/route/b'] ELSE [] END) AS route FROM pages""")
 def ext_hash_routes(t):
-    return t.rich_pages.select("page_id", F.explode(H.hash_routes(html, url)).alias("route"))
+    return staged(t.rich_pages).select("page_id", F.explode(H.hash_routes(F.col("html"), F.col("bare"), F.col("url"))).alias("route"))
 
 
 @query("ext_attr_routes", f"""WITH r AS (SELECT page_id, unnest([{{'url': {BASE} || '/dr/' || (page_id % 6), 'found_by': 'data-attr', 'text': 'D'}},
   {{'url': {BASE} || '/#/r/' || (page_id % 9), 'found_by': 'hash', 'text': 'R'}}, {{'url': {BASE} || '/#!/s', 'found_by': 'hash', 'text': 'S'}}]) AS x
   FROM pages WHERE page_id % 7 = 0) SELECT page_id, x.url AS url, x.found_by AS found_by, x.text AS text FROM r""")
 def ext_attr_routes(t):
-    return rows(t, t.rich_pages, H.attr_routes(html, url)).drop("position")
+    return rows(t, staged(t.rich_pages), H.attr_routes(F.col("bare"), F.col("url"))).drop("position")
 
 
 @query("ext_form_targets", f"SELECT page_id, 0::BIGINT AS form, {BASE} || '/search/' || (page_id % 11) || '?q=test&sort=new' AS target_url FROM pages WHERE page_id % 3 = 0")
@@ -192,12 +192,12 @@ def ext_form_targets(t):
 
 @query("ext_meta_refresh", f"SELECT page_id, CASE WHEN page_id % 6 = 1 THEN {BASE} || '/moved/' || (page_id % 8) END AS target FROM pages")
 def ext_meta_refresh(t):
-    return t.rich_pages.select("page_id", H.meta_refresh(html, url).alias("target"))
+    return staged(t.rich_pages).select("page_id", H.meta_refresh(F.col("bare"), F.col("url")).alias("target"))
 
 
 @query("ext_resources", """SELECT page_id, CAST(2 + CAST(page_id % 9 = 4 AS INT) + CAST(page_id % 7 = 0 AS INT) AS BIGINT) AS resources FROM pages""")
 def ext_resources(t):
-    return t.rich_pages.select("page_id", H.resource_count(html).cast("bigint").alias("resources"))
+    return t.rich_pages.select("page_id", H.resource_count(F.col("html")).cast("bigint").alias("resources"))
 
 
 @query("ext_aria_tree", f"""WITH x AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<body>.*?</nav>', 0), '<li>') AS li FROM pages)
@@ -241,7 +241,7 @@ def ext_metadata(t):
 
 @query("ext_is_spa", "SELECT page_id, page_id % 9 = 4 AS is_spa FROM pages")
 def ext_is_spa(t):
-    return t.rich_pages.select("page_id", H.is_spa(html).alias("is_spa"))
+    return t.rich_pages.select("page_id", H.is_spa(F.col("html")).alias("is_spa"))
 
 
 BODY_TEXT = f"lower({plain(f'''regexp_replace({CLEAN}, '(?is)^.*?<body>', '')''')})"
@@ -249,13 +249,13 @@ BODY_TEXT = f"lower({plain(f'''regexp_replace({CLEAN}, '(?is)^.*?<body>', '')'''
 
 @query("ext_status_guess", f"""WITH {CTE_RICH} SELECT page_id, CASE WHEN {BODY_TEXT} LIKE '%404%' AND {BODY_TEXT} LIKE '%not found%' THEN 404::BIGINT ELSE 200::BIGINT END AS status FROM rich""")
 def ext_status_guess(t):
-    return t.rich_pages.select("page_id", H.status_guess(html).cast("bigint").alias("status"))
+    return t.rich_pages.select("page_id", H.status_guess(F.col("html")).cast("bigint").alias("status"))
 
 
 @query("ext_clean_html", f"""WITH {CTE_RICH} SELECT page_id, regexp_replace(html,
   '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<nav\\b.*?</nav>|<footer\\b.*?</footer>|<a class="user-menu".*?</a>', '', 'g') AS cleaned FROM rich""")
 def ext_clean_html(t):
-    return dom.with_nodes(t.rich_pages).select("page_id", dom.cleaned_html(html, F.col("nodes")).alias("cleaned"))
+    return dom.with_nodes(t.rich_pages).select("page_id", dom.cleaned_html(F.col("html"), F.col("nodes")).alias("cleaned"))
 
 
 MD_BODY = "regexp_replace(regexp_replace(html, '(?is)^.*?</nav>', ''), '(?is)<footer.*$', '')"
@@ -307,7 +307,7 @@ def ext_prompt_elements(t):
     CASE WHEN page_id % 4 = 0 THEN ['Save all ' || (page_id % 10), 'No'] ELSE [] END), '|') AS buttons,
   CAST(len(regexp_extract_all({CLEAN}, '<a [^>]*href=')) AS BIGINT) AS links FROM l""")
 def ext_doc_page(t):
-    stamped = t.rich_pages.withColumn("url_hash", U.url_hash(url))
+    stamped = t.rich_pages.withColumn("url_hash", U.url_hash(F.col("url")))
     latest = latest_per_url(stamped, order=["page_id"])
     return structure.doc_page(latest.select("page_id", "url", "html")).select(
         "page_id", "title", F.array_join("headings", "|").alias("headings"), F.col("forms").cast("bigint").alias("forms"),

@@ -9,19 +9,18 @@ from siteatlas.functions import text as X
 from siteatlas.operators import quality
 from siteatlas.plans.catalog import CTE_EVENTS, Tables, query
 
-html = F.col("html")
 STRIP = ("regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), "
          "'&gt;', '>'), '&amp;', '&'), '&quot;', '\"'), '&#x27;', ''''), '^\\s+|\\s+$', '', 'g')")
 
 
 @query("txt_strip_html", f"SELECT page_id, {STRIP} AS stripped FROM pages")
 def txt_strip_html(t: Tables):
-    return t.pages.select("page_id", X.strip_html(html).alias("stripped"))
+    return t.pages.select("page_id", X.strip_html(F.col("html")).alias("stripped"))
 
 
 @query("txt_sanitize", f"SELECT page_id, regexp_replace(substr({STRIP}, 1, 300), '^\\s+|\\s+$', '', 'g') AS clean FROM pages")
 def txt_sanitize(t):
-    return t.pages.select("page_id", X.sanitize(html, 300).alias("clean"))
+    return t.pages.select("page_id", X.sanitize(F.col("html"), 300).alias("clean"))
 
 
 NESTED = T.StructType([
@@ -34,8 +33,8 @@ NESTED = T.StructType([
   SELECT page_id, regexp_replace(substr(x, 1, 1000), '\\s+$', '') AS name, CAST(length(regexp_replace(substr(x, 1, 1000), '\\s+$', '')) AS BIGINT) AS n,
   'b' AS note, regexp_replace(substr(x, 1, 1000), '\\s+$', '') AS tag FROM s""")
 def txt_sanitize_nested(t):
-    made = F.struct(html.alias("name"), F.lit(1).alias("n"),
-                    F.struct(F.lit(" <i>b</i> ").alias("note")).alias("inner"), F.array(html).alias("tags"))
+    made = F.struct(F.col("html").alias("name"), F.lit(1).alias("n"),
+                    F.struct(F.lit(" <i>b</i> ").alias("note")).alias("inner"), F.array(F.col("html")).alias("tags"))
     clean = X.sanitize_nested(made, NESTED)
     return (t.pages.select("page_id", clean.alias("v"))
             .select("page_id", F.col("v.name").alias("name"), F.length("v.name").cast("bigint").alias("n"),
@@ -66,7 +65,7 @@ def txt_truncate(t):
 
 @query("hash_content", "SELECT page_id, substr(sha256(html), 1, 16) AS content_hash FROM pages")
 def hash_content(t):
-    return t.pages.select("page_id", X.content_hash(html).alias("content_hash"))
+    return t.pages.select("page_id", X.content_hash(F.col("html")).alias("content_hash"))
 
 
 @query("hash_visual", """SELECT doc_id, substr(sha256(CASE WHEN doc_id % 4 = 0 THEN text
@@ -80,8 +79,8 @@ def hash_visual(t):
   len(regexp_extract_all(html, '<a ')) AS links FROM pages)
   SELECT count(*) AS pages, count(DISTINCT (title, links)) AS shapes FROM f""")
 def hash_structure(t):
-    shape = X.structure_hash(F.size(F.regexp_extract_all(html, F.lit("<a "), 0)), F.lit(0),
-                             F.regexp_extract(html, "<title>(.*?)</title>", 1))
+    shape = X.structure_hash(F.size(F.regexp_extract_all(F.col("html"), F.lit("<a "), 0)), F.lit(0),
+                             F.regexp_extract(F.col("html"), "<title>(.*?)</title>", 1))
     return t.pages.agg(F.count(F.lit(1)).alias("pages"), F.countDistinct(shape).alias("shapes"))
 
 
