@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteatlas.functions import urls as U
 from siteatlas.operators import ordered
 
 
@@ -22,3 +23,30 @@ def redirect_chains(pairs: DataFrame, rows: int = ordered.CHUNK_ROWS) -> DataFra
     numbered = ordered.running_totals(known, ["start"], [ordered.chunk_of("seq", rows)], ["seq"], {"hop": F.lit(1).cast("bigint")})
     hops = known.groupBy("start").agg(F.count(F.lit(1)).alias("hops"))
     return numbered.join(hops, "start").select("start", "hop", "final", "hops")
+
+
+def pagination_cap(requests: DataFrame, order: list[str], cap: int = 10) -> DataFrame:
+    """Add ``kept``: at most ``cap`` pagination URLs per digit-collapsed URL."""
+    page_key = F.when(U.is_pagination(F.col("url")), U.page_pattern(F.col("url")))
+    return ordered.mark_first_n(requests.withColumn("page_pattern", page_key), ["page_pattern"], order, cap, "kept")
+
+
+def schedule(requests: DataFrame, health: DataFrame, delay_ms: int = 1000, rows: int = ordered.CHUNK_ROWS) -> DataFrame:
+    """Add ``start_ms``: earliest start by position in the domain and its delay."""
+    numbered = ordered.running_totals(requests, ["domain"], [F.col("priority"), ordered.chunk_of("seq", rows)],
+                                      ["priority", "seq"], {"_n": F.lit(1).cast("bigint")})
+    slowed = numbered.join(health.select("domain", "multiplier"), "domain", "left")
+    start = (F.col("_n") - 1) * F.lit(delay_ms) * F.coalesce("multiplier", F.lit(1.0))
+    return slowed.withColumn("start_ms", start).drop("_n", "multiplier")
+
+
+def result_page(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """Page ``page`` (from 1) of a sorted result, with the number of pages."""
+    total = rows.agg(F.ceil(F.count(F.lit(1)) / F.lit(size))).scalar()
+    return rows.orderBy(*order).offset((page - 1) * size).limit(size).withColumn("total_pages", total)
+
+
+def search_projects(projects: DataFrame, text: str) -> DataFrame:
+    """Projects whose name or base URL holds ``text``, whatever the case."""
+    wanted = F.lit(text.lower())
+    return projects.where(F.contains(F.lower("name"), wanted) | F.contains(F.lower("base_url"), wanted))
