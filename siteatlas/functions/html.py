@@ -457,6 +457,13 @@ def loose_buttons(bare: Column) -> Column:
     return F.transform(shown, row)
 
 
+def frames(bare: Column, url: Column) -> Column:
+    """Resolved http sources of frames."""
+    sources = F.filter(F.transform(open_tags(bare, "iframe"), lambda t: attr(t, "src")), lambda s: s != "")
+    placed = let(U.base_of(url), lambda base: F.transform(sources, lambda s: U.resolve_on(s, base)))
+    return F.array_distinct(F.filter(placed, lambda s: s.rlike(r"(?i)^https?://")))
+
+
 def hash_routes(html: Column, bare: Column, url: Column) -> Column:
     """Hash links that look like routes, then quoted routes of inline scripts."""
     hrefs = F.filter(F.transform(open_tags(bare, "a"), lambda t: attr(t, "href")),

@@ -64,8 +64,8 @@ def sample_value(name: Column) -> Column:
     return value
 
 
-def form_targets(pages: DataFrame, max_forms: int = 3) -> DataFrame:
-    """(page_id, form, target_url): where GET forms would lead with sample values."""
+def form_urls(bare: Column, url: Column, max_forms: int = 3) -> Column:
+    """Where the first GET forms would lead with sample values, as array<string>."""
     def field(c: Column, tag: Column) -> Column:
         return F.struct(
             H.tag_name(tag).alias("element"), H.attr(tag, "name").alias("name"), H.control_type(tag).alias("type"),
@@ -79,19 +79,23 @@ def form_targets(pages: DataFrame, max_forms: int = 3) -> DataFrame:
     def filled(f: Column) -> Column:
         value = F.coalesce(H.or_null(f["value"]), f["option"], sample_value(f["name"]),
                            F.when(f["required"], F.lit("test")))
-        return F.struct(f["name"].alias("name"), F.when(~f["type"].isin("hidden", "submit"), value).alias("value"))
+        return F.concat(F.url_encode(f["name"]), F.lit("="),
+                        F.url_encode(F.when(~f["type"].isin("hidden", "submit"), value)))
 
-    forms = let(U.base_of(F.col("url")), lambda base: F.transform(H.form_blocks(F.col("bare")), lambda b: let(
+    forms = let(U.base_of(url), lambda base: F.transform(H.form_blocks(bare), lambda b: let(
         H.head_tag(b), lambda tag: F.struct(
-            H.form_action(tag, F.col("url"), base).alias("action"), H.form_method(tag).alias("method"),
+            H.form_action(tag, url, base).alias("action"), H.form_method(tag).alias("method"),
             fields(b).alias("fields")))))
     asked = F.slice(F.filter(forms, lambda f: (f["method"] == "GET") & (F.size(f["fields"]) > 0)), 1, max_forms)
-    rows = exploded(staged(pages), asked)
-    pairs = F.filter(F.transform("item.fields", filled), lambda f: f["value"].isNotNull())
-    text = F.array_join(F.transform(pairs, lambda f: F.concat(
-        F.url_encode(f["name"]), F.lit("="), F.url_encode(f["value"]))), "&")
-    bare = F.regexp_replace("item.action", r"[?#].*$", "")
-    return rows.select("page_id", F.col("position").alias("form"), F.concat(bare, F.lit("?"), text).alias("target_url"))
+    return F.transform(asked, lambda f: F.concat(
+        F.regexp_replace(f["action"], r"[?#].*$", ""), F.lit("?"),
+        F.array_join(F.array_compact(F.transform(f["fields"], filled)), "&")))
+
+
+def form_targets(pages: DataFrame, max_forms: int = 3) -> DataFrame:
+    """(page_id, form, target_url) of GET forms; never submitted."""
+    found = exploded(staged(pages), form_urls(F.col("bare"), F.col("url"), max_forms))
+    return found.select("page_id", F.col("position").alias("form"), F.col("item").alias("target_url"))
 
 
 def dom_summary(pages: DataFrame) -> DataFrame:
