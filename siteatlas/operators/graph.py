@@ -1,7 +1,7 @@
 """The page and element graph, as two tables, and the workflows in it.
 
-Nodes: (id, type, element_type, url, title, text, action).
-Edges: (src, dst, type).
+Nodes: (id, type, element_type, url, title, text, action) and seq, the arrival
+number of the page.  Edges: (src, dst, type).
 """
 
 from __future__ import annotations
@@ -158,11 +158,11 @@ def export_lines(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
-# ---- workflows: (workflow, name, description, step, page, action) --------------
+# ---- workflows: (workflow, seq, name, description, step, page, action) --------------
 
 def _steps(rows: DataFrame, steps: Column) -> DataFrame:
-    return rows.select("workflow", "name", "description", F.posexplode(steps).alias("step", "s")).select(
-        "workflow", "name", "description", (F.col("step") + 1).alias("step"), "s.page", "s.action")
+    return rows.select("workflow", "seq", "name", "description", F.posexplode(steps).alias("step", "s")).select(
+        "workflow", "seq", "name", "description", (F.col("step") + 1).alias("step"), "s.page", "s.action")
 
 
 def _step(page: Column, action: Column) -> Column:
@@ -174,11 +174,11 @@ def form_workflows(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     holds = all_edges.where((F.col("type") == "contains") & F.startswith("dst", F.lit("form:"))).select("src", F.col("dst").alias("form"))
     leads = all_edges.where(F.col("type") == "submits_to").select(F.col("src").alias("form"), "dst")
     pairs = holds.join(leads, "form").select("src", "dst").distinct()
-    titles = all_nodes.where(F.col("type") == "page").select("id", "title")
-    named = (pairs.join(titles.select(F.col("id").alias("src"), F.col("title").alias("title")), "src")
+    titles = all_nodes.where(F.col("type") == "page").select("id", "title", "seq")
+    named = (pairs.join(titles.select(F.col("id").alias("src"), "title", "seq"), "src")
              .join(titles.select(F.col("id").alias("dst"), F.col("title").alias("target")), "dst"))
     rows = named.select(
-        F.concat(F.lit("form:"), F.col("src"), F.lit(">"), F.col("dst")).alias("workflow"),
+        "seq", F.concat(F.lit("form:"), F.col("src"), F.lit(">"), F.col("dst")).alias("workflow"),
         F.concat("title", F.lit(" Form Submission")).alias("name"),
         F.concat(F.lit('Submit form on "'), F.col("title"), F.lit('" page')).alias("description"), "title", "target")
     title, target = F.col("title"), F.col("target")
@@ -196,13 +196,14 @@ def section_workflows(pages: DataFrame, at_least: int = 2, at_most: int = 10) ->
     parts = U.segments(F.col("url"))
     deep = pages.where(U.is_http(F.col("url")) & (F.size(parts) >= 2)).select(
         "seq", "title", F.concat(F.lit("/"), parts[0]).alias("prefix"), F.size(F.split(U.path(F.col("url")), "/")).alias("depth"))
-    sized = deep.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(at_least, at_most))
-    members = ordered.first_n(deep.join(sized, "prefix", "left_semi"), ["prefix"], ["depth", "seq"], at_most)
+    sized = deep.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first")).where(
+        F.col("_n").between(at_least, at_most))
+    members = ordered.first_n(deep.join(sized, "prefix"), ["prefix"], ["depth", "seq"], at_most)
     word = F.substring("prefix", 2, 1 << 20)
     name = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20), F.lit(" Management"))
     verb = F.when(F.col("rank") == 1, F.lit("Navigate to ")).otherwise(F.lit("Go to "))
     return members.select(
-        F.concat(F.lit("section:"), F.col("prefix")).alias("workflow"), name.alias("name"),
+        F.concat(F.lit("section:"), F.col("prefix")).alias("workflow"), F.col("_first").alias("seq"), name.alias("name"),
         F.concat(F.lit("Pages under "), F.col("prefix"), F.lit(" path")).alias("description"), F.col("rank").alias("step"),
         F.col("title").alias("page"), F.concat(verb, F.col("title")).alias("action"))
 
@@ -211,11 +212,11 @@ def hub_workflows(all_nodes: DataFrame, all_edges: DataFrame, at_least: int = 3,
     """Pages linking to 3-8 pages; the first six targets become steps."""
     hops = two_hop(all_edges).withColumn("position", F.substring_index("link", ":", -1).cast("int"))
     counts = hops.groupBy("src").agg(F.count(F.lit(1)).alias("linked")).where(F.col("linked").between(at_least, at_most))
-    titles = all_nodes.where(F.col("type") == "page").select("id", "title")
+    titles = all_nodes.where(F.col("type") == "page").select("id", "title", "seq")
     steps = (hops.join(counts, "src").join(titles.select(F.col("id").alias("dst"), F.col("title").alias("target")), "dst")
              .groupBy("src", "linked").agg(F.array_sort(F.collect_list(F.struct("position", "target"))).alias("_t")))
-    named = steps.join(titles.select(F.col("id").alias("src"), "title"), "src").select(
-        F.concat(F.lit("hub:"), F.col("src")).alias("workflow"), F.concat(F.lit("Navigation from "), F.col("title")).alias("name"),
+    named = steps.join(titles.select(F.col("id").alias("src"), "title", "seq"), "src").select(
+        "seq", F.concat(F.lit("hub:"), F.col("src")).alias("workflow"), F.concat(F.lit("Navigation from "), F.col("title")).alias("name"),
         F.concat("title", F.lit(" links to "), F.col("linked").cast("string"), F.lit(" pages")).alias("description"), "title",
         F.slice("_t", 1, shown).alias("_t"))
     return _steps(named, F.concat(

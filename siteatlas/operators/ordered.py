@@ -82,9 +82,16 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFra
 
 
 def mark_first_n(df: DataFrame, keys: list[str], order: list[str], n: int, name: str) -> DataFrame:
-    """Add whether a row is among the first ``n`` of its key; NULL keys always are."""
-    known = df.where(F.greatest(*[F.col(k).isNotNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNotNull())
-    cut = first_n(known.select(*keys, *order), keys, order, n).groupBy(*keys).agg(
+    """Add whether a row is among the first ``n`` of its key; NULL keys always are.
+
+    Rows without a key are spread by a salt: in a join they would all meet in
+    one task.
+    """
+    has_key = F.lit(True)
+    for key in keys:
+        has_key = has_key & F.col(key).isNotNull()
+    cut = first_n(df.where(has_key).select(*keys, *order), keys, order, n).groupBy(*keys).agg(
         F.max(F.struct(*order)).alias("_cut"))
-    joined = df.join(cut, keys, "left")
+    salt = F.when(has_key, F.lit(0)).otherwise(F.pmod(F.xxhash64(*order), F.lit(4096)).cast("int"))
+    joined = df.withColumn("_salt", salt).join(cut.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")
     return joined.select(*df.columns, F.coalesce(F.struct(*order) <= F.col("_cut"), F.lit(True)).alias(name))

@@ -1,10 +1,281 @@
-"""Prompt tables, answer merge and document assembly."""
+"""Prompt tables, answer merge and document assembly.
+
+Documents are tables of lines keyed by (project, part, seq, line number), so
+all projects are written in one job and a project of any size is spread over
+tasks; nothing is glued together in one row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from siteatlas.functions import text as X
+from siteatlas.operators import classify, ordered
+
+LINE_KEY = ["project_id", "part", "seq", "line_no"]
+PAGE_ANSWER = """purpose string, whatUserSees string, what_user_sees string, keyElements array<string>,
+  key_elements array<string>, userActions array<string>, user_actions array<string>"""
+SITE_ANSWER = """appName string, appDescription string,
+  sections array<struct<name: string, description: string, pages: array<int>>>, gettingStartedPages array<int>"""
+
+
+# ---- analysis -----------------------------------------------------------------
+
+def analyze_pending(snapshots: DataFrame, latest: DataFrame) -> DataFrame:
+    """Add ``analysis``: kept where stored, else read from the URL's latest HTML.
+
+    Needs page_url_hash, page_title, analysis_json; latest holds (page_url_hash,
+    html).  Pages are analysed once per URL and joined by hash.
+    """
+    fresh = latest.join(snapshots.where(F.col("analysis_json").isNull()).select("page_url_hash").distinct(),
+                        "page_url_hash", "left_semi")
+    read = fresh.select("page_url_hash", F.to_json(classify.structural_analysis(
+        F.col("html"), F.coalesce("page_title", F.lit("")))).alias("_new"))
+    return snapshots.join(read, "page_url_hash", "left").withColumn(
+        "analysis", F.coalesce("analysis_json", "_new")).drop("_new")
+
+
+# ---- prompt tables ---------------------------------------------------------------
+
+def _listed(items: Column, empty: str = "None") -> Column:
+    text = F.array_join(items, ", ")
+    return F.when(text == "", F.lit(empty)).otherwise(text)
+
+
+def page_prompts(pages: DataFrame) -> DataFrame:
+    """(page_id, context): the facts a model would be told about each page."""
+    return pages.select("page_id", F.concat_ws(
+        "\n", F.concat(F.lit('PAGE: "'), F.col("title"), F.lit('" at '), F.col("url")),
+        F.concat(F.lit("HEADINGS ON PAGE: "), _listed(F.col("headings"))),
+        F.concat(F.lit("BUTTONS: "), _listed(F.col("buttons"))),
+        F.concat(F.lit("FORMS: "), F.col("forms").cast("string")),
+        F.concat(F.lit("LINKS: "), F.col("links").cast("string"))).alias("context"))
+
+
+def site_prompts(pages: DataFrame, edges: DataFrame, workflows: DataFrame, edge_limit: int = 40) -> DataFrame:
+    """(project_id, kind, position, line): pages, first edges, workflows.
+
+    ``pages``: project_id, seq, title, url, purpose.  ``edges``: project_id,
+    seq, src, dst.  ``workflows``: project_id, workflow, seq, name, step, action.
+    """
+    page_lines = pages.select("project_id", F.lit("page").alias("kind"), F.col("seq").alias("position"), F.concat(
+        F.lit("["), F.col("seq").cast("string"), F.lit('] "'), F.col("title"), F.lit('" ('), F.col("url"), F.lit(") — "),
+        F.col("purpose")).alias("line"))
+    first = ordered.first_n(edges, ["project_id"], ["seq", "src", "dst"], edge_limit)
+    edge_lines = first.select("project_id", F.lit("edge").alias("kind"), F.col("rank").cast("bigint").alias("position"),
+                              F.concat("src", F.lit(" → "), F.col("dst")).alias("line"))
+    # Steps of one workflow are few by construction.
+    flows = workflows.groupBy("project_id", "workflow", "seq", "name").agg(
+        F.array_sort(F.collect_list(F.struct("step", "action"))).alias("_s"))
+    flow_lines = flows.select("project_id", F.lit("workflow").alias("kind"), F.col("seq").alias("position"), F.concat(
+        F.col("name"), F.lit(": "), F.array_join(F.transform("_s", lambda s: s["action"]), " → ")).alias("line"))
+    return page_lines.unionByName(edge_lines).unionByName(flow_lines)
+
+
+# ---- merging answers --------------------------------------------------------------
+
+def merge_page_answers(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """Page analyses from answers: (project_id, page_index, ..., purpose, sees, elements, actions).
+
+    ``pages`` has page_index, title, buttons; ``answers`` page_index and the
+    answer text.  A missing answer falls back to the page's own buttons, an
+    unreadable one to empty lists.
+    """
+    joined = pages.join(answers.select("page_index", "answer"), "page_index", "left")
+    a = F.from_json(X.outermost_json(F.col("answer")), PAGE_ANSWER)
+    none = F.array().cast("array<string>")
+    named = F.transform("buttons", lambda b: F.concat(F.lit('"'), b, F.lit('" button')))
+    read = joined.withColumn("_a", a)
+    purpose = F.coalesce(F.when(F.col("_a.purpose") != "", F.col("_a.purpose")), F.concat(F.col("title"), F.lit(" page")))
+    return read.select(
+        *pages.columns, purpose.alias("purpose"),
+        F.coalesce("_a.whatUserSees", "_a.what_user_sees", F.lit("")).alias("sees"),
+        F.when(F.col("answer").isNull(), named).otherwise(F.coalesce("_a.keyElements", "_a.key_elements", none)).alias("elements"),
+        F.coalesce("_a.userActions", "_a.user_actions", none).alias("actions"))
+
+
+def site_sections(projects: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Site architecture from one answer per project: heads, sections, members.
+
+    heads (project_id, name, url, description), sections (project_id, section,
+    section_name, section_description), members (project_id, section,
+    position, page_index).  Without usable sections one section 'Features'
+    holds every page; its members come from the page table, not from a list.
+    """
+    read = projects.withColumn("_a", F.from_json(X.outermost_json(F.col("answer")), SITE_ANSWER))
+    absent = F.col("answer").isNull()
+    heads = read.select(
+        "project_id", F.coalesce(F.when(F.col("_a.appName") != "", F.col("_a.appName")), "name").alias("name"), "url",
+        F.when(absent, F.concat("name", F.lit(" web application"))).otherwise(
+            F.coalesce("_a.appDescription", F.lit(""))).alias("description"),
+        F.coalesce("_a.gettingStartedPages", F.array(F.lit(0))).alias("started"))
+    told = read.where(F.col("_a.sections").isNotNull())
+    listed = told.select("project_id", F.posexplode("_a.sections").alias("section", "s"))
+    untold = read.where(F.col("_a.sections").isNull())
+    fallback = untold.select(
+        "project_id", F.lit(0).alias("section"), F.lit("Features").alias("section_name"),
+        F.when(absent, F.lit("Application features")).otherwise(F.lit("All features")).alias("section_description"))
+    sections = listed.select("project_id", "section", F.col("s.name").alias("section_name"),
+                             F.col("s.description").alias("section_description")).unionByName(fallback)
+    members = listed.select("project_id", "section", F.posexplode("s.pages").alias("position", "page_index")).unionByName(
+        pages.join(untold.select("project_id"), "project_id", "left_semi").select(
+            "project_id", F.lit(0).alias("section"), F.col("page_index").cast("int").alias("position"), "page_index"))
+    return heads, sections, members
 
 
 def section_pages(members: DataFrame, analyses: DataFrame) -> DataFrame:
     """Section members with their page analyses; indexes without one drop out."""
     return members.join(analyses, ["project_id", "page_index"])
+
+
+# ---- documents ----------------------------------------------------------------------
+
+def _lines(rows: DataFrame, part: int, seq: Column, lines: Column) -> DataFrame:
+    return rows.select("project_id", F.lit(part).alias("part"), seq.cast("bigint").alias("seq"),
+                       F.posexplode(F.array_compact(lines)).alias("line_no", "line"))
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def _block(condition: Column, lines: Column) -> Column:
+    return F.when(condition, lines).otherwise(F.array().cast("array<string>"))
+
+
+def _cell(text: Column) -> Column:
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|"))
+
+
+def _page_block(with_screenshots: bool) -> Column:
+    a = F.col("analysis")
+    has = a.isNotNull()
+    steps = F.transform(a["steps"], lambda s: _text("1. ", s))
+    rows = F.transform(a["elements"], lambda e: _text("| `", e["selector"], "` | ", _cell(e["description"]), " | ",
+                                                      _cell(e["user_action"]), " |"))
+    issues = F.transform(a["common_issues"], lambda i: _text("- ", i))
+    blank = F.array(F.lit(""))
+    title = F.when(F.col("title") != "", F.col("title"))
+    shot = F.array(_text("![", F.coalesce("title", F.lit("")), "](./screenshots/", F.col("url_hash"), ".png)"), F.lit(""))
+    return F.concat(
+        F.array(_text("### ", F.coalesce(title, F.lit("Untitled Page"))), F.lit(""), _text("**URL:** `", F.col("url"), "`"), F.lit("")),
+        shot if with_screenshots else F.array().cast("array<string>"),
+        _block(has & (a["page_purpose"] != ""), F.array(_text("**Purpose:** ", a["page_purpose"]), F.lit(""))),
+        _block(has & (F.size(a["target_users"]) > 0), F.array(_text("**Target Users:** ", F.array_join(a["target_users"], ", ")), F.lit(""))),
+        _block(has & (F.size(a["steps"]) > 0), F.concat(F.array(F.lit("#### How to Use"), F.lit("")), steps, blank)),
+        _block(has & (F.size(a["elements"]) > 0), F.concat(F.array(
+            F.lit("#### UI Elements"), F.lit(""), F.lit("| Element | Description | Action |"), F.lit("|---------|-------------|--------|")), rows, blank)),
+        _block(has & (F.size(a["common_issues"]) > 0), F.concat(F.array(F.lit("#### Common Issues"), F.lit("")), issues, blank)),
+        _block(~has, F.array(F.lit("*No detailed analysis available. Run AI analysis for enhanced documentation.*"), F.lit(""))),
+        F.array(F.lit("---"), F.lit("")))
+
+
+def numbered_workflows(workflows: DataFrame) -> DataFrame:
+    """(project_id, workflow, name, description, number): numbered per project in order."""
+    heads = workflows.select("project_id", "workflow", "strategy", "seq", "name", "description").distinct()
+    return ordered.running_totals(heads, ["project_id"], [F.col("strategy"), ordered.chunk_of("seq")],
+                                  ["strategy", "seq", "workflow"], {"number": F.lit(1).cast("bigint")})
+
+
+def markdown_lines(projects: DataFrame, pages: DataFrame, workflows: DataFrame, stats: DataFrame, generated_on: str,
+                   generator: str, with_screenshots: bool = False) -> DataFrame:
+    """The structural document of every project as lines.
+
+    ``projects``: project_id, name, url.  ``pages``: project_id, seq, url,
+    title, url_hash, analysis.  ``workflows`` as made by ``graph.workflows``
+    with project_id.  ``stats``: project_id, nodes, edges, elements.
+    """
+    counted = pages.groupBy("project_id").agg(F.count(F.lit(1)).alias("pages"), F.count("analysis").alias("analyzed"))
+    flows = numbered_workflows(workflows)
+    flow_counts = flows.groupBy("project_id").agg(F.count(F.lit(1)).alias("flows"))
+    heads = (projects.join(counted, "project_id", "left").join(flow_counts, "project_id", "left").join(stats, "project_id", "left")
+             .na.fill(0, ["pages", "analyzed", "flows", "nodes", "edges", "elements"]))
+    name, url = F.col("name"), F.col("url")
+    shown = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url"))
+    n = {c: F.col(c).cast("string") for c in ("pages", "analyzed", "flows", "nodes", "edges", "elements")}
+    blank, rule = F.lit(""), F.lit("---")
+    top = _lines(heads, 10, F.lit(0), F.array(
+        _text("# ", name, " - User Documentation"), blank, _text("> Auto-generated documentation for [", url, "](", url, ")"),
+        F.lit(f"> Generated on {generated_on}"), blank, rule, blank, F.lit("## Table of Contents"), blank,
+        F.lit("- [Overview](#overview)"), F.when(F.col("pages") > 0, F.lit("- [Pages](#pages)")),
+        F.when(F.col("flows") > 0, F.lit("- [Workflows](#workflows)")), F.lit("- [Statistics](#statistics)"), blank))
+    contents = _lines(pages, 20, F.col("seq"), F.array(_text("  - [", shown, "](#", X.slug(shown), ")")))
+    overview = _lines(heads, 30, F.lit(0), F.array(
+        blank, rule, blank, F.lit("## Overview"), blank,
+        _text("This documentation covers **", n["pages"], " pages** of the ", name, " application."),
+        F.when(F.col("elements") > 0, _text("The application contains **", n["elements"], " interactive elements** across all pages.")),
+        F.when(F.col("flows") > 0, _text("**", n["flows"], " user workflows** have been identified.")), blank, rule, blank))
+    pages_head = _lines(heads.where("pages > 0"), 40, F.lit(0), F.array(F.lit("## Pages"), blank))
+    page_body = _lines(pages, 50, F.col("seq"), _page_block(with_screenshots))
+    flow_title = _lines(heads.where("flows > 0"), 60, F.lit(0), F.array(F.lit("## Workflows"), blank))
+    flow_head = _lines(flows, 70, F.col("number"), F.concat(
+        F.array(_text("### ", F.col("number").cast("string"), ". ", name), blank),
+        _block(F.col("description") != "", F.array(F.col("description"), blank))))
+    steps = workflows.join(flows.select("project_id", "workflow", "number"), ["project_id", "workflow"])
+    flow_steps = steps.select("project_id", F.lit(70).alias("part"), F.col("number").alias("seq"), (F.col("step") + 9).cast("int").alias("line_no"),
+                              _text(F.col("step").cast("string"), ". **", F.col("action"), "** on *", F.col("page"), "*").alias("line"))
+    flow_foot = _lines(flows, 70, F.col("number"), F.array(blank, rule, blank)).withColumn("line_no", F.col("line_no") + (1 << 30))
+    foot = _lines(heads, 80, F.lit(0), F.array(
+        F.lit("## Statistics"), blank, F.lit("| Metric | Value |"), F.lit("|--------|-------|"),
+        _text("| Total Pages | ", n["pages"], " |"), _text("| Total UI Elements | ", n["elements"], " |"),
+        _text("| Graph Nodes | ", n["nodes"], " |"), _text("| Graph Edges | ", n["edges"], " |"),
+        _text("| Detected Workflows | ", n["flows"], " |"), _text("| Pages with AI Analysis | ", n["analyzed"], " |"),
+        blank, rule, blank, F.lit(f"*Generated by {generator} on {generated_on}*")))
+    out = top
+    for piece in (contents, overview, pages_head, page_body, flow_title, flow_head, flow_steps, flow_foot, foot):
+        out = out.unionByName(piece)
+    return out
+
+
+def assembled_lines(heads: DataFrame, sections: DataFrame, members: DataFrame, analyses: DataFrame, generator: str,
+                    section_texts: DataFrame | None = None) -> DataFrame:
+    """The section document of every project as lines.
+
+    ``analyses``: project_id, page_index, title, url, purpose, actions.
+    ``section_texts`` (project_id, section, text) holds written sections; a
+    section without one lists its pages, or its description when it has none.
+    """
+    name, url = F.col("name"), F.col("url")
+    blank, rule = F.lit(""), F.lit("---")
+    top = _lines(heads, 10, F.lit(0), F.array(
+        _text("# ", name, " — User Documentation"), blank, _text("> ", F.col("description")), blank, rule, blank,
+        F.lit("## Table of Contents"), blank, F.lit("- [Getting Started](#getting-started)")))
+    contents = _lines(sections, 20, F.col("section"), F.array(
+        _text("- [", F.col("section_name"), "](#", X.slug(F.col("section_name")), ")")))
+    started = heads.select("project_id", "name", "url", F.posexplode("started").alias("position", "page_index")).join(
+        analyses.select("project_id", "page_index", "purpose", "actions"), ["project_id", "page_index"])
+    any_started = started.select("project_id").distinct().withColumn("_has", F.lit(True))
+    marked = heads.join(any_started, "project_id", "left")
+    opening = _lines(marked, 30, F.lit(0), F.concat(
+        F.array(blank, rule, blank, F.lit("## Getting Started"), blank),
+        F.when(F.col("_has"), F.array(_text("To start using ", name, ":"), blank, _text("1. Open [", url, "](", url, ") in your browser")))
+        .otherwise(F.array(_text("Navigate to [", url, "](", url, ") to get started."), blank))))
+    login = F.lower("purpose").rlike("login|auth|sign")
+    first_steps = _lines(started.where(login), 40, F.col("position"), F.concat(
+        F.array(_text("2. ", F.col("purpose"))), F.transform(F.slice("actions", 1, 3), lambda a: _text("3. ", a))))
+    closing = _lines(marked, 50, F.lit(0), F.array(F.when(F.col("_has"), blank), rule, blank))
+    titles = _lines(sections, 60, F.col("section") * 2, F.array(_text("## ", F.col("section_name")), blank))
+    placed = section_pages(members, analyses)
+    filled = placed.select("project_id", "section").distinct()
+    if section_texts is not None:
+        written = section_texts.join(filled, ["project_id", "section"], "left_semi")
+        texts = written.select("project_id", "section", F.split("text", "\n").alias("_t"))
+        body_texts = _lines(texts, 60, F.col("section") * 2, F.col("_t")).withColumn("line_no", F.col("line_no") + 2)
+        placed = placed.join(written.select("project_id", "section"), ["project_id", "section"], "left_anti")
+    per_page = placed.select("project_id", "section", "position", F.posexplode(F.array(
+        _text("### ", F.col("title")), blank, F.col("purpose"), blank, _text("**URL:** `", F.col("url"), "`"), blank)).alias("_i", "line"))
+    # Pages stand in section order; six lines each leave room in the line number.
+    page_lines = per_page.select("project_id", F.lit(60).alias("part"), (F.col("section") * 2).cast("bigint").alias("seq"),
+                                 (F.col("position") * 6 + F.col("_i") + 2).cast("int").alias("line_no"), "line")
+    bare = sections.join(filled, ["project_id", "section"], "left_anti")
+    described = _lines(bare, 60, F.col("section") * 2, F.array(_text("*", F.col("section_description"), "*"))).withColumn(
+        "line_no", F.col("line_no") + 2)
+    ends = _lines(sections, 60, F.col("section") * 2 + 1, F.array(blank, rule, blank))
+    foot = _lines(heads, 70, F.lit(0), F.array(_text(f"*Documentation generated by {generator} for [", name, "](", url, ")*")))
+    out = top
+    for piece in (contents, opening, first_steps, closing, titles, page_lines, described, ends, foot):
+        out = out.unionByName(piece)
+    return out.unionByName(body_texts) if section_texts is not None else out
+
+

@@ -86,9 +86,8 @@ def join_sample_values(t):
 @query("join_section_pages", """SELECT lang AS project_id, source AS section, doc_id AS page_index, n_chars FROM documents WHERE doc_id % 3 <> 0""")
 def join_section_pages(t):
     """Sections name page indexes; every third has no analysis and drops out."""
-    docs = t.read("documents")
-    sections = docs.groupBy(F.col("lang").alias("project_id"), F.col("source").alias("section")).agg(
-        F.collect_list("doc_id").alias("pages"))
-    analyses = docs.where("doc_id % 3 <> 0").select(F.col("lang").alias("project_id"), F.col("doc_id").alias("page_index"), "n_chars")
-    rows = documents.section_pages(sections.select("project_id", "section", F.explode("pages").alias("page_index")), analyses)
-    return rows.select("project_id", "section", "page_index", "n_chars")
+    docs = t.read("documents").select(F.col("lang").alias("project_id"), F.col("source").alias("section"),
+                                      F.col("doc_id").alias("page_index"), "n_chars")
+    analyses = docs.where("page_index % 3 <> 0").select("project_id", "page_index", "n_chars")
+    return documents.section_pages(docs.select("project_id", "section", "page_index"), analyses).select(
+        "project_id", "section", "page_index", "n_chars")

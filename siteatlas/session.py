@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where that costs one more shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Pages are large rows: small Arrow batches keep Python workers bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
