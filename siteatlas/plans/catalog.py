@@ -97,6 +97,6 @@ def load() -> dict[str, Entry]:
     """All entries; importing the modules registers them."""
     import importlib
 
-    for part in ("urls", "text", "extract", "classify", "stats", "archive", "windows", "dedup", "graph", "joins", "frontier", "documents"):
+    for part in ("urls", "text", "extract", "classify", "stats", "archive", "windows", "dedup", "graph", "joins", "frontier", "documents", "streams"):
         importlib.import_module(f"siteatlas.plans.queries_{part}")
     return ENTRIES

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.functions import text as X
 from siteatlas.operators import classify, ordered
+from siteatlas.session import cut_lineage
 
 LINE_KEY = ["project_id", "part", "seq", "line_no"]
 PAGE_ANSWER = """purpose string, whatUserSees string, what_user_sees string, keyElements array<string>,
@@ -186,8 +187,10 @@ def markdown_lines(projects: DataFrame, pages: DataFrame, workflows: DataFrame,
     title, url_hash, analysis.  ``workflows`` as made by ``graph.workflows``
     with project_id.  ``stats``: project_id, nodes, edges, elements.
     """
+    # Each piece below reads these tables; they are computed once.
+    pages, workflows = cut_lineage(pages, "doc-pages"), cut_lineage(workflows, "doc-workflows")
+    flows = cut_lineage(numbered_workflows(workflows), "doc-flows")
     counted = pages.groupBy("project_id").agg(F.count(F.lit(1)).alias("pages"), F.count("analysis").alias("analyzed"))
-    flows = numbered_workflows(workflows)
     flow_counts = flows.groupBy("project_id").agg(F.count(F.lit(1)).alias("flows"))
     heads = (projects.join(counted, "project_id", "left").join(flow_counts, "project_id", "left").join(stats, "project_id", "left")
              .na.fill(0, ["pages", "analyzed", "flows", "nodes", "edges", "elements"]))
