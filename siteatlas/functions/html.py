@@ -482,7 +482,8 @@ def attr_routes(bare: Column, url: Column) -> Column:
     def opening(bare: Column, name: str) -> Column:
         """Elements with the attribute and the text right after their start tag."""
         found = F.regexp_extract_all(bare, F.lit(rf"(?is)<[a-z][a-z0-9-]*(?=\s[^>]*{name}){ATTRS}>[^<]*+"), 0)
-        return F.transform(found, lambda b: F.struct(
+        there = F.when(F.contains(bare, F.lit(name)), found).otherwise(F.array().cast("array<string>"))
+        return F.transform(there, lambda b: F.struct(
             head_tag(b).alias("tag"), F.substring(text_of(inner(b)), 1, 100).alias("text")))
 
     def found(href: Column, by: str, text: Column) -> Column:
@@ -519,8 +520,8 @@ def attr_routes(bare: Column, url: Column) -> Column:
 
 def _class_box(bare: Column, word: str) -> Column:
     """Content of the first element whose class holds ``word``."""
-    return F.regexp_extract(
-        bare, rf"""(?is)<([a-z][a-z0-9]*)(?=\s)[^>]*\sclass\s*=\s*["'][^"'>]*{word}[^"'>]*["'][^>]*>(.*?)</\1\s*>""", 2)
+    return F.when(F.contains(bare, F.lit(word)), F.regexp_extract(
+        bare, rf"""(?is)<([a-z][a-z0-9]*)(?=\s)[^>]*\sclass\s*=\s*["'][^"'>]*{word}[^"'>]*["'][^>]*>(.*?)</\1\s*>""", 2)).otherwise(F.lit(""))
 
 
 def pagination(bare: Column, url: Column) -> Column:

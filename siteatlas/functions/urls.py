@@ -152,17 +152,21 @@ def kept_params(url: Column, strip_mixed_case: bool = False) -> Column:
 
 def normalize(url: Column, strip_mixed_case: bool = False) -> Column:
     """Same page, same text: no fragment, no tracking, sorted parameters."""
-    ordered = F.array_sort(F.transform(
-        kept_params(url, strip_mixed_case),
-        lambda p: F.struct(F.concat(p.k, F.lit(","), p.v).alias("order"), p.k.alias("k"), p.v.alias("v"))))
-    text = F.array_join(F.transform(
-        ordered, lambda p: F.concat(F.url_encode(p.k), F.lit("="), F.url_encode(p.v))), "&")
-    # Splitting the URL into pieces costs a pattern each; most URLs have no query.
-    text = F.when(F.contains(url, F.lit("?")), text).otherwise(F.lit(""))
+    def clean_query() -> Column:
+        ordered = F.array_sort(F.transform(
+            kept_params(url, strip_mixed_case),
+            lambda p: F.struct(F.concat(p.k, F.lit(","), p.v).alias("order"), p.k.alias("k"), p.v.alias("v"))))
+        return F.array_join(F.transform(
+            ordered, lambda p: F.concat(F.url_encode(p.k), F.lit("="), F.url_encode(p.v))), "&")
+
+    def without_query(where: Column) -> Column:
+        return F.when(where == "/", where).otherwise(F.regexp_replace(where, r"/$", ""))
+
     where = path(url)
-    bare = F.when((text == "") & (where != "/"), F.regexp_replace(where, r"/$", "")).otherwise(where)
-    tail = F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text))
-    return F.when(is_http(url), F.concat(origin(url), bare, tail)).otherwise(url)
+    # Parameters are taken apart once, and only where there are any.
+    rest = F.when(F.contains(url, F.lit("?")), let(clean_query(), lambda text: F.when(
+        text == "", without_query(where)).otherwise(F.concat(where, F.lit("?"), text)))).otherwise(without_query(where))
+    return F.when(is_http(url), F.concat(origin(url), rest)).otherwise(url)
 
 
 def hash_input(url: Column) -> Column:
@@ -190,8 +194,8 @@ def pattern(url: Column) -> Column:
         return F.concat(p.k, F.lit("="), value)
 
     text = F.array_join(F.array_sort(F.transform(query_params(url), shape)), "&")
-    text = F.when(F.contains(url, F.lit("?")), text).otherwise(F.lit(""))
-    tail = F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text))
+    tail = F.when(F.contains(url, F.lit("?")), let(text, lambda q: F.when(q == "", q).otherwise(
+        F.concat(F.lit("?"), q)))).otherwise(F.lit(""))
     return F.when(is_http(url), F.concat(origin(url), where, tail))
 
 

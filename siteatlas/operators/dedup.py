@@ -92,10 +92,11 @@ def max_distance(threshold: float) -> int:
     return int((1.0 - threshold) / 0.015 + 1e-9)
 
 
-def _near(title_equal: Column | None, l1: Column, f1: Column, n1: Column, other: Column, threshold: float) -> Column:
-    a = {"title": F.lit(0), "links": l1, "forms": f1, "length": n1}
-    b = {"title": F.lit(0), "links": other["links"], "forms": other["forms"], "length": other["length"]}
-    return X.fingerprint_similarity(a, b) >= F.lit(threshold)
+def _score(k: Column) -> Column:
+    """Score of the row's page against a page ``k`` of the same title."""
+    a = {"title": F.lit(0), "links": F.col("links"), "forms": F.col("forms"), "length": F.col("length")}
+    b = {"title": F.lit(0), "links": k["links"], "forms": k["forms"], "length": k["length"]}
+    return X.fingerprint_similarity(a, b)
 
 
 def _class_neighbours(classes: DataFrame, reach: int) -> DataFrame:
@@ -121,6 +122,8 @@ def _class_neighbours(classes: DataFrame, reach: int) -> DataFrame:
 def near_duplicates(prints: DataFrame, threshold: float = 0.85, max_rounds: int = 10_000) -> DataFrame:
     """Decide every page: kept, or a duplicate of an earlier kept page.
 
+    Eager: it runs its rounds when called.
+
     The rule is sequential: a page is dropped if its structure was kept before
     or an earlier kept page scores at least ``threshold``.  Each round settles,
     in parallel over all titles, every class whose next page has no undecided
@@ -129,14 +132,15 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.85, max_rounds: int
     similar_to (first kept page that covers it) and score.
     """
     reach = max_distance(threshold)
+    prints = cut_lineage(prints, "near-prints")
     # Identical fingerprints share the fate of their first page, except that the
     # first may be kept; they are joined back at the end.
     points = prints.groupBy(*CLASS, "length").agg(F.min("seq").alias("seq"))
     open_points = cut_lineage(points, "near-open")
     classes = open_points.select(*CLASS).distinct()
     near = cut_lineage(_class_neighbours(classes, reach), "near-classes")
-    kept = cut_lineage(open_points.limit(0), "near-kept")
-    for _ in range(max_rounds):
+    kept = open_points.limit(0)
+    for number in range(1, max_rounds + 1):
         heads = open_points.groupBy(*CLASS).agg(F.min(F.struct("seq", "length")).alias("h")).select(
             *CLASS, F.col("h.seq").alias("seq"), F.col("h.length").alias("length"))
         earlier = heads.select(F.col("title"), F.col("links").alias("b_links"), F.col("forms").alias("b_forms"),
@@ -149,12 +153,14 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.85, max_rounds: int
         fresh = cut_lineage(fresh, "near-fresh")
         if fresh.isEmpty():
             break
-        kept = cut_lineage(kept.unionByName(fresh), "near-kept")
+        kept = kept.unionByName(fresh)
+        if number % 16 == 0:
+            kept = cut_lineage(kept, "near-kept")
         cover = _cover(near, fresh)
         rest = open_points.join(cover, CLASS, "left")
         covered = F.coalesce(F.exists("cover", lambda k: (k["seq"] <= F.col("seq")) & (
             ((k["links"] == F.col("links")) & (k["forms"] == F.col("forms")))
-            | _near(None, F.col("links"), F.col("forms"), F.col("length"), k, threshold))), F.lit(False))
+            | (_score(k) >= threshold))), F.lit(False))
         open_points = cut_lineage(rest.where(~covered).select(*points.columns), "near-open")
     return _explained(prints, near, kept, threshold)
 
@@ -171,16 +177,11 @@ def _cover(near: DataFrame, kept: DataFrame) -> DataFrame:
 
 def _explained(prints: DataFrame, near: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
     """Attach to every page the kept page that decides it."""
-    def score(k: Column) -> Column:
-        a = {"title": F.lit(0), "links": F.col("links"), "forms": F.col("forms"), "length": F.col("length")}
-        b = {"title": F.lit(0), "links": k["links"], "forms": k["forms"], "length": k["length"]}
-        return X.fingerprint_similarity(a, b)
-
     joined = prints.join(_cover(near, kept), CLASS, "left")
     earlier = F.filter("cover", lambda k: k["seq"] < F.col("seq"))
     same = F.exists(earlier, lambda k: (k["links"] == F.col("links")) & (k["forms"] == F.col("forms")))
-    similar = F.array_min(F.transform(F.filter(earlier, lambda k: score(k) >= threshold), lambda k: F.struct(
-        k["seq"].alias("seq"), score(k).alias("score"))))
+    similar = F.array_min(F.transform(F.filter(earlier, lambda k: _score(k) >= threshold), lambda k: F.struct(
+        k["seq"].alias("seq"), _score(k).alias("score"))))
     is_kept = F.exists("cover", lambda k: k["seq"] == F.col("seq"))
     return joined.select(
         *prints.columns, F.coalesce(is_kept, F.lit(False)).alias("kept"),

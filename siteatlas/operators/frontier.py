@@ -111,12 +111,14 @@ def preflight(queue: DataFrame, visited: DataFrame, scope: U.Scope, robots: Data
     were visited before vanish without being counted.
     """
     fresh = dedup.unseen(queue, visited)
+    # One row per request and no page text: cheaper to store than to redo the
+    # URL checks for the count and again for the rows it is joined to.
     ruled = mark_allowed(fresh, robots, "_robots")
     looped = ruled.join(loops.select("url", F.lit(True).alias("_loop")), "url", "left")
     early = (F.when(U.scope_reason(F.col("url"), scope).isNotNull(), F.lit("navigation strategy"))
              .when(~F.col("_robots"), F.lit("disallowed by robots.txt"))
              .when(F.col("_loop"), F.lit("redirect loop detected")))
-    checked = looped.withColumn("_early", early)
+    checked = cut_lineage(looped.withColumn("_early", early), "preflight")
     page_key = F.when(F.col("_early").isNull() & U.is_pagination(F.col("url")), U.page_pattern(F.col("url")))
     capped = ordered.mark_first_n(checked.withColumn("_pages", page_key), ["_pages"], ["priority", "seq"], page_cap, "_kept")
     blocked = health.where("blocked").select(F.col("domain").alias("_host"), F.lit(True).alias("_blocked"))

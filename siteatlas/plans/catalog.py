@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteatlas.session import tune
+from siteatlas.session import tune, widen
 from siteatlas.sources import standins
 
 
@@ -25,7 +25,7 @@ class Tables:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.read("pages")
+        return widen(self.read("pages"))
 
     @cached_property
     def rich_pages(self) -> DataFrame:

@@ -113,13 +113,13 @@ def st_similarity(t):
 
 @query("st_rate_limit", """WITH RECURSIVE e AS (SELECT event_id AS seq, user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
   r AS (SELECT seq, user_id, n, ms, 3::DOUBLE AS before FROM e WHERE n = 1
-  UNION ALL SELECT e.seq, e.user_id, e.n, e.ms, least(3::DOUBLE, (r.before - CASE WHEN r.before >= 1 THEN 1 ELSE 0 END) + (e.ms - r.ms) * (3 / 86400000::DOUBLE)) FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+  UNION ALL SELECT e.seq, e.user_id, e.n, e.ms, CASE WHEN e.ms - r.ms > 43200000 THEN 3::DOUBLE ELSE least(3::DOUBLE, (r.before - CASE WHEN r.before >= 1 THEN 1 ELSE 0 END) + (e.ms - r.ms) * (3 / 86400000::DOUBLE)) END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
   SELECT seq, before >= 1 AS allowed, CAST(floor(before - CASE WHEN before >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS remaining FROM r""")
 def st_rate_limit(t):
     raw = jobs.read_files(t.spark, event_files(t, "requests"), EVENTS, 1)
     asked = raw.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"),
-                       F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").alias("ms"))
-    return jobs.run(jobs.rate_limits(asked, 3, 86_400_000), path_for(t, "limits"))
+                       F.col("ts").cast("timestamp").alias("event_time"))
+    return jobs.run(jobs.rate_limits(asked, 3, 86_400_000, idle_ms=43_200_000), path_for(t, "limits"))
 
 
 @query("st_snapshots", f"""WITH {CTE_SNAPS}, {HASHED} SELECT snapshot_id, lag(snapshot_id) OVER w AS previous_snapshot_id, lag(content_hash) OVER w AS previous_content_hash

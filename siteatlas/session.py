@@ -43,6 +43,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores where the scan has fewer splits than cores.
+
+    Page extraction is bound by CPU, so a few large splits leave cores idle.
+    A table of many files has more splits than cores and is left as it is: no
+    shuffle of page text.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named by ``spark.checkpoint.dir``.
 

@@ -209,40 +209,54 @@ def similarity_decisions(prints: DataFrame, threshold: float = 0.85, memory: int
 # ---- rate limits -------------------------------------------------------------------------
 
 class TokenBucket(StatefulProcessor):
-    """Tokens of one key, refilled with time and dropped when idle."""
+    """Tokens of one key, refilled with time; an idle key starts full again.
+
+    An event-time timer drops the state of idle keys, so it stays bounded; the
+    result does not depend on when that happens.
+    """
 
     def __init__(self, most: int, window_ms: int, idle_ms: int):
         self.most, self.rate, self.idle_ms = most, most / window_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, at bigint", self.idle_ms)
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens double, at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows)
-        tokens, at = self.bucket.get() if self.bucket.exists() else (float(self.most), int(batch["ms"].iloc[0]))
+        known = self.bucket.exists()
+        tokens, at = self.bucket.get() if known else (float(self.most), int(batch["ms"].iloc[0]))
         allowed, left = [], []
         for now in batch["ms"].tolist():
-            tokens = min(float(self.most), tokens + (now - at) * self.rate)
+            tokens = float(self.most) if now - at > self.idle_ms else min(float(self.most), tokens + (now - at) * self.rate)
             at = now
             allowed.append(tokens >= 1)
             tokens -= 1 if tokens >= 1 else 0
             left.append(tokens)
         self.bucket.update((float(tokens), int(at)))
+        if not known:
+            self.handle.registerTimer(int(at) + self.idle_ms)
         yield pd.DataFrame({"seq": batch["seq"].to_numpy(), "allowed": allowed, "remaining": np.floor(left).astype("int64")})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, at = self.bucket.get()
+        due = int(at) + self.idle_ms
+        if due <= expiredTimerInfo.getExpiryTimeInMs():
+            self.bucket.clear()
+        else:
+            self.handle.registerTimer(due)
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def rate_limits(requests: DataFrame, most: int, window_ms: int, idle_ms: int = 600_000) -> DataFrame:
-    """(seq, allowed, remaining) of requests with key, seq, ms.
-
-    An idle bucket refills by the time it is dropped as long as ``idle_ms`` of
-    processing time is not shorter than the window.
-    """
-    return requests.select("key", "seq", "ms").groupBy("key").transformWithStateInPandas(
-        TokenBucket(most, window_ms, max(idle_ms, window_ms)), "seq bigint, allowed boolean, remaining bigint",
-        "append", "processingTime")
+def rate_limits(requests: DataFrame, most: int, window_ms: int, idle_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
+    """(seq, allowed, remaining) of requests with key, seq, event_time."""
+    timed = requests.withWatermark("event_time", late).select(
+        "key", "seq", "event_time", F.floor(F.unix_micros("event_time") / 1000).cast("bigint").alias("ms"))
+    return timed.groupBy("key").transformWithStateInPandas(
+        TokenBucket(most, window_ms, idle_ms), "seq bigint, allowed boolean, remaining bigint", "append", "eventTime")
 
 
 # ---- snapshots ---------------------------------------------------------------------------------
@@ -256,13 +270,13 @@ def store_with_previous(snapshots: DataFrame, path: str) -> DataFrame:
     spark = snapshots.sparkSession
     fields = ["snapshot_id", "content_hash"]
     columns = [*snapshots.columns, "previous_snapshot_id", "previous_content_hash"]
-    schema = snapshots.withColumns({"previous_snapshot_id": F.lit("").cast("string"), "previous_content_hash": F.lit("").cast("string"),
-                                    "bucket": F.lit("")}).schema
+    schema = snapshots.withColumns({"previous_snapshot_id": F.lit(""), "previous_content_hash": F.lit(""),
+                                    "bucket": F.lit(""), "batch": F.lit(0)}).schema
 
     def write(batch: DataFrame, number: int) -> None:
         linked = archive_previous(batch, fields)
         if number > 0:
-            stored = spark.read.schema(schema.add("batch", "int")).parquet(f"{path}/rows").where(F.col("batch") < number)
+            stored = spark.read.schema(schema).parquet(f"{path}/rows").where(F.col("batch") < number)
             wanted = batch.select("page_url_hash", bucket_of("page_url_hash").alias("bucket")).distinct()
             last = (stored.join(wanted, ["page_url_hash", "bucket"], "left_semi").groupBy("page_url_hash")
                     .agg(F.max_by(F.struct(*fields), F.struct("captured_at", "seq")).alias("_old")))
