@@ -10,7 +10,7 @@ from siteatlas.plans.queries_archive import HASHED
 from siteatlas.plans.queries_dedup import GREEDY
 from siteatlas.plans.queries_stats import BUCKETS
 from siteatlas.plans.queries_windows import STREAK
-from siteatlas.session import scratch_path
+from siteatlas.session import cut_lineage, scratch_path
 from siteatlas.sources import standins
 from siteatlas.streaming import jobs
 
@@ -27,11 +27,16 @@ def crawl_stream(t, raw=None):
     return t.spark.sql(standins.CRAWL_EVENTS, events=raw if raw is not None else event_stream(t))
 
 
-def landed(t, rows, order: str, name: str, parts: int = 3) -> str:
-    """Write rows as files that arrive one after the other, in order."""
+def in_turns(t, rows, order: str, name: str, start, parts: int = 3):
+    """Let rows arrive in order, in ``parts`` turns; each turn restarts the job.
+
+    ``start(folder)`` runs the job over the files that are new, from its
+    checkpoint; the result of the last turn is returned.
+    """
     folder = scratch_path(t.spark, name)
     cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
     edges = [None, *cuts, None]
+    found = None
     for low, high in zip(edges, edges[1:]):
         part = rows
         if low is not None:
@@ -39,7 +44,8 @@ def landed(t, rows, order: str, name: str, parts: int = 3) -> str:
         if high is not None:
             part = part.where(F.col(order) <= high)
         part.write.mode("append").parquet(folder)
-    return folder
+        found = start(folder)
+    return found
 
 
 def path_for(t, name: str) -> str:
@@ -87,18 +93,19 @@ def st_dedup(t):
     return jobs.run(jobs.first_sightings(crawl_stream(t).select("url", "event_time")), path_for(t, "first")).select("normalized")
 
 
-def event_files(t, name: str):
-    return landed(t, t.read("events"), "event_id", name)
-
-
 @query("st_block", f"""WITH {STREAK}, b AS (SELECT *, count(*) FILTER (kind = 'challenge') OVER (PARTITION BY domain ORDER BY seq) AS challenges,
   contains(error_message, '429') OR contains(lower(error_message), 'rate limit') AS l FROM g)
   SELECT seq, domain, streak, challenges, CAST(CASE WHEN streak >= 2 THEN least(16, pow(2, streak - 1)) ELSE 1 END AS DOUBLE) AS multiplier,
   CASE WHEN kind = 'failure' AND streak >= 2 THEN CASE WHEN l THEN 'rate-limited' ELSE 'consecutive-failures' END WHEN kind = 'challenge' AND challenges >= 2 THEN 'challenge-flood' END AS reason,
   CASE WHEN kind = 'failure' AND streak >= 2 THEN CASE WHEN l THEN 'back-off' ELSE 'rotate-proxy' END WHEN kind = 'challenge' AND challenges >= 2 THEN 'rotate-proxy' END AS recommended_action FROM b""")
 def st_block(t):
-    raw = jobs.read_files(t.spark, event_files(t, "events"), EVENTS, 1).withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.run(jobs.block_signals(crawl_stream(t, raw), 2), path_for(t, "blocks"))
+    path = path_for(t, "blocks")
+
+    def start(folder):
+        raw = jobs.read_files(t.spark, folder, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+        return jobs.run(jobs.block_signals(crawl_stream(t, raw), 2), path)
+
+    return in_turns(t, t.read("events"), "event_id", "events", start)
 
 
 @query("st_similarity", f"WITH {GREEDY} SELECT fp.seq, k.seq IS NOT NULL AS kept FROM fp LEFT JOIN chosen k ON k.seq = fp.seq")
@@ -106,8 +113,12 @@ def st_similarity(t):
     prints = dedup.fingerprints(t.rich_pages).select(
         "seq", F.lit("all").alias("site"), "title", F.col("links").cast("bigint").alias("links"),
         F.col("forms").cast("bigint").alias("forms"), F.col("length").cast("bigint").alias("length"))
-    stream = jobs.read_files(t.spark, landed(t, prints, "seq", "prints"), prints.schema, 1)
-    found = jobs.run(jobs.similarity_decisions(stream), path_for(t, "similar"))
+    path = path_for(t, "similar")
+
+    def start(folder):
+        return jobs.run(jobs.similarity_decisions(jobs.read_files(t.spark, folder, prints.schema)), path)
+
+    found = in_turns(t, cut_lineage(prints, "prints"), "seq", "prints", start)
     return found.select("seq", (F.col("decision") == "kept").alias("kept"))
 
 
@@ -116,30 +127,36 @@ def st_similarity(t):
   UNION ALL SELECT e.seq, e.user_id, e.n, e.ms, CASE WHEN e.ms - r.ms > 43200000 THEN 3::DOUBLE ELSE least(3::DOUBLE, (r.before - CASE WHEN r.before >= 1 THEN 1 ELSE 0 END) + (e.ms - r.ms) * (3 / 86400000::DOUBLE)) END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
   SELECT seq, before >= 1 AS allowed, CAST(floor(before - CASE WHEN before >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS remaining FROM r""")
 def st_rate_limit(t):
-    raw = jobs.read_files(t.spark, event_files(t, "requests"), EVENTS, 1)
-    asked = raw.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"),
-                       F.col("ts").cast("timestamp").alias("event_time"))
-    return jobs.run(jobs.rate_limits(asked, 3, 86_400_000, idle_ms=43_200_000), path_for(t, "limits"))
+    path = path_for(t, "limits")
+
+    def start(folder):
+        asked = jobs.read_files(t.spark, folder, EVENTS).select(
+            F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_time"))
+        return jobs.run(jobs.rate_limits(asked, 3, 86_400_000, idle_ms=43_200_000), path)
+
+    return in_turns(t, t.read("events"), "event_id", "requests", start)
 
 
 @query("st_snapshots", f"""WITH {CTE_SNAPS}, {HASHED} SELECT snapshot_id, lag(snapshot_id) OVER w AS previous_snapshot_id, lag(content_hash) OVER w AS previous_content_hash
   FROM h WINDOW w AS (PARTITION BY page_url_hash ORDER BY captured_us, seq)""")
 def st_snapshots(t):
     pages = t.snapshots.select("seq", "snapshot_id", "captured_at", "page_url", "html")
-    stream = jobs.read_files(t.spark, landed(t, pages, "seq", "captured"), pages.schema, 1)
-    found = jobs.store_with_previous(jobs.snapshot_stream(stream), path_for(t, "history"))
-    return found.select("snapshot_id", "previous_snapshot_id", "previous_content_hash")
+    path = path_for(t, "history")
+
+    def start(folder):
+        return jobs.store_with_previous(jobs.snapshot_stream(jobs.read_files(t.spark, folder, pages.schema)), path)
+
+    return in_turns(t, pages, "seq", "captured", start).select("snapshot_id", "previous_snapshot_id", "previous_content_hash")
 
 
 @query("st_ckpt", "SELECT user_id AS session_id, count(*) AS handled FROM events GROUP BY 1")
 def st_ckpt(t):
-    """Stop after the first files, restart from the checkpoint with the rest."""
-    folder, path = scratch_path(t.spark, "arriving"), path_for(t, "resumed")
-    rows = t.read("events")
-    middle = rows.agg(F.percentile_approx("event_id", 0.5)).first()[0]
-    for early in (True, False):
-        rows.where(F.col("event_id") <= middle if early else F.col("event_id") > middle).write.mode("append").parquet(folder)
-        stream = jobs.read_files(t.spark, folder, EVENTS, 1)
+    """Stop after the first half, restart from the checkpoint with the rest."""
+    path = path_for(t, "resumed")
+
+    def start(folder):
+        stream = jobs.read_files(t.spark, folder, EVENTS)
         counted = stream.groupBy(F.col("user_id").alias("session_id")).agg(F.count(F.lit(1)).alias("handled"))
-        found = jobs.run_upserts(counted, ["session_id"], path)
-    return found
+        return jobs.run_upserts(counted, ["session_id"], path)
+
+    return in_turns(t, t.read("events"), "event_id", "arriving", start, parts=2)
