@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteatlas.functions import html as H
-from siteatlas.functions import text as X
 from siteatlas.functions import urls as U
 from siteatlas.operators import dom, structure
 from siteatlas.operators.structure import staged

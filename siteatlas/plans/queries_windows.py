@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteatlas.functions import urls as U
 from siteatlas.operators import blocks, frontier, ordered, stats
 from siteatlas.plans.catalog import CTE_EVENTS, Tables, query
 from siteatlas.plans.queries_stats import PATTERN, projects
