@@ -64,10 +64,10 @@ def _decoded(text: Column) -> Column:
         return F.concat(pieces[0], F.array_join(F.transform(
             F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), _numeric_reference), ""))
 
-    out = F.when(F.contains(text, F.lit("&#")), let(F.split(text, "&#"), joined)).otherwise(text)
-    for entity, char in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    numeric = F.when(F.contains(text, F.lit("&#")), let(F.split(text, "&#"), joined)).otherwise(text)
+    # The list is one constant, so the expression stays small wherever it is used.
+    named = F.map_entries(F.str_to_map(F.lit("\n".join(f"{e}\t{c}" for e, c in NAMED_ENTITIES)), F.lit("\n"), F.lit("\t")))
+    return F.aggregate(named, numeric, lambda acc, e: F.replace(acc, e["key"], e["value"]))
 
 
 def decode_entities(text: Column) -> Column:
