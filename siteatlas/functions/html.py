@@ -479,21 +479,23 @@ def hash_routes(html: Column, bare: Column, url: Column) -> Column:
 
 def attr_routes(bare: Column, url: Column) -> Column:
     """Routes named by element attributes: array<struct<url, found_by, text>>."""
-    def opening(bare: Column, name: str) -> Column:
-        """Elements with the attribute and the text right after their start tag."""
-        found = F.regexp_extract_all(bare, F.lit(rf"(?is)<[a-z][a-z0-9-]*(?=\s[^>]*{name}){ATTRS}>[^<]*+"), 0)
-        there = F.when(F.contains(bare, F.lit(name)), found).otherwise(F.array().cast("array<string>"))
+    def opening(names: str, hint: str) -> Column:
+        """Elements with one of the attributes, and the text right after their start tag."""
+        found = F.regexp_extract_all(bare, F.lit(rf"(?is)<[a-z][a-z0-9-]*(?=\s[^>]*(?:{names})){ATTRS}>[^<]*+"), 0)
+        there = F.when(F.contains(bare, F.lit(hint)), found).otherwise(F.array().cast("array<string>"))
         return F.transform(there, lambda b: F.struct(
             head_tag(b).alias("tag"), F.substring(text_of(inner(b)), 1, 100).alias("text")))
 
     def found(href: Column, by: str, text: Column) -> Column:
         return F.struct(href.alias("href"), F.lit(by).alias("found_by"), text.alias("text"))
 
-    def named(bare: Column, name: str) -> Column:
-        return F.transform(opening(bare, name), lambda e: found(attr(e["tag"], name), "data-attr", e["text"]))
+    def named(elements: Column) -> Column:
+        """Attribute by attribute, each in document order."""
+        return F.concat(*[F.transform(elements, lambda e: found(attr(e["tag"], name), "data-attr", e["text"]))
+                          for name in ROUTE_ATTRIBUTES])
 
-    def linked(bare: Column) -> Column:
-        roles = F.filter(opening(bare, "role"), lambda e: attr(e["tag"], "role") == "link")
+    def linked(elements: Column) -> Column:
+        roles = F.filter(elements, lambda e: attr(e["tag"], "role") == "link")
         return F.flatten(F.transform(roles, lambda e: F.transform(
             F.regexp_extract_all(e["tag"], F.lit(r"""(?is)\s[^\s"'>=/]+\s*=\s*["']?((?:/|http)[^"'\s>]*)"""), 1),
             lambda v: found(v, "aria", e["text"]))))
@@ -502,12 +504,11 @@ def attr_routes(bare: Column, url: Column) -> Column:
         F.concat(F.lit("/"), attr(a.tag, "href")), "hash", F.substring(a.text, 1, 100))),
         lambda r: r.href.rlike(r"^/#!?/"))
 
-    def every(bare: Column) -> Column:
-        return F.filter(F.concat(*[named(bare, n) for n in ROUTE_ATTRIBUTES], linked(bare), hashed),
-                        lambda r: r.href != "")
+    every = F.filter(F.concat(let(opening("|".join(ROUTE_ATTRIBUTES), "data-"), named),
+                              linked(opening("role", "role")), hashed), lambda r: r.href != "")
 
     def placed(base: Column) -> Column:
-        rows = F.transform(every(bare), lambda r: F.struct(
+        rows = F.transform(every, lambda r: F.struct(
             U.resolve_on(r.href, base).alias("url"), r.found_by.alias("found_by"), r.text.alias("text")))
         return F.filter(rows, lambda r: F.startswith(r.url, F.lit("http")))
 
