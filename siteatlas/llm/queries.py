@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siteatlas.llm import decontaminate, licenses, line_runs, packing, quality_ledger, token_files, toxicity, url_blocks
+from siteatlas.llm import (
+    decontaminate,
+    licenses,
+    line_runs,
+    order_minhash,
+    packing,
+    quality_ledger,
+    substrings,
+    token_files,
+    toxicity,
+    url_blocks,
+)
 from siteatlas.llm.common import table, tokenizer_file
 from siteatlas.session import scratch_path
 
@@ -38,6 +48,14 @@ def op5_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return quality_ledger.digest(quality_ledger.ledger(table(spark, folder, "documents")))
 
 
+def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digest(substrings.remove(table(spark, folder, "documents")))
+
+
+def op7_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.digest(order_minhash.group(table(spark, folder, "documents")))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file(TOKENIZER), END_ID, CAPACITY).drop("ids")
 
@@ -52,7 +70,7 @@ def op10_url_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_decontamination, op2_line_runs, op3_token_files, op4_licenses, op5_quality_ledger, op8_packing, op9_toxicity,
-    op10_url_blocks)}
+    op1_decontamination, op2_line_runs, op3_token_files, op4_licenses, op5_quality_ledger, op6_substrings,
+    op7_order_minhash, op8_packing, op9_toxicity, op10_url_blocks)}
 
 SQL: dict[str, str] = {}
