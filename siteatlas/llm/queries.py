@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siteatlas.llm import (
+    checks,
     decontaminate,
     licenses,
     line_runs,
@@ -73,4 +74,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_line_runs, op3_token_files, op4_licenses, op5_quality_ledger, op6_substrings,
     op7_order_minhash, op8_packing, op9_toxicity, op10_url_blocks)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = checks.SQL

@@ -19,24 +19,28 @@ DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _after_scheme(url: Column) -> Column:
-    return F.when(F.instr(url, "://") > 0, F.regexp_replace(url, r"(?s)\A.*?://", "")).otherwise(F.lit(""))
+def _parts(url: Column) -> Column:
+    """``{host, path, query}``; bound once, so that uses of it don't repeat the patterns."""
+    rest = F.when(F.instr(url, "://") > 0, F.regexp_replace(url, r"(?s)\A.*?://", "")).otherwise(F.lit(""))
+    return F.transform(F.array(rest), lambda x: F.struct(
+        F.translate(F.regexp_extract(x, r"(?s)\A([^/?#]*)", 1), _UPPER, _LOWER).alias("host"),
+        F.regexp_extract(x, r"(?s)\A[^/?#]*([^?#]*)", 1).alias("path"),
+        F.regexp_extract(x, r"(?s)\A[^?#]*(\?[^#]*)", 1).alias("query")))[0]
 
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without one."""
-    return F.coalesce(F.translate(F.regexp_extract(_after_scheme(url), r"(?s)\A([^/?#]*)", 1), _UPPER, _LOWER), F.lit(""))
+    return F.coalesce(_parts(url)["host"], F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """After the host up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(_after_scheme(url), r"(?s)\A[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(_parts(url)["path"], F.lit(""))
 
 
 def address(url: Column) -> Column:
     """What names a page: host, path and query without the scheme and fragment; null where there is no host."""
-    query = F.regexp_extract(_after_scheme(url), r"(?s)\A[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
+    return F.transform(F.array(_parts(url)), lambda p: F.when(p["host"] != "", F.concat(p["host"], p["path"], p["query"])))[0]
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
@@ -44,6 +48,11 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
     A rule fits its host and all subdomains if the path starts with the rule's.  Of one rule with two verdicts, allow wins.
     """
+    return F.transform(F.array(F.struct(host.alias("host"), path.alias("path"))),
+                       lambda u: _longest(u["host"], u["path"], rules))[0]
+
+
+def _longest(host: Column, path: Column, rules) -> Column:
     found = []
     for rule, verdict in rules:
         at = rule.index("/") if "/" in rule else len(rule)
