@@ -103,7 +103,7 @@ def grams(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     out = np.full(len(hashes), np.uint64(salt + size), dtype=np.uint64)
     for k in range(size):
         out *= base
-        out[:len(hashes) - k] += hashes[k:]
+        out[:max(len(hashes) - k, 0)] += hashes[k:]
     return mix(out)
 
 
