@@ -8,6 +8,8 @@ stack.  What needs the element tree is in ``operators.dom``.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ from siteatlas.functions import urls as U
 from siteatlas.functions.bind import let, let_all
 
 # ---- fixed values -----------------------------------------------------------
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"),
-    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&euro;", "€"),
-    ("&pound;", "£"), ("&times;", "×"), ("&amp;", "&"),
-]
+# All named references of HTML (those without a semicolon are the legacy ones);
+# the ones that pages use most stand first, as a lookup walks the list.
+_FREQUENT = ["amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "copy;", "reg;", "trade;", "middot;", "bull;", "hellip;",
+             "ndash;", "mdash;", "laquo;", "raquo;", "lsquo;", "rsquo;", "ldquo;", "rdquo;", "euro;", "pound;", "times;"]
+NAMED_REFERENCES = {name: html5[name] for name in [*_FREQUENT, *html5]}
+# Numeric references to these C1 codes mean Windows characters.
+WINDOWS_1252 = {code: bytes([code]).decode("cp1252") for code in range(0x80, 0xA0)
+                if code not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 ROUTE_ATTRIBUTES = ["data-route", "data-href", "data-url", "data-link", "data-navigate-to",
                     "data-to", "data-path"]
 # -----------------------------------------------------------------------------
@@ -47,31 +50,54 @@ def empty_scripts(html: Column) -> Column:
     return F.regexp_replace(bare, rf"(?is)(<(script|style)(?=[\s/>]){ATTRS}>).*?(</\2\s*>)", "$1$3")
 
 
-def _numeric_reference(piece: Column) -> Column:
-    """What follows ``&#``: the character and the rest, or the text as it was."""
-    def char(code: Column) -> Column:
-        digits = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.substring(code, 2, 8)).otherwise(
-            F.conv(code, 10, 16))
-        rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
-        return F.when(code == "", F.concat(F.lit("&#"), piece)).otherwise(
-            F.concat(F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"), rest))
+def _table(entries: dict) -> Column:
+    """A constant map from one literal, so that the expression stays small wherever it is used."""
+    return F.str_to_map(F.lit("\v".join(f"{k}\f{v}" for k, v in entries.items())), F.lit("\v"), F.lit("\f"))
+
+
+_LEGACY = "|".join(sorted((n for n in NAMED_REFERENCES if not n.endswith(";")), key=len, reverse=True))
+
+
+def _character(digits: Column) -> Column:
+    """The character of a numeric reference's digits; what is no character becomes U+FFFD."""
+    def of(code: Column) -> Column:
+        bad = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return (F.when(bad, F.lit("\ufffd"))
+                .when(code.between(0x80, 0x9F), F.coalesce(F.try_element_at(_table(WINDOWS_1252), code.cast("string")), F.char(code)))
+                .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
+    hexed = F.lower(F.substring(digits, 1, 1)) == "x"
+    plain = F.regexp_replace(digits, "^[xX]?0*", "")
+    value = F.when(F.length(plain) <= 8, F.when(hexed, F.conv(plain, 16, 10)).otherwise(plain).cast("bigint"))
+    return let(F.when(plain == "", F.lit(0).cast("bigint")).otherwise(value), of)
+
+
+def _reference(piece: Column) -> Column:
+    """What follows an ampersand: the character meant and the rest, or the text as it was."""
+    def decoded(r: Column) -> Column:
+        rest = lambda length: F.substring(piece, length + 1, F.length(piece))
+        return (F.when(r["number"] != "", F.concat(
+                    _character(F.regexp_replace(r["number"], "[#;]", "")), rest(F.length(r["number"]))))
+                .when(r["meant"].isNotNull(), F.concat(r["meant"], rest(F.length(r["name"]))))
+                .otherwise(let(F.regexp_extract(piece, f"^(?:{_LEGACY})", 0), lambda short: F.when(
+                    short != "", F.concat(F.try_element_at(_table(NAMED_REFERENCES), short), rest(F.length(short))))
+                    .otherwise(F.concat(F.lit("&"), piece)))))
 
-    return let(F.regexp_extract(piece, r"^([xX][0-9a-fA-F]{1,6}|\d{1,7});", 1), char)
+    name = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0)
+    return let(F.struct(F.regexp_extract(piece, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0).alias("number"), name.alias("name"),
+                        F.when(name != "", F.try_element_at(_table(NAMED_REFERENCES), name)).alias("meant")), decoded)
 
 
 def _decoded(text: Column) -> Column:
     def joined(pieces: Column) -> Column:
         return F.concat(pieces[0], F.array_join(F.transform(
-            F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), _numeric_reference), ""))
+            F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), _reference), ""))
 
-    numeric = F.when(F.contains(text, F.lit("&#")), let(F.split(text, "&#"), joined)).otherwise(text)
-    # The list is one constant, so the expression stays small wherever it is used.
-    named = F.map_entries(F.str_to_map(F.lit("\n".join(f"{e}\t{c}" for e, c in NAMED_ENTITIES)), F.lit("\n"), F.lit("\t")))
-    return F.aggregate(named, numeric, lambda acc, e: F.replace(acc, e["key"], e["value"]))
+    return let(F.split(text, "&"), joined)
 
 
 def decode_entities(text: Column) -> Column:
-    """Numeric references, then the common named ones."""
+    """Character references, each decoded once: what a decoded one spells is not decoded again."""
     return let(text, lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t)).otherwise(t))
 
 

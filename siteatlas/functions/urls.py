@@ -7,9 +7,10 @@ kept raw; only query parameters are decoded and re-encoded, as a browser does.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -246,18 +247,24 @@ class Scope:
     exclude: tuple[str, ...] = field(default_factory=tuple)
 
 
+def _is_pattern(text: str) -> bool:
+    """Whether the engine that runs ``rlike`` takes a pattern."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(text)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def matches_any(url: Column, patterns: tuple[str, ...]) -> Column:
-    """OR over patterns: ``/re/`` is a regular expression, the rest substrings."""
+    """OR over patterns: ``/re/`` is a regular expression, the rest, and invalid ones, are substrings."""
     found = F.lit(False)
     for text in patterns:
         hit = F.contains(url, F.lit(text))
         if text.startswith("/") and text.endswith("/"):
             body = text[1:-1]
-            try:
-                re.compile(body)
+            if _is_pattern(body):
                 hit = url.rlike(body) if body else F.lit(True)
-            except re.error:
-                pass
         found = found | hit
     return found
 

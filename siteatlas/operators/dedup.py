@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from siteatlas.functions import text as X
 from siteatlas.functions import urls as U
 from siteatlas.operators import ordered
 from siteatlas.operators.structure import staged
-from siteatlas.session import cut_lineage
+from siteatlas.session import cut_lineage, forget
 
 
 def first_per_url(requests: DataFrame, order: list[str]) -> DataFrame:
@@ -119,7 +121,7 @@ def _class_neighbours(classes: DataFrame, reach: int) -> DataFrame:
     return a.join(b, ["title", "_l", "_f"]).where((apart <= reach) & (apart > 0)).drop("_l", "_f")
 
 
-def near_duplicates(prints: DataFrame, threshold: float = 0.85, max_rounds: int = 10_000) -> DataFrame:
+def near_duplicates(prints: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Decide every page: kept, or a duplicate of an earlier kept page.
 
     Eager: it runs its rounds when called.
@@ -128,7 +130,8 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.85, max_rounds: int
     or an earlier kept page scores at least ``threshold``.  Each round settles,
     in parallel over all titles, every class whose next page has no undecided
     earlier page in the classes around it, then drops what the new kept pages
-    cover.  Returns prints plus kept, reason ('structure' or 'similar'),
+    cover.  Every round settles a class of each open title at least, so they end
+    by themselves.  Returns prints plus kept, reason ('structure' or 'similar'),
     similar_to (first kept page that covers it) and score.
     """
     reach = max_distance(threshold)
@@ -139,8 +142,8 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.85, max_rounds: int
     open_points = cut_lineage(points, "near-open")
     classes = open_points.select(*CLASS).distinct()
     near = cut_lineage(_class_neighbours(classes, reach), "near-classes")
-    kept = open_points.limit(0)
-    for number in range(1, max_rounds + 1):
+    kept = prints.sparkSession.createDataFrame([], open_points.schema)
+    for number in count(1):
         heads = open_points.groupBy(*CLASS).agg(F.min(F.struct("seq", "length")).alias("h")).select(
             *CLASS, F.col("h.seq").alias("seq"), F.col("h.length").alias("length"))
         earlier = heads.select(F.col("title"), F.col("links").alias("b_links"), F.col("forms").alias("b_forms"),
@@ -161,7 +164,8 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.85, max_rounds: int
         covered = F.coalesce(F.exists("cover", lambda k: (k["seq"] <= F.col("seq")) & (
             ((k["links"] == F.col("links")) & (k["forms"] == F.col("forms")))
             | (_score(k) >= threshold))), F.lit(False))
-        open_points = cut_lineage(rest.where(~covered).select(*points.columns), "near-open")
+        before, open_points = open_points, cut_lineage(rest.where(~covered).select(*points.columns), "near-open")
+        forget(before)
     return _explained(prints, near, kept, threshold)
 
 

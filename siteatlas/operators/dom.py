@@ -74,6 +74,11 @@ class _Numberer(HTMLParser):
         self.close()
         self._end(0, self.size)
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...``: a bogus comment in HTML, whatever it holds."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def _here(self) -> int:
         line, column = self.getpos()
         return self.lines[line - 1] + column

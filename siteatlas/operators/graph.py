@@ -187,15 +187,25 @@ def form_workflows(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
         _step(title, F.lit("Submit form")), _step(target, F.concat(F.lit("Redirected to "), target))))
 
 
+def _sections(pages: DataFrame, *columns: Column | str) -> DataFrame:
+    """Pages below a first path segment, with that segment as ``prefix``."""
+    parts = U.segments(F.col("url"))
+    return pages.where(U.is_http(F.col("url")) & (F.size(parts) >= 2)).select(
+        *columns, F.concat(F.lit("/"), parts[0]).alias("prefix"))
+
+
+def url_groups(pages: DataFrame, at_least: int = 2, at_most: int = 10) -> DataFrame:
+    """(prefix, pages) of the sections with a fitting number of pages."""
+    return _sections(pages).groupBy("prefix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages").between(at_least, at_most))
+
+
 def section_workflows(pages: DataFrame, at_least: int = 2, at_most: int = 10) -> DataFrame:
     """Pages under one first path segment, shallow ones first.
 
     Needs seq, url, title.  Groups are counted before any member is looked at,
     so a section of millions of pages is dropped by its count alone.
     """
-    parts = U.segments(F.col("url"))
-    deep = pages.where(U.is_http(F.col("url")) & (F.size(parts) >= 2)).select(
-        "seq", "title", F.concat(F.lit("/"), parts[0]).alias("prefix"), F.size(F.split(U.path(F.col("url")), "/")).alias("depth"))
+    deep = _sections(pages, "seq", "title", F.size(F.split(U.path(F.col("url")), "/")).alias("depth"))
     sized = deep.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first")).where(
         F.col("_n").between(at_least, at_most))
     members = ordered.first_n(deep.join(sized, "prefix"), ["prefix"], ["depth", "seq"], at_most)

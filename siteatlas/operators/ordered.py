@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 100_000
+SALTS = 64
 
 
 def chunk_of(seq: str | Column, rows: int = CHUNK_ROWS) -> Column:
@@ -75,8 +76,15 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFra
     """The first ``n`` rows per key.
 
     Spark turns a row_number bound into a group limit before the shuffle, so
-    each task sends at most ``n`` rows of a key.
+    each task sends at most ``n`` rows of a key; it does so up to a threshold.
+    Above it, the cut is made per key and salt first, so that no task sorts
+    more than its share of a key and the last one sees ``SALTS * n`` rows.
     """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > limit >= 0:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        part = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+        df = salted.withColumn("rank", part).where(F.col("rank") <= n).drop("rank", "_salt")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 

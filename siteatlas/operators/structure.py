@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siteatlas.functions import html as H
 from siteatlas.functions import urls as U
-from siteatlas.functions.bind import let
+from siteatlas.functions.bind import let, let_all
 
 # ---- fixed values -----------------------------------------------------------
 SAMPLE_VALUES = [
@@ -55,6 +59,14 @@ def form_inputs(pages: DataFrame) -> DataFrame:
     return forms.select("page_id", "form", "action", "method", "i.name", "i.type", "i.required")
 
 
+def field_labels(pages: DataFrame) -> DataFrame:
+    """(page_id, id, label): every control with the text of the first label that names it, found within the page's row."""
+    found = let_all({"known": H.labels(F.col("bare")), "controls": H.control_blocks(F.col("bare"))}, lambda v: F.transform(
+        v["controls"], lambda c: let(H.head_tag(c), lambda tag: F.struct(
+            H.attr(tag, "id").alias("id"), H.label_for(v["known"], tag).alias("label")))))
+    return staged(pages).select("page_id", F.inline(found))
+
+
 def sample_value(name: Column) -> Column:
     """First sample whose key is in the field name or holds it; a fixed list."""
     low = F.lower(name)
@@ -156,16 +168,55 @@ def metadata(structure: DataFrame) -> DataFrame:
 Processor = Callable[[DataFrame], DataFrame]
 
 
-def run_processors(pages: DataFrame, processors: list[tuple[str, Processor]]) -> tuple[DataFrame, list[str]]:
-    """Apply named steps in order; one that cannot be planned is noted and skipped."""
-    out, failed = pages, []
+@dataclass(frozen=True)
+class PageStep:
+    """A Python step over one page at a time: ``column`` becomes ``function`` of the named columns' values."""
+
+    column: str
+    inputs: tuple[str, ...]
+    function: Callable
+    kind: T.DataType
+
+
+def _page_step(step: PageStep) -> Column:
+    """``{value, failed}`` of each page; what the function raises fails that page alone."""
+    shape = T.StructType([T.StructField("value", step.kind), T.StructField("failed", T.BooleanType())])
+
+    @F.arrow_udf(shape)
+    def run(*columns: pa.Array) -> pa.Array:
+        values, failed = [], []
+        for row in zip(*(c.to_pylist() for c in columns), strict=True):
+            try:
+                values.append(step.function(*row))
+                failed.append(False)
+            except Exception:  # noqa: BLE001 - a user step may raise anything
+                values.append(None)
+                failed.append(True)
+        return pa.StructArray.from_arrays([pa.array(values, to_arrow_type(step.kind)), pa.array(failed, pa.bool_())], ["value", "failed"])
+
+    return run(*[F.col(c) for c in step.inputs])
+
+
+def run_processors(pages: DataFrame, processors: list[tuple[str, Processor | PageStep]]) -> tuple[DataFrame, list[str]]:
+    """Apply named steps in order and note, for each page, those that failed.
+
+    A DataFrame step that cannot be planned is skipped for all pages; a page
+    step that raises leaves NULL on that page, and the page goes on.
+    """
+    out, failed = pages.withColumn("_failed_processors", F.array().cast("array<string>")), []
     for name, step in processors:
+        noted = F.array_append("_failed_processors", F.lit(name))
+        if isinstance(step, PageStep):
+            out = out.withColumn("_step", _page_step(step)).withColumns({
+                step.column: F.col("_step.value"),
+                "_failed_processors": F.when(F.col("_step.failed"), noted).otherwise(F.col("_failed_processors"))}).drop("_step")
+            continue
         try:
             out = step(out)
         except Exception:  # noqa: BLE001 - a user step may raise anything
             failed.append(name)
-    notes = F.array(*[F.lit(n) for n in failed]) if failed else F.array().cast("array<string>")
-    return out.withColumn("_failed_processors", notes), failed
+            out = out.withColumn("_failed_processors", noted)
+    return out, failed
 
 
 def drop_downloads(structure: DataFrame) -> DataFrame:

@@ -9,23 +9,26 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteatlas.session import tune, widen
+from siteatlas.session import tune
 from siteatlas.sources import standins
 
 
 class Tables:
     """The given tables of one folder and the relations derived from them."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, splits: int | None = None):
+        """``splits``: deal the pages out to so many tasks; for one-file tables in a bench, never for a table of many files."""
         self.spark = tune(spark)
         self.folder = folder.rstrip("/")
+        self.splits = splits
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def pages(self) -> DataFrame:
-        return widen(self.read("pages"))
+        pages = self.read("pages")
+        return pages.repartition(self.splits) if self.splits else pages
 
     @cached_property
     def rich_pages(self) -> DataFrame:

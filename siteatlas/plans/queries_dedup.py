@@ -51,14 +51,18 @@ def set_domains(t):
 
 
 @query("set_union_sources", f"""WITH {NORMALIZED}, {CTE_LINKS}, c AS (SELECT normalized AS n, seq, 0 AS source FROM norm
-  UNION ALL SELECT p.url, src * 8 + position, 1 FROM page_links JOIN pages p ON p.page_id = dst) SELECT count(DISTINCT n) AS urls FROM (
-  SELECT n, source FROM c WHERE source = 0 UNION ALL SELECT normalized, 1 FROM norm)""")
+  UNION ALL SELECT n2.normalized || '/linked', src * 8 + position, 1 FROM page_links JOIN norm n2 ON n2.page_id = dst AND n2.seq % 16 = 1
+  UNION ALL SELECT n2.normalized, src * 8 + position, 1 FROM page_links JOIN norm n2 ON n2.page_id = dst AND n2.seq % 16 = 0), w AS (SELECT n, source, seq, row_number() OVER (PARTITION BY n ORDER BY source, seq) AS r FROM c)
+  SELECT n AS normalized, CAST(source AS BIGINT) AS source, seq FROM w WHERE r = 1""")
 def set_union_sources(t):
     rows = requests(t).select("seq", "url", F.lit(0).alias("source"))
-    linked = t.page_links.join(t.pages.select(F.col("page_id").alias("dst"), "url"), "dst").select(
+    # Links lead to pages that are requested anyhow, and to one below the page's documentation that no request names.
+    target = t.urls.where("k < 2").select(F.col("page_id").alias("dst"), F.when(F.col("k") == 0, F.col("url")).otherwise(
+        F.concat(F.regexp_replace("url", "/$", ""), F.lit("/linked"))).alias("url"))
+    linked = t.page_links.join(target, "dst").select(
         (F.col("src") * 8 + F.col("position")).alias("seq"), "url", F.lit(1).alias("source"))
     first = dedup.first_per_url(rows.unionByName(linked), ["source", "seq"])
-    return first.agg(F.count(F.lit(1)).alias("urls"))
+    return first.select("normalized", F.col("source").cast("bigint").alias("source"), "seq")
 
 
 # Fingerprints of the rule-made pages, as the check sees them.
@@ -104,12 +108,12 @@ SITE = "regexp_replace(regexp_extract(lower(url), '^https?://([^/?#]*)', 1), ':[
 @query("win_diminishing", f"""WITH {PRINTS}, s AS (SELECT *, regexp_extract({SITE}, '[^.]+\\.(?:com|net|org)$') AS site FROM fp), p AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq) AS position FROM s),
   m AS (SELECT n.seq, n.site, n.position, round(sum({score('a', 'b')}) / 6, 9) AS mean_similarity FROM p n JOIN p a ON a.site = n.site AND a.position BETWEEN n.position - 3 AND n.position
   JOIN p b ON b.site = n.site AND b.position > a.position AND b.position <= n.position WHERE n.position >= 4 GROUP BY ALL)
-  SELECT seq, position, mean_similarity FROM m""")
+  SELECT seq, position, mean_similarity, mean_similarity > 0.8 AS diminishing FROM m""")
 def win_diminishing(t):
     prints = dedup.fingerprints(t.rich_pages)
     domain = F.concat(F.lit("https://"), F.regexp_extract(U.hostname(F.col("url")), r"[^.]+\.(?:com|net|org)$", 0))
     found = dedup.diminishing_returns(prints.withColumn("url", domain), recent=4, chunk_rows=16)
-    return found.select("seq", "position", F.round("mean_similarity", 9).alias("mean_similarity"))
+    return found.select("seq", "position", F.round("mean_similarity", 9).alias("mean_similarity"), "diminishing")
 
 
 # Canonical and alternate targets taken from the link stand-in.

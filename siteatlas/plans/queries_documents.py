@@ -192,33 +192,42 @@ def state(t, part: int):
 
 def stored(t):
     folder = tables.scratch(t.spark, "state")
-    tables.save_checkpoint(state(t, 1), folder, "c1", "2024-01-01 00:00:00")
-    tables.save_checkpoint(state(t, 2), folder, "c2", "2024-01-01 01:00:00")
+    tables.save_checkpoint(state(t, 1), folder, "007", "2024-01-01 00:00:00")
+    tables.save_checkpoint(state(t, 2), folder, "7", "2024-01-01 01:00:00")
     return folder
 
 
-@query("ckpt_save", "SELECT 'c1' AS id, count(*) FILTER (page_id % 3 < 1) AS visited, count(*) FILTER (page_id % 3 >= 1) AS queued FROM pages UNION ALL SELECT 'c2', count(*) FILTER (page_id % 3 < 2), count(*) FILTER (page_id % 3 >= 2) FROM pages")
+@query("ckpt_save", "SELECT '007' AS id, count(*) FILTER (page_id % 3 < 1) AS visited, count(*) FILTER (page_id % 3 >= 1) AS queued FROM pages UNION ALL SELECT '7', count(*) FILTER (page_id % 3 < 2), count(*) FILTER (page_id % 3 >= 2) FROM pages")
 def ckpt_save(t):
     folder = stored(t)
-    counts = [t.spark.read.parquet(f"{folder}/{name}").groupBy(F.col("checkpoint_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
-              for name in ("visited", "queue")]
-    return counts[0].join(counts[1], "id").withColumnRenamed("queue", "queued")
+    ids = [row["id"] for row in tables.list_checkpoints(t.spark, folder).collect()]
+    one = [tables.load_checkpoint(t.spark, folder, "visited", i).agg(F.count(F.lit(1)).alias("visited")).join(
+        tables.load_checkpoint(t.spark, folder, "queue", i).agg(F.count(F.lit(1)).alias("queued"))).select(F.lit(i).alias("id"), "visited", "queued") for i in ids]
+    return one[0].unionByName(one[1])
 
 
-@query("ckpt_load", "SELECT page_id FROM pages WHERE page_id % 3 < 2")
+@query("ckpt_load", "SELECT 'latest' AS asked, page_id FROM pages WHERE page_id % 3 < 2 UNION ALL SELECT '007', page_id FROM pages WHERE page_id % 3 < 1")
 def ckpt_load(t):
-    return tables.load_checkpoint(t.spark, stored(t), "visited").select("page_id")
+    folder = stored(t)
+    return tables.load_checkpoint(t.spark, folder, "visited").select(F.lit("latest").alias("asked"), "page_id").unionByName(
+        tables.load_checkpoint(t.spark, folder, "visited", "007").select(F.lit("007").alias("asked"), "page_id"))
 
 
-@query("ckpt_list", "SELECT 'c1' AS id, 0::BIGINT AS hour UNION ALL SELECT 'c2', 1")
+@query("ckpt_list", "SELECT CAST(event_id % 4 AS VARCHAR) AS id, epoch_us(max(ts)) AS taken_us FROM events GROUP BY 1")
 def ckpt_list(t):
-    return tables.list_checkpoints(t.spark, stored(t)).select("id", F.hour("taken_at").cast("bigint").alias("hour"))
+    """A checkpoint for each of four crawls, taken at the crawl's last event."""
+    folder = tables.scratch(t.spark, "state")
+    crawls = t.events.groupBy((F.col("event_id") % 4).cast("string").alias("id")).agg(F.max("ts").alias("at"))
+    for row in crawls.orderBy("id").select("id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).collect():
+        visited = t.events.where((F.col("event_id") % 4).cast("string") == row["id"]).select("event_id")
+        tables.save_checkpoint({"visited": visited}, folder, row["id"], row["at"])
+    return tables.list_checkpoints(t.spark, folder).select("id", F.unix_micros("taken_at").alias("taken_us"))
 
 
 @query("ckpt_delete", "SELECT page_id FROM pages WHERE page_id % 3 < 1")
 def ckpt_delete(t):
     folder = stored(t)
-    tables.delete_checkpoint(t.spark, folder, "c2", ("visited", "queue"))
+    tables.delete_checkpoint(t.spark, folder, "7", ("visited", "queue"))
     return tables.load_checkpoint(t.spark, folder, "visited").select("page_id")
 
 

@@ -8,6 +8,7 @@ state the expected rows from the rule, not from a second parser.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siteatlas.functions import html as H
 from siteatlas.functions import urls as U
@@ -211,12 +212,13 @@ def ext_aria_tree(t):
 @query("ext_elements", f"""WITH {CTE_RICH}, e AS (SELECT page_id, regexp_extract_all({CLEAN},
   '<(?:button|input|select|textarea)\\b[^>]*>|<a [^>]*href=[^>]*>|<div role="button"[^>]*>') AS l FROM rich)
   SELECT page_id, unnest(range(len(l))) + 1 AS index, regexp_extract(unnest(l), '^<([a-z]+)', 1) AS tag,
-  regexp_extract(unnest(l), ' type="([^"]*)"', 1) AS type, {un("regexp_extract(unnest(l), ' href=\"([^\"]*)\"', 1)")} AS href FROM e""")
+  regexp_extract(unnest(l), ' type="([^"]*)"', 1) AS type, {un("regexp_extract(unnest(l), ' href=\"([^\"]*)\"', 1)")} AS href,
+  regexp_extract(unnest(l), ' role="([^"]*)"', 1) AS role FROM e""")
 def ext_elements(t):
     found = dom.elements(t.rich_pages)
     return found.select("page_id", F.col("index").cast("bigint").alias("index"), "tag",
                         F.coalesce(F.try_element_at("attributes", F.lit("type")), F.lit("")).alias("type"),
-                        F.coalesce(F.try_element_at("attributes", F.lit("href")), F.lit("")).alias("href"))
+                        F.coalesce(F.try_element_at("attributes", F.lit("href")), F.lit("")).alias("href"), "role")
 
 
 @query("ext_elements_text", f"""WITH e AS (SELECT page_id, regexp_extract_all({CLEAN}, '(?is)<a href="([^"]*)">', 1) AS h,
@@ -315,13 +317,45 @@ def ext_doc_page(t):
 
 @query("pipe_run", f"""WITH {LINKS}, n AS (SELECT page_id, count(*) AS links FROM out_links
   WHERE NOT regexp_matches(lower(href), '\\.({"|".join(U.DOWNLOAD_EXTENSIONS)})$') GROUP BY page_id)
-  SELECT p.page_id, coalesce(links, 0) AS links, lower({TITLE}) AS title, 'broken' AS failed FROM pages p LEFT JOIN n USING (page_id)""")
+  SELECT p.page_id, coalesce(links, 0) AS links, lower({TITLE}) AS title,
+  CASE WHEN p.page_id % 7 = 3 THEN NULL ELSE p.page_id * 2 END AS twice, CASE WHEN p.page_id % 7 = 3 THEN 'picky,broken' ELSE 'broken' END AS failed FROM pages p LEFT JOIN n USING (page_id)""")
 def pipe_run(t):
     def broken(frame):
         return frame.select("no_such_column")
 
+    def picky(page_id):
+        if page_id % 7 == 3:
+            raise ValueError("not this page")
+        return page_id * 2
+
     out, _ = structure.run_processors(t.rich_pages, [
-        ("structure", structure.page_structure), ("links", structure.drop_downloads), ("broken", broken),
+        ("structure", structure.page_structure), ("links", structure.drop_downloads),
+        ("picky", structure.PageStep("twice", ("page_id",), picky, T.LongType())), ("broken", broken),
         ("lower", lambda d: d.withColumn("title", F.lower("title")))])
-    return out.select("page_id", F.size("links").cast("bigint").alias("links"), "title",
+    return out.select("page_id", F.size("links").cast("bigint").alias("links"), "title", "twice",
                       F.array_join("_failed_processors", ",").alias("failed"))
+
+
+HOSTILE = """SELECT page_id, url, replace(html, '<article>', concat('<article><p id="planted">n', CAST(page_id AS STRING),
+  ' &#1114112;|&#xD800;|&#0;|a&#38;lt;b|caf&eacute;|&amp;amp;|&copy 1|&nosuch;|&#zz;<![foo[x]]>|end</p>')) AS html FROM {pages}"""
+MEANT = "'n' || page_id || ' �|�|�|a&lt;b|café|&amp;|© 1|&nosuch;|&#zz;|end'"
+
+
+def hostile(t):
+    """The given pages with references and declarations that break naive readers."""
+    return t.spark.sql(HOSTILE, pages=t.pages)
+
+
+@query("ext_references", f"SELECT page_id, {MEANT} AS text FROM pages")
+def ext_references(t):
+    planted = F.regexp_extract("html", r'(?s)<p id="planted">(.*?)</p>', 1)
+    return hostile(t).select("page_id", H.text_of(planted).alias("text"))
+
+
+@query("ext_hostile_nodes", f"SELECT page_id, {MEANT} AS text, 'article' AS parent FROM pages")
+def ext_hostile_nodes(t):
+    """The element tree of such a page: the declaration is skipped and nothing after it is lost."""
+    nodes = F.col("nodes")
+    found = F.filter(nodes, lambda n: F.try_element_at(n["attrs"], F.lit("id")) == "planted")[0]
+    return dom.with_nodes(hostile(t)).select(
+        "page_id", found["own"].alias("text"), F.get(nodes, found["parent"])["tag"].alias("parent"))

@@ -101,18 +101,24 @@ MAPS = """SELECT page_id, concat('https://example.com/s/', CAST(page_id % 120 AS
 
 
 def sitemap_files(t):
-    """Sitemap files and an index, written from the given pages."""
+    """Sitemap files, an index and an index that it lists, written from the given pages.
+
+    The index names a map, a nested index, a file that is not there and more
+    than ten files; the nested one names itself's parent and two maps.
+    """
     from siteatlas.sources import sitemaps, tables
 
     folder = tables.scratch(t.spark, "sitemaps")
     rows = t.spark.sql(MAPS, pages=t.pages)
-    urls = rows.select("part", F.struct(F.concat(F.lit(" "), F.col("loc"), F.lit(" ")).alias("loc"), F.lit("2024-01-02").alias("lastmod"), "priority").alias("u"))
+    urls = rows.select("part", "page_id", F.struct(F.concat(F.lit(" "), F.col("loc"), F.lit(" ")).alias("loc"), F.lit("2024-01-02").alias("lastmod"), "priority").alias("u"))
     for part in range(8):
-        urls.where(F.col("part") == part).select("u.*").coalesce(1).write.format("xml").option("rootTag", "urlset").option(
-            "rowTag", "url").save(f"{folder}/map{part}")
-    index = t.pages.select(F.concat(F.lit("https://example.com/map"), F.col("page_id").cast("string")).alias("loc"))
-    index.repartition(1).sortWithinPartitions(F.expr("CAST(substring(loc, 24) AS INT)")).write.format("xml").option(
-        "rootTag", "sitemapindex").option("rowTag", "sitemap").save(f"{folder}/index")
+        urls.where(F.col("part") == part).coalesce(1).sortWithinPartitions(F.desc("page_id")).select("u.*").write.format("xml").option(
+            "rootTag", "urlset").option("rowTag", "url").save(f"{folder}/map{part}")
+    for name, rule in (("index", "CASE page_id WHEN 0 THEN 'map1' WHEN 1 THEN 'nested' WHEN 2 THEN 'map2' WHEN 10 THEN 'map5' ELSE concat('none', CAST(page_id AS STRING)) END"),
+                       ("nested", "CASE page_id WHEN 0 THEN 'map4' WHEN 1 THEN 'index' ELSE 'map1' END")):
+        listed = t.pages.where("page_id < 20").selectExpr("page_id", f"concat('https://example.com/', {rule}) AS loc")
+        listed.repartition(1).sortWithinPartitions("page_id").select("loc").write.format("xml").option(
+            "rootTag", "sitemapindex").option("rowTag", "sitemap").save(f"{folder}/{name}")
     return sitemaps, folder
 
 
@@ -126,14 +132,17 @@ def src_sitemap(t):
     return found.select("url", "priority", F.unix_micros("lastmod").alias("lastmod_us"))
 
 
-@query("src_sitemap_index", "SELECT 'https://example.com/map' || page_id AS url FROM pages ORDER BY page_id LIMIT 10")
+@query("src_sitemap_index", f"SELECT 'https://example.com/s/' || (page_id % 120) AS url, {PRIORITY} AS priority FROM pages WHERE page_id % 8 IN (1, 2, 4)")
 def src_sitemap_index(t):
+    """Entries of the listed maps: two of the index, one more of the nested index; the eleventh is not followed."""
     sitemaps, folder = sitemap_files(t)
-    return sitemaps.read_index(t.spark, f"{folder}/index").select("url")
+    return sitemaps.expanded(t.spark, folder).select("url", "priority")
 
 
-@query("sm_discover", "SELECT DISTINCT 'https://example.com/s/' || (page_id % 120) AS url FROM pages")
+@query("sm_discover", """WITH f AS (SELECT 'https://example.com/s/' || (page_id % 120) AS url, min(page_id % 8) AS part, max(page_id) AS last FROM pages GROUP BY 1)
+  SELECT url FROM f ORDER BY part, last DESC LIMIT 25""")
 def sm_discover(t):
+    """The maps list their newest pages first, so the order of discovery is not the order of the URLs."""
     sitemaps, folder = sitemap_files(t)
     entries = sitemaps.read_sitemap(t.spark, f"{folder}/map*")
-    return sitemaps.discovered(entries, U.Scope("https://example.com/"), 10_000).select("url")
+    return sitemaps.discovered(entries, U.Scope("https://example.com/"), 25).select("url")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteatlas.functions import html as H
 from siteatlas.functions import urls as U
 from siteatlas.operators import structure
 from siteatlas.plans import documents
@@ -67,13 +66,7 @@ def fr_crawl_delay(t):
 
 @query("join_labels", "SELECT page_id, 'q' || page_id AS id, 'Find it' AS label FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, '', NULL FROM pages, range(5) WHERE page_id % 5 = 0 UNION ALL SELECT page_id, '', NULL FROM pages, range(2) WHERE page_id % 3 = 0 UNION ALL SELECT page_id, '', NULL FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, '', NULL FROM pages WHERE page_id % 4 = 0")
 def join_labels(t):
-    """Label elements joined to the fields they name, as element tables."""
-    pages = structure.staged(t.rich_pages)
-    fields = pages.select("page_id", F.explode(H.control_blocks(F.col("bare"))).alias("c")).select(
-        "page_id", H.attr(H.head_tag(F.col("c")), "id").alias("id"))
-    named = pages.select("page_id", F.inline(H.labels(F.col("bare")))).groupBy("page_id", F.col("target").alias("id")).agg(
-        F.first("text").alias("label"))
-    return fields.join(named, ["page_id", "id"], "left")
+    return structure.field_labels(t.rich_pages)
 
 
 @query("join_sample_values", """SELECT page_id, unnest(['q', 'sort', 'tok']) AS name, unnest(['test', 'name', NULL]) AS sample FROM pages WHERE page_id % 3 = 0

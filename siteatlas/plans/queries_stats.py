@@ -201,11 +201,3 @@ def redirects(t):
 def agg_redirects(t):
     from siteatlas.operators import frontier
     return frontier.redirect_chains(redirects(t))
-
-
-@query("agg_url_groups", """WITH s AS (SELECT list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS l FROM pages)
-  SELECT '/' || l[1] AS prefix, count(*) AS pages FROM s WHERE len(l) >= 2 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 10000""")
-def agg_url_groups(t):
-    parts = U.segments(F.col("url"))
-    return (t.pages.where(F.size(parts) >= 2).groupBy(F.concat(F.lit("/"), parts[0]).alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages").between(2, 10000)))

@@ -77,11 +77,13 @@ def hash_visual(t):
 
 @query("hash_structure", """WITH f AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
   len(regexp_extract_all(html, '<a ')) AS links FROM pages)
-  SELECT count(*) AS pages, count(DISTINCT (title, links)) AS shapes FROM f""")
+  SELECT page_id, min(page_id) OVER (PARTITION BY title, links) AS first_alike FROM f""")
 def hash_structure(t):
     shape = X.structure_hash(F.size(F.regexp_extract_all(F.col("html"), F.lit("<a "), 0)), F.lit(0),
                              F.regexp_extract(F.col("html"), "<title>(.*?)</title>", 1))
-    return t.pages.agg(F.count(F.lit(1)).alias("pages"), F.countDistinct(shape).alias("shapes"))
+    hashed = t.pages.select("page_id", shape.alias("shape"))
+    alike = hashed.groupBy("shape").agg(F.min("page_id").alias("first_alike"))
+    return hashed.join(alike, "shape").select("page_id", "first_alike")
 
 
 @query("num_fp_similarity", """WITH f AS (SELECT doc_id, n_chars, doc_id % 25 AS l, doc_id % 3 AS f FROM documents)

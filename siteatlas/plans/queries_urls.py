@@ -138,10 +138,11 @@ def url_in_scope(t):
 
 
 @query("url_match_patterns", f"""WITH {CTE_URLS} SELECT page_id, k, regexp_matches(url, 'docs') AS as_regex, contains(url, 'docs/a1') AS as_text,
-  contains(url, '/[/') AS broken FROM urls""")
+  contains(url, '/[/') AS broken, contains(url, '/(?P<x_1>a)/') AS foreign_syntax FROM urls""")
 def url_match_patterns(t):
     return over_urls(t, as_regex=U.matches_any(F.col("url"), ("/docs/",)), as_text=U.matches_any(F.col("url"), ("docs/a1",)),
-                     broken=U.matches_any(F.col("url"), ("/[/",)))
+                     broken=U.matches_any(F.col("url"), ("/[/",)),
+                     foreign_syntax=U.matches_any(F.col("url"), ("/(?P<x_1>a)/",)))
 
 
 @query("url_hierarchy", f"""WITH {PARTS} SELECT page_id, k, CASE WHEN http THEN repeat('  ', greatest(len({SEGS}) - 1, 0)) ELSE '' END

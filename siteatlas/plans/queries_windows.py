@@ -69,10 +69,9 @@ def win_delay_multiplier(t):
 
 
 @query("win_blocked_domains", f"""WITH {STREAK}, d AS (SELECT domain, arg_max(streak, seq) AS failures, count(*) FILTER (kind = 'challenge') AS challenges FROM g GROUP BY domain)
-  SELECT domain, failures, challenges, failures >= 2 OR challenges >= 105 AS blocked FROM d""")
+  SELECT domain, failures, challenges, failures >= 2 OR challenges >= 2 AS blocked FROM d""")
 def win_blocked_domains(t):
-    health = blocks.domain_health(t.crawl_events, 2)
-    return health.select("domain", "failures", "challenges", ((F.col("failures") >= 2) | (F.col("challenges") >= 105)).alias("blocked"))
+    return blocks.domain_health(t.crawl_events, 2).select("domain", "failures", "challenges", "blocked")
 
 
 @query("win_error_budget", f"""WITH {CTE_EVENTS}, b AS (SELECT *, sum(CASE WHEN kind = 'failure' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,40 +39,66 @@ def build_session(app: str = "siteatlas", cores: str = "*", shuffle_partitions:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on (time zone) and the bounded batches."""
+    """Apply the settings results depend on (time zone) and the bounded batches, and ship the package to the workers."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores where the scan has fewer splits than cores.
+_SHIPPED: set[str] = set()
 
-    Page extraction is bound by CPU, so a few large splits leave cores idle.
-    A table of many files has more splits than cores and is left as it is: no
-    shuffle of page text.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def _ship(spark: SparkSession) -> None:
+    """Python workers import this package by name: send it along, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="siteatlas-"), "siteatlas.zip")
+    with zipfile.ZipFile(target, "w") as bundle:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    bundle.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(target)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is one made up.
+    Only a local master may go without: there, and nowhere else, a temporary
+    folder is made up.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="siteatlas-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate files; it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/siteatlas-{spark.sparkContext.applicationId}"
+    files, where = _file_system(spark, folder)
+    if not files.exists(where):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the application's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
@@ -82,4 +110,14 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Drop the files behind a ``cut_lineage`` result that nothing reads any more."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        files, where = _file_system(df.sparkSession, path)
+        files.delete(where, True)

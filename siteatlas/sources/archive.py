@@ -19,12 +19,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 def store_snapshots(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Write snapshot rows by project; URL hashes are sorted inside files.
 
-    Sorting by (project, hash) lets a timeline read skip row groups.  Rows are
-    spread over a project by hash, so one large project is many files.
+    Sorting by (project, hash) lets a timeline read skip row groups.  Projects are
+    brought together up to the advisory size, so a small one is one file and a
+    large one many.  Project ids stay text.
     """
-    spread = rows.repartition("project_id", F.substring("page_url_hash", 1, 2))
+    spread = rows.hint("rebalance", "project_id")
     spread.sortWithinPartitions("project_id", "page_url_hash").write.mode(mode).partitionBy("project_id").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def write_metadata(rows: DataFrame, path: str) -> None:

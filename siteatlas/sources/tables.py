@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siteatlas.session import scratch_path
 
@@ -33,6 +36,8 @@ STATE_TABLES = ("queue", "visited", "canonical", "pagination")
 
 def save_checkpoint(state: dict[str, DataFrame], path: str, checkpoint_id: str, taken_at: str) -> None:
     """Store the given state tables under ``checkpoint_id``."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", checkpoint_id):
+        raise ValueError(f"not a checkpoint id: {checkpoint_id!r}")
     spark = next(iter(state.values())).sparkSession
     for name, table in state.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}/checkpoint_id={checkpoint_id}")
@@ -51,9 +56,15 @@ def latest_checkpoint(spark: SparkSession, path: str) -> str | None:
 
 
 def load_checkpoint(spark: SparkSession, path: str, name: str, checkpoint_id: str | None = None) -> DataFrame:
-    """One state table of a checkpoint, the latest unless named; a partition filter."""
+    """One state table of a checkpoint, the latest unless named; a partition filter.
+
+    Ids are text: ``007`` and ``7`` are two checkpoints, so the partition column is not inferred.
+    """
     wanted = checkpoint_id or latest_checkpoint(spark, path)
-    return spark.read.parquet(f"{path}/{name}").where(F.col("checkpoint_id") == F.lit(wanted)).drop("checkpoint_id")
+    stored = spark.read.parquet(f"{path}/{name}")
+    text_id = T.StructType([T.StructField("checkpoint_id", T.StringType()) if f.name == "checkpoint_id" else f for f in stored.schema])
+    rows = spark.read.schema(text_id).parquet(f"{path}/{name}")
+    return rows.where(F.col("checkpoint_id") == F.lit(wanted)).drop("checkpoint_id")
 
 
 def delete_checkpoint(spark: SparkSession, path: str, checkpoint_id: str, names: tuple[str, ...] = STATE_TABLES) -> None:
@@ -97,5 +108,9 @@ def store_documents(lines: DataFrame, path: str) -> DataFrame:
     order = ["project_id", "format", "part", "seq", "line_no"]
     placed = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     placed.select("project_id", "format", "line").write.mode("overwrite").partitionBy("project_id", "format").text(path)
-    return lines.groupBy("project_id", "format").agg(
-        (F.sum(F.octet_length("line") + 1) - 1).alias("size"), F.count(F.lit(1)).alias("lines"))
+    spark = lines.sparkSession
+    written = spark.read.schema("value string, project_id string, format string").text(path)
+    sizes = written.groupBy("project_id", "format").agg(
+        (F.sum(F.octet_length("value") + 1) - 1).alias("size"), F.count(F.lit(1)).alias("lines"))
+    kinds = {f.name: f.dataType for f in lines.schema}
+    return sizes.select(F.col("project_id").cast(kinds["project_id"]).alias("project_id"), "format", "size", "lines")
