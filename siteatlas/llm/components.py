@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteatlas.session import cut_lineage
-
-SALTS = 32
-
+from siteatlas.session import cut_lineage, forget
 
 def _smallest(edges: DataFrame) -> DataFrame:
     """``a, b, m`` for every edge (a, b): m is the smallest of a and its neighbours b.
 
-    The minimum is combined before the shuffle; a hub's edges meet it in ``SALTS`` tasks, not in one.
+    The minimum is combined before the shuffle.  It is written out, so that both sides of the join are plain exchanges,
+    of which AQE splits a hub's edges over tasks.
     """
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    spread = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, ["a", "salt"]).select("a", "b", "m")
+    return edges.join(cut_lineage(least, "components-least"), "a").select("a", "b", "m")
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -39,10 +35,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while mark[0]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _smallest(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut_lineage(large, "components")
         small = _smallest(large)
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
             small.select("a", F.col("m").alias("b"))).distinct()
-        now = cut_lineage(small, "components")
+        before, now = now, cut_lineage(small, "components")
+        forget(before)
+        forget(large)
         last, mark = mark, _fingerprint(now)
         if mark == last:
             break

@@ -3,7 +3,8 @@
 Texts with the same words (A-Z as a-z, whatever the blanks) form one class at once.  For each of ``SKETCHES`` hash orders a class is
 sketched by its two smallest five-word k-mers, labelled with their occurrence number and kept in text order; classes that share a
 sketch are candidates.  Two classes are linked if their word edit similarity, 1 - distance / longer length, is 0.8 or more, which
-banded alignment decides.  Classes joined by links are one group.
+alignment decides: an alignment along k-mers that both texts hold once bounds the distance from above, which settles most copies,
+and banded alignment settles the rest.  Classes joined by links are one group.
 
 A sketch's members are not paired with each other.  They are compared with the smallest of them; where that leaves members of
 several groups, with the smallest one that is in another group, and so on, until a round finds no new link.  So a group of any size
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from siteatlas.llm.common import identified, unpacked, whole_row
 from siteatlas.llm.components import components
 from siteatlas.llm.words import WHITE, WordBatch, grams, mix
-from siteatlas.session import cut_lineage
+from siteatlas.session import cut_lineage, forget
 
 KMER, SKETCHES, BINS = 5, 20, 128
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
@@ -194,10 +195,40 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         band = min(most, 4 * band)
 
 
+def chained_distance(a: np.ndarray, b: np.ndarray, kmer: int = KMER) -> int:
+    """Cost of one alignment, so an upper bound of the edit distance: along k-mers that occur once in both texts.
+
+    Of these, the ones in the same order on both sides are matched, and each is followed as far as the next one allows;
+    what lies between costs the longer side.
+    """
+    if min(len(a), len(b)) < kmer:
+        return max(len(a), len(b))
+    single = []
+    for words in (a, b):
+        values, first, count = np.unique(grams(words, kmer)[:len(words) - kmer + 1], return_index=True, return_counts=True)
+        single.append((values[count == 1], first[count == 1]))
+    _, x, y = np.intersect1d(single[0][0], single[1][0], assume_unique=True, return_indices=True)
+    i, j = single[0][1][x], single[1][1][y]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if not len(i):
+        return max(len(a), len(b))
+    ordered = (j == np.maximum.accumulate(j)) & (j == np.minimum.accumulate(j[::-1])[::-1])
+    i, j = i[ordered], j[ordered]
+    if not len(i):
+        return max(len(a), len(b))
+    gap_a, gap_b = np.diff(np.append(i, len(a))) - 1, np.diff(np.append(j, len(b))) - 1
+    followed = np.minimum(np.minimum(gap_a, gap_b), kmer - 1)
+    return int(max(i[0], j[0]) + np.maximum(gap_a - followed, gap_b - followed).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the word edit similarity is high enough: bounds from both sides first, banded alignment for the rest."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
+    if any(chained_distance(a, b, k) <= most for k in (KMER, 3)):
+        return True
     words, number = np.unique(np.concatenate([a, b]), return_inverse=True)
     ours, theirs = (np.bincount(x, minlength=len(words)) for x in (number[:len(a)], number[len(a):]))
     return int(bag_bound(ours, theirs)) <= most and edit_distance(a, b, most) is not None
@@ -226,7 +257,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
     """Pairs (a, b) linked by alignment; only texts that a pair needs are looked up, one for each class."""
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut_lineage(classes.join(nodes, "node").select("node", F.col("one.mark").alias("want")), "near-wanted")
-    texts = docs.join(wanted, docs["mark"] == wanted["want"]).select("node", "text").dropDuplicates(["node"])
+    # Always by a sort-merge join: texts move once, in proportion to the input at any size.
+    texts = docs.join(wanted.hint("merge"), docs["mark"] == wanted["want"]).select("node", "text").dropDuplicates(["node"])
     texts = cut_lineage(texts, "near-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +287,9 @@ def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
     pairs = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     tested = links = None
     while True:
-        pairs = cut_lineage(_plausible(cut_lineage(pairs, "near-pairs"), classes, similarity), "near-plausible")
+        drawn = cut_lineage(pairs, "near-pairs")
+        pairs = cut_lineage(_plausible(drawn, classes, similarity), "near-plausible")
+        forget(drawn)
         if pairs.isEmpty():
             break
         found = cut_lineage(_verified(pairs, docs, classes, similarity), "near-links")
