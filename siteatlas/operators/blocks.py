@@ -20,9 +20,24 @@ def failure_streaks(events: DataFrame, rows: int = ordered.CHUNK_ROWS) -> DataFr
                                   F.col("kind") == "failure", F.col("kind") == "success", "streak")
 
 
+def _limited() -> Column:
+    return F.contains("error_message", F.lit("429")) | F.contains(F.lower("error_message"), F.lit("rate limit"))
+
+
+def signals(events: DataFrame, threshold: int = 5) -> DataFrame:
+    """Add multiplier, reason and action to events with their streak and challenges."""
+    failing = (F.col("kind") == "failure") & (F.col("streak") >= threshold)
+    flood = (F.col("kind") == "challenge") & (F.col("challenges") >= threshold)
+    limited = F.coalesce(_limited(), F.lit(False))
+    return events.withColumns({
+        "multiplier": _slow_down(F.col("streak"), threshold),
+        "reason": F.when(failing & limited, "rate-limited").when(failing, "consecutive-failures").when(flood, "challenge-flood"),
+        "recommended_action": F.when(failing & limited, "back-off").when(failing | flood, "rotate-proxy")})
+
+
 def failure_signals(events: DataFrame, threshold: int = 5, rows: int = ordered.CHUNK_ROWS) -> DataFrame:
     """One row per failure that reaches the threshold, with reason and action."""
-    limited = F.contains("error_message", F.lit("429")) | F.contains(F.lower("error_message"), F.lit("rate limit"))
+    limited = _limited()
     found = failure_streaks(events, rows).where((F.col("kind") == "failure") & (F.col("streak") >= threshold))
     return found.select("seq", "domain", F.col("streak").alias("consecutive_count"),
                         F.when(limited, "rate-limited").otherwise("consecutive-failures").alias("reason"),

@@ -27,9 +27,11 @@ def crawl_stream(t, raw=None):
     return t.spark.sql(standins.CRAWL_EVENTS, events=raw if raw is not None else event_stream(t))
 
 
-def in_turns(t, rows, order: str, name: str, start, parts: int = 3):
+def in_turns(t, rows, order: str, name: str, start, parts: int = 3, late: bool = False):
     """Let rows arrive in order, in ``parts`` turns; each turn restarts the job.
 
+    With ``late`` the second part comes last, behind rows that follow it.
+
     ``start(folder)`` runs the job over the files that are new, from its
     checkpoint; the result of the last turn is returned.
     """
@@ -37,7 +39,8 @@ def in_turns(t, rows, order: str, name: str, start, parts: int = 3):
     cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
     edges = [None, *cuts, None]
     found = None
-    for low, high in zip(edges, edges[1:]):
+    spans = list(zip(edges, edges[1:]))
+    for low, high in [spans[0], *spans[2:], spans[1]] if late else spans:
         part = rows
         if low is not None:
             part = part.where(F.col(order) > low)
@@ -84,8 +87,12 @@ def st_session_state(t):
 @query("st_metrics", f"""WITH h AS (SELECT event_type AS name, round(sum(value), 2) AS sum, count(*) AS count, [{BUCKETS}, {{'le': '+Inf', 'n': count(*)}}] AS b FROM events GROUP BY 1),
   u AS (SELECT name, sum, count, unnest(b) AS x FROM h) SELECT name, x.le AS le, x.n AS bucket_count, sum, count FROM u""")
 def st_metrics(t):
-    observed = event_stream(t).select(F.col("event_type").alias("name"), "value")
-    return jobs.run_upserts(jobs.metrics(observed), ["name", "le"], path_for(t, "metrics")).withColumn("sum", F.round("sum", 2))
+    """Six files, one in a micro-batch, merged after every other batch."""
+    folder = path_for(t, "observed")
+    t.read("events").repartition(6, "event_id").write.parquet(folder)
+    observed = jobs.read_files(t.spark, folder, EVENTS, per_trigger=1).select(F.col("event_type").alias("name"), "value")
+    found = jobs.run_upserts(jobs.metrics(observed), ["name", "le"], path_for(t, "metrics"), compact_every=2)
+    return found.withColumn("sum", F.round("sum", 2))
 
 
 @query("st_dedup", f"WITH {CTE_EVENTS} SELECT DISTINCT url AS normalized FROM ev")
@@ -103,7 +110,7 @@ def st_block(t):
 
     def start(folder):
         raw = jobs.read_files(t.spark, folder, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
-        return jobs.run(jobs.block_signals(crawl_stream(t, raw), 2), path)
+        return jobs.store_block_signals(crawl_stream(t, raw), path, 2, chunk_rows=1000)
 
     return in_turns(t, t.read("events"), "event_id", "events", start)
 
@@ -146,7 +153,7 @@ def st_snapshots(t):
     def start(folder):
         return jobs.store_with_previous(jobs.snapshot_stream(jobs.read_files(t.spark, folder, pages.schema)), path)
 
-    return in_turns(t, pages, "seq", "captured", start).select("snapshot_id", "previous_snapshot_id", "previous_content_hash")
+    return in_turns(t, pages, "seq", "captured", start, late=True).select("snapshot_id", "previous_snapshot_id", "previous_content_hash")
 
 
 @query("st_ckpt", "SELECT user_id AS session_id, count(*) AS handled FROM events GROUP BY 1")

@@ -17,10 +17,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siteatlas.functions import text as X
 from siteatlas.functions import urls as U
-from siteatlas.operators import archive, ordered, stats
+from siteatlas.operators import archive, blocks, ordered, stats
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-FOREVER = "36500 days"
+# How long a URL is remembered as seen: state is dropped this long after its last event time.
+REMEMBERED = "30 days"
+# Files of one micro-batch; what a batch holds of a key bounds a stateful task's frame.
+PER_TRIGGER = 64
 
 
 # ---- running -------------------------------------------------------------------
@@ -41,22 +44,45 @@ def run_batches(stream: DataFrame, path: str, write: Callable[[DataFrame, int],
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def run_upserts(stream: DataFrame, keys: list[str], path: str) -> DataFrame:
+def run_upserts(stream: DataFrame, keys: list[str], path: str, compact_every: int = 10) -> DataFrame:
     """Keep the newest row per key of an aggregate that runs in update mode.
 
     A batch only writes its own partition, over itself when it is retried, so a
-    restart cannot count twice.
+    restart cannot count twice.  Every ``compact_every`` batches the newest rows
+    are merged into one folder and what they replace is dropped, so the table
+    grows with its keys, not with its batches.
     """
+    spark = stream.sparkSession
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/kind=update/batch={number}")
+        if number % compact_every == compact_every - 1:
+            _newest(spark, keys, path).write.mode("overwrite").parquet(f"{path}/rows/kind=merged/batch={number}")
+            drop_batches(spark, f"{path}/rows/kind=update", number + 1)
+            drop_batches(spark, f"{path}/rows/kind=merged", number)
 
     run_batches(stream, path, write, "update")
-    written = stream.sparkSession.read.parquet(f"{path}/rows")
-    values = [c for c in stream.columns if c not in keys]
-    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return _newest(spark, keys, path)
+
+
+def _newest(spark: SparkSession, keys: list[str], path: str) -> DataFrame:
+    written = spark.read.parquet(f"{path}/rows")
+    values = [c for c in written.columns if c not in (*keys, "batch", "kind")]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct("batch", "kind")).alias("_v"))
     return newest.select(*keys, "_v.*")
 
 
+def drop_batches(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the ``batch=`` folders with a smaller number."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(where):
+        for entry in files.listStatus(where):
+            name = entry.getPath().getName()
+            if name.startswith("batch=") and int(name.removeprefix("batch=")) < before:
+                files.delete(entry.getPath(), True)
+
+
 # ---- aggregates ------------------------------------------------------------------
 
 def usage_windows(records: DataFrame, late: str = "1 minute") -> DataFrame:
@@ -93,7 +119,7 @@ def metrics(observations: DataFrame) -> DataFrame:
     return stats.histogram(observations)
 
 
-def first_sightings(requests: DataFrame, late: str = FOREVER) -> DataFrame:
+def first_sightings(requests: DataFrame, late: str = REMEMBERED) -> DataFrame:
     """Requests whose normalized URL was not seen within ``late``."""
     named = requests.withColumn("normalized", U.normalize(F.col("url")))
     return named.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["normalized"])
@@ -101,59 +127,57 @@ def first_sightings(requests: DataFrame, late: str = FOREVER) -> DataFrame:
 
 # ---- block signals -----------------------------------------------------------------
 
-BLOCK_ROWS = ("domain string, seq bigint, streak bigint, challenges bigint, multiplier double, "
-              "reason string, recommended_action string")
-
-
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """One key's rows of a micro-batch in arrival order; the trigger bounds them."""
-    return pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-
-
-class BlockState(StatefulProcessor):
-    """Failure streak and challenge count of a domain, carried between batches."""
-
-    def __init__(self, threshold: int):
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "streak bigint, challenges bigint")
+def store_block_signals(events: DataFrame, path: str, threshold: int = 5, chunk_rows: int = ordered.CHUNK_ROWS) -> DataFrame:
+    """Streak, challenges, multiplier and signal after each event of a domain.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        streak, challenges = self.counts.get() if self.counts.exists() else (0, 0)
-        batch = _ordered(rows)
-        failed = (batch["kind"] == "failure").to_numpy()
-        run = np.cumsum(failed) + streak
-        floor = np.maximum.accumulate(np.where((batch["kind"] == "success").to_numpy(), run, 0))
-        streaks = run - floor
-        met = np.cumsum((batch["kind"] == "challenge").to_numpy()) + challenges
-        over = streaks >= self.threshold
-        signal = over & failed
-        message = batch["error_message"].fillna("").astype(str)
-        limited = (message.str.contains("429", regex=False) | message.str.lower().str.contains("rate limit", regex=False)).to_numpy()
-        flood = (batch["kind"] == "challenge").to_numpy() & (met >= self.threshold)
-        reason = np.where(signal, np.where(limited, "rate-limited", "consecutive-failures"), np.where(flood, "challenge-flood", None))
-        action = np.where(signal & limited, "back-off", np.where(signal | flood, "rotate-proxy", None))
-        power = np.minimum(streaks - self.threshold + 1, 4)
-        self.counts.update((int(streaks[-1]), int(met[-1])))
-        yield pd.DataFrame({
-            "domain": key[0], "seq": batch["seq"].to_numpy(), "streak": streaks, "challenges": met,
-            "multiplier": np.where(over, 2.0 ** np.maximum(power, 0), 1.0), "reason": reason, "recommended_action": action})
+    A micro-batch is worked out by the batch operators, which cut a busy
+    domain's events into chunks and carry sums between them.  Between batches
+    only two numbers a domain are kept: its trailing failures and challenges, in
+    a table that each batch writes anew.  Within a batch events count by ``seq``.
+    """
+    spark = events.sparkSession
 
-    def close(self) -> None:
-        pass
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.select("domain", "seq", "kind", "error_message")
+        success, failure, challenge = (F.col("kind") == k for k in ("success", "failure", "challenge"))
+        chunk = [ordered.chunk_of("seq", chunk_rows)]
+        run = ordered.running_streak(rows, ["domain"], chunk, ["seq"], failure, success, "streak")
+        run = ordered.running_totals(run, ["domain"], chunk, ["seq"], {
+            "challenges": challenge.cast("bigint"), "_successes": success.cast("bigint")})
+        known = "domain string, _streak bigint, _met bigint"
+        state = spark.read.schema(known).parquet(f"{path}/state/batch={number - 1}") if number else spark.createDataFrame([], known)
+        carried = run.join(state, "domain", "left")
+        streak = F.col("streak") + F.when(F.col("_successes") == 0, F.coalesce("_streak", F.lit(0))).otherwise(0)
+        out = carried.select("domain", "seq", "kind", "error_message", streak.alias("streak"),
+                             (F.col("challenges") + F.coalesce("_met", F.lit(0))).alias("challenges"))
+        blocks.signals(out, threshold).select(*BLOCK_COLUMNS).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        signalled = spark.read.parquet(f"{path}/rows/batch={number}")
+        last = signalled.groupBy("domain").agg(F.max_by(F.struct("streak", "challenges"), "seq").alias("_l")).select(
+            "domain", F.col("_l.streak").alias("_streak"), F.col("_l.challenges").alias("_met"))
+        kept = state.join(last, "domain", "left_anti").unionByName(last)
+        kept.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        drop_batches(spark, f"{path}/state", number - 1)
+
+    run_batches(events, path, write)
+    return spark.read.parquet(f"{path}/rows").drop("batch")
+
+
+BLOCK_COLUMNS = ("domain", "seq", "streak", "challenges", "multiplier", "reason", "recommended_action")
 
 
-def block_signals(events: DataFrame, threshold: int = 5) -> DataFrame:
-    """Streak, challenges, multiplier and signal after each event of a domain."""
-    return events.select("domain", "seq", "kind", "error_message").groupBy("domain").transformWithStateInPandas(
-        BlockState(threshold), BLOCK_ROWS, "append", "none")
+# ---- near duplicates ------------------------------------------------------------------
 
+def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """One key's rows of a micro-batch in arrival order; the files of a trigger bound them."""
+    return pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
 
-# ---- near duplicates ------------------------------------------------------------------
 
 class SimilarityMemory(StatefulProcessor):
-    """The newest kept fingerprints of one title, and every structure kept."""
+    """The newest kept fingerprints of one title, and every structure kept.
+
+    A title has as many structures as it has pairs of link and form counts, so
+    that map grows with layouts, not with pages.
+    """
 
     def __init__(self, threshold: float, memory: int):
         self.threshold, self.memory = threshold, memory
@@ -172,21 +196,24 @@ class SimilarityMemory(StatefulProcessor):
         return bool(((0.4 + (1.0 - apart / 20.0) * 0.3) + ratio * 0.3 >= self.threshold).any())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(r) for r in self.kept.get()]
-        known = len(kept)
+        # The newest kept pages as one ring: a kept page takes the place of the oldest.
+        old = np.array([tuple(r) for r in self.kept.get()], dtype="int64").reshape(-1, 3)
+        ring, used = np.zeros((self.memory, 3), dtype="int64"), len(old)
+        ring[:used] = old
         batch = _ordered(rows)
         decisions = []
         for row in batch.itertuples(index=False):
             shape = (int(row.links), int(row.forms))
             again = self.shapes.containsKey(shape)
-            similar = again or self._similar(row, np.array(kept, dtype="int64").reshape(-1, 3))
+            similar = again or self._similar(row, ring[:min(used, self.memory)])
             if not similar:
-                kept = [*kept, (*shape, int(row.length))][-self.memory:]
+                ring[used % self.memory] = (*shape, int(row.length))
+                used += 1
                 self.shapes.updateValue(shape, (True,))
-                known = -1
             decisions.append("structure" if again else "similar" if similar else "kept")
-        if known == -1:
-            self.kept.put(kept)
+        if used > len(old):
+            newest = ring[:used] if used <= self.memory else np.roll(ring, -(used % self.memory), axis=0)
+            self.kept.put([tuple(int(v) for v in r) for r in newest])
         yield pd.DataFrame({"seq": batch["seq"].to_numpy(), "decision": decisions})
 
     def close(self) -> None:
@@ -262,31 +289,42 @@ def rate_limits(requests: DataFrame, most: int, window_ms: int, idle_ms: int = 6
 # ---- snapshots ---------------------------------------------------------------------------------
 
 def store_with_previous(snapshots: DataFrame, path: str) -> DataFrame:
-    """Append snapshots with the hash and id of the URL's previous one.
+    """Append snapshots with the hash and id of the URL's previous one by capture time.
 
-    Stored rows are laid out by the first digits of the URL hash and never
-    rewritten; a batch looks up only the URLs it holds.
+    A late snapshot takes the last one before it, and the one after it is
+    written again with the late one as its previous; of the versions of a row the
+    newest counts.  Rows are laid out by the first digits of the URL hash; a
+    batch reads the buckets of its URLs only.
     """
     spark = snapshots.sparkSession
     fields = ["snapshot_id", "content_hash"]
-    columns = [*snapshots.columns, "previous_snapshot_id", "previous_content_hash"]
-    schema = snapshots.withColumns({"previous_snapshot_id": F.lit(""), "previous_content_hash": F.lit(""),
-                                    "bucket": F.lit(""), "batch": F.lit(0)}).schema
+    old = {"previous_snapshot_id": F.lit(""), "previous_content_hash": F.lit("")}
+    schema = snapshots.withColumns({**old, "bucket": F.lit(""), "batch": F.lit(0)}).schema
 
     def write(batch: DataFrame, number: int) -> None:
-        linked = archive_previous(batch, fields)
-        if number > 0:
-            stored = spark.read.schema(schema).parquet(f"{path}/rows").where(F.col("batch") < number)
-            wanted = batch.select("page_url_hash", bucket_of("page_url_hash").alias("bucket")).distinct()
-            last = (stored.join(wanted, ["page_url_hash", "bucket"], "left_semi").groupBy("page_url_hash")
-                    .agg(F.max_by(F.struct(*fields), F.struct("captured_at", "seq")).alias("_old")))
-            linked = linked.join(last, "page_url_hash", "left").withColumn("_p", F.coalesce("_p", "_old"))
-        out = linked.withColumns({"previous_snapshot_id": F.col("_p.snapshot_id"), "previous_content_hash": F.col("_p.content_hash"),
-                                  "bucket": bucket_of("page_url_hash")})
-        out.select(*columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={number}")
+        fresh = batch.withColumns({"bucket": bucket_of("page_url_hash"), "_new": F.lit(True), "_was": F.lit(None).cast("string")})
+        if number:
+            buckets = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # 256 at most
+            stored = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+            stored = _newest_versions(stored.where(F.col("bucket").isin(buckets) & (F.col("batch") < number)))
+            related = stored.join(fresh.select("page_url_hash").distinct(), "page_url_hash", "left_semi")
+            fresh = fresh.unionByName(related.select(*snapshots.columns, "bucket", F.lit(False).alias("_new"),
+                                                     F.col("previous_snapshot_id").alias("_was")))
+        linked = archive_previous(fresh, fields)
+        changed = linked.where(F.col("_new") | ~F.col("_p.snapshot_id").eqNullSafe(F.col("_was")))
+        out = changed.select(*snapshots.columns, F.col("_p.snapshot_id").alias("previous_snapshot_id"),
+                             F.col("_p.content_hash").alias("previous_content_hash"), "bucket", F.lit(number).alias("batch"))
+        out.drop("batch").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={number}")
 
     run_batches(snapshots, path, write)
-    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    stored = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return _newest_versions(stored).drop("bucket", "batch")
+
+
+def _newest_versions(rows: DataFrame) -> DataFrame:
+    key = ["page_url_hash", "captured_at", "seq"]
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*key, "_v.*")
 
 
 def bucket_of(name: str) -> Column:
@@ -305,8 +343,6 @@ def snapshot_stream(pages: DataFrame) -> DataFrame:
                         X.content_hash(F.col("html")).alias("content_hash"))
 
 
-def read_files(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(path)
+def read_files(spark: SparkSession, path: str, schema, per_trigger: int = PER_TRIGGER) -> DataFrame:
+    """A stream of files, at most ``per_trigger`` in a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
