@@ -30,15 +30,11 @@ def snapshot_rows(pages: DataFrame) -> DataFrame:
 
 
 def latest_per_url(snapshots: DataFrame, order: list[str], key: str = "url_hash") -> DataFrame:
-    """Newest row per URL, with all its columns.
+    """Newest row per URL, with all its columns, in one combined aggregate.
 
-    Only key and order columns take part in the search for the newest; wide
-    page text is shuffled at most once, by the join.
+    Give it narrow rows: extract what is wanted of a page's text before.
     """
-    newest = snapshots.groupBy(key).agg(F.max(F.struct(*order)).alias("_newest"))
-    newest = newest.select(F.col(key).alias("_key"), *[F.col(f"_newest.{c}").alias(f"_o_{c}") for c in order])
-    same = [F.col(key) == F.col("_key")] + [F.col(c) == F.col(f"_o_{c}") for c in order]
-    return snapshots.join(newest, same, "left_semi")
+    return latest_fields(snapshots, order, [c for c in snapshots.columns if c != key], key).select(snapshots.columns)
 
 
 def latest_fields(snapshots: DataFrame, order: list[str], columns: list[str], key: str = "url_hash") -> DataFrame:

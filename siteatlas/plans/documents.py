@@ -27,14 +27,15 @@ def analyze_pending(snapshots: DataFrame, latest: DataFrame) -> DataFrame:
     """Add ``analysis``: kept where stored, else read from the URL's latest HTML.
 
     Needs page_url_hash, page_title, analysis_json; latest holds (page_url_hash,
-    html).  Pages are analysed once per URL and joined by hash.
+    html).  Pages are analysed once per URL, where they are read; only the answers
+    are shuffled to the snapshots that wait for them.
     """
-    fresh = latest.join(snapshots.where(F.col("analysis_json").isNull()).select("page_url_hash").distinct(),
-                        "page_url_hash", "left_semi")
-    read = fresh.select("page_url_hash", F.to_json(classify.structural_analysis(
+    read = latest.select("page_url_hash", F.to_json(classify.structural_analysis(
         F.col("html"), F.coalesce("page_title", F.lit("")))).alias("_new"))
-    return snapshots.join(read, "page_url_hash", "left").withColumn(
-        "analysis", F.coalesce("analysis_json", "_new")).drop("_new")
+    wanted = F.when(F.col("analysis_json").isNull(), F.col("page_url_hash"))
+    read = read.withColumnRenamed("page_url_hash", "_wanted")
+    return snapshots.withColumn("_wanted", wanted).join(read, "_wanted", "left").withColumn(
+        "analysis", F.coalesce("analysis_json", "_new")).drop("_new", "_wanted")
 
 
 # ---- prompt tables ---------------------------------------------------------------

@@ -79,20 +79,46 @@ def win_latest(t):
     return archive.latest_fields(captured(t), ["captured_at", "seq"], ["snapshot_id", "content_hash"], "page_url_hash")
 
 
-@query("win_ttl", f"""WITH {CTE_SNAPS}, z AS ({SIZED}) SELECT count(*) AS deleted_snapshots, CAST(coalesce(sum(total_size_bytes), 0) AS BIGINT) AS freed_bytes FROM z
-  WHERE captured_us < CAST(1704067200000000 + (SELECT max(doc_id) FROM documents) * 60000000 // 2 AS BIGINT)""")
+def stored_days(t):
+    """The snapshots' sizes as a store by day."""
+    from siteatlas.sources import archive as files
+
+    folder = files.scratch(t.spark, "days")
+    files.store_days(sized(t).select("snapshot_id", "seq", "captured_at", "total_size_bytes"), folder)
+    return files, folder
+
+
+@query("win_ttl", f"""WITH {CTE_SNAPS}, z AS ({SIZED}), m AS (SELECT CAST(1704067200000000 + (SELECT max(doc_id) FROM documents) * 60000000 // 2 AS BIGINT) AS us),
+  d AS (SELECT strftime(make_timestamp(captured_us), '%Y-%m-%d') AS day, captured_us < us AS gone, total_size_bytes FROM z, m)
+  SELECT day, count(*) FILTER (gone) AS deleted_snapshots, CAST(coalesce(sum(total_size_bytes) FILTER (gone), 0) AS BIGINT) AS freed_bytes,
+  count(*) FILTER (NOT gone) AS left_snapshots FROM d GROUP BY day""")
 def win_ttl(t):
-    rows = sized(t)
+    """What was deleted and what the store still holds, by day."""
+    files, folder = stored_days(t)
     newest = t.read("documents").agg(F.max("doc_id")).scalar()
     middle = (F.lit(1704067200000000) + F.floor(newest * 60000000 / 2)).cast("bigint")
     # The clock stands one day after the middle of the covered time.
-    now = F.timestamp_micros(middle + 86_400_000_000)
-    return archive.cleanup_report(archive.expired(rows, now, 1))
+    middle = t.spark.range(1).select(F.timestamp_micros(middle + 86_400_000_000).alias("now")).first()["now"]
+    report = files.expire(t.spark, folder, F.lit(middle), 1)
+    left = files.read_days(t.spark, folder).groupBy("day").agg(F.count(F.lit(1)).alias("left_snapshots"))
+    zero = F.lit(0).cast("bigint")
+    return report.join(left, "day", "full").select("day", *[F.coalesce(c, zero).alias(c) for c in (
+        "deleted_snapshots", "freed_bytes", "left_snapshots")])
 
 
 @query("win_quota", f"""WITH {CTE_SNAPS}, z AS ({SIZED}), r AS (SELECT snapshot_id, total_size_bytes, sum(total_size_bytes) OVER (ORDER BY captured_us, seq) - total_size_bytes AS before,
-  sum(total_size_bytes) OVER () AS total FROM z) SELECT snapshot_id, total_size_bytes FROM r WHERE total - before > 1500000""")
+  sum(total_size_bytes) OVER () AS total FROM z) SELECT snapshot_id, total_size_bytes FROM r WHERE total - before <= 1500000""")
 def win_quota(t):
+    """What is left in the store once it fits."""
+    files, folder = stored_days(t)
+    files.fit_quota(t.spark, folder, 1_500_000)
+    return files.read_days(t.spark, folder).select("snapshot_id", "total_size_bytes")
+
+
+@query("win_quota_report", f"""WITH {CTE_SNAPS}, z AS ({SIZED}), r AS (SELECT snapshot_id, total_size_bytes, sum(total_size_bytes) OVER (ORDER BY captured_us, seq) - total_size_bytes AS before,
+  sum(total_size_bytes) OVER () AS total FROM z) SELECT snapshot_id, total_size_bytes FROM r WHERE total - before > 1500000""")
+def win_quota_report(t):
+    """What the quota would delete."""
     return archive.over_quota(sized(t), 1_500_000).select("snapshot_id", "total_size_bytes")
 
 

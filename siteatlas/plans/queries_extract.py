@@ -309,8 +309,9 @@ def ext_prompt_elements(t):
   CAST(len(regexp_extract_all({CLEAN}, '<a [^>]*href=')) AS BIGINT) AS links FROM l""")
 def ext_doc_page(t):
     stamped = t.rich_pages.withColumn("url_hash", U.url_hash(F.col("url")))
-    latest = latest_per_url(stamped, order=["page_id"])
-    return structure.doc_page(latest.select("page_id", "url", "html")).select(
+    # The narrow structure first: what is shuffled to find the newest version holds no page text.
+    latest = latest_per_url(structure.doc_page(stamped), order=["page_id"])
+    return latest.select(
         "page_id", "title", F.array_join("headings", "|").alias("headings"), F.col("forms").cast("bigint").alias("forms"),
         F.array_join("buttons", "|").alias("buttons"), F.col("links").cast("bigint").alias("links"))
 
