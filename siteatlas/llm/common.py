@@ -70,3 +70,10 @@ def text_bytes(docs: DataFrame) -> int:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, rows: int | None = None, rows_per_task: int = 200_000) -> DataFrame:
+    """A written table in as few tasks as its rows need, which spares small tables the work of a shuffle of many."""
+    n = df.count() if rows is None else rows
+    tasks = max(1, -(-n // rows_per_task))
+    return df.coalesce(tasks) if tasks < shuffle_width(df.sparkSession) else df

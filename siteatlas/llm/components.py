@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteatlas.llm.common import dealt
 from siteatlas.session import cut_lineage, forget
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -14,7 +15,8 @@ def _smallest(edges: DataFrame) -> DataFrame:
     of which AQE splits a hub's edges over tasks.
     """
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return edges.join(cut_lineage(least, "components-least"), "a").select("a", "b", "m")
+    least = cut_lineage(least, "components-least")
+    return edges.join(dealt(least), "a").select("a", "b", "m")
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -30,17 +32,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     executor costs one round.  Loops and edges with a null end are ignored; repeated edges count once.
     """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b and a is not null and b is not null")
-    now = cut_lineage(now.distinct(), "components")
+    now = written = cut_lineage(now.distinct(), "components")
     mark = _fingerprint(now)
     while mark[0]:
+        # A graph of a few edges takes one task and no shuffle a round; the number of tasks follows its size.
+        now = dealt(now, 2 * mark[0])
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _smallest(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = cut_lineage(large, "components")
-        small = _smallest(large)
+        small = _smallest(dealt(large))
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
             small.select("a", F.col("m").alias("b"))).distinct()
-        before, now = now, cut_lineage(small, "components")
-        forget(before)
+        written, old = cut_lineage(small, "components"), written
+        now = written
+        forget(old)
         forget(large)
         last, mark = mark, _fingerprint(now)
         if mark == last:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteatlas.llm.common import identified, unpacked, whole_row
+from siteatlas.llm.common import dealt, identified, unpacked, whole_row
 from siteatlas.llm.components import components
 from siteatlas.llm.words import WHITE, WordBatch, grams, mix
 from siteatlas.session import cut_lineage, forget
@@ -253,14 +253,21 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) linked by alignment; only texts that a pair needs are looked up, one for each class."""
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+def _candidate_texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``node, text`` of every class that shares a sketch, a text for each class.
+
+    The one place where texts are shuffled, and always by a sort-merge join: they move once, in proportion to the input.
+    """
+    nodes = members.select("node").distinct()
     wanted = cut_lineage(classes.join(nodes, "node").select("node", F.col("one.mark").alias("want")), "near-wanted")
-    # Always by a sort-merge join: texts move once, in proportion to the input at any size.
-    texts = docs.join(wanted.hint("merge"), docs["mark"] == wanted["want"]).select("node", "text").dropDuplicates(["node"])
+    texts = docs.join(wanted.hint("merge"), docs["mark"] == F.col("want")).select("node", "text").dropDuplicates(["node"])
     texts = cut_lineage(texts, "near-texts")
+    forget(wanted)
+    return texts
+
 
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) linked by alignment, written out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             h1, f1 = word_hashes(t.column("t1"))
@@ -270,7 +277,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t1")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("t2")), "b").select("a", "b", "t1", "t2"))
-    return both.mapInArrow(run, "a binary, b binary")
+    return cut_lineage(both.mapInArrow(run, "a binary, b binary"), "near-links")
 
 
 def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
@@ -285,20 +292,28 @@ def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
     centers = cut_lineage(centers.select("key", "center"), "near-centers")
     members = cut_lineage(entries.join(centers, "key").select("key", "node", "center"), "near-members")
     pairs = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    tested = links = None
+    forget(centers)
+    texts = _candidate_texts(docs, classes, members)
+    tested = links = roots = None
     while True:
         drawn = cut_lineage(pairs, "near-pairs")
-        pairs = cut_lineage(_plausible(drawn, classes, similarity), "near-plausible")
+        plausible = cut_lineage(_plausible(dealt(drawn), classes, similarity), "near-plausible")
         forget(drawn)
-        if pairs.isEmpty():
+        if plausible.isEmpty():
             break
-        found = cut_lineage(_verified(pairs, docs, classes, similarity), "near-links")
+        pairs = dealt(plausible)
+        found = _verified(pairs, texts, similarity)
         if found.isEmpty():
             break
-        links = found if links is None else links.unionAll(found)
+        links = dealt(found) if links is None else links.unionAll(dealt(found))
         tested = pairs if tested is None else tested.unionAll(pairs)
+        forget(roots)
         roots = cut_lineage(components(links), "near-roots")
-        members, pairs = _next_centers(members, roots, tested)
+        before = members
+        members, pairs = _next_centers(members, dealt(roots), tested)
+        forget(before)
+    forget(texts)
+    forget(members)
     if links is None:
         return features.select("doc_id", "mark", "node", F.col("node").alias("root"))
     return features.select("doc_id", "mark", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -306,18 +321,23 @@ def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
 
 def _next_centers(members: DataFrame, roots: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sketches whose members are still in several groups, each with its next center, and the pairs to compare."""
-    root = roots.select("node", "root")
-    known = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    center_root = known.where("node = center").select("key", F.col("root").alias("center_root"))
+    known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = cut_lineage(known.select("key", "node", "root", "center"), "near-known")
+    # A sketch is open if a member's root differs from that of its center.
+    center_root = known.where("node = center").select("key", F.col("root").alias("center_root"))
     center_root = cut_lineage(center_root, "near-center-roots")
-    open_ = known.join(center_root, "key")
-    ahead = open_.where("root <> center_root and node > center").groupBy("key").agg(F.min(F.struct("node", "root")).alias("c"))
+    ahead = known.where("node > center").join(center_root, "key").where("root <> center_root").groupBy("key").agg(
+        F.min(F.struct("node", "root")).alias("c"))
     ahead = cut_lineage(ahead, "near-ahead")
-    rest = cut_lineage(known.join(ahead, "key").select("key", "node", F.col("c.node").alias("center"), "root", F.col("c.root").alias("c_root")), "near-members")
+    rest = known.join(dealt(ahead), "key").select("key", "node", F.col("c.node").alias("center"), "root", F.col("c.root").alias("c_root"))
+    rest = cut_lineage(rest, "near-members")
+    for used in (known, center_root, ahead):
+        forget(used)
     pairs = rest.where("root <> c_root").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b")).distinct()
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return rest.select("key", "node", "center"), pairs.join(done, ["a", "b"], "left_anti")
+    left = dealt(rest).select("key", "node", "center")
+    left._written_at = rest._written_at
+    return left, pairs.join(done, ["a", "b"], "left_anti")
 
 
 def group(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
