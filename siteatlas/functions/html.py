@@ -50,55 +50,39 @@ def empty_scripts(html: Column) -> Column:
     return F.regexp_replace(bare, rf"(?is)(<(script|style)(?=[\s/>]){ATTRS}>).*?(</\2\s*>)", "$1$3")
 
 
-def _table(entries: dict) -> Column:
-    """A constant map from one literal, so that the expression stays small wherever it is used."""
-    return F.str_to_map(F.lit("\v".join(f"{k}\f{v}" for k, v in entries.items())), F.lit("\v"), F.lit("\f"))
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-_LEGACY = "|".join(sorted((n for n in NAMED_REFERENCES if not n.endswith(";")), key=len, reverse=True))
-
-
-def _character(digits: Column) -> Column:
-    """The character of a numeric reference's digits; what is no character becomes U+FFFD."""
-    def of(code: Column) -> Column:
-        bad = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        return (F.when(bad, F.lit("\ufffd"))
-                .when(code.between(0x80, 0x9F), F.coalesce(F.try_element_at(_table(WINDOWS_1252), code.cast("string")), F.char(code)))
-                .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
-
-    hexed = F.lower(F.substring(digits, 1, 1)) == "x"
-    plain = F.regexp_replace(digits, "^[xX]?0*", "")
-    value = F.when(F.length(plain) <= 8, F.when(hexed, F.conv(plain, 16, 10)).otherwise(plain).cast("bigint"))
-    return let(F.when(plain == "", F.lit(0).cast("bigint")).otherwise(value), of)
-
+def _table(entries: dict) -> str:
+    """A constant map from one literal."""
+    return f"str_to_map({_sql(chr(11).join(f'{k}{chr(12)}{v}' for k, v in entries.items()))}, '{chr(11)}', '{chr(12)}')"
 
-def _reference(piece: Column) -> Column:
-    """What follows an ampersand: the character meant and the rest, or the text as it was."""
-    def decoded(r: Column) -> Column:
-        rest = lambda length: F.substring(piece, length + 1, F.length(piece))
-        return (F.when(r["number"] != "", F.concat(
-                    _character(F.regexp_replace(r["number"], "[#;]", "")), rest(F.length(r["number"]))))
-                .when(r["meant"].isNotNull(), F.concat(r["meant"], rest(F.length(r["name"]))))
-                .otherwise(let(F.regexp_extract(piece, f"^(?:{_LEGACY})", 0), lambda short: F.when(
-                    short != "", F.concat(F.try_element_at(_table(NAMED_REFERENCES), short), rest(F.length(short))))
-                    .otherwise(F.concat(F.lit("&"), piece)))))
 
-    name = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0)
-    return let(F.struct(F.regexp_extract(piece, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0).alias("number"), name.alias("name"),
-                        F.when(name != "", F.try_element_at(_table(NAMED_REFERENCES), name)).alias("meant")), decoded)
-
-
-def _decoded(text: Column) -> Column:
-    def joined(pieces: Column) -> Column:
-        return F.concat(pieces[0], F.array_join(F.transform(
-            F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), _reference), ""))
-
-    return let(F.split(text, "&"), joined)
+# A decoder for many places: one SQL lambda, which is parsed as it stands instead of being put together call by call.
+# What follows an ampersand is a number (what is no character becomes U+FFFD), a name, a legacy name, or text.
+_LEGACY = "|".join(sorted((n for n in NAMED_REFERENCES if not n.endswith(";")), key=len, reverse=True))
+_NAMES = _table(NAMED_REFERENCES)
+_CHARACTER = f"""transform(array(CASE WHEN plain = '' THEN 0L WHEN length(plain) <= 8 THEN
+    CAST(CASE WHEN lower(substr(digits, 1, 1)) = 'x' THEN conv(plain, 16, 10) ELSE plain END AS BIGINT) END), code -> CASE
+  WHEN code IS NULL OR code = 0 OR code = 65535 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN '\ufffd'
+  WHEN code BETWEEN 128 AND 159 THEN coalesce(try_element_at({_table(WINDOWS_1252)}, CAST(code AS STRING)), char(code))
+  ELSE decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') END)[0]"""
+_REFERENCE = f"""transform(array(named_struct('number', regexp_extract(p, '^#(?:[xX][0-9a-fA-F]+|[0-9]+);?', 0),
+    'name', regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;', 0))), r -> CASE
+  WHEN r.number <> '' THEN concat(transform(array(regexp_replace(r.number, '[#;]', '')), digits ->
+    transform(array(regexp_replace(digits, '^[xX]?0*', '')), plain -> {_CHARACTER})[0])[0], substr(p, length(r.number) + 1))
+  ELSE transform(array(CASE WHEN r.name <> '' THEN try_element_at({_NAMES}, r.name) END), meant -> CASE
+    WHEN meant IS NOT NULL THEN concat(meant, substr(p, length(r.name) + 1))
+    ELSE transform(array(regexp_extract(p, '^(?:{_LEGACY})', 0)), short -> CASE
+      WHEN short <> '' THEN concat(try_element_at({_NAMES}, short), substr(p, length(short) + 1)) ELSE concat('&', p) END)[0] END)[0] END)[0]"""
+_DECODER = f"""text -> CASE WHEN contains(text, '&') THEN transform(array(split(text, '&')), pieces -> concat(pieces[0], array_join(transform(
+  slice(pieces, 2, greatest(size(pieces) - 1, 0)), p -> {_REFERENCE}), '')))[0] ELSE text END"""
 
 
 def decode_entities(text: Column) -> Column:
     """Character references, each decoded once: what a decoded one spells is not decoded again."""
-    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t)).otherwise(t))
+    return F.call_function("transform", F.array(text), F.expr(_DECODER))[0]
 
 
 def text_of(fragment: Column) -> Column:
