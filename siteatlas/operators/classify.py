@@ -26,11 +26,13 @@ PROVIDER_HREFS = [("accounts.google.com", "google"), ("login.microsoftonline.com
                   ("github.com/login", "github")]
 CAPTCHA_FRAMES = ["recaptcha", "captcha", "hcaptcha", "challenge"]
 BLOCKED_TEXTS = ["access denied", "forbidden", "unauthorized"]
-CHALLENGE_IDS = [("cf-challenge-running", "cloudflare"), ("challenge-running", "cloudflare"),
-                 ("challenge-form", "cloudflare"), ("ddos-guard", "ddos-guard"),
-                 ("akamai-challenge", "akamai")]
-CHALLENGE_CLASSES = [("cf-browser-verification", "cloudflare"), ("ddos", "ddos-guard"), ("sucuri", "sucuri")]
-CHALLENGE_FRAME = ("challenges.cloudflare.com", "cloudflare")
+# (kind of selector, name, label), tried in this order.
+CHALLENGE_SELECTORS = [
+    ("id", "cf-challenge-running", "cloudflare"), ("id", "challenge-running", "cloudflare"),
+    ("id", "challenge-form", "cloudflare"), ("iframe", "challenges.cloudflare.com", "cloudflare"),
+    ("class", "cf-browser-verification", "cloudflare"), ("id", "ddos-guard", "ddos-guard"),
+    ("class", "ddos", "ddos-guard"), ("class", "sucuri", "sucuri"), ("id", "akamai-challenge", "akamai"),
+]
 CHALLENGE_TEXTS = [("checking your browser", "cloudflare"), ("just a moment", "cloudflare"),
                    ("verify you are human", "cloudflare"), ("please wait while we verify", "generic"),
                    ("ddos protection by", "ddos-guard"), ("access denied - sucuri", "sucuri")]
@@ -132,15 +134,11 @@ def challenge(html: Column) -> Column:
 
 def _challenge_kind(bare: Column, opening: Column) -> Column:
     """Selectors in order, then phrases at the start of the page."""
-    kind = F.when(_has_id(bare, CHALLENGE_IDS[0][0]), F.lit(CHALLENGE_IDS[0][1]))
-    for name, label in CHALLENGE_IDS[1:3]:
-        kind = kind.when(_has_id(bare, name), F.lit(label))
-    kind = kind.when(_attr_holds(bare, "iframe", "src", [CHALLENGE_FRAME[0].replace(".", r"\.")]), F.lit(CHALLENGE_FRAME[1]))
-    kind = kind.when(_class_holds(bare, [CHALLENGE_CLASSES[0][0]]), F.lit(CHALLENGE_CLASSES[0][1]))
-    kind = kind.when(_has_id(bare, CHALLENGE_IDS[3][0]), F.lit(CHALLENGE_IDS[3][1]))
-    for name, label in CHALLENGE_CLASSES[1:]:
-        kind = kind.when(_class_holds(bare, [name]), F.lit(label))
-    kind = kind.when(_has_id(bare, CHALLENGE_IDS[4][0]), F.lit(CHALLENGE_IDS[4][1]))
+    matches = {"id": lambda name: _has_id(bare, name), "class": lambda name: _class_holds(bare, [name]),
+               "iframe": lambda name: _attr_holds(bare, "iframe", "src", [name.replace(".", r"\.")])}
+    kind = F
+    for how, name, label in CHALLENGE_SELECTORS:
+        kind = kind.when(matches[how](name), F.lit(label))
     for phrase, label in CHALLENGE_TEXTS:
         kind = kind.when(F.contains(opening, F.lit(phrase)), F.lit(label))
     return kind

@@ -10,59 +10,57 @@ def ask(spark, values, expr):
 
 
 def test_normalize(spark):
+    shop = "https://shop.test"
     cases = {
-        "https://example.com/page#section": "https://example.com/page",
-        "https://example.com/page/": "https://example.com/page",
-        "https://example.com/": "https://example.com/",
-        "https://example.com": "https://example.com/",
-        "https://example.com/page?utm_source=google&utm_medium=cpc&q=test": "https://example.com/page?q=test",
-        "https://example.com/page?z=1&a=2": "https://example.com/page?a=2&z=1",
-        "https://example.com/a/?x=1": "https://example.com/a/?x=1",
-        "https://example.com/a?flag&b=c%20d": "https://example.com/a?b=c+d&flag=",
-        "https://example.com/a?trkInfo=1&PHPSESSID=2&SID=3": "https://example.com/a?PHPSESSID=2&trkInfo=1",
-        "HTTPS://EXAMPLE.com:443/A": "https://example.com/A",
-        "not a url": "not a url",
+        f"{shop}/cart#items": f"{shop}/cart",
+        f"{shop}/cart/": f"{shop}/cart",
+        f"{shop}/": f"{shop}/",
+        shop: f"{shop}/",
+        f"{shop}/list?utm_term=red&gclid=7&size=9": f"{shop}/list?size=9",
+        f"{shop}/list?size=9&colour=red": f"{shop}/list?colour=red&size=9",
+        f"{shop}/list/?n=4": f"{shop}/list/?n=4",
+        f"{shop}/list?sale&brand=a%20b": f"{shop}/list?brand=a+b&sale=",
+        f"{shop}/list?trkInfo=1&PHPSESSID=2&SID=3": f"{shop}/list?PHPSESSID=2&trkInfo=1",
+        "HTTPS://SHOP.test:443/Big": f"{shop}/Big",
+        "two words": "two words",
     }
     assert ask(spark, list(cases), U.normalize) == list(cases.values())
-    assert ask(spark, ["https://e.com/a?trkInfo=1&PHPSESSID=2"], lambda u: U.normalize(u, True)) == ["https://e.com/a"]
+    assert ask(spark, [f"{shop}/a?trkInfo=1&PHPSESSID=2"], lambda u: U.normalize(u, True)) == [f"{shop}/a"]
 
 
 def test_predicates(spark):
-    pages = ["https://example.com/blog/page/2", "https://example.com/search?page=3", "https://example.com/items?offset=20",
-             "https://example.com/about", "https://example.com/blog/my-post"]
-    assert ask(spark, pages, U.is_pagination) == [True, True, True, False, False]
-    redirects = ["https://example.com/auth?redirect=https://other.com", "https://example.com/login?next=/dashboard",
-                 "https://example.com/sso?goto=/app", "https://example.com/redirect/target", "https://example.com/goto/page",
-                 "https://example.com/about"]
-    assert ask(spark, redirects, U.is_redirector) == [True] * 5 + [False]
-    files = ["https://e.com/a.PDF", "https://e.com/a.pdf?x", "https://e.com/app.exe", "https://e.com/docs"]
-    assert ask(spark, files, U.is_download) == [True, False, True, False]
+    listed = {"https://news.test/archive/page/14": True, "https://news.test/find?page=9": True, "https://news.test/feed?offset=60": True,
+              "https://news.test/imprint": False, "https://news.test/archive/a-long-night": False}
+    assert ask(spark, list(listed), U.is_pagination) == list(listed.values())
+    hops = {"https://id.test/in?redirect=https%3A%2F%2Fnews.test": True, "https://id.test/in?next=/home": True,
+            "https://id.test/in?goto=/start": True, "https://id.test/redirect/x": True, "https://id.test/goto/x": True, "https://id.test/terms": False}
+    assert ask(spark, list(hops), U.is_redirector) == list(hops.values())
+    files = {"https://f.test/plan.PDF": True, "https://f.test/plan.pdf?v=2": False, "https://f.test/setup.exe": True, "https://f.test/plans": False}
+    assert ask(spark, list(files), U.is_download) == list(files.values())
 
 
 def test_scope(spark):
-    def allowed(values, scope):
-        return ask(spark, values, lambda u: U.in_scope(u, scope)["allowed"])
-
-    same = U.Scope("https://example.com/docs")
-    assert allowed(["https://example.com/about", "https://example.com/docs/getting-started"], same) == [True, True]
-    assert allowed(["https://other.com/page", "https://sub.example.com/page", "", "not-a-url", "javascript:void(0)",
-                    "mailto:test@test.com"], same) == [False] * 6
-    deep = U.Scope("https://example.com/docs", "depth_only", 3)
-    assert allowed(["https://example.com/docs", "https://example.com/docs/guide", "https://example.com/docs/guide/install",
-                    "https://example.com/docs-old/x"], deep) == [True] * 4
-    assert allowed(["https://example.com/about", "https://example.com/blog/post", "https://example.com/docs/a/b/c/d/e"], deep) == [False] * 3
-    full = U.Scope("https://example.com", "full")
-    assert allowed(["https://other.com/page", "javascript:void(0)", "mailto:a@b.com"], full) == [True, False, False]
-    include = U.Scope("https://example.com", include=("/docs/", "/api/"))
-    assert allowed(["https://example.com/docs/page", "https://example.com/api/v1", "https://example.com/blog/post"], include) == [True, True, False]
-    exclude = U.Scope("https://example.com", exclude=("/admin/", "/private/"))
-    assert allowed(["https://example.com/about", "https://example.com/admin/dashboard", "https://example.com/private/data"], exclude) == [True, False, False]
-    assert allowed(["https://example.com/a"], U.Scope("https://example.com", "sideways")) == [False]
+    def allowed(scope, **expected):
+        names = list(expected)
+        where = {"root": "https://wiki.test/", "manual": "https://wiki.test/manual", "intro": "https://wiki.test/manual/intro",
+                 "setup": "https://wiki.test/manual/setup/linux", "beside": "https://wiki.test/manual2/x", "far": "https://wiki.test/manual/1/2/3/4",
+                 "team": "https://wiki.test/team/jobs", "host": "https://forum.test/t/5", "sub": "https://old.wiki.test/manual", "none": "",
+                 "words": "see below", "script": "javascript:alert(1)", "mail": "mailto:crew@wiki.test"}
+        got = ask(spark, [where[n] for n in names], lambda u: U.in_scope(u, scope)["allowed"])
+        assert dict(zip(names, got)) == expected
+
+    allowed(U.Scope("https://wiki.test/manual"), root=True, intro=True, team=True, host=False, sub=False, none=False, words=False,
+            script=False, mail=False)
+    allowed(U.Scope("https://wiki.test/manual", "depth_only", 3), manual=True, intro=True, setup=True, beside=True, far=False, team=False, root=False)
+    allowed(U.Scope("https://wiki.test", "full"), host=True, team=True, script=False, mail=False)
+    allowed(U.Scope("https://wiki.test", include=("/manual/", "/setup/")), intro=True, setup=True, team=False)
+    allowed(U.Scope("https://wiki.test", exclude=("/team/", "/setup/")), root=True, team=False, setup=False)
+    allowed(U.Scope("https://wiki.test", "sideways"), root=False)
 
 
 def test_relative_depth(spark):
-    urls = ["https://example.com/docs", "https://example.com/docs/guide", "https://example.com/docs/guide/install", "nope"]
-    assert ask(spark, urls, lambda u: U.relative_depth(u, "https://example.com/docs")) == [0, 1, 2, -1]
+    urls = ["https://wiki.test/manual", "https://wiki.test/manual/intro", "https://wiki.test/manual/setup/linux", "see below"]
+    assert ask(spark, urls, lambda u: U.relative_depth(u, "https://wiki.test/manual")) == [0, 1, 2, -1]
 
 
 def test_pattern_keeps_its_quirks(spark):
