@@ -28,11 +28,27 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node with an edge to another one; the root is the smallest node of its component.
 
-    Rounds go on until the edges stay as they are, O(log^2 n) at most; each is written to the shared folder, so a lost
-    executor costs one round.  Loops and edges with a null end are ignored; repeated edges count once.
+    First every node that has a smaller neighbour is hung on its smallest one; what is left to find out is which of those
+    belong together, a much smaller graph where edges lead to hubs.  Its rounds go on until the edges stay as they are,
+    O(log^2 n) at most; each is written to the shared folder, so a lost executor costs one round.  Loops and edges with a
+    null end are ignored; repeated edges count once.
     """
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b and a is not null and b is not null")
-    now = written = cut_lineage(now.distinct(), "components")
+    given = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b and a is not null and b is not null")
+    given = cut_lineage(given.distinct(), "components-given")
+    n = given.count()
+    given = dealt(given, n)
+    hung = dealt(cut_lineage(given.groupBy("a").agg(F.min("b").alias("m")), "components-hung"), n)
+    across = given.join(hung, "a").where("b <> m").select(F.greatest("m", "b").alias("a"), F.least("m", "b").alias("b"))
+    upward = hung.join(given.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", F.col("m").alias("b"))
+    roots = _stars(across.unionAll(upward))
+    hubs = given.select(F.col("b").alias("a"), F.col("b").alias("m")).distinct().join(hung.select("a"), "a", "left_anti")
+    every = hung.unionAll(hubs).join(roots.withColumnRenamed("node", "m"), "m", "left")
+    return every.select(F.col("a").alias("node"), F.coalesce("root", "m").alias("root"))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """``node, root`` of the nodes of an edge table (a, b) with a > b, by alternating large and small stars."""
+    now = written = cut_lineage(edges.distinct(), "components")
     mark = _fingerprint(now)
     while mark[0]:
         # A graph of a few edges takes one task and no shuffle a round; the number of tasks follows its size.
