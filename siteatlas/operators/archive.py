@@ -9,6 +9,7 @@ from siteatlas.functions import html as H
 from siteatlas.functions import text as X
 from siteatlas.functions import urls as U
 from siteatlas.operators import ordered
+from siteatlas.session import cut_lineage
 
 SPAN_SECONDS = 600  # one URL is captured at most once per millisecond
 
@@ -118,6 +119,7 @@ def over_quota(snapshots: DataFrame, limit_bytes: int) -> DataFrame:
     into one day, and there into one second; only that second's rows are put
     in order, chunk by chunk.
     """
+    snapshots = cut_lineage(snapshots, "quota")  # read four times below
     need = snapshots.agg(F.coalesce(F.sum("total_size_bytes"), F.lit(0)) - F.lit(limit_bytes)).scalar()
     rows = snapshots.withColumn("_base", F.lit(0).cast("bigint"))
     day = F.floor(F.unix_micros("captured_at") / 86_400_000_000)

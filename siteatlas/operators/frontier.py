@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,3 +166,36 @@ def depths(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
             break
         reached = reached.unionByName(newest)
     return reached
+
+
+# ---- hooks --------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Hook:
+    """What a stage does to the requests it looks at: change columns, or end the stage for them.
+
+    ``when`` and the values of ``changes`` are SQL expressions or Columns over the
+    request; ``ends`` is aborted, skipped or cancelled.
+    """
+
+    name: str
+    when: str | Column = "true"
+    changes: dict[str, str | Column] = field(default_factory=dict)
+    ends: str | None = None
+
+
+def run_hooks(requests: DataFrame, stage: str, hooks: list[Hook]) -> DataFrame:
+    """Apply a stage's hooks in order and add ``_ended``; what ended a request keeps later hooks off it.
+
+    A hook that cannot be planned fails the stage with its name, as a broken hook does.
+    """
+    column = lambda c: F.expr(c) if isinstance(c, str) else c
+    out = requests.withColumn("_ended", F.lit(None).cast("string"))
+    for hook in hooks:
+        try:
+            active = F.col("_ended").isNull() & F.coalesce(column(hook.when), F.lit(False))
+            new = {c: F.when(active, column(v)).otherwise(F.col(c)) for c, v in hook.changes.items()}
+            out = out.withColumns({**new, "_ended": F.when(active, F.lit(hook.ends)).otherwise(F.col("_ended"))})
+        except Exception as error:  # noqa: BLE001 - a user hook may raise anything
+            raise RuntimeError(f'Hook "{stage}" failed: {error}') from error
+    return out

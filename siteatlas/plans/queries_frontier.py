@@ -146,3 +146,14 @@ def sm_discover(t):
     sitemaps, folder = sitemap_files(t)
     entries = sitemaps.read_sitemap(t.spark, f"{folder}/map*")
     return sitemaps.discovered(entries, U.Scope("https://example.com/"), 25).select("url")
+
+
+@query("pipe_hooks", f"""WITH {CTE_EVENTS} SELECT seq, CASE WHEN retry_count < 3 AND priority < 5 AND priority <> 2 THEN priority + 100 ELSE priority END AS priority,
+  CASE WHEN retry_count >= 3 THEN 'aborted' WHEN priority = 2 THEN 'skipped' WHEN user_id % 10 = 9 THEN 'cancelled' END AS ended FROM ev""")
+def pipe_hooks(t):
+    """Before navigation: give up after three tries, skip a priority, lower others, cancel a user's crawl."""
+    hooks = [frontier.Hook("tries", "retry_count >= 3", ends="aborted"), frontier.Hook("skip", "priority = 2", ends="skipped"),
+             frontier.Hook("later", "priority < 5", changes={"priority": "priority + 100"}),
+             frontier.Hook("stop", "user_id % 10 = 9", ends="cancelled")]
+    done = frontier.run_hooks(t.crawl_events, "beforeNavigate", hooks)
+    return done.select("seq", "priority", F.col("_ended").alias("ended"))
