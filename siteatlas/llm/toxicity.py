@@ -208,6 +208,7 @@ def score(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
 
 def digest(scored: DataFrame) -> DataFrame:
-    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          F.size("sentences").cast("long").alias("n_offending"))
