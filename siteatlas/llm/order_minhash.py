@@ -241,7 +241,8 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 # ---- rounds
 
 def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that lengths and binned counts don't rule out."""
+    """Pairs (a, b) that lengths and binned counts don't rule out; as many Python tasks as the pairs need."""
+    n = pairs.count()
     info = classes.select("node", "n", "bag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
 
     both = (pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bag").alias("bag1")), "a")
             .join(info.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bag").alias("bag2")), "b"))
-    return both.mapInArrow(run, "a binary, b binary")
+    return dealt(both, n, 20_000).mapInArrow(run, "a binary, b binary")
 
 
 def _candidate_texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -272,6 +273,7 @@ def _candidate_texts(docs: DataFrame, classes: DataFrame, members: DataFrame) ->
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) linked by alignment, written out."""
+    n = pairs.count()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             h1, f1 = word_hashes(t.column("t1"))
@@ -281,7 +283,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t1")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("t2")), "b").select("a", "b", "t1", "t2"))
-    return cut_lineage(both.mapInArrow(run, "a binary, b binary"), "near-links")
+    return cut_lineage(dealt(both, n, 1000).mapInArrow(run, "a binary, b binary"), "near-links")
 
 
 def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
