@@ -24,7 +24,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class BulkEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, table_limit: int = 600_000):
+    def __init__(self, path: str, table_limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
