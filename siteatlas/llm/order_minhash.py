@@ -6,10 +6,12 @@ sketch are candidates.  Two classes are linked if their word edit similarity, 1
 alignment decides: an alignment along k-mers that both texts hold once bounds the distance from above, which settles most copies,
 and banded alignment settles the rest.  Classes joined by links are one group.
 
-A sketch's members are not paired with each other.  They are compared with the smallest of them; where that leaves members of
-several groups, with the smallest ones of the next ``CENTERS`` groups, and so on, as long as that gives the sketch a new link.  So
-a group of any size costs a few comparisons for each member and round, and what shares a sketch but nothing else is left soon.  Lengths and word counts in 128 bins bound the distance from below, and settle most
-false candidates without their texts.
+A sketch's members are first compared with the smallest of them, which joins most copies.  In the sketches whose members are still
+in several groups, every two members of different groups are then compared, so no candidate is left out.  Lengths and word counts in
+128 bins bound the distance from below: blocks of members with near lengths are paired inside a worker, and only the pairs that
+these bounds don't rule out become rows.  They are aligned in rounds, some of each two groups at a time, as pairs within a group need
+no test any more; the rounds end when no pair is left.  What stays quadratic is the bounds' test of unlike texts of near lengths that
+share a sketch.
 
 Two texts with k-mer similarity J share a sketch with probability about J^2: with 16 sketches one at least with 0.9992 at 0.6 and
 0.99 at 0.5.  A group of copies needs no more than a chain of such pairs.
@@ -17,13 +19,13 @@ Two texts with k-mer similarity J share a sketch with probability about J^2: wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siteatlas.llm.common import dealt, identified, unpacked, whole_row
 from siteatlas.llm.components import components
@@ -31,8 +33,10 @@ from siteatlas.llm.words import WHITE, WordBatch, grams, mix
 from siteatlas.session import cut_lineage, forget
 
 KMER, SKETCHES, TAKEN, BINS = 5, 16, 2, 128
-# Groups of a sketch whose heads its members are compared with in a round after the first.
-CENTERS = 4
+# Members of a sketch in a block, whose pairs one worker tests; pairs that it tests at once.
+BLOCK, AT_ONCE = 1000, 100_000
+# Pairs of two groups that are aligned in the first round after the centers', and the factor from round to round.
+DRAWN, FASTER = 16, 16
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -231,11 +235,11 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    if any(chained_distance(a, b, k) <= most for k in (KMER, 3)):
-        return True
     words, number = np.unique(np.concatenate([a, b]), return_inverse=True)
     ours, theirs = (np.bincount(x, minlength=len(words)) for x in (number[:len(a)], number[len(a):]))
-    return int(bag_bound(ours, theirs)) <= most and edit_distance(a, b, most) is not None
+    if int(bag_bound(ours, theirs)) > most:
+        return False
+    return any(chained_distance(a, b, k) <= most for k in (KMER, 3)) or edit_distance(a, b, most) is not None
 
 
 # ---- rounds
@@ -293,29 +297,28 @@ def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
     classes = cut_lineage(features.groupBy("node").agg(
         F.min(F.struct("mark", "doc_id")).alias("one"), F.first("n").alias("n"), F.first("bag").alias("bag"),
         F.first("keys").alias("keys")), "near-classes")
-    entries = classes.select("node", F.explode("keys").alias("key"))
+    entries = classes.select("node", "n", F.explode("keys").alias("key"))
     centers = entries.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("z")).where("center <> z")
     centers = cut_lineage(centers.select("key", "center"), "near-centers")
-    members = cut_lineage(entries.join(centers, "key").select("key", "node", "center"), "near-members")
+    members = cut_lineage(entries.join(centers, "key").select("key", "node", "n", "center"), "near-members")
     pairs = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     forget(centers)
     texts = _candidate_texts(docs, classes, members)
-    tested = roots = asked = None
+    drawn = cut_lineage(pairs, "near-pairs")
+    tested = dealt(cut_lineage(_plausible(dealt(drawn), classes, similarity), "near-plausible"))
+    forget(drawn)
+    roots = _merged(dealt(_verified(tested, texts, similarity)), None)
+    due, most = cut_lineage(_open_pairs(members, roots, classes, similarity, tested), "near-open-pairs"), DRAWN
     while True:
-        drawn = cut_lineage(pairs, "near-pairs")
-        pairs = dealt(cut_lineage(_plausible(dealt(drawn), classes, similarity), "near-plausible"))
-        forget(drawn)
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        found = dealt(_verified(pairs, texts, similarity))
-        before, roots = roots, _merged(found, roots)
-        if roots is None:
-            roots = before
+        turns = cut_lineage(_turns(dealt(due), roots, most), "near-turns")
+        forget(due)
+        due = turns
+        if due.isEmpty():
             break
-        if asked is not None:  # a sketch that had its turn and gave no link is done
-            members = members.join(asked.join(found, ["a", "b"]).select("key").distinct(), "key", "left_semi")
-        members, asked, pairs = _next_centers(members, roots, tested)
+        merged = _merged(dealt(_verified(dealt(due.where("turn")), texts, similarity)), roots)
+        roots = roots if merged is None else merged
+        due, most = cut_lineage(due.where("not turn").select("a", "b"), "near-open-pairs"), most * FASTER
+        forget(turns)
     forget(texts)
     rows = features.select("doc_id", "mark", "node")
     if roots is None:
@@ -340,27 +343,103 @@ def _merged(links: DataFrame, roots: DataFrame | None) -> DataFrame | None:
     return cut_lineage(moved.unionByName(found.join(roots, "node", "left_anti")), "near-roots")
 
 
-def _next_centers(members: DataFrame, roots: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches whose members are still in several groups with their last center so far; (key, a, b) of all the comparisons that
-    are due in them; and the distinct pairs of these that are new.
+def _cross(cell: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of a cell's pairs that are in different groups and that lengths and binned counts don't rule out.
 
-    The next centers of a sketch are the smallest members of the next ``CENTERS`` groups.
+    A cell is ``side, n, root, bag`` of its members: those of side 0 are paired with each other, those of 1 with those of 2.
+    """
+    side, n, root, bag = cell
+    allowed = (1 - similarity) * n + 1e-9
+    total = bag.sum(axis=1, dtype=np.int64)
+    found = []
+    rows = np.flatnonzero(side < 2)
+    step = max(1, AT_ONCE // len(n))
+    for begin in range(0, len(rows), step):
+        i = rows[begin:begin + step][:, None]
+        j = np.arange(len(n))[None, :]
+        fits = np.where(side[i] == 0, j > i, side[j] == 2) & (root[i] != root[j]).any(axis=-1)
+        fits &= np.abs(n[i] - n[j]) <= np.maximum(allowed[i], allowed[j]).astype(np.int64)
+        at, to = np.nonzero(fits)
+        at = rows[begin:begin + step][at]
+        # Counts are at most 255, and the larger of both sums of differences is half of this.
+        apart = (np.maximum(bag[at], bag[to]) - np.minimum(bag[at], bag[to])).sum(axis=1, dtype=np.int64)
+        keep = apart + np.abs(total[at] - total[to]) <= 2 * np.maximum(allowed[at], allowed[to]).astype(np.int64)
+        found.append((at[keep], to[keep]))
+    return np.concatenate([x for x, _ in found] or [rows]), np.concatenate([x for _, x in found] or [rows])
+
+
+def _cells(known: DataFrame, similarity: float) -> DataFrame:
+    """``key, low, i, high, j, side, node, root`` of the members of open sketches: blocks whose pairs are to be tested.
+
+    A sketch of ``BLOCK`` members at most is one cell.  A larger one is cut into bands of lengths, a factor of the similarity apart,
+    and these into blocks; two blocks of one band, or of neighbouring bands, are a cell.
     """
-    known = members.join(dealt(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = cut_lineage(known.select("key", "node", "root", "center"), "near-known")
-    heads = known.groupBy("key", "root").agg(F.min("node").alias("head"), F.first("center").alias("center")).where("head > center")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("head"))
-    heads = heads.withColumn("place", place).where(F.col("place") <= CENTERS)
-    heads = dealt(cut_lineage(heads.select("key", "head", F.col("root").alias("head_root")), "near-heads"))
-    due = known.join(heads, "key").where("root <> head_root").select(
-        "key", F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
-    due = dealt(cut_lineage(due, "near-due"))
+    sizes = known.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r"), F.max("root").alias("z"))
+    sizes = cut_lineage(sizes.where("r <> z").select("key", "m"), "near-open")
+    placed = cut_lineage(known.join(dealt(sizes), "key"), "near-placed")
+    # A little wider than needed, so that rounding cannot part two lengths by more than a band.
+    width = math.log(1 / min(max(similarity, 0.01), 0.99)) + 1e-6
+    crowded = placed.where(F.col("m") > BLOCK).withColumn("band", F.floor(F.log("n") / F.lit(width)).cast("int"))
+    parts = crowded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    parts = dealt(cut_lineage(parts, "near-bands"))
+    low = parts.select("key", F.col("band").alias("low"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    high = parts.select("key", F.col("band").alias("high"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    cells = low.join(high, "key").where("high = low and i <= j or high = low + 1")
+    alone = F.expr("low = high and i = j")
+    name = ["key", "low", "i", "high", "j"]
+    ends = cells.select(*name, F.col("low").alias("band"), F.col("i").alias("part"), F.when(alone, 0).otherwise(1).alias("side")).unionAll(
+        cells.where(~alone).select(*name, F.col("high").alias("band"), F.col("j").alias("part"), F.lit(2).alias("side")))
+    dealt_out = crowded.join(parts, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    many = dealt_out.join(ends, ["key", "band", "part"]).select(*name, "side", "node", "n", "root")
+    zero = [F.lit(0).alias(x) for x in (*name[1:], "side")]
+    return placed.where(F.col("m") <= BLOCK).select("key", *zero, "node", "n", "root").unionAll(many)
+
+
+def _open_pairs(members: DataFrame, roots: DataFrame | None, classes: DataFrame, similarity: float, tested: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of one sketch and different groups that the bounds leave, without those tested already.
+
+    Every member has been compared with its center.
+    """
+    known = members.where("node <> center").select("key", "node", "n")
+    if roots is not None:
+        known = known.join(dealt(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        known = known.withColumn("root", F.col("node"))
+    cells = _cells(cut_lineage(known.select("key", "node", "n", "root"), "near-known"), similarity)
+    filled = cells.join(classes.select("node", "bag"), "node").groupBy("key", "low", "i", "high", "j").agg(
+        F.collect_list(F.struct("side", "n", "node", "root", "bag")).alias("cell")).select("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            lists = t.column(0)
+            first = lists.offsets.to_numpy()
+            first, every = first - first[0], lists.flatten()
+            side, n, node, root, bag = (every.field(x) for x in range(5))
+            side, n = side.to_numpy(), n.to_numpy()
+            root = np.frombuffer(b"".join(root.to_pylist()), dtype=np.uint64).reshape(-1, 2)
+            bag = np.frombuffer(b"".join(bag.to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            for x, z in zip(first[:-1], first[1:], strict=True):
+                at, to = _cross((side[x:z], n[x:z], root[x:z], bag[x:z]), similarity)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(x + at)), node.take(pa.array(x + to))], names=["x", "y"])
+
+    pairs = filled.mapInArrow(run, "x binary, y binary").select(
+        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = due.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-    cursor = heads.groupBy("key").agg(F.max("head").alias("center"))
-    rest = cut_lineage(known.drop("center").join(cursor, "key").select("key", "node", "center"), "near-members")
-    forget(known)
-    return dealt(rest), due, pairs
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
+def _turns(due: DataFrame, roots: DataFrame | None, most: int) -> DataFrame:
+    """``a, b, turn`` of the pairs that are still in different groups; about ``most`` of each two groups, and one at least, have their turn."""
+    if roots is None:
+        return due.withColumn("turn", F.lit(True))
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    now = due.join(root("a"), "a", "left").join(root("b"), "b", "left").select(
+        "a", "b", F.coalesce("a_root", "a").alias("r"), F.coalesce("b_root", "b").alias("s")).where("r <> s")
+    now = cut_lineage(now.select("a", "b", F.greatest("r", "s").alias("r"), F.least("r", "s").alias("s"), F.xxhash64("a", "b").alias("h")), "near-due")
+    sizes = cut_lineage(now.groupBy("r", "s").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("least")), "near-due-sizes")
+    turn = (F.col("h") == F.col("least")) | (F.pmod("h", F.ceil(F.col("size") / most)) == 0)
+    return now.join(dealt(sizes), ["r", "s"]).select("a", "b", turn.alias("turn"))
 
 
 def group(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

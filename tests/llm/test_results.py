@@ -218,3 +218,34 @@ def test_pipeline(spark):
     assert set(got) == want
     for (doc, parts), ids in zip(sorted(got.items()), encoded([docs[d] for d in sorted(want)])):
         assert sum(n for _, n, _ in parts) == len(ids) == parts[0][2]
+
+
+def test_copies_in_a_crowded_sketch(spark):
+    """Pairs of near copies among many unlike texts with one passage: found, though they share little else."""
+    prepare(spark)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(40)]
+    docs = []
+    for i in range(150):
+        own = [word() for _ in range(20)]
+        docs.append((2 * i, " ".join([*own[:10], *passage, *own[10:]])))
+        if i % 5 == 0:  # every other word of its own changed
+            own[::2] = [word() for _ in own[::2]]
+            docs.append((2 * i + 1, " ".join([*own[:10], *passage, *own[10:]])))
+    got = {r.doc_id: r.class_id for r in order_minhash.group(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
+def test_cells_pair_all(spark, monkeypatch):
+    """The pairs of a sketch that is cut into bands and blocks, against all pairs of it."""
+    prepare(spark)
+    monkeypatch.setattr(order_minhash, "BLOCK", 7)
+    lengths = [random.Random(4).randrange(5, 60) for _ in range(120)]
+    rows = [(1, bytes([i]), n, bytes([i // 3])) for i, n in enumerate(lengths)]
+    cells = {}
+    for r in order_minhash._cells(spark.createDataFrame(rows, "key long, node binary, n long, root binary"), 0.8).collect():
+        cells.setdefault((r.low, r.i, r.high, r.j), []).append((r.side, r.node[0]))
+    met = [frozenset((x, y)) for c in cells.values() for s, x in c for t, y in c if (s, t) == (1, 2) or s == t == 0 and x < y]
+    want = {frozenset((x, y)) for x in range(120) for y in range(x) if 5 * min(lengths[x], lengths[y]) >= 4 * max(lengths[x], lengths[y])}
+    assert want <= set(met) and len(met) == len(set(met))
