@@ -1,7 +1,7 @@
 """Near duplicates by order MinHash and banded alignment.
 
 Texts with the same words (A-Z as a-z, whatever the blanks) form one class at once.  For each of ``SKETCHES`` hash orders a class is
-sketched by its two smallest five-word k-mers, labelled with their occurrence number and kept in text order; classes that share a
+sketched by its two smallest three-word k-mers, labelled with their occurrence number and kept in text order; classes that share a
 sketch are candidates.  Two classes are linked if their word edit similarity, 1 - distance / longer length, is 0.8 or more, which
 alignment decides: an alignment along k-mers that both texts hold once bounds the distance from above, which settles most copies,
 and banded alignment settles the rest.  Classes joined by links are one group.
@@ -13,8 +13,9 @@ these bounds don't rule out become rows.  They are aligned in rounds, some of ea
 no test any more; the rounds end when no pair is left.  What stays quadratic is the bounds' test of unlike texts of near lengths that
 share a sketch.
 
-Two texts with k-mer similarity J share a sketch with probability about J^2: with 16 sketches one at least with 0.9992 at 0.6 and
-0.99 at 0.5.  A group of copies needs no more than a chain of such pairs.
+Two texts with k-mer similarity J share a sketch with probability about J^2.  Scattered replacements that leave an edit similarity of
+0.8, the threshold, leave a k-mer similarity of 0.34: 40 sketches find such a pair with 0.99, and those above it more surely.  A group
+of copies needs no more than a chain of such pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from siteatlas.llm.components import components
 from siteatlas.llm.words import WHITE, WordBatch, grams, mix
 from siteatlas.session import cut_lineage, forget
 
-KMER, SKETCHES, TAKEN, BINS = 5, 16, 2, 128
+KMER, SKETCHES, TAKEN, BINS = 3, 40, 2, 128
 # Members of a sketch in a block, whose pairs one worker tests; pairs that it tests at once.
 BLOCK, AT_ONCE = 1000, 100_000
 # Pairs of two groups that are aligned in the first round after the centers', and the factor from round to round.
@@ -203,7 +204,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         band = min(most, 4 * band)
 
 
-def chained_distance(a: np.ndarray, b: np.ndarray, kmer: int = KMER) -> int:
+def chained_distance(a: np.ndarray, b: np.ndarray, kmer: int = 5) -> int:
     """Cost of one alignment, so an upper bound of the edit distance: along k-mers that occur once in both texts.
 
     Of these, the ones in the same order on both sides are matched, and each is followed as far as the next one allows;
@@ -239,7 +240,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     ours, theirs = (np.bincount(x, minlength=len(words)) for x in (number[:len(a)], number[len(a):]))
     if int(bag_bound(ours, theirs)) > most:
         return False
-    return any(chained_distance(a, b, k) <= most for k in (KMER, 3)) or edit_distance(a, b, most) is not None
+    return any(chained_distance(a, b, k) <= most for k in (5, 3)) or edit_distance(a, b, most) is not None
 
 
 # ---- rounds
@@ -445,7 +446,7 @@ def _turns(due: DataFrame, roots: DataFrame | None, most: int) -> DataFrame:
 def group(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``doc_id, class_id, class_size, copies`` of every row: the smallest id of its group, the rows in it, and those with its very words.
 
-    Null or empty texts, and texts without words, form one class and have no links.  Texts under five words link only to texts with the
+    Null or empty texts, and texts without words, form one class and have no links.  Texts under three words link only to texts with the
     same words.  Repeated rows and ids: a row each, in the class of their text.  Null ids stay null and name no class, unless
     the whole class has none.  Empty table: no rows.  Other columns are left alone.
     """

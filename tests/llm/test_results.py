@@ -249,3 +249,16 @@ def test_cells_pair_all(spark, monkeypatch):
     met = [frozenset((x, y)) for c in cells.values() for s, x in c for t, y in c if (s, t) == (1, 2) or s == t == 0 and x < y]
     want = {frozenset((x, y)) for x in range(120) for y in range(x) if 5 * min(lengths[x], lengths[y]) >= 4 * max(lengths[x], lengths[y])}
     assert want <= set(met) and len(met) == len(set(met))
+
+
+def test_lone_pairs_at_the_threshold():
+    """Pairs with scattered replacements, at edit similarities of 0.9, 0.85 and 0.8, and short ones, share a sketch."""
+    rng = np.random.default_rng(1)
+    for n, edits, least in ((300, 30, 1), (300, 45, 0.995), (300, 60, 0.98), (30, 6, 0.95), (12, 1, 0.99)):
+        a = rng.integers(1, 2**63, (400, n)).astype(np.uint64)
+        b = a.copy()
+        for row in b:
+            row[rng.choice(n, edits, replace=False)] = rng.integers(1, 2**63, edits).astype(np.uint64)
+        first = np.arange(401) * n
+        shared = order_minhash.sketches(a.ravel(), first) == order_minhash.sketches(b.ravel(), first)
+        assert shared.any(axis=1).mean() >= least, (n, edits)
