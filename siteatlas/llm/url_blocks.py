@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteatlas.functions.html import decode_entities
+from siteatlas.functions.urls import _no_dots
 from siteatlas.llm.components import components
 from siteatlas.session import cut_lineage
 
@@ -39,8 +41,12 @@ def path_of(url: Column) -> Column:
 
 
 def address(url: Column) -> Column:
-    """What names a page: host, path and query without the scheme and fragment; null where there is no host."""
-    return F.transform(F.array(_parts(url)), lambda p: F.when(p["host"] != "", F.concat(p["host"], p["path"], p["query"])))[0]
+    """What names a page: host, path and query without the scheme and fragment; null where there is no host.
+
+    ``.`` and ``..`` in the path are resolved, and an empty path is ``/``.
+    """
+    return F.transform(F.array(_parts(url)), lambda p: F.when(
+        p["host"] != "", F.concat(p["host"], F.when(p["path"] == "", "/").otherwise(_no_dots(p["path"])), p["query"])))[0]
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
@@ -65,7 +71,7 @@ def _longest(host: Column, path: Column, rules) -> Column:
 
 def _attribute(tag: Column, name: str) -> Column:
     value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return F.trim(F.regexp_replace(value, r"""\A["']|["']\z""", ""))
+    return F.trim(decode_entities(F.regexp_replace(value, r"""\A["']|["']\z""", "")))
 
 
 def _absolute(target: Column, url: Column) -> Column:
@@ -110,7 +116,8 @@ def judge(urls: DataFrame, edges: DataFrame, rules=RULES, id_col: str = "page_id
     url = urls[url_col]
     own = urls.select(urls[id_col].alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"))
     own = own.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
-    groups = components(edges)
+    # Ends that callers name in other ways, without the slash of an empty path say, are the same pages.
+    groups = components(edges.select(*[address(F.concat(F.lit("x://"), F.col(x))).alias(x) for x in ("a", "b")]))
     url_of = F.concat(F.lit("x://"), F.col("node"))
     judged = groups.select("node", "root", rule_for(host_of(url_of), path_of(url_of), rules)["verdict"].alias("v"))
     per_root = judged.groupBy("root").agg(F.max(F.col("v") == "allow").alias("allows"), F.max(F.col("v") == "block").alias("blocks"))

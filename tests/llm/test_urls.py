@@ -39,3 +39,13 @@ def test_longest_rule_and_ties(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = [r.verdict for r in url_blocks.judge(df, spark.createDataFrame([], "a string, b string"), rules).orderBy("id").collect()]
     assert got == ["allow", "block", "allow", "allow", "allow", "allow", "allow"]
+
+
+def test_links_written_in_other_ways(spark):
+    """Character references, dots and empty paths: the links still name their pages."""
+    prepare(spark)
+    pages = [(1, "http://a.com/p?a=1&b=2", ""), (2, "http://b.net/1", '<link rel="canonical" href="http://a.com/p?a=1&amp;b=2">'),
+             (3, "http://c.com/x", ""), (4, "http://b.net/2", '<link rel="canonical" href="http://c.com/y/../z/.././x">'),
+             (5, "http://d.com", ""), (6, "http://b.net/3", '<meta http-equiv="refresh" content="0; url=http&#58;//d.com/">')]
+    rows = url_blocks.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.id for r in rows if r.verdict == "block"} == {1, 2, 3, 4, 5, 6}
