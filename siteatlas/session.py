@@ -66,6 +66,10 @@ def _ship(spark: SparkSession) -> None:
     context.addPyFile(target)
 
 
+# Folder made up for a local application whose session names none.
+_OWN_DIR: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named by ``spark.checkpoint.dir``.
 
@@ -74,10 +78,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        named = tempfile.mkdtemp(prefix="siteatlas-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if context.applicationId not in _OWN_DIR:
+            _OWN_DIR[context.applicationId] = tempfile.mkdtemp(prefix="siteatlas-")
+        named = _OWN_DIR[context.applicationId]
     return named.rstrip("/")
 
 
