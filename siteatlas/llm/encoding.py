@@ -33,6 +33,8 @@ class BulkEncoder:
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        # Added tokens are matched as written, before lower case: a piece that spells one in any case is left alone.
+        self.added = [token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -86,7 +88,8 @@ class BulkEncoder:
         heads, tails = [], []
         for word in words.dictionary.to_pylist():
             tail = ""
-            if word.isascii():  # lower case and a closing mark after letters make no difference to the ids
+            if word.isascii() and not (self.added and any(token in word.lower() for token in self.added)):
+                # Lower case, and a closing mark after letters, make no difference to the ids.
                 word = word.lower()
                 if word and word[-1] in ".," and word[:-1].isalpha():
                     word, tail = word[:-1], word[-1]
