@@ -123,6 +123,23 @@ FROM u LEFT JOIN fit ON u.address = fit.address AND u.host = fit.host AND u.path
 """
 
 
+_ALNUM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), {_ALNUM}) AS w FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), {_ALNUM}) AS w
+  FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+q AS (SELECT i, item_id, t, count(*) AS qtf FROM (SELECT i, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+tf AS (SELECT r, doc_id, size, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS size, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(qtf * CAST(floor(1000 * ln(CAST(2 * c.n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+  * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * size * c.n) // c.l)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN df USING (t), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 SQL = {
     "op1_decontamination": DECONTAMINATION,
     "op2_line_runs": LINE_RUNS,
@@ -130,4 +147,5 @@ SQL = {
     "op5_quality_ledger": _quality_sql(),
     "op6_substrings": SUBSTRINGS,
     "op10_url_blocks": _url_sql(),
+    "op11_ranked_search": RANKED,
 }

@@ -14,6 +14,7 @@ from siteatlas.llm import (
     order_minhash,
     packing,
     quality_ledger,
+    ranked_search,
     substrings,
     token_files,
     toxicity,
@@ -70,8 +71,12 @@ def op10_url_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return url_blocks.digest(url_blocks.judge_pages(table(spark, folder, "pages")))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.digest(ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_line_runs, op3_token_files, op4_licenses, op5_quality_ledger, op6_substrings,
-    op7_order_minhash, op8_packing, op9_toxicity, op10_url_blocks)}
+    op7_order_minhash, op8_packing, op9_toxicity, op10_url_blocks, op11_ranked_search)}
 
 SQL: dict[str, str] = checks.SQL
