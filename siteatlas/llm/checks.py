@@ -139,6 +139,51 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_
 FROM s WHERE score > 0 QUALIFY rank <= 10
 """
 
+_LETTER = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+def _share(n: str, size: str, terms: str) -> str:
+    return f"CAST(1 + (1000000000::HUGEINT * ({n} + 5)) // ({size} + 5 * {terms}) AS BIGINT)"
+
+
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), {_LETTER}) AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS t FROM d),
+kept AS (SELECT lang, t FROM t GROUP BY lang, t HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT lang, source, t, count(*) AS n FROM t SEMI JOIN kept USING (lang, t) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(size, 0) AS size FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS size FROM n GROUP BY ALL) USING (lang, source)),
+p AS (SELECT g.lang, g.source, kept.t, coalesce(n.n, 0) AS n, {_share('coalesce(n.n, 0)', 'size', 'v')} AS p
+  FROM g JOIN kept ON kept.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.t = kept.t),
+l AS (SELECT lang, t, {_share('n', 'size', 'v')} AS q FROM (SELECT lang, t, sum(n) AS n FROM n GROUP BY ALL)
+  JOIN (SELECT lang, sum(size) AS size FROM g GROUP BY lang) USING (lang) JOIN v USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sums.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.t AS item, p.p - l.q AS value FROM p JOIN l ON l.lang = p.lang AND l.t = p.t WHERE p.n > 0 AND p.p > l.q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+UNION ALL SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM terms QUALIFY rank <= 50
+"""
+
+_CONTROL_KINDS = (r"<\|[^|>]*\|>", "</?s>", "<</?SYS>>", r"\[/?INST\]", r"\\")
+
+
+def _escaped_size(text: str) -> str:
+    return " + ".join([f"len({text})", *[f"len(regexp_extract_all({text}, {_q(kind)}))" for kind in _CONTROL_KINDS]])
+
+
+CHAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + {_escaped_size('role')} + 3 * len(regexp_extract_all(role, chr(10))) + 1 + {_escaped_size('text')} + 11) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 
 SQL = {
     "op1_decontamination": DECONTAMINATION,
@@ -148,4 +193,6 @@ SQL = {
     "op6_substrings": SUBSTRINGS,
     "op10_url_blocks": _url_sql(),
     "op11_ranked_search": RANKED,
+    "op12_source_divergence": DIVERGENCE,
+    "op13_chat_format": CHAT,
 }

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siteatlas.llm import (
+    chat_format,
     checks,
     decontaminate,
+    divergence,
     licenses,
     line_runs,
     order_minhash,
@@ -75,8 +77,26 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.digest(ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.digest(divergence.audit(table(spark, folder, "documents")))
+
+
+# A conversation whose texts are control strings.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """The given turns and the probe, as records of four layouts, formatted into files and read back from them."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    path = scratch_path(spark, "chat")
+    chat_format.write(chat_format.convert(chat_format.as_records(turns.unionByName(probe))), path)
+    return chat_format.digest(spark.read.parquet(path))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_line_runs, op3_token_files, op4_licenses, op5_quality_ledger, op6_substrings,
-    op7_order_minhash, op8_packing, op9_toxicity, op10_url_blocks, op11_ranked_search)}
+    op7_order_minhash, op8_packing, op9_toxicity, op10_url_blocks, op11_ranked_search,
+    op12_source_divergence, op13_chat_format)}
 
 SQL: dict[str, str] = checks.SQL

@@ -40,7 +40,7 @@ def crc(ids):
 @pytest.mark.parametrize("name", sorted(checks.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.execute(checks.SQL[name])
     columns = [d[0] for d in want.description]
