@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siteatlas.functions.bind import let, let_all
+from siteatlas.functions.literals import alternatives, contains_any
 
 # ---- fixed values -----------------------------------------------------------
 TRACKING_PARAMS = [
@@ -69,15 +70,6 @@ HTTP_URL = r"(?is)^\s*(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 ANY_SCHEME = r"(?is)^\s*([a-z][a-z0-9+.\-]*):"
 
 
-def contains_any(text: Column, parts: list[str]) -> Column:
-    """True where ``text`` holds at least one of the literal ``parts``."""
-    hits = [F.contains(text, F.lit(p)) for p in parts]
-    found = hits[0]
-    for hit in hits[1:]:
-        found = found | hit
-    return found
-
-
 def _piece(url: Column, group: int) -> Column:
     return F.regexp_extract(url, HTTP_URL, group)
 
@@ -258,14 +250,16 @@ def _is_pattern(text: str) -> bool:
 
 def matches_any(url: Column, patterns: tuple[str, ...]) -> Column:
     """OR over patterns: ``/re/`` is a regular expression, the rest, and invalid ones, are substrings."""
-    found = F.lit(False)
+    literals, expressions = [], []
     for text in patterns:
-        hit = F.contains(url, F.lit(text))
-        if text.startswith("/") and text.endswith("/"):
-            body = text[1:-1]
-            if _is_pattern(body):
-                hit = url.rlike(body) if body else F.lit(True)
-        found = found | hit
+        body = text[1:-1] if text.startswith("/") and text.endswith("/") else None
+        if body is None or not _is_pattern(body):
+            literals.append(text)
+        else:
+            expressions.append(body)
+    found = contains_any(url, literals) if literals else F.lit(False)
+    for body in alternatives(expressions):
+        found = found | (url.rlike(body) if body else F.lit(True))
     return found
 
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteatlas.functions import html as H
 from siteatlas.functions import text as X
 from siteatlas.functions import urls as U
-from siteatlas.operators import ordered
+from siteatlas.operators import neardup, ordered
 from siteatlas.operators.structure import staged
-from siteatlas.session import cut_lineage, forget
+from siteatlas.session import cut_lineage
 
 
 def first_per_url(requests: DataFrame, order: list[str]) -> DataFrame:
@@ -101,8 +99,8 @@ def _score(k: Column) -> Column:
     return X.fingerprint_similarity(a, b)
 
 
-def _class_neighbours(classes: DataFrame, reach: int) -> DataFrame:
-    """(class a, class b) of one title within ``reach``: at most 9 grid cells each.
+def _class_neighbours(classes: DataFrame, others: DataFrame, reach: int) -> DataFrame:
+    """(class a, other class b) of one title within ``reach``: at most 9 grid cells each.
 
     Pairs of classes, not of pages; a class has a bounded number of them.
     """
@@ -115,7 +113,7 @@ def _class_neighbours(classes: DataFrame, reach: int) -> DataFrame:
     a = (classes.select("title", F.col("links").alias("a_links"), F.col("forms").alias("a_forms"), cell("links").alias("_l"),
                         cell("forms").alias("_f"), F.explode(around).alias("d"))
          .select("title", "a_links", "a_forms", (F.col("_l") + F.col("d.dl")).alias("_l"), (F.col("_f") + F.col("d.df")).alias("_f")))
-    b = classes.select("title", F.col("links").alias("b_links"), F.col("forms").alias("b_forms"), cell("links").alias("_l"),
+    b = others.select("title", F.col("links").alias("b_links"), F.col("forms").alias("b_forms"), cell("links").alias("_l"),
                        cell("forms").alias("_f"))
     apart = F.abs(F.col("a_links") - F.col("b_links")) + F.abs(F.col("a_forms") - F.col("b_forms"))
     return a.join(b, ["title", "_l", "_f"]).where((apart <= reach) & (apart > 0)).drop("_l", "_f")
@@ -127,45 +125,20 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.85) -> DataFrame:
     Eager: it runs its rounds when called.
 
     The rule is sequential: a page is dropped if its structure was kept before
-    or an earlier kept page scores at least ``threshold``.  Each round settles,
-    in parallel over all titles, every class whose next page has no undecided
-    earlier page in the classes around it, then drops what the new kept pages
-    cover.  Every round settles a class of each open title at least, so they end
-    by themselves.  Returns prints plus kept, reason ('structure' or 'similar'),
-    similar_to (first kept page that covers it) and score.
+    or an earlier kept page scores at least ``threshold``.  ``neardup.settle``
+    finds the kept pages of all titles in few rounds, however long the chains
+    of pages are that depend on each other.  ``seq`` numbers the pages; a null
+    title is a title of its own.  Returns prints plus kept, reason ('structure'
+    or 'similar'), similar_to (first kept page that covers it) and score.
     """
     reach = max_distance(threshold)
     prints = cut_lineage(prints, "near-prints")
+    named = prints.withColumn("title", F.coalesce("title", F.lit("")))
     # Identical fingerprints share the fate of their first page, except that the
     # first may be kept; they are joined back at the end.
-    points = prints.groupBy(*CLASS, "length").agg(F.min("seq").alias("seq"))
-    open_points = cut_lineage(points, "near-open")
-    classes = open_points.select(*CLASS).distinct()
-    near = cut_lineage(_class_neighbours(classes, reach), "near-classes")
-    kept = prints.sparkSession.createDataFrame([], open_points.schema)
-    for number in count(1):
-        heads = open_points.groupBy(*CLASS).agg(F.min(F.struct("seq", "length")).alias("h")).select(
-            *CLASS, F.col("h.seq").alias("seq"), F.col("h.length").alias("length"))
-        earlier = heads.select(F.col("title"), F.col("links").alias("b_links"), F.col("forms").alias("b_forms"),
-                               F.col("seq").alias("b_seq"))
-        waits = (near.join(earlier, ["title", "b_links", "b_forms"])
-                 .groupBy("title", F.col("a_links").alias("links"), F.col("a_forms").alias("forms"))
-                 .agg(F.min("b_seq").alias("first_open")))
-        fresh = (heads.join(waits, CLASS, "left")
-                 .where(F.col("first_open").isNull() | (F.col("seq") < F.col("first_open"))).select(*points.columns))
-        fresh = cut_lineage(fresh, "near-fresh")
-        if fresh.isEmpty():
-            break
-        kept = kept.unionByName(fresh)
-        if number % 16 == 0:
-            kept = cut_lineage(kept, "near-kept")
-        cover = _cover(near, fresh)
-        rest = open_points.join(cover, CLASS, "left")
-        covered = F.coalesce(F.exists("cover", lambda k: (k["seq"] <= F.col("seq")) & (
-            ((k["links"] == F.col("links")) & (k["forms"] == F.col("forms")))
-            | (_score(k) >= threshold))), F.lit(False))
-        before, open_points = open_points, cut_lineage(rest.where(~covered).select(*points.columns), "near-open")
-        forget(before)
+    points = named.groupBy(*CLASS, "length").agg(F.min("seq").alias("seq"))
+    kept, _ = neardup.settle(points, threshold, reach)
+    near = _class_neighbours(points.select(*CLASS).distinct(), kept.select(*CLASS).distinct(), reach)
     return _explained(prints, near, kept, threshold)
 
 
@@ -181,7 +154,9 @@ def _cover(near: DataFrame, kept: DataFrame) -> DataFrame:
 
 def _explained(prints: DataFrame, near: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
     """Attach to every page the kept page that decides it."""
-    joined = prints.join(_cover(near, kept), CLASS, "left")
+    cover = _cover(near, kept).withColumnsRenamed({c: f"_{c}" for c in CLASS})
+    same_class = (F.coalesce(prints["title"], F.lit("")) == F.col("_title")) & (prints["links"] == F.col("_links")) & (prints["forms"] == F.col("_forms"))
+    joined = prints.join(cover, same_class, "left")
     earlier = F.filter("cover", lambda k: k["seq"] < F.col("seq"))
     same = F.exists(earlier, lambda k: (k["links"] == F.col("links")) & (k["forms"] == F.col("forms")))
     similar = F.array_min(F.transform(F.filter(earlier, lambda k: _score(k) >= threshold), lambda k: F.struct(

@@ -199,11 +199,8 @@ def stored(t):
 
 @query("ckpt_save", "SELECT '007' AS id, count(*) FILTER (page_id % 3 < 1) AS visited, count(*) FILTER (page_id % 3 >= 1) AS queued FROM pages UNION ALL SELECT '7', count(*) FILTER (page_id % 3 < 2), count(*) FILTER (page_id % 3 >= 2) FROM pages")
 def ckpt_save(t):
-    folder = stored(t)
-    ids = [row["id"] for row in tables.list_checkpoints(t.spark, folder).collect()]
-    one = [tables.load_checkpoint(t.spark, folder, "visited", i).agg(F.count(F.lit(1)).alias("visited")).join(
-        tables.load_checkpoint(t.spark, folder, "queue", i).agg(F.count(F.lit(1)).alias("queued"))).select(F.lit(i).alias("id"), "visited", "queued") for i in ids]
-    return one[0].unionByName(one[1])
+    sizes = tables.checkpoint_sizes(t.spark, stored(t), ("visited", "queue"))
+    return sizes.select("id", "visited", F.col("queue").alias("queued"))
 
 
 @query("ckpt_load", "SELECT 'latest' AS asked, page_id FROM pages WHERE page_id % 3 < 2 UNION ALL SELECT '007', page_id FROM pages WHERE page_id % 3 < 1")
@@ -217,10 +214,9 @@ def ckpt_load(t):
 def ckpt_list(t):
     """A checkpoint for each of four crawls, taken at the crawl's last event."""
     folder = tables.scratch(t.spark, "state")
-    crawls = t.events.groupBy((F.col("event_id") % 4).cast("string").alias("id")).agg(F.max("ts").alias("at"))
-    for row in crawls.orderBy("id").select("id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).collect():
-        visited = t.events.where((F.col("event_id") % 4).cast("string") == row["id"]).select("event_id")
-        tables.save_checkpoint({"visited": visited}, folder, row["id"], row["at"])
+    rows = t.events.select((F.col("event_id") % 4).cast("string").alias("checkpoint_id"), "event_id", "ts")
+    taken = rows.groupBy(F.col("checkpoint_id").alias("id")).agg(F.max("ts").alias("taken_at"))
+    tables.save_checkpoints({"visited": rows.select("checkpoint_id", "event_id")}, folder, taken)
     return tables.list_checkpoints(t.spark, folder).select("id", F.unix_micros("taken_at").alias("taken_us"))
 
 

@@ -103,8 +103,9 @@ MAPS = """SELECT page_id, concat('https://example.com/s/', CAST(page_id % 120 AS
 def sitemap_files(t):
     """Sitemap files, an index and an index that it lists, written from the given pages.
 
-    The index names a map, a nested index, a file that is not there and more
-    than ten files; the nested one names itself's parent and two maps.
+    An index is a file for every thousand pages.  It names a map, a nested index,
+    files that are not there and more than ten files in all; the nested one names
+    its parent and two maps.
     """
     from siteatlas.sources import sitemaps, tables
 
@@ -112,13 +113,13 @@ def sitemap_files(t):
     rows = t.spark.sql(MAPS, pages=t.pages)
     urls = rows.select("part", "page_id", F.struct(F.concat(F.lit(" "), F.col("loc"), F.lit(" ")).alias("loc"), F.lit("2024-01-02").alias("lastmod"), "priority").alias("u"))
     for part in range(8):
-        urls.where(F.col("part") == part).coalesce(1).sortWithinPartitions(F.desc("page_id")).select("u.*").write.format("xml").option(
+        urls.where(F.col("part") == part).repartitionByRange(F.desc("page_id")).sortWithinPartitions(F.desc("page_id")).select("u.*").write.format("xml").option(
             "rootTag", "urlset").option("rowTag", "url").save(f"{folder}/map{part}")
-    for name, rule in (("index", "CASE page_id WHEN 0 THEN 'map1' WHEN 1 THEN 'nested' WHEN 2 THEN 'map2' WHEN 10 THEN 'map5' ELSE concat('none', CAST(page_id AS STRING)) END"),
-                       ("nested", "CASE page_id WHEN 0 THEN 'map4' WHEN 1 THEN 'index' ELSE 'map1' END")):
-        listed = t.pages.where("page_id < 20").selectExpr("page_id", f"concat('https://example.com/', {rule}) AS loc")
-        listed.repartition(1).sortWithinPartitions("page_id").select("loc").write.format("xml").option(
-            "rootTag", "sitemapindex").option("rowTag", "sitemap").save(f"{folder}/{name}")
+    for name, rule in (("index", "CASE page_id % 1000 WHEN 0 THEN 'map1' WHEN 1 THEN 'nested' WHEN 2 THEN 'map2' WHEN 10 THEN 'map5' ELSE concat('none', CAST(page_id AS STRING)) END"),
+                       ("nested", "CASE page_id % 1000 WHEN 0 THEN 'map4' WHEN 1 THEN 'index' ELSE 'map1' END")):
+        listed = t.pages.selectExpr("page_id", "floor(page_id / 1000) AS block", f"concat('https://example.com/', {rule}) AS loc")
+        listed.repartition("block").sortWithinPartitions("block", "page_id").select("block", "loc").write.format("xml").option(
+            "rootTag", "sitemapindex").option("rowTag", "sitemap").partitionBy("block").save(f"{folder}/{name}")
     return sitemaps, folder
 
 

@@ -12,7 +12,7 @@ from siteatlas.plans.queries_stats import BUCKETS
 from siteatlas.plans.queries_windows import STREAK
 from siteatlas.session import cut_lineage, scratch_path
 from siteatlas.sources import standins
-from siteatlas.streaming import jobs
+from siteatlas.streaming import jobs, limits, listeners, seen
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -97,7 +97,36 @@ def st_metrics(t):
 
 @query("st_dedup", f"WITH {CTE_EVENTS} SELECT DISTINCT url AS normalized FROM ev")
 def st_dedup(t):
-    return jobs.run(jobs.first_sightings(crawl_stream(t).select("url", "event_time")), path_for(t, "first")).select("normalized")
+    """Events in six files out of order, one in a micro-batch; the seen table is merged on the way."""
+    folder = path_for(t, "asked")
+    t.read("events").repartition(6, F.col("event_id") % 97).write.parquet(folder)
+    asked = crawl_stream(t, jobs.read_files(t.spark, folder, EVENTS, per_trigger=1).withColumn("ts", F.col("ts").cast("timestamp")))
+    return seen.store_first_sightings(asked.select("seq", "url"), path_for(t, "first"), ["seq"], merge_every=2).select("normalized")
+
+
+LISTENED = ", ".join(f"('{name}', '{kind}')" for kind, name in listeners.PAGE_EVENTS.items())
+
+
+@query("ev_listeners", f"""WITH {CTE_EVENTS}, e AS (SELECT seq % 3 AS batch, kind FROM ev), n(event, kind) AS (VALUES {LISTENED})
+  SELECT batch, event, count(*) FILTER (e.kind = n.kind) AS rows FROM e, n GROUP BY ALL
+  UNION ALL SELECT batch, 'crawl:progress', count(*) FROM e GROUP BY batch UNION ALL SELECT batch, 'rows written', count(*) FROM e WHERE kind <> 'skip' GROUP BY batch
+  UNION ALL SELECT b, x, CASE x WHEN 'crawl:completed' THEN 1 END FROM range(3) r(b), (VALUES ('crawl:started'), ('crawl:completed')) v(x)""")
+def ev_listeners(t):
+    """Three runs of a crawl stream, a batch each, with a listener on it: what it heard, beside the rows that the batches wrote."""
+    folder, path, heard = path_for(t, "arriving"), path_for(t, "listened"), listeners.Listeners()
+    for part in range(3):
+        t.read("events").where(F.col("event_id") % 3 == part).write.mode("append").parquet(folder)
+        raw = jobs.read_files(t.spark, folder, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+
+        def write(batch, number):
+            batch.where("kind <> 'skip'").select("seq", "kind").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+        listeners.run_listened(crawl_stream(t, raw), path, heard, write)
+    events = t.spark.read.schema(listeners.EVENT_ROWS).parquet(f"{path}/events")
+    runs = events.groupBy("run").agg(F.max("batch").alias("_batch"))
+    told = events.join(runs, "run").select(F.coalesce("batch", "_batch").alias("batch"), "event", "rows")
+    written = t.spark.read.parquet(f"{path}/rows").groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("rows"))
+    return told.unionByName(written.select("batch", F.lit("rows written").alias("event"), "rows"))
 
 
 @query("st_block", f"""WITH {STREAK}, b AS (SELECT *, count(*) FILTER (kind = 'challenge') OVER (PARTITION BY domain ORDER BY seq) AS challenges,
@@ -139,7 +168,7 @@ def st_rate_limit(t):
     def start(folder):
         asked = jobs.read_files(t.spark, folder, EVENTS).select(
             F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_time"))
-        return jobs.run(jobs.rate_limits(asked, 3, 86_400_000, idle_ms=43_200_000), path)
+        return limits.store_rate_limits(asked, path, 3, 86_400_000, idle_ms=43_200_000, chunk_rows=1000)
 
     return in_turns(t, t.read("events"), "event_id", "requests", start)
 
@@ -151,7 +180,7 @@ def st_snapshots(t):
     path = path_for(t, "history")
 
     def start(folder):
-        return jobs.store_with_previous(jobs.snapshot_stream(jobs.read_files(t.spark, folder, pages.schema)), path)
+        return jobs.store_with_previous(jobs.snapshot_stream(jobs.read_files(t.spark, folder, pages.schema)), path, merge_every=2)
 
     return in_turns(t, pages, "seq", "captured", start, late=True).select("snapshot_id", "previous_snapshot_id", "previous_content_hash")
 

@@ -55,21 +55,34 @@ def robots_rules(bodies: DataFrame, agent: str = "*") -> DataFrame:
     return found.select("host", rules.alias("rules"), delay.alias("crawl_delay_ms"), values("sitemap").alias("sitemaps"))
 
 
-def allowed(path: Column, rules: Column) -> Column:
-    """Whether the longest matching rule allows ``path``; no rules allow all."""
-    hits = F.filter(rules, lambda r: F.startswith(path, r["path"]))
-    return F.coalesce(let(hits, lambda all_of: F.try_element_at(all_of, F.lit(-1)))["allow"], F.lit(True))
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(host, prefix, size, allow): one row per rule path of a host, the later line counting among equals.
+
+    A path of a host is then decided by its longest prefix in this table.
+    """
+    every = rules.select("host", F.inline("rules"))
+    return every.groupBy("host", F.col("path").alias("prefix")).agg(
+        F.first("length").alias("size"), F.max_by("allow", "line").alias("allow"))
 
 
 def mark_allowed(requests: DataFrame, rules: DataFrame, name: str = "robots_allowed") -> DataFrame:
-    """Add whether robots.txt of the URL's host allows each request.
+    """Add whether robots.txt of the URL's host allows each request: the longest matching rule decides, no rule allows.
 
-    One equi join per host; a host with many URLs is split by AQE, and the
-    prefix test runs inside the row instead of as a join condition.
+    Every distinct path of a host is cut to the few lengths that rules of that
+    host have, and looked up by equality, so the work follows the requests and
+    not requests times rules.  Lengths are as many as there are distinct ones,
+    never the rules themselves; a host with many URLs is split by AQE.
     """
-    hosted = requests.withColumn("_host", U.hostname(F.col("url")))
-    joined = hosted.join(rules.select(F.col("host").alias("_host"), "rules"), "_host", "left")
-    return joined.withColumn(name, allowed(U.path(F.col("url")), F.col("rules"))).drop("_host", "rules")
+    hosted = requests.withColumns({"_host": U.hostname(F.col("url")), "_path": U.path(F.col("url"))})
+    index = rule_index(rules)
+    sizes = index.groupBy(F.col("host").alias("_host")).agg(F.collect_set("size").alias("_sizes"))
+    paths = hosted.select("_host", "_path").distinct().join(sizes, "_host")
+    probes = paths.select("_host", "_path", F.explode(F.filter("_sizes", lambda n: n <= F.length("_path"))).alias("size"))
+    probes = probes.withColumn("prefix", F.substring("_path", F.lit(1), F.col("size")))
+    hits = probes.join(index.select(F.col("host").alias("_host"), "prefix", "allow"), ["_host", "prefix"])
+    told = hits.groupBy("_host", "_path").agg(F.max_by("allow", "size").alias("_allow"))
+    joined = hosted.join(told, ["_host", "_path"], "left")
+    return joined.select(*requests.columns, F.coalesce("_allow", F.lit(True)).alias(name))
 
 
 def crawl_delay(rules: DataFrame, configured_ms: int) -> DataFrame:

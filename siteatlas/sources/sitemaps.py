@@ -18,7 +18,7 @@ def read_sitemap(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ``at`` is its place: rows of one split come in file order, and splits are
     told apart by where they begin.
     """
-    raw = spark.read.format("xml").option("rowTag", "url").schema(ENTRY).load(paths)
+    raw = spark.read.format("xml").option("rowTag", "url").option("recursiveFileLookup", "true").schema(ENTRY).load(paths)
     rows = raw.select(
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("at"),
@@ -34,7 +34,7 @@ def read_index(spark: SparkSession, paths: str | list[str], first: int = 10) ->
     The source gives no record number; file order is the order of the rows of
     one split, which an index file (50,000 entries at most by the protocol) is.
     """
-    raw = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(paths)
+    raw = spark.read.format("xml").option("rowTag", "sitemap").option("recursiveFileLookup", "true").schema("loc string").load(paths)
     numbered = raw.select(F.col("_metadata.file_path").alias("file"), X.trimmed(F.col("loc")).alias("url"),
                           F.monotonically_increasing_id().alias("_n"))
     rank = F.row_number().over(Window.partitionBy("file").orderBy("_n"))

@@ -45,6 +45,38 @@ def save_checkpoint(state: dict[str, DataFrame], path: str, checkpoint_id: str,
     mark.write.mode("overwrite").parquet(f"{path}/checkpoints/checkpoint_id={checkpoint_id}")
 
 
+def save_checkpoints(state: dict[str, DataFrame], path: str, taken: DataFrame) -> None:
+    """Store the state of many crawls in one pass a table: rows with ``checkpoint_id``; ``taken`` holds (id, taken_at)."""
+    for name, table in state.items():
+        _write_partitions(table, f"{path}/{name}")
+    marks = taken.select(F.col("id").cast("string").alias("id"), F.col("taken_at").cast("timestamp").alias("taken_at"))
+    _write_partitions(marks.withColumn("checkpoint_id", F.col("id")), f"{path}/checkpoints")
+
+
+def _write_partitions(rows: DataFrame, path: str) -> None:
+    """Other checkpoints in the table stay; a hot one spans tasks and files."""
+    wrong = F.raise_error(F.concat(F.lit("not a checkpoint id: "), F.coalesce("checkpoint_id", F.lit("null"))))
+    valid = F.coalesce(F.col("checkpoint_id").rlike(r"^[A-Za-z0-9_.-]+$"), F.lit(False))
+    named = rows.withColumn("checkpoint_id", F.when(valid, F.col("checkpoint_id")).otherwise(wrong)).hint("rebalance", "checkpoint_id")
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("checkpoint_id").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """A state table with its ids as text."""
+    stored = spark.read.parquet(path)
+    text_id = T.StructType([T.StructField("checkpoint_id", T.StringType()) if f.name == "checkpoint_id" else f for f in stored.schema])
+    return spark.read.schema(text_id).parquet(path)
+
+
+def checkpoint_sizes(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """(id, taken_at, rows of each named table) of the stored checkpoints, in one pass a table."""
+    out = list_checkpoints(spark, path)
+    for name in names:
+        rows = _stored(spark, f"{path}/{name}").groupBy(F.col("checkpoint_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
+        out = out.join(rows, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
 def list_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """(id, taken_at) of the stored checkpoints."""
     return spark.read.parquet(f"{path}/checkpoints").where(F.col("id").isNotNull()).select("id", "taken_at")
@@ -61,10 +93,7 @@ def load_checkpoint(spark: SparkSession, path: str, name: str, checkpoint_id: st
     Ids are text: ``007`` and ``7`` are two checkpoints, so the partition column is not inferred.
     """
     wanted = checkpoint_id or latest_checkpoint(spark, path)
-    stored = spark.read.parquet(f"{path}/{name}")
-    text_id = T.StructType([T.StructField("checkpoint_id", T.StringType()) if f.name == "checkpoint_id" else f for f in stored.schema])
-    rows = spark.read.schema(text_id).parquet(f"{path}/{name}")
-    return rows.where(F.col("checkpoint_id") == F.lit(wanted)).drop("checkpoint_id")
+    return _stored(spark, f"{path}/{name}").where(F.col("checkpoint_id") == F.lit(wanted)).drop("checkpoint_id")
 
 
 def delete_checkpoint(spark: SparkSession, path: str, checkpoint_id: str, names: tuple[str, ...] = STATE_TABLES) -> None:

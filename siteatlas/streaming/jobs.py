@@ -20,8 +20,6 @@ from siteatlas.functions import urls as U
 from siteatlas.operators import archive, blocks, ordered, stats
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# How long a URL is remembered as seen: state is dropped this long after its last event time.
-REMEMBERED = "30 days"
 # Files of one micro-batch; what a batch holds of a key bounds a stateful task's frame.
 PER_TRIGGER = 64
 
@@ -72,6 +70,11 @@ def _newest(spark: SparkSession, keys: list[str], path: str) -> DataFrame:
     return newest.select(*keys, "_v.*")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def drop_batches(spark: SparkSession, path: str, before: int) -> None:
     """Delete the ``batch=`` folders with a smaller number."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -83,6 +86,30 @@ def drop_batches(spark: SparkSession, path: str, before: int) -> None:
                 files.delete(entry.getPath(), True)
 
 
+def merge_batches(spark: SparkSession, folder: str, number: int, every: int, write: Callable[[str], None]) -> None:
+    """At the start of every ``every``-th batch: one folder in place of those of all earlier batches.
+
+    ``write(target)`` writes what ``earlier`` gives.  Where a merge was cut short it is done again, as the folder counts once it is
+    complete; only then the others go.  Rows that are in both meanwhile must do no harm.
+    """
+    if not number or number % every:
+        return
+    target = f"{folder}/kind=merged/batch={number - 1}"
+    if not exists(spark, f"{target}/_SUCCESS"):
+        write(target)
+    drop_batches(spark, f"{folder}/kind=update", number)
+    drop_batches(spark, f"{folder}/kind=merged", number - 1)
+
+
+def earlier(spark: SparkSession, folder: str, schema: str, number: int, merging: bool = False) -> DataFrame:
+    """Rows of the batches before ``number``, with kind and batch; while ``merging``, without the folder that is being made."""
+    schema = f"{schema}, kind string, batch int"
+    if not exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(folder).where(F.col("batch") < number)
+    return rows.where(~((F.col("kind") == "merged") & (F.col("batch") == number - 1))) if merging else rows
+
+
 # ---- aggregates ------------------------------------------------------------------
 
 def usage_windows(records: DataFrame, late: str = "1 minute") -> DataFrame:
@@ -119,12 +146,6 @@ def metrics(observations: DataFrame) -> DataFrame:
     return stats.histogram(observations)
 
 
-def first_sightings(requests: DataFrame, late: str = REMEMBERED) -> DataFrame:
-    """Requests whose normalized URL was not seen within ``late``."""
-    named = requests.withColumn("normalized", U.normalize(F.col("url")))
-    return named.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["normalized"])
-
-
 # ---- block signals -----------------------------------------------------------------
 
 def store_block_signals(events: DataFrame, path: str, threshold: int = 5, chunk_rows: int = ordered.CHUNK_ROWS) -> DataFrame:
@@ -233,97 +254,49 @@ def similarity_decisions(prints: DataFrame, threshold: float = 0.85, memory: int
         SimilarityMemory(threshold, memory), "seq bigint, decision string", "append", "none")
 
 
-# ---- rate limits -------------------------------------------------------------------------
-
-class TokenBucket(StatefulProcessor):
-    """Tokens of one key, refilled with time; an idle key starts full again.
-
-    An event-time timer drops the state of idle keys, so it stays bounded; the
-    result does not depend on when that happens.
-    """
-
-    def __init__(self, most: int, window_ms: int, idle_ms: int):
-        self.most, self.rate, self.idle_ms = most, most / window_ms, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.bucket = handle.getValueState("bucket", "tokens double, at bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows)
-        known = self.bucket.exists()
-        tokens, at = self.bucket.get() if known else (float(self.most), int(batch["ms"].iloc[0]))
-        allowed, left = [], []
-        for now in batch["ms"].tolist():
-            tokens = float(self.most) if now - at > self.idle_ms else min(float(self.most), tokens + (now - at) * self.rate)
-            at = now
-            allowed.append(tokens >= 1)
-            tokens -= 1 if tokens >= 1 else 0
-            left.append(tokens)
-        self.bucket.update((float(tokens), int(at)))
-        if not known:
-            self.handle.registerTimer(int(at) + self.idle_ms)
-        yield pd.DataFrame({"seq": batch["seq"].to_numpy(), "allowed": allowed, "remaining": np.floor(left).astype("int64")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, at = self.bucket.get()
-        due = int(at) + self.idle_ms
-        if due <= expiredTimerInfo.getExpiryTimeInMs():
-            self.bucket.clear()
-        else:
-            self.handle.registerTimer(due)
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limits(requests: DataFrame, most: int, window_ms: int, idle_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
-    """(seq, allowed, remaining) of requests with key, seq, event_time."""
-    timed = requests.withWatermark("event_time", late).select(
-        "key", "seq", "event_time", F.floor(F.unix_micros("event_time") / 1000).cast("bigint").alias("ms"))
-    return timed.groupBy("key").transformWithStateInPandas(
-        TokenBucket(most, window_ms, idle_ms), "seq bigint, allowed boolean, remaining bigint", "append", "eventTime")
-
-
 # ---- snapshots ---------------------------------------------------------------------------------
 
-def store_with_previous(snapshots: DataFrame, path: str) -> DataFrame:
+def store_with_previous(snapshots: DataFrame, path: str, merge_every: int = 10) -> DataFrame:
     """Append snapshots with the hash and id of the URL's previous one by capture time.
 
     A late snapshot takes the last one before it, and the one after it is
     written again with the late one as its previous; of the versions of a row the
     newest counts.  Rows are laid out by the first digits of the URL hash; a
-    batch reads the buckets of its URLs only.
+    batch reads the buckets of its URLs only.  Before every ``merge_every``-th batch the folders of the earlier ones are merged, so
+    their number stays bounded.
     """
     spark = snapshots.sparkSession
     fields = ["snapshot_id", "content_hash"]
-    old = {"previous_snapshot_id": F.lit(""), "previous_content_hash": F.lit("")}
-    schema = snapshots.withColumns({**old, "bucket": F.lit(""), "batch": F.lit(0)}).schema
+    old = {"previous_snapshot_id": F.lit(""), "previous_content_hash": F.lit(""), "bucket": F.lit("")}
+    layout = snapshots.withColumns(old).schema
+    schema, columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout), layout.fieldNames()
 
     def write(batch: DataFrame, number: int) -> None:
+        def merge(target: str) -> None:
+            newest = _newest_versions(earlier(spark, f"{path}/rows", schema, number, merging=True)).select(*columns)
+            newest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+
+        merge_batches(spark, f"{path}/rows", number, merge_every, merge)
         fresh = batch.withColumns({"bucket": bucket_of("page_url_hash"), "_new": F.lit(True), "_was": F.lit(None).cast("string")})
         if number:
             buckets = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # 256 at most
-            stored = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-            stored = _newest_versions(stored.where(F.col("bucket").isin(buckets) & (F.col("batch") < number)))
+            stored = _newest_versions(earlier(spark, f"{path}/rows", schema, number).where(F.col("bucket").isin(buckets)))
             related = stored.join(fresh.select("page_url_hash").distinct(), "page_url_hash", "left_semi")
             fresh = fresh.unionByName(related.select(*snapshots.columns, "bucket", F.lit(False).alias("_new"),
                                                      F.col("previous_snapshot_id").alias("_was")))
         linked = archive_previous(fresh, fields)
         changed = linked.where(F.col("_new") | ~F.col("_p.snapshot_id").eqNullSafe(F.col("_was")))
         out = changed.select(*snapshots.columns, F.col("_p.snapshot_id").alias("previous_snapshot_id"),
-                             F.col("_p.content_hash").alias("previous_content_hash"), "bucket", F.lit(number).alias("batch"))
-        out.drop("batch").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={number}")
+                             F.col("_p.content_hash").alias("previous_content_hash"), "bucket")
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/kind=update/batch={number}")
 
     run_batches(snapshots, path, write)
-    stored = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-    return _newest_versions(stored).drop("bucket", "batch")
+    return _newest_versions(earlier(spark, f"{path}/rows", schema, 1 << 30)).drop("bucket")
 
 
 def _newest_versions(rows: DataFrame) -> DataFrame:
     key = ["page_url_hash", "captured_at", "seq"]
-    rest = [c for c in rows.columns if c not in key]
+    rest = [c for c in rows.columns if c not in (*key, "kind", "batch")]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*key, "_v.*")
 
 

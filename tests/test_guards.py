@@ -1,6 +1,10 @@
 """Cuts that must not be silent, folders that must be shared, failures that stay where they belong."""
 
 import datetime
+import os
+import shutil
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -14,15 +18,39 @@ from siteatlas.sources import archive, tables
 
 
 def fake(master, named=None):
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: named, set=lambda *a: None),
-                           sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: named),
+                           sparkContext=SimpleNamespace(master=master, applicationId=master, getCheckpointDir=lambda: None))
 
 
 def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(fake("spark://host:7077"))
     assert session.shared_dir(fake("spark://host:7077", "hdfs://x/tmp/")) == "hdfs://x/tmp"
-    assert session.shared_dir(fake("local[2]"))
+    assert session.shared_dir(fake("local[2]")) == session.shared_dir(fake("local[2]"))
+
+
+def test_a_local_session_makes_its_folder_once(spark):
+    folder = session.shared_dir(spark)
+    assert folder and session.shared_dir(spark) == folder
+    assert session.cut_lineage(spark.range(3), "three").count() == 3
+
+
+def test_the_entry_works_without_the_training_text_part(tmp_path):
+    """A copy of the repository without both its folders and the pipeline, or with the pipeline alone left, still gives the other queries."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name, left_out in (("bare", ("llm", "corpus_pipeline.py")), ("orphan", ("llm",))):
+        target = tmp_path / name
+        target.mkdir()
+        shutil.copytree(f"{here}/siteatlas", target / "siteatlas", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for file in ("__spark_entry__.py", "corpus_pipeline.py"):
+            if file not in left_out and os.path.exists(f"{here}/{file}"):
+                shutil.copy(f"{here}/{file}", target / file)
+        code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(n.startswith('op') for n in q), set(e.oracle_sql()) <= set(q))"
+        env = {**os.environ, "PYTHONPATH": str(target)}
+        said = subprocess.run([sys.executable, "-c", code], cwd=target, env=env, capture_output=True, text=True, timeout=120)
+        assert said.returncode == 0, said.stderr
+        count, *rest = said.stdout.split()
+        assert int(count) > 190 and rest == ["False", "False", "True"]
 
 
 def test_files_of_a_round_can_be_dropped(spark):
@@ -73,6 +101,18 @@ def test_checkpoint_ids_are_text(spark, tmp_path):
         tables.save_checkpoint({"queue": spark.range(1)}, str(tmp_path), "a/b", "2024-01-01 00:00:00")
 
 
+def test_checkpoints_of_many_crawls_in_one_pass(spark, tmp_path):
+    rows = spark.createDataFrame([("007", 1), ("7", 2), ("7", 3)], "checkpoint_id string, page long")
+    taken = spark.createDataFrame([("007", "2024-01-01"), ("7", "2024-01-02"), ("empty", "2023-01-01")], "id string, taken_at string")
+    tables.save_checkpoints({"queue": rows}, str(tmp_path), taken)
+    tables.save_checkpoints({"queue": rows.where("page = 2")}, str(tmp_path), taken.where("id = '7'"))
+    sizes = tables.checkpoint_sizes(spark, str(tmp_path), ("queue",))
+    assert sorted((r.id, r.queue) for r in sizes.collect()) == [("007", 1), ("7", 1), ("empty", 0)]
+    assert [r.page for r in tables.load_checkpoint(spark, str(tmp_path), "queue").collect()] == [2]
+    with pytest.raises(Exception, match="not a checkpoint id: a/b"):
+        tables.save_checkpoints({"queue": rows.withColumn("checkpoint_id", F.lit("a/b"))}, str(tmp_path), taken)
+
+
 def test_retention_drops_days_and_rewrites_the_edge(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
     rows = [(i, start + datetime.timedelta(hours=6 * i), 100) for i in range(20)]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siteatlas.operators import archive, blocks, dedup, frontier, ordered, stats
+from siteatlas.operators import archive, blocks, dedup, frontier, neardup, ordered, stats
 
 
 def events(spark, n=400, seed=3):
@@ -107,6 +107,46 @@ def test_near_duplicates_equal_the_sequential_rule(spark, threshold):
     assert got == greedy(points, threshold)
 
 
+@pytest.mark.parametrize("block", [1, 7, 40])
+def test_blocks_of_any_size_settle_alike(spark, block):
+    rng = random.Random(block)
+    points = [(i, "Untitled" if rng.random() < 0.7 else None, rng.randrange(0, 60), rng.randrange(0, 4),
+               rng.choice([0, 100, 190, 200, 400])) for i in range(150)]
+    seen, unique = set(), []
+    for p in points:
+        if p[1:] not in seen:
+            seen.add(p[1:])
+            unique.append(p)
+    df = spark.createDataFrame(unique, "seq long, title string, links int, forms int, length int").na.fill("", ["title"])
+    kept, _ = neardup.settle(df, 0.85, 10, block)
+    want = greedy([(s, t or "", a, f, n) for s, t, a, f, n in unique])
+    assert {r.seq for r in kept.collect()} == {s for s, k in want.items() if k}
+
+
+@pytest.mark.parametrize("order", ["forward", "backward", "mixed"])
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, order):
+    """5,000 classes of one title, each a rival of its neighbours only, in 100 blocks."""
+    n = 5000
+    seqs = {"forward": list(range(n)), "backward": list(range(n, 0, -1)), "mixed": random.Random(1).sample(range(n), n)}[order]
+    points = [(seq, "T", 10 * i, 0, 100) for i, seq in enumerate(seqs)]
+    steps = []
+    real = neardup.cut_lineage
+    monkeypatch.setattr(neardup, "cut_lineage", lambda df, name: steps.append(name) or real(df, name))
+    df = spark.createDataFrame(points, "seq long, title string, links int, forms int, length int")
+    kept, rounds = neardup.settle(df, 0.85, 10, 50)
+    assert {r.seq for r in kept.collect()} == {s for s, k in chained(points).items() if k}
+    assert rounds + steps.count("near-ties") < 20
+
+
+def chained(points):
+    """The rule where only neighbours by link count are rivals."""
+    at = {links: seq for seq, _, links, _, _ in points}
+    out = {}
+    for seq, _, links, _, _ in sorted(points):
+        out[seq] = not any(out.get(at.get(links + d), False) for d in (-10, 10))
+    return out
+
+
 def test_near_duplicates_need_a_high_threshold(spark):
     with pytest.raises(ValueError):
         dedup.max_distance(0.6)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from siteatlas.functions import urls as U
@@ -74,3 +76,21 @@ def test_section_bounds(spark):
     pages = spark.createDataFrame(rows, "seq long, url string, title string")
     found = graph.section_workflows(pages).orderBy("step").collect()
     assert [(r.name, r.step, r.action) for r in found] == [("Two Management", 1, "Navigate to T1"), ("Two Management", 2, "Go to T2")]
+
+
+def test_many_rules_of_a_host(spark):
+    """50,000 rules: the longest matching one decides, looked up by equality."""
+    rng = random.Random(2)
+    rules = [(f"/{rng.randrange(300)}" + f"/{rng.randrange(300)}" * rng.randrange(2) + "/" * rng.randrange(2), rng.random() < 0.5) for _ in range(50_000)]
+    body = "User-agent: *\n" + "\n".join(f"{'Allow' if allow else 'Disallow'}: {path}" for path, allow in rules)
+    bodies = spark.createDataFrame([("e.com", body), ("bare.com", ""), (None, "User-agent: *\nDisallow: /")], "host string, body string")
+    paths = [f"/{rng.randrange(310)}/{rng.randrange(310)}" + rng.choice(["", "/x", "/"]) for _ in range(2000)]
+    urls = [f"https://e.com{p}" for p in paths] + ["https://bare.com/1", "https://none.com/1", None, "no url"]
+    requests = spark.createDataFrame(list(enumerate(urls)), "i long, url string")
+    last = dict(rules)
+    want = []
+    for p in paths:
+        hits = [p[:n] for n in range(len(p), 0, -1) if p[:n] in last]
+        want.append(last[hits[0]] if hits else True)
+    marked = robots.mark_allowed(requests, robots.robots_rules(bodies))
+    assert [r.robots_allowed for r in marked.orderBy("i").collect()] == [*want, True, True, True, True]

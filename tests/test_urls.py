@@ -1,5 +1,9 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from siteatlas.functions import literals
 from siteatlas.functions import text as X
 from siteatlas.functions import urls as U
 
@@ -88,3 +92,33 @@ def test_text(spark):
     assert ask(spark, ["timeout"], lambda m: X.is_retryable(F.lit(2), m)) == [False]
     assert ask(spark, ["0", "1", "2"], lambda n: X.backoff_ms(n.cast("int"))) == [2000.0, 4000.0, 8000.0]
     assert ask(spark, ["", "0.0", "1.0", "0.5", "0.8"], lambda p: X.sitemap_priority(p.try_cast("double"))) == [10, 10, 0, 10, 4]
+
+
+def test_any_of_many_literals():
+    rng = random.Random(5)
+    chars = "ab/.?*+()[]{}|\\^$ é#\n-"
+    for _ in range(60):
+        parts = ["".join(rng.choice(chars) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 30))]
+        body = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), literals.any_of(parts))
+        for _ in range(30):
+            text = "".join(rng.choice(chars) for _ in range(rng.randrange(0, 12)))
+            assert bool(re.search(body, text)) == any(p in text for p in parts), (parts, text)
+
+
+def test_thousands_of_patterns_are_one_expression(spark):
+    """10,000 literals and 100 expressions, invalid ones among them: the plan has no branch for each."""
+    rng = random.Random(6)
+    texts = [f"/{rng.randrange(10**6)}/{'é' * (i % 2)}x[{i % 7}]" for i in range(9_990)] + ["/[/"]
+    patterns = (*texts, *[rf"/\/q{i}\d+$/" for i in range(99)], r"/(a)\1z/")
+    urls = [f"https://e.com{rng.choice(texts)}?{i}" for i in range(200)] + [f"https://e.com/q{i}5" for i in range(0, 200, 3)] + [
+        "https://e.com/aaz", "https://e.com/az", "https://e.com/none", "https://e.com/[/", None]
+
+    def wanted(url):
+        found = [re.search(rf"/q{i}\d+$", url) for i in range(99)] if url else []
+        return None if url is None else any(t in url for t in texts) or any(found) or "aaz" in url
+
+    rows = spark.createDataFrame(list(enumerate(urls)), "i long, url string")
+    found = rows.select("i", U.matches_any(F.col("url"), patterns).alias("hit"))
+    assert [r.hit for r in found.orderBy("i").collect()] == [wanted(u) for u in urls]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 3 and "Contains" not in plan
