@@ -1,17 +1,21 @@
 """Near duplicates by order MinHash and banded alignment.
 
 Texts with the same words (A-Z as a-z, whatever the blanks) form one class at once.  For each of ``SKETCHES`` hash orders a class is
-sketched by its two smallest three-word k-mers, labelled with their occurrence number and kept in text order; classes that share a
-sketch are candidates.  Two classes are linked if their word edit similarity, 1 - distance / longer length, is 0.8 or more, which
-alignment decides: an alignment along k-mers that both texts hold once bounds the distance from above, which settles most copies,
-and banded alignment settles the rest.  Classes joined by links are one group.
-
-A sketch's members are first compared with the smallest of them, which joins most copies.  In the sketches whose members are still
-in several groups, every two members of different groups are then compared, so no candidate is left out.  Lengths and word counts in
-128 bins bound the distance from below: blocks of members with near lengths are paired inside a worker, and only the pairs that
-these bounds don't rule out become rows.  They are aligned in rounds, some of each two groups at a time, as pairs within a group need
-no test any more; the rounds end when no pair is left.  What stays quadratic is the bounds' test of unlike texts of near lengths that
-share a sketch.
+sketched by its two smallest k-mers, labelled with their occurrence number and kept in text order; classes that share a sketch are
+candidates.  Two classes are linked if their word edit similarity, 1 - distance / longer length, is 0.8 or more, which alignment
+decides: an alignment along k-mers that both texts hold once bounds the distance from above, which settles most copies, and banded
+alignment settles the rest.  Classes joined by links are one group.
+
+K-mers have three words, and two in texts of less than ``MIDDLE`` words, of which replacements would leave too few.  Pairs of at most
+``DELETED_FROM`` words are not left to chance: there a text's keys are what remains of it without the words that a link may cost, for
+every choice of these, so that each linked pair has a key in common.
+
+A member of a sketch is first compared with one other, the smallest of the centers (smallest members) of its sketches, which joins
+most copies.  Then the sketches whose members are in several groups are looked at again, in rounds: every two members of different
+groups are a pair, so no candidate is left out, but a round takes only a share of all pairs, drawn by a hash, and the last one what
+is left, so that most pairs of what turns out as one group are never needed.  Lengths and word counts in 128 bins bound the distance from
+below: blocks of members with near lengths are paired inside a worker, and only the pairs that these bounds don't rule out become rows.
+What stays quadratic are pairs of unlike texts of near lengths and words that share a sketch.
 
 Two texts with k-mer similarity J share a sketch with probability about J^2.  Scattered replacements that leave an edit similarity of
 0.8, the threshold, leave a k-mer similarity of 0.34: 40 sketches find such a pair with 0.99, and those above it more surely.  A group
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +39,12 @@ from siteatlas.llm.words import WHITE, WordBatch, grams, mix
 from siteatlas.session import cut_lineage, forget
 
 KMER, SKETCHES, TAKEN, BINS = 3, 40, 2, 128
+# Up to so many words pairs are found by the words they keep, so many of which may go; up to so many, k-mers have two words.
+DELETED_FROM, DELETED, MIDDLE = 14, 2, 30
 # Members of a sketch in a block, whose pairs one worker tests; pairs that it tests at once.
 BLOCK, AT_ONCE = 1000, 100_000
-# Pairs of two groups that are aligned in the first round after the centers', and the factor from round to round.
-DRAWN, FASTER = 16, 16
+# Rounds after the centers': up to which share of all pairs, by a hash of the pair, each one looks at.
+SHARES = (1 / 64, 1 / 8, 1.0)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -92,7 +99,59 @@ def sketches(hashes: np.ndarray, first: np.ndarray, kmer: int = KMER, count: int
     return keys
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def allowed(n: int, similarity: float) -> int:
+    """Largest edit distance of a linked pair whose longer text has ``n`` words."""
+    return int((1 - similarity) * n + 1e-9)
+
+
+def deletion_keys(hashes: np.ndarray, n: int, similarity: float) -> np.ndarray:
+    """Keys (texts x keys) of texts of ``n`` words each (texts x n), by which every linked pair of up to ``DELETED_FROM`` words meets.
+
+    If the longer text of a pair has m words and their distance is at most d, they have m - d words in common in the same order:
+    so for each such m a text has a key for every way to leave so many of its words.
+    """
+    keys = []
+    for m in range(n, DELETED_FROM + 1):
+        d = allowed(m, similarity)
+        left = m - d
+        if m - n > d or d > DELETED or not d:
+            continue
+        for kept in combinations(range(n), left):
+            value = np.full(len(hashes), np.uint64(m + (left << 8) + (1 << 60)), dtype=np.uint64)
+            for k in kept:
+                value = mix(value * np.uint64(0xE7037ED1A0B428DB) + hashes[:, k])
+            keys.append(value)
+    return np.stack(keys, axis=1) if keys else np.zeros((len(hashes), 0), dtype=np.uint64)
+
+
+def all_keys(hashes: np.ndarray, first: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """The keys of each text: kept words of short texts, sketches of two-word k-mers up to middle lengths, of three-word ones beyond."""
+    sizes = np.diff(first)
+    found: list[list[np.ndarray]] = [[] for _ in sizes]
+    for n in np.unique(sizes[(sizes > 0) & (sizes <= DELETED_FROM)]).tolist():
+        some = np.flatnonzero(sizes == n)
+        for i, keys in zip(some, deletion_keys(hashes[first[some][:, None] + np.arange(n)], n, similarity), strict=True):
+            found[i].append(keys)
+    # A pair within the similarity has both its texts on one side of each limit, or its keys of both kinds.
+    sure = max((m for m in range(1, DELETED_FROM + 1) if allowed(m, similarity) <= DELETED), default=0)
+    for kmer, low, high, salt in ((2, sure * similarity, MIDDLE / similarity, 1), (KMER, MIDDLE * similarity, np.inf, 0)):
+        some = np.flatnonzero((sizes >= low) & (sizes <= high))
+        if len(some):
+            at = np.concatenate([[0], np.cumsum(sizes[some])])
+            words = hashes[np.arange(at[-1]) + np.repeat(first[some] - at[:-1], sizes[some])]
+            for i, keys in zip(some, sketches(words, at, kmer) + np.uint64(salt), strict=True):
+                found[i].append(keys)
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, dtype=np.uint64) for x in found]
+
+
+def _features(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _feature_rows(batches, similarity)
+
+    return run
+
+
+def _feature_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, first = word_hashes(batch.column(1))
         sizes = np.diff(first)
@@ -101,11 +160,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = np.repeat(np.arange(len(sizes)), sizes)
         bag = np.bincount(text * BINS + (hashes >> np.uint64(57)).astype(np.int64), minlength=len(sizes) * BINS)
         bag = np.minimum(bag, 255).astype(np.uint8).reshape(-1, BINS)
-        keys = sketches(hashes, first).view(np.int64)
+        keys = all_keys(hashes, first, similarity)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(2), pa.array([x.tobytes() for x in node], pa.binary()), pa.array(sizes, pa.int64()),
             pa.array([x.tobytes() for x in bag], pa.binary()),
-            pa.array([list(k) if s else [] for k, s in zip(keys, sizes, strict=True)], pa.list_(pa.int64()))],
+            pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))],
             names=["doc_id", "mark", "node", "n", "bag", "keys"])
 
 
@@ -294,7 +353,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
     """``doc_id, mark, node, root`` of every row of ``docs`` (doc_id, text, mark): its class and the root of its group."""
     features = cut_lineage(docs.select("doc_id", "text", "mark").mapInArrow(
-        _features, "doc_id long, mark long, node binary, n long, bag binary, keys array<long>"), "near-features")
+        _features(similarity), "doc_id long, mark long, node binary, n long, bag binary, keys array<long>"), "near-features")
     classes = cut_lineage(features.groupBy("node").agg(
         F.min(F.struct("mark", "doc_id")).alias("one"), F.first("n").alias("n"), F.first("bag").alias("bag"),
         F.first("keys").alias("keys")), "near-classes")
@@ -302,24 +361,24 @@ def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
     centers = entries.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("z")).where("center <> z")
     centers = cut_lineage(centers.select("key", "center"), "near-centers")
     members = cut_lineage(entries.join(centers, "key").select("key", "node", "n", "center"), "near-members")
-    pairs = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    forget(centers)
+    # One pair a member first, with the smallest of its centers: it joins most copies, and pairs within a group need no test.
+    pairs = members.where("node <> center").groupBy("node").agg(F.min("center").alias("b")).select(F.col("node").alias("a"), "b")
     texts = _candidate_texts(docs, classes, members)
     drawn = cut_lineage(pairs, "near-pairs")
     tested = dealt(cut_lineage(_plausible(dealt(drawn), classes, similarity), "near-plausible"))
-    forget(drawn)
     roots = _merged(dealt(_verified(tested, texts, similarity)), None)
-    due, most = cut_lineage(_open_pairs(members, roots, classes, similarity, tested), "near-open-pairs"), DRAWN
-    while True:
-        turns = cut_lineage(_turns(dealt(due), roots, most), "near-turns")
+    forget(centers)
+    forget(drawn)
+    forget(tested)
+    low = 0.0
+    for high in SHARES:
+        known = cut_lineage(_known(members, roots), "near-known")
+        due = cut_lineage(_open_pairs(known, classes, similarity, low, high), "near-open-pairs")
+        merged = _merged(dealt(_verified(dealt(due), texts, similarity)), roots)
+        roots, low = roots if merged is None else merged, high
+        forget(known)
         forget(due)
-        due = turns
-        if due.isEmpty():
-            break
-        merged = _merged(dealt(_verified(dealt(due.where("turn")), texts, similarity)), roots)
-        roots = roots if merged is None else merged
-        due, most = cut_lineage(due.where("not turn").select("a", "b"), "near-open-pairs"), most * FASTER
-        forget(turns)
+    forget(members)
     forget(texts)
     rows = features.select("doc_id", "mark", "node")
     if roots is None:
@@ -344,15 +403,14 @@ def _merged(links: DataFrame, roots: DataFrame | None) -> DataFrame | None:
     return cut_lineage(moved.unionByName(found.join(roots, "node", "left_anti")), "near-roots")
 
 
-def _cross(cell: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of a cell's pairs that are in different groups and that lengths and binned counts don't rule out.
+def _cross(cell: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of a cell's pairs that are in different groups and that lengths and binned counts don't rule out, some at a time.
 
     A cell is ``side, n, root, bag`` of its members: those of side 0 are paired with each other, those of 1 with those of 2.
     """
     side, n, root, bag = cell
     allowed = (1 - similarity) * n + 1e-9
     total = bag.sum(axis=1, dtype=np.int64)
-    found = []
     rows = np.flatnonzero(side < 2)
     step = max(1, AT_ONCE // len(n))
     for begin in range(0, len(rows), step):
@@ -365,8 +423,7 @@ def _cross(cell: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray,
         # Counts are at most 255, and the larger of both sums of differences is half of this.
         apart = (np.maximum(bag[at], bag[to]) - np.minimum(bag[at], bag[to])).sum(axis=1, dtype=np.int64)
         keep = apart + np.abs(total[at] - total[to]) <= 2 * np.maximum(allowed[at], allowed[to]).astype(np.int64)
-        found.append((at[keep], to[keep]))
-    return np.concatenate([x for x, _ in found] or [rows]), np.concatenate([x for _, x in found] or [rows])
+        yield at[keep], to[keep]
 
 
 def _cells(known: DataFrame, similarity: float) -> DataFrame:
@@ -396,17 +453,17 @@ def _cells(known: DataFrame, similarity: float) -> DataFrame:
     return placed.where(F.col("m") <= BLOCK).select("key", *zero, "node", "n", "root").unionAll(many)
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame | None, classes: DataFrame, similarity: float, tested: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of one sketch and different groups that the bounds leave, without those tested already.
+def _known(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``key, node, n, root``: the members of each sketch and the groups they are in so far."""
+    met = members.select("key", "node", "n")
+    if roots is None:
+        return met.withColumn("root", F.col("node"))
+    return met.join(dealt(roots), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
 
-    Every member has been compared with its center.
-    """
-    known = members.where("node <> center").select("key", "node", "n")
-    if roots is not None:
-        known = known.join(dealt(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        known = known.withColumn("root", F.col("node"))
-    cells = _cells(cut_lineage(known.select("key", "node", "n", "root"), "near-known"), similarity)
+
+def _open_pairs(known: DataFrame, classes: DataFrame, similarity: float, low: float, high: float) -> DataFrame:
+    """The distinct pairs (a, b) of one sketch and different groups that the bounds leave, of a share of all pairs by their hash."""
+    cells = _cells(known, similarity)
     filled = cells.join(classes.select("node", "bag"), "node").groupBy("key", "low", "i", "high", "j").agg(
         F.collect_list(F.struct("side", "n", "node", "root", "bag")).alias("cell")).select("cell")
 
@@ -417,37 +474,23 @@ def _open_pairs(members: DataFrame, roots: DataFrame | None, classes: DataFrame,
             first, every = first - first[0], lists.flatten()
             side, n, node, root, bag = (every.field(x) for x in range(5))
             side, n = side.to_numpy(), n.to_numpy()
-            root = np.frombuffer(b"".join(root.to_pylist()), dtype=np.uint64).reshape(-1, 2)
+            name, root = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, 2) for c in (node, root))
             bag = np.frombuffer(b"".join(bag.to_pylist()), dtype=np.uint8).reshape(-1, BINS)
             for x, z in zip(first[:-1], first[1:], strict=True):
-                at, to = _cross((side[x:z], n[x:z], root[x:z], bag[x:z]), similarity)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([node.take(pa.array(x + at)), node.take(pa.array(x + to))], names=["x", "y"])
-
-    pairs = filled.mapInArrow(run, "x binary, y binary").select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+                for at, to in _cross((side[x:z], n[x:z], root[x:z], bag[x:z]), similarity):
+                    drawn = (mix(name[x + at, 0] ^ name[x + to, 0]) >> np.uint64(32)).astype(np.float64) / (1 << 32)
+                    now = (drawn >= low) & (drawn < high)
+                    if now.any():
+                        yield pa.RecordBatch.from_arrays([node.take(pa.array(x + at[now])), node.take(pa.array(x + to[now]))], names=["x", "y"])
 
-
-def _turns(due: DataFrame, roots: DataFrame | None, most: int) -> DataFrame:
-    """``a, b, turn`` of the pairs that are still in different groups; about ``most`` of each two groups, and one at least, have their turn."""
-    if roots is None:
-        return due.withColumn("turn", F.lit(True))
-    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-    now = due.join(root("a"), "a", "left").join(root("b"), "b", "left").select(
-        "a", "b", F.coalesce("a_root", "a").alias("r"), F.coalesce("b_root", "b").alias("s")).where("r <> s")
-    now = cut_lineage(now.select("a", "b", F.greatest("r", "s").alias("r"), F.least("r", "s").alias("s"), F.xxhash64("a", "b").alias("h")), "near-due")
-    sizes = cut_lineage(now.groupBy("r", "s").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("least")), "near-due-sizes")
-    turn = (F.col("h") == F.col("least")) | (F.pmod("h", F.ceil(F.col("size") / most)) == 0)
-    return now.join(dealt(sizes), ["r", "s"]).select("a", "b", turn.alias("turn"))
+    return filled.mapInArrow(run, "x binary, y binary").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def group(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``doc_id, class_id, class_size, copies`` of every row: the smallest id of its group, the rows in it, and those with its very words.
 
-    Null or empty texts, and texts without words, form one class and have no links.  Texts under three words link only to texts with the
-    same words.  Repeated rows and ids: a row each, in the class of their text.  Null ids stay null and name no class, unless
+    Null or empty texts, and texts without words, form one class and have no links.  Texts under four words link only to texts with the
+    same words; very long ones are aligned by rows of a band.  Ties of ids go by hash.  Repeated rows and ids: a row each, in the class of their text.  Null ids stay null and name no class, unless
     the whole class has none.  Empty table: no rows.  Other columns are left alone.
     """
     ident = identified(docs).withColumn("mark", F.xxhash64("doc_id", "text"))

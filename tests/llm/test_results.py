@@ -252,13 +252,30 @@ def test_cells_pair_all(spark, monkeypatch):
 
 
 def test_lone_pairs_at_the_threshold():
-    """Pairs with scattered replacements, at edit similarities of 0.9, 0.85 and 0.8, and short ones, share a sketch."""
+    """Pairs with scattered edits, at the threshold and above it, have a key in common: surely up to 14 words, nearly so beyond."""
     rng = np.random.default_rng(1)
-    for n, edits, least in ((300, 30, 1), (300, 45, 0.995), (300, 60, 0.98), (30, 6, 0.95), (12, 1, 0.99)):
-        a = rng.integers(1, 2**63, (400, n)).astype(np.uint64)
-        b = a.copy()
-        for row in b:
-            row[rng.choice(n, edits, replace=False)] = rng.integers(1, 2**63, edits).astype(np.uint64)
-        first = np.arange(401) * n
-        shared = order_minhash.sketches(a.ravel(), first) == order_minhash.sketches(b.ravel(), first)
-        assert shared.any(axis=1).mean() >= least, (n, edits)
+
+    def found(n, edits, kinds, pairs=400):
+        made = []
+        for _ in range(pairs):
+            a = rng.integers(1, 2**63, n).astype(np.uint64)
+            b = a.tolist()
+            for at in sorted(rng.choice(n, edits, replace=False), reverse=True):
+                kind, new = rng.choice(kinds), int(rng.integers(1, 2**63))
+                if kind == "replace":
+                    b[at] = new
+                elif kind == "insert":
+                    b.insert(at, new)
+                else:
+                    del b[at]
+            b = np.array(b, dtype=np.uint64)
+            if order_minhash.similar(a, b, 0.8):
+                made += [a, b]
+        keys = order_minhash.all_keys(np.concatenate(made), np.concatenate([[0], np.cumsum([len(x) for x in made])]), 0.8)
+        return np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(keys[::2], keys[1::2], strict=True)])
+
+    for n in (4, 5, 6, 9, 10, 12, 14):
+        assert found(n, order_minhash.allowed(n, 0.8), ["replace"]) == 1 or n == 4
+        assert found(n, 1 if n < 10 else 2, ["replace", "insert", "delete"]) == 1
+    for n, edits, least in ((15, 3, 0.95), (20, 4, 0.95), (29, 5, 0.98), (30, 6, 0.95), (33, 6, 0.95), (300, 30, 1), (300, 45, 0.995), (300, 60, 0.98)):
+        assert found(n, edits, ["replace"]) >= least, (n, edits)
