@@ -188,7 +188,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 def write(turns: DataFrame, path: str) -> None:
     """Formatted turns as Parquet, in the layout of the input: no row moves."""
-    format_turns(turns).write.mode("overwrite").parquet(path)
+    format_turns(turns).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def parsed(formatted: DataFrame) -> DataFrame:
@@ -239,7 +239,8 @@ def digest(formatted: DataFrame) -> DataFrame:
     Turns of equal number count in the order of part, role and text.  A conversation is hashed as a stream by one task, as its hash
     is one of a sequence; its rows are sorted by Spark, which spills, and never held.
     """
-    rows = parsed(formatted).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "role", "text")
+    # Formatted rows move, and are parsed where they arrive.
+    rows = parsed(formatted.repartition("conv_id")).sortWithinPartitions("conv_id", "turn", "part", "role", "text")
     return rows.select("conv_id", "role", "text", "loss", "formatted_chars").mapInArrow(
         _conversations, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
