@@ -140,11 +140,15 @@ def _followed(told: DataFrame) -> DataFrame:
     return joined.select(*POINT, F.when(F.col("status") == TIED, F.coalesce("_end", F.lit(OPEN))).otherwise(F.col("status")).alias("status"))
 
 
-def settle(points: DataFrame, threshold: float, reach: int, block_points: int | None = None) -> tuple[DataFrame, int]:
-    """The kept ones of ``points`` (title, links, forms, length, seq; a seq each) and the number of rounds it took."""
+def settle(points: DataFrame, threshold: float, reach: int, block_points: int | None = None,
+           settled: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """The kept ones of ``points`` (title, links, forms, length, seq; a seq each) and the number of rounds it took.
+
+    ``settled`` are pages that are kept already, by smaller seqs; they are among the result.
+    """
     size = block_points or BLOCK_POINTS
     left = cut_lineage(points.select("title", *[F.col(c).cast("long") for c in POINT[1:]]), "near-open")
-    kept = left.limit(0)
+    kept = left.limit(0) if settled is None else settled.select("title", *[F.col(c).cast("long") for c in POINT[1:]])
     for number in count(1):
         routed = _routed(left, kept, reach, size, size // 2 if number % 2 == 0 else 0)
         sorted_ = routed.repartition("title", "block").sortWithinPartitions("title", "block", "seq")

@@ -12,7 +12,7 @@ from siteatlas.plans.queries_stats import BUCKETS
 from siteatlas.plans.queries_windows import STREAK
 from siteatlas.session import cut_lineage, scratch_path
 from siteatlas.sources import standins
-from siteatlas.streaming import jobs, limits, listeners, seen
+from siteatlas.streaming import jobs, limits, listeners, seen, similar
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -152,7 +152,7 @@ def st_similarity(t):
     path = path_for(t, "similar")
 
     def start(folder):
-        return jobs.run(jobs.similarity_decisions(jobs.read_files(t.spark, folder, prints.schema)), path)
+        return similar.store_similarity(jobs.read_files(t.spark, folder, prints.schema), path)
 
     found = in_turns(t, cut_lineage(prints, "prints"), "seq", "prints", start)
     return found.select("seq", (F.col("decision") == "kept").alias("kept"))

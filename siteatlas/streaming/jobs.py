@@ -7,20 +7,17 @@ the batch forms do not need.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siteatlas.functions import text as X
 from siteatlas.functions import urls as U
 from siteatlas.operators import archive, blocks, ordered, stats
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# Files of one micro-batch; what a batch holds of a key bounds a stateful task's frame.
+# Files of one micro-batch.
 PER_TRIGGER = 64
 
 
@@ -186,74 +183,6 @@ def store_block_signals(events: DataFrame, path: str, threshold: int = 5, chunk_
 BLOCK_COLUMNS = ("domain", "seq", "streak", "challenges", "multiplier", "reason", "recommended_action")
 
 
-# ---- near duplicates ------------------------------------------------------------------
-
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """One key's rows of a micro-batch in arrival order; the files of a trigger bound them."""
-    return pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-
-
-class SimilarityMemory(StatefulProcessor):
-    """The newest kept fingerprints of one title, and every structure kept.
-
-    A title has as many structures as it has pairs of link and form counts, so
-    that map grows with layouts, not with pages.
-    """
-
-    def __init__(self, threshold: float, memory: int):
-        self.threshold, self.memory = threshold, memory
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "links bigint, forms bigint, length bigint")
-        self.shapes = handle.getMapState("shapes", "links bigint, forms bigint", "seen boolean")
-
-    def _similar(self, row, kept: np.ndarray) -> bool:
-        if not len(kept):
-            return False
-        apart = np.minimum(np.abs(kept[:, 0] - row.links) + np.abs(kept[:, 1] - row.forms), 20)
-        longest = np.maximum(kept[:, 2], row.length)
-        delta = np.abs(kept[:, 2] - row.length)
-        ratio = np.where(longest > 0, 1.0 - np.minimum(delta / np.maximum(longest, 1), 1.0), 1.0)
-        return bool(((0.4 + (1.0 - apart / 20.0) * 0.3) + ratio * 0.3 >= self.threshold).any())
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # The newest kept pages as one ring: a kept page takes the place of the oldest.
-        old = np.array([tuple(r) for r in self.kept.get()], dtype="int64").reshape(-1, 3)
-        ring, used = np.zeros((self.memory, 3), dtype="int64"), len(old)
-        ring[:used] = old
-        batch = _ordered(rows)
-        decisions = []
-        for row in batch.itertuples(index=False):
-            shape = (int(row.links), int(row.forms))
-            again = self.shapes.containsKey(shape)
-            similar = again or self._similar(row, ring[:min(used, self.memory)])
-            if not similar:
-                ring[used % self.memory] = (*shape, int(row.length))
-                used += 1
-                self.shapes.updateValue(shape, (True,))
-            decisions.append("structure" if again else "similar" if similar else "kept")
-        if used > len(old):
-            newest = ring[:used] if used <= self.memory else np.roll(ring, -(used % self.memory), axis=0)
-            self.kept.put([tuple(int(v) for v in r) for r in newest])
-        yield pd.DataFrame({"seq": batch["seq"].to_numpy(), "decision": decisions})
-
-    def close(self) -> None:
-        pass
-
-
-def similarity_decisions(prints: DataFrame, threshold: float = 0.85, memory: int = 100) -> DataFrame:
-    """(seq, decision) of fingerprints in arrival order.
-
-    Above a threshold of 0.7 only pages of one title can match, so state is
-    kept per site and title: a busy site is spread over tasks, and the memory
-    of ``memory`` pages holds for each of its titles.
-    """
-    if not 0.7 < threshold <= 1.0:
-        raise ValueError("per-title state needs a threshold in (0.7, 1]")
-    return prints.groupBy("site", "title").transformWithStateInPandas(
-        SimilarityMemory(threshold, memory), "seq bigint, decision string", "append", "none")
-
-
 # ---- snapshots ---------------------------------------------------------------------------------
 
 def store_with_previous(snapshots: DataFrame, path: str, merge_every: int = 10) -> DataFrame:

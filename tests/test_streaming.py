@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteatlas.streaming import jobs, limits, listeners, seen
+from siteatlas.streaming import jobs, limits, listeners, seen, similar
 
 CRAWL = "seq long, kind string, url string, event_time timestamp"
 KINDS = ["success", "failure", "skip", "challenge", "other"]
@@ -189,3 +189,37 @@ def test_idle_keys_are_dropped(spark, tmp_path):
             "append").parquet(str(tmp_path / "in"))
         limits.store_rate_limits(jobs.read_files(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), 3, 1000, 3000, late_ms=1000)
     assert [r.key for r in spark.read.parquet(str(tmp_path / "out/state/batch=1")).collect()] == ["b"]
+
+
+def similar_rule(points, threshold, memory):
+    """One page after another: the newest kept pages of its title, and every structure kept."""
+    ring, shapes, out = {}, set(), {}
+    for seq, title, links, forms, length in points:
+        def near(k, links=links, forms=forms, length=length):
+            longest = max(k[2], length)
+            ratio = 1.0 - min(abs(k[2] - length) / longest, 1.0) if longest else 1.0
+            return 0.4 + (1.0 - min(abs(k[0] - links) + abs(k[1] - forms), 20) / 20.0) * 0.3 + ratio * 0.3 >= threshold
+        if (title, links, forms) in shapes:
+            out[seq] = "structure"
+        elif any(map(near, ring.get(title, []))):
+            out[seq] = "similar"
+        else:
+            out[seq] = "kept"
+            ring[title] = [*ring.get(title, []), (links, forms, length)][-memory:]
+            shapes.add((title, links, forms))
+    return out
+
+
+@pytest.mark.parametrize("memory, block", [(100, 7), (4, None)])
+def test_similarity_of_a_busy_title(spark, tmp_path, memory, block):
+    """One title with most pages, in blocks, with a memory that holds and one that overflows."""
+    rng = random.Random(memory)
+    points = [(i, "hot" if rng.random() < 0.7 else f"t{rng.randrange(3)}", rng.randrange(0, 90), rng.randrange(0, 4),
+               rng.choice([0, 100, 190, 200, 400])) for i in range(300)]
+    schema = "seq long, title string, links long, forms long, length long, site string"
+    for part in (points[:200], points[200:230], points[230:]):
+        spark.createDataFrame([(*p, "e.com") for p in part], schema).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        found = similar.store_similarity(jobs.read_files(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), 0.85, memory, 2, block)
+    want = similar_rule(points, 0.85, memory)
+    assert len([s for s in want.values() if s == "kept"]) > 8
+    assert {r.seq: r.decision for r in found.collect()} == want
