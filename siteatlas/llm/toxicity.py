@@ -144,14 +144,17 @@ def fit_bags(b: Bags, labels: np.ndarray, most: int = 3000, surprise: float = 20
 def sample(docs: DataFrame, labels: DataFrame, per_label: int, text_bytes: int) -> DataFrame:
     """``text, toxic`` of the training documents: of each label the ``per_label`` with the smallest hash of their id.
 
-    A document with several labels is toxic if one says so; labels other than 0 and 1, and null ids, are not used.
+    A document with several labels is toxic if one says so; labels other than 0 and 1, and null ids, are not used.  Of the texts of
+    one id the one with the smallest hash is taken, by an aggregate that combines before the shuffle, so rows are bounded as ids are.
     """
     known = (labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
              .where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0")
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     short = identified(docs).where(F.octet_length("text") <= text_bytes)
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
-    return short.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").select("doc_id", "text", "toxic")
+    mine = short.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    one = mine.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.max("toxic").alias("toxic"))
+    return one.select("doc_id", "t.text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, text_bytes: int = SAMPLE_TEXT_BYTES) -> Model:
