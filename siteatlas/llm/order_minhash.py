@@ -13,8 +13,8 @@ every choice of these, so that each linked pair has a key in common.
 A member of a sketch is first compared with one other, the smallest of the centers (smallest members) of its sketches, which joins
 most copies.  Then the sketches whose members are in several groups are looked at again, in rounds: every two members of different
 groups are a pair, so no candidate is left out, but a round takes only a share of all pairs, drawn by a hash, and the last one what
-is left, so that most pairs of what turns out as one group are never needed.  Lengths and word counts in 128 bins bound the distance from
-below: blocks of members with near lengths are paired inside a worker, and only the pairs that these bounds don't rule out become rows.
+is left, so that most pairs of what turns out as one group are never needed.  Lengths, and counts of words and of neighbouring words in
+bins, bound the distance from below: blocks of members with near lengths are paired inside a worker, and only the pairs that these bounds don't rule out become rows.
 What stays quadratic are pairs of unlike texts of near lengths and words that share a sketch.
 
 Two texts with k-mer similarity J share a sketch with probability about J^2.  Scattered replacements that leave an edit similarity of
@@ -38,11 +38,13 @@ from siteatlas.llm.components import components
 from siteatlas.llm.words import WHITE, WordBatch, grams, mix
 from siteatlas.session import cut_lineage, forget
 
-KMER, SKETCHES, TAKEN, BINS = 3, 40, 2, 128
+KMER, SKETCHES, TAKEN = 3, 40, 2
+# Bins of the words of a text, and of its pairs of neighbouring words.
+BINS, PAIR_BINS = 128, 512
 # Up to so many words pairs are found by the words they keep, so many of which may go; up to so many, k-mers have two words.
 DELETED_FROM, DELETED, MIDDLE = 14, 2, 30
 # Members of a sketch in a block, whose pairs one worker tests; pairs that it tests at once.
-BLOCK, AT_ONCE = 1000, 100_000
+BLOCK, AT_ONCE = 1000, 50_000
 # Rounds after the centers': up to which share of all pairs, by a hash of the pair, each one looks at.
 SHARES = (1 / 64, 1 / 8, 1.0)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
@@ -158,8 +160,10 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
         place = (np.arange(len(hashes)) - np.repeat(first[:-1], sizes)).astype(np.uint64)
         node = np.stack([_sums(mix(hashes ^ mix(place + np.uint64(s))), first) + sizes.astype(np.uint64) for s in (1, 1 << 40)], axis=1)
         text = np.repeat(np.arange(len(sizes)), sizes)
-        bag = np.bincount(text * BINS + (hashes >> np.uint64(57)).astype(np.int64), minlength=len(sizes) * BINS)
-        bag = np.minimum(bag, 255).astype(np.uint8).reshape(-1, BINS)
+        words = np.bincount(text * BINS + (hashes >> np.uint64(57)).astype(np.int64), minlength=len(sizes) * BINS)
+        within = np.flatnonzero(text[1:] == text[:-1])
+        pairs = np.bincount(text[within] * PAIR_BINS + (grams(hashes, 2)[within] >> np.uint64(55)).astype(np.int64), minlength=len(sizes) * PAIR_BINS)
+        bag = np.minimum(np.concatenate([words.reshape(-1, BINS), pairs.reshape(-1, PAIR_BINS)], axis=1), 255).astype(np.uint8)
         keys = all_keys(hashes, first, similarity)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(2), pa.array([x.tobytes() for x in node], pa.binary()), pa.array(sizes, pa.int64()),
@@ -170,6 +174,10 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
 
 # ---- verification
 
+def _bags(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS + PAIR_BINS)
+
+
 def bag_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of the word edit distance from binned word counts."""
     d = a.astype(np.int64) - b.astype(np.int64)
@@ -290,6 +298,16 @@ def chained_distance(a: np.ndarray, b: np.ndarray, kmer: int = 5) -> int:
     return int(max(i[0], j[0]) + np.maximum(gap_a - followed, gap_b - followed).sum())
 
 
+def pair_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the word edit distance from pairs of neighbouring words: an edit changes two of them at most."""
+    if min(len(a), len(b)) < 2:
+        return 0
+    x, y = grams(a, 2)[:-1], grams(b, 2)[:-1]
+    words, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+    ours, theirs = (np.bincount(k, minlength=len(words)) for k in (number[:len(x)], number[len(x):]))
+    return -(-int(bag_bound(ours, theirs)) // 2)
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether the word edit similarity is high enough: bounds from both sides first, banded alignment for the rest."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
@@ -299,6 +317,8 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     ours, theirs = (np.bincount(x, minlength=len(words)) for x in (number[:len(a)], number[len(a):]))
     if int(bag_bound(ours, theirs)) > most:
         return False
+    if pair_bound(a, b) > most:
+        return False
     return any(chained_distance(a, b, k) <= most for k in (5, 3)) or edit_distance(a, b, most) is not None
 
 
@@ -312,9 +332,10 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             n1, n2 = (t.column(x).to_numpy() for x in ("n1", "n2"))
-            b1, b2 = (np.frombuffer(b"".join(t.column(x).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for x in ("bag1", "bag2"))
+            b1, b2 = (_bags(t.column(x)) for x in ("bag1", "bag2"))
             most = ((1 - similarity) * np.maximum(n1, n2) + 1e-9).astype(np.int64)
-            keep = pa.array((np.abs(n1 - n2) <= most) & (bag_bound(b1, b2) <= most))
+            keep = pa.array((np.abs(n1 - n2) <= most) & (bag_bound(b1[:, :BINS], b2[:, :BINS]) <= most)
+                            & (bag_bound(b1[:, BINS:], b2[:, BINS:]) <= 2 * most))
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
     both = (pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bag").alias("bag1")), "a")
@@ -410,7 +431,7 @@ def _cross(cell: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np
     """
     side, n, root, bag = cell
     allowed = (1 - similarity) * n + 1e-9
-    total = bag.sum(axis=1, dtype=np.int64)
+    total = [part.sum(axis=1, dtype=np.int64) for part in (bag[:, :BINS], bag[:, BINS:])]
     rows = np.flatnonzero(side < 2)
     step = max(1, AT_ONCE // len(n))
     for begin in range(0, len(rows), step):
@@ -420,10 +441,14 @@ def _cross(cell: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np
         fits &= np.abs(n[i] - n[j]) <= np.maximum(allowed[i], allowed[j]).astype(np.int64)
         at, to = np.nonzero(fits)
         at = rows[begin:begin + step][at]
-        # Counts are at most 255, and the larger of both sums of differences is half of this.
-        apart = (np.maximum(bag[at], bag[to]) - np.minimum(bag[at], bag[to])).sum(axis=1, dtype=np.int64)
-        keep = apart + np.abs(total[at] - total[to]) <= 2 * np.maximum(allowed[at], allowed[to]).astype(np.int64)
-        yield at[keep], to[keep]
+        most = 2 * np.maximum(allowed[at], allowed[to]).astype(np.int64)
+        # The larger of both sums of differences is half of this; an edit changes one word, and two pairs of words at most.
+        for columns, sums, factor in ((slice(0, BINS), total[0], 1), (slice(BINS, None), total[1], 2)):
+            x, y = bag[at, columns], bag[to, columns]
+            apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+            keep = apart + np.abs(sums[at] - sums[to]) <= factor * most
+            at, to, most = at[keep], to[keep], most[keep]
+        yield at, to
 
 
 def _cells(known: DataFrame, similarity: float) -> DataFrame:
@@ -475,7 +500,7 @@ def _open_pairs(known: DataFrame, classes: DataFrame, similarity: float, low: fl
             side, n, node, root, bag = (every.field(x) for x in range(5))
             side, n = side.to_numpy(), n.to_numpy()
             name, root = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, 2) for c in (node, root))
-            bag = np.frombuffer(b"".join(bag.to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            bag = _bags(bag)
             for x, z in zip(first[:-1], first[1:], strict=True):
                 for at, to in _cross((side[x:z], n[x:z], root[x:z], bag[x:z]), similarity):
                     drawn = (mix(name[x + at, 0] ^ name[x + to, 0]) >> np.uint64(32)).astype(np.float64) / (1 << 32)
