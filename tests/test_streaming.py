@@ -150,6 +150,13 @@ def request_rows(seed, n, hot=0.5):
     return rows
 
 
+@pytest.mark.parametrize("short", [0, 64])
+def test_flows_in_lists_and_arrays(monkeypatch, short):
+    """A function of few pieces is kept as lists, of more as arrays, to the same end."""
+    monkeypatch.setattr(limits, "SHORT", short)
+    test_flows_compose(20, 700)
+
+
 @pytest.mark.parametrize("most, window_ms", [(3, 1000), (20, 700), (1, 50)])
 def test_flows_compose(most, window_ms):
     """The function of a stretch gives what its requests give one after another, for every number of tokens before it."""
@@ -182,6 +189,31 @@ def test_rate_limits_cut_a_busy_key(spark, tmp_path, monkeypatch, chunk_rows):
     assert largest[0] == len({r[0] // chunk_rows for r in rows[:250] if r[1] == "hot"})
 
 
+def test_rate_limits_of_many_light_keys(spark, tmp_path):
+    """Keys with a few requests far apart are one piece each, not one a request."""
+    rng = random.Random(5)
+    rows = [(i, f"k{rng.randrange(40)}", i * 20 - rng.choice([0, 0, 70])) for i in range(400)]
+    schema = "seq long, key string, event_time timestamp"
+    spark.createDataFrame(rows, "seq long, key string, ms long").select("seq", "key", F.timestamp_millis("ms").alias("event_time")).write.parquet(
+        str(tmp_path / "in"))
+    found = limits.store_rate_limits(jobs.read_files(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), 3, 1000, 3000, chunk_rows=30)
+    assert {r.seq: (r.allowed, r.remaining) for r in found.collect()} == token_rule(rows, 3, 1000, 3000)
+    assert spark.read.parquet(str(tmp_path / "out/flows")).count() == len({r[1] for r in rows})
+
+
+def test_rate_limits_without_times(spark, tmp_path):
+    """A request without a time counts as of the one before it; those without key or seq are nobody's."""
+    rows = [(0, "a", None), (1, "a", 100), (2, "a", None), (3, "a", 100), (4, "a", 2100), (5, "b", None), (None, "a", 5), (6, None, 5)]
+    schema = "seq long, key string, event_time timestamp"
+    spark.createDataFrame(rows, "seq long, key string, ms long").select("seq", "key", F.timestamp_millis("ms").alias("event_time")).write.parquet(
+        str(tmp_path / "in"))
+    for chunk_rows in (1, 100):
+        found = limits.store_rate_limits(jobs.read_files(spark, str(tmp_path / "in"), schema), str(tmp_path / f"out{chunk_rows}"), 3, 3000, 3000,
+                                         chunk_rows=chunk_rows)
+        told = {r.seq: (r.allowed, r.remaining) for r in found.collect()}
+        assert told == {0: (True, 2), 1: (True, 1), 2: (True, 0), 3: (False, 0), 4: (True, 1), 5: (True, 2)}
+
+
 def test_idle_keys_are_dropped(spark, tmp_path):
     schema = "seq long, key string, event_time timestamp"
     for rows in ([(0, "a", 0), (1, "b", 5)], [(2, "b", 9000)]):
