@@ -14,8 +14,9 @@ A member of a sketch is first compared with one other, the smallest of the cente
 most copies.  Then the sketches whose members are in several groups are looked at again, in rounds: every two members of different
 groups are a pair, so no candidate is left out, but a round takes only a share of all pairs, drawn by a hash, and the last one what
 is left, so that most pairs of what turns out as one group are never needed.  Lengths, and counts of words and of neighbouring words in
-bins, bound the distance from below: blocks of members with near lengths are paired inside a worker, and only the pairs that these bounds don't rule out become rows.
-What stays quadratic are pairs of unlike texts of near lengths and words that share a sketch.
+bins, bound the distance from below, and so do the counts of all words: blocks of members with near lengths are paired inside a worker,
+and only the pairs that these bounds don't rule out become rows.  What stays quadratic are pairs of texts of near lengths and very nearly
+the same words that share a sketch and are no link.
 
 Two texts with k-mer similarity J share a sketch with probability about J^2.  Scattered replacements that leave an edit similarity of
 0.8, the threshold, leave a k-mer similarity of 0.34: 40 sketches find such a pair with 0.99, and those above it more surely.  A group
@@ -43,8 +44,10 @@ KMER, SKETCHES, TAKEN = 3, 40, 2
 BINS, PAIR_BINS = 128, 512
 # Up to so many words pairs are found by the words they keep, so many of which may go; up to so many, k-mers have two words.
 DELETED_FROM, DELETED, MIDDLE = 14, 2, 30
-# Members of a sketch in a block, whose pairs one worker tests; pairs that it tests at once.
-BLOCK, AT_ONCE = 1000, 50_000
+# Up to so many words a text's words are listed, as 16 bits each; of a longer one there are counts in so many bins.
+LISTED, FOLDED = 2000, 2048
+# Members of a sketch in a block, whose pairs one worker tests; pairs that it tests at once; counts of words that it holds, and compares at once.
+BLOCK, AT_ONCE, HELD, COMPARED = 1000, 10_000, 8_000_000, 2_000_000
 # Rounds after the centers': up to which share of all pairs, by a hash of the pair, each one looks at.
 SHARES = (1 / 64, 1 / 8, 1.0)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
@@ -146,6 +149,52 @@ def all_keys(hashes: np.ndarray, first: np.ndarray, similarity: float) -> list[n
     return [np.unique(np.concatenate(x)) if x else np.zeros(0, dtype=np.uint64) for x in found]
 
 
+def _binned(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Counts of words, and of pairs of neighbouring words, in bins (texts x bins)."""
+    sizes = np.diff(first)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    words = np.bincount(text * BINS + (hashes >> np.uint64(57)).astype(np.int64), minlength=len(sizes) * BINS)
+    within = np.flatnonzero(text[1:] == text[:-1])
+    pairs = np.bincount(text[within] * PAIR_BINS + (grams(hashes, 2)[within] >> np.uint64(55)).astype(np.int64), minlength=len(sizes) * PAIR_BINS)
+    return np.minimum(np.concatenate([words.reshape(-1, BINS), pairs.reshape(-1, PAIR_BINS)], axis=1), 255).astype(np.uint8)
+
+
+def word_lists(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """All words of each text, as 16 bits of their hashes, or their counts in bins of these."""
+    some = (hashes >> np.uint64(48)).astype(np.uint16)
+    texts = [some[x:z] for x, z in zip(first[:-1], first[1:], strict=True)]
+    return [(w if len(w) <= LISTED else _folded(w)).tobytes() for w in texts]
+
+
+def _folded(words: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount(words // (65536 // FOLDED), minlength=FOLDED), 65535).astype(np.uint16)
+
+
+def word_counts(lists: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Counts of the words of texts of ``n`` words each (texts x words), from their lists; in fewer bins where there are too many."""
+    words = [np.frombuffer(x, dtype=np.uint16) for x in lists]
+    if (n > LISTED).any():
+        return np.stack([w if k > LISTED else _folded(w) for w, k in zip(words, n, strict=True)])
+    values, number = np.unique(np.concatenate(words), return_inverse=True)
+    width = max(1, min(len(values), HELD // len(words)))
+    out = np.zeros((len(words), width), dtype=np.uint16)
+    np.add.at(out, (np.repeat(np.arange(len(words)), n), number % width), 1)
+    return out
+
+
+def near_words(counts: np.ndarray, at: np.ndarray, to: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the counts of words leave it open that the texts of a pair of places (at, to) are ``most`` edits apart."""
+    total, step = counts.sum(axis=1, dtype=np.int64), max(1, COMPARED // counts.shape[1])
+    keep = np.zeros(len(at), dtype=bool)
+    for k in range(0, len(at), step):
+        i, j = at[k:k + step], to[k:k + step]
+        x, y = counts[i], counts[j]
+        apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+        # The larger of both sums of differences is half of this.
+        keep[k:k + step] = apart + np.abs(total[i] - total[j]) <= 2 * most[k:k + step]
+    return keep
+
+
 def _features(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _feature_rows(batches, similarity)
@@ -159,11 +208,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
         sizes = np.diff(first)
         place = (np.arange(len(hashes)) - np.repeat(first[:-1], sizes)).astype(np.uint64)
         node = np.stack([_sums(mix(hashes ^ mix(place + np.uint64(s))), first) + sizes.astype(np.uint64) for s in (1, 1 << 40)], axis=1)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        words = np.bincount(text * BINS + (hashes >> np.uint64(57)).astype(np.int64), minlength=len(sizes) * BINS)
-        within = np.flatnonzero(text[1:] == text[:-1])
-        pairs = np.bincount(text[within] * PAIR_BINS + (grams(hashes, 2)[within] >> np.uint64(55)).astype(np.int64), minlength=len(sizes) * PAIR_BINS)
-        bag = np.minimum(np.concatenate([words.reshape(-1, BINS), pairs.reshape(-1, PAIR_BINS)], axis=1), 255).astype(np.uint8)
+        bag = _binned(hashes, first)
         keys = all_keys(hashes, first, similarity)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(2), pa.array([x.tobytes() for x in node], pa.binary()), pa.array(sizes, pa.int64()),
@@ -344,14 +389,22 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
 
 
 def _candidate_texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """``node, text`` of every class that shares a sketch, a text for each class.
+    """``node, text, bag, words`` of every class that shares a sketch, a text for each class.
 
     The one place where texts are shuffled, and always by a sort-merge join: they move once, in proportion to the input.
     """
     nodes = members.select("node").distinct()
     wanted = cut_lineage(classes.join(nodes, "node").select("node", F.col("one.mark").alias("want")), "near-wanted")
     texts = docs.join(wanted.hint("merge"), docs["mark"] == F.col("want")).select("node", "text").dropDuplicates(["node"])
-    texts = cut_lineage(texts, "near-texts")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            hashes, first = word_hashes(t.column("text"))
+            yield pa.RecordBatch.from_arrays([
+                *t.columns, pa.array([x.tobytes() for x in _binned(hashes, first)], pa.binary()), pa.array(word_lists(hashes, first), pa.binary())],
+                names=["node", "text", "bag", "words"])
+
+    texts = cut_lineage(texts.mapInArrow(counted, "node binary, text string, bag binary, words binary"), "near-texts")
     forget(wanted)
     return texts
 
@@ -394,7 +447,7 @@ def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
     low = 0.0
     for high in SHARES:
         known = cut_lineage(_known(members, roots), "near-known")
-        due = cut_lineage(_open_pairs(known, classes, similarity, low, high), "near-open-pairs")
+        due = cut_lineage(_open_pairs(known, texts, similarity, low, high), "near-open-pairs")
         merged = _merged(dealt(_verified(dealt(due), texts, similarity)), roots)
         roots, low = roots if merged is None else merged, high
         forget(known)
@@ -486,27 +539,32 @@ def _known(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return met.join(dealt(roots), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
 
 
-def _open_pairs(known: DataFrame, classes: DataFrame, similarity: float, low: float, high: float) -> DataFrame:
+def _open_pairs(known: DataFrame, texts: DataFrame, similarity: float, low: float, high: float) -> DataFrame:
     """The distinct pairs (a, b) of one sketch and different groups that the bounds leave, of a share of all pairs by their hash."""
     cells = _cells(known, similarity)
-    filled = cells.join(classes.select("node", "bag"), "node").groupBy("key", "low", "i", "high", "j").agg(
-        F.collect_list(F.struct("side", "n", "node", "root", "bag")).alias("cell")).select("cell")
+    filled = cells.join(texts.select("node", "bag", "words"), "node").groupBy("key", "low", "i", "high", "j").agg(
+        F.collect_list(F.struct("side", "n", "node", "root", "bag", "words")).alias("cell")).select("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             lists = t.column(0)
             first = lists.offsets.to_numpy()
             first, every = first - first[0], lists.flatten()
-            side, n, node, root, bag = (every.field(x) for x in range(5))
+            side, n, node, root, bag, words = (every.field(x) for x in range(6))
             side, n = side.to_numpy(), n.to_numpy()
             name, root = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, 2) for c in (node, root))
             bag = _bags(bag)
             for x, z in zip(first[:-1], first[1:], strict=True):
+                counts = None
                 for at, to in _cross((side[x:z], n[x:z], root[x:z], bag[x:z]), similarity):
                     drawn = (mix(name[x + at, 0] ^ name[x + to, 0]) >> np.uint64(32)).astype(np.float64) / (1 << 32)
                     now = (drawn >= low) & (drawn < high)
-                    if now.any():
-                        yield pa.RecordBatch.from_arrays([node.take(pa.array(x + at[now])), node.take(pa.array(x + to[now]))], names=["x", "y"])
+                    at, to = at[now], to[now]
+                    if len(at):
+                        counts = word_counts(words[x:z].to_pylist(), n[x:z]) if counts is None else counts
+                        most = ((1 - similarity) * np.maximum(n[x + at], n[x + to]) + 1e-9).astype(np.int64)
+                        near = near_words(counts, at, to, most)
+                        yield pa.RecordBatch.from_arrays([node.take(pa.array(x + k[near])) for k in (at, to)], names=["x", "y"])
 
     return filled.mapInArrow(run, "x binary, y binary").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 

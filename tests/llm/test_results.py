@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 from siteatlas.llm import checks, order_minhash, packing, queries, substrings, token_files, toxicity
@@ -279,3 +280,41 @@ def test_lone_pairs_at_the_threshold():
         assert found(n, 1 if n < 10 else 2, ["replace", "insert", "delete"]) == 1
     for n, edits, least in ((15, 3, 0.95), (20, 4, 0.95), (29, 5, 0.98), (30, 6, 0.95), (33, 6, 0.95), (300, 30, 1), (300, 45, 0.995), (300, 60, 0.98)):
         assert found(n, edits, ["replace"]) >= least, (n, edits)
+
+
+def test_near_duplicates_of_a_frequent_passage(spark, monkeypatch):
+    """Texts that share most of their words, in one long passage, become pairs only where their word counts leave a link open."""
+    rng = random.Random(3)
+    passage = [f"w{rng.randrange(300)}" for _ in range(560)]
+    texts = [" ".join(passage + [f"x{rng.randrange(3000)}" for _ in range(220)]) for _ in range(60)]
+    copies = [t.rsplit(" ", 20)[0] + " changed" for t in texts[:5]]
+    pairs, verified = [], order_minhash._verified
+
+    def counted(some, *args):
+        pairs.append(some.count())
+        return verified(some, *args)
+
+    monkeypatch.setattr(order_minhash, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in order_minhash.group(docs).collect()}
+    assert found == {i: i if i < 60 else i - 60 for i in range(65)}
+    assert sum(pairs) < 200  # of 2,080
+
+
+def test_word_counts_bound_the_distance():
+    """Neither lists nor bins of words, nor a cell that holds too many of them, rule out a pair within the distance."""
+    rng = random.Random(4)
+    for sizes, held in (([30, 31, 29], 8_000_000), ([1999, 2001, 2100], 8_000_000), ([400, 402, 398], 30)):
+        base = [f"w{rng.randrange(500)}" for _ in range(max(sizes))]
+        texts = [" ".join(w if rng.random() < 0.9 else "other" for w in base[:k]) for k in sizes]
+        hashes, first = order_minhash.word_hashes(pa.array(texts))
+        before, order_minhash.HELD = order_minhash.HELD, held
+        try:
+            counts = order_minhash.word_counts(order_minhash.word_lists(hashes, first), np.array(sizes))
+        finally:
+            order_minhash.HELD = before
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            apart = order_minhash.edit_distance(*(hashes[first[k]:first[k + 1]] for k in (i, j)), max(sizes))
+            assert order_minhash.near_words(counts, np.array([i]), np.array([j]), np.array([apart])).all()
+    counts = order_minhash.word_counts(order_minhash.word_lists(*order_minhash.word_hashes(pa.array(["a b c d", "a b e f"]))), np.array([4, 4]))
+    assert [bool(order_minhash.near_words(counts, np.array([0]), np.array([1]), np.array([m]))[0]) for m in (1, 2)] == [False, True]
