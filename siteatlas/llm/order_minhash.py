@@ -44,6 +44,8 @@ KMER, SKETCHES, TAKEN = 3, 40, 2
 BINS, PAIR_BINS = 128, 512
 # Up to so many words pairs are found by the words they keep, so many of which may go; up to so many, k-mers have two words.
 DELETED_FROM, DELETED, MIDDLE = 14, 2, 30
+# Texts that a worker sketches at once, and pairs that it aligns: its memory is no more than these need, whatever comes in a batch.
+FEATURED, ALIGNED = 250, 100
 # Up to so many words a text's words are listed, as 16 bits each; of a longer one there are counts in so many bins.
 LISTED, FOLDED = 2000, 2048
 # Members of a sketch in a block, whose pairs one worker tests; pairs that it tests at once; counts of words that it holds, and compares at once.
@@ -203,7 +205,7 @@ def _features(similarity: float):
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(k, FEATURED) for b in batches for k in range(0, b.num_rows, FEATURED)):
         hashes, first = word_hashes(batch.column(1))
         sizes = np.diff(first)
         place = (np.arange(len(hashes)) - np.repeat(first[:-1], sizes)).astype(np.uint64)
@@ -413,7 +415,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """Pairs (a, b) linked by alignment, written out."""
     n = pairs.count()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for t in (b.slice(k, ALIGNED) for b in batches for k in range(0, b.num_rows, ALIGNED)):
             h1, f1 = word_hashes(t.column("t1"))
             h2, f2 = word_hashes(t.column("t2"))
             keep = pa.array([similar(h1[f1[i]:f1[i + 1]], h2[f2[i]:f2[i + 1]], similarity) for i in range(t.num_rows)], pa.bool_())
@@ -421,7 +423,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t1")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("t2")), "b").select("a", "b", "t1", "t2"))
-    return cut_lineage(dealt(both, n, 1000).mapInArrow(run, "a binary, b binary"), "near-links")
+    return cut_lineage(dealt(both, n, 200).mapInArrow(run, "a binary, b binary"), "near-links")
 
 
 def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
@@ -550,21 +552,20 @@ def _open_pairs(known: DataFrame, texts: DataFrame, similarity: float, low: floa
             lists = t.column(0)
             first = lists.offsets.to_numpy()
             first, every = first - first[0], lists.flatten()
-            side, n, node, root, bag, words = (every.field(x) for x in range(6))
-            side, n = side.to_numpy(), n.to_numpy()
-            name, root = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, 2) for c in (node, root))
-            bag = _bags(bag)
-            for x, z in zip(first[:-1], first[1:], strict=True):
+            for x, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                side, n, node, root, bag, words = (every.field(k).slice(x, z - x) for k in range(6))
+                side, n = side.to_numpy(), n.to_numpy()
+                name, group = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, 2) for c in (node, root))
                 counts = None
-                for at, to in _cross((side[x:z], n[x:z], root[x:z], bag[x:z]), similarity):
-                    drawn = (mix(name[x + at, 0] ^ name[x + to, 0]) >> np.uint64(32)).astype(np.float64) / (1 << 32)
+                for at, to in _cross((side, n, group, _bags(bag)), similarity):
+                    drawn = (mix(name[at, 0] ^ name[to, 0]) >> np.uint64(32)).astype(np.float64) / (1 << 32)
                     now = (drawn >= low) & (drawn < high)
                     at, to = at[now], to[now]
                     if len(at):
-                        counts = word_counts(words[x:z].to_pylist(), n[x:z]) if counts is None else counts
-                        most = ((1 - similarity) * np.maximum(n[x + at], n[x + to]) + 1e-9).astype(np.int64)
+                        counts = word_counts(words.to_pylist(), n) if counts is None else counts
+                        most = ((1 - similarity) * np.maximum(n[at], n[to]) + 1e-9).astype(np.int64)
                         near = near_words(counts, at, to, most)
-                        yield pa.RecordBatch.from_arrays([node.take(pa.array(x + k[near])) for k in (at, to)], names=["x", "y"])
+                        yield pa.RecordBatch.from_arrays([node.take(pa.array(k[near])) for k in (at, to)], names=["x", "y"])
 
     return filled.mapInArrow(run, "x binary, y binary").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 

@@ -318,3 +318,14 @@ def test_word_counts_bound_the_distance():
             assert order_minhash.near_words(counts, np.array([i]), np.array([j]), np.array([apart])).all()
     counts = order_minhash.word_counts(order_minhash.word_lists(*order_minhash.word_hashes(pa.array(["a b c d", "a b e f"]))), np.array([4, 4]))
     assert [bool(order_minhash.near_words(counts, np.array([0]), np.array([1]), np.array([m]))[0]) for m in (1, 2)] == [False, True]
+
+
+def test_near_duplicates_take_a_batch_in_slices():
+    """However many texts come in a batch, a worker sketches some at a time, to the same features."""
+    texts = [f"text {i} of a batch with several words and the number {i % 7}" for i in range(600)]
+    ids = pa.array(range(600), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts), ids], names=["doc_id", "text", "mark"])
+    found = list(order_minhash._feature_rows(iter([batch]), 0.8))
+    assert max(b.num_rows for b in found) <= order_minhash.FEATURED
+    one_by_one = [b for k in range(600) for b in order_minhash._feature_rows(iter([batch.slice(k, 1)]), 0.8)]
+    assert pa.Table.from_batches(found).to_pylist() == pa.Table.from_batches(one_by_one).to_pylist()
