@@ -13,7 +13,8 @@ every choice of these, so that each linked pair has a key in common.
 A member of a sketch is first compared with one other, the smallest of the centers (smallest members) of its sketches, which joins
 most copies.  Then the sketches whose members are in several groups are looked at again, in rounds: every two members of different
 groups are a pair, so no candidate is left out, but a round takes only a share of all pairs, drawn by a hash, and the last one what
-is left, so that most pairs of what turns out as one group are never needed.  Lengths, and counts of words and of neighbouring words in
+is left, so that most pairs of what turns out as one group are never needed.  Texts that share several sketches are a pair in the
+first of these only.  Lengths, and counts of words and of neighbouring words in
 bins, bound the distance from below, and so do the counts of all words: blocks of members with near lengths are paired inside a worker,
 and only the pairs that these bounds don't rule out become rows.  What stays quadratic are pairs of texts of near lengths and very nearly
 the same words that share a sketch and are no link.
@@ -44,6 +45,8 @@ KMER, SKETCHES, TAKEN = 3, 40, 2
 BINS, PAIR_BINS = 128, 512
 # Up to so many words pairs are found by the words they keep, so many of which may go; up to so many, k-mers have two words.
 DELETED_FROM, DELETED, MIDDLE = 14, 2, 30
+# Words of a text whose places alignment marks at once, at most.
+MARKED = 1 << 14
 # Texts that a worker sketches at once, and pairs that it aligns: its memory is no more than these need, whatever comes in a batch.
 FEATURED, ALIGNED = 250, 100
 # Up to so many words a text's words are listed, as 16 bits each; of a longer one there are counts in so many bins.
@@ -273,26 +276,39 @@ def _diagonals(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
 
 
 def _rows(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
-    """The same by rows of a band of the table, for texts whose diagonals would not fit in memory."""
+    """The same by rows of a band of the table, whose differences from place to place are the bits of two numbers (Myers, Hyyrö).
+
+    Bit k of row j stands for place j - band + k of the longer text.  A row costs some operations on numbers of as many bits as the band is wide.
+    """
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
     n, m = len(a), len(b)
-    if abs(n - m) > band:
+    if n - m > band:
         return None
-    far = n + m + 1
-    shift = np.arange(2 * band + 1)
-    j = shift - band
-    row = np.where((j >= 0) & (j <= m), j, far)
-    for i in range(1, n + 1):
-        j = i + shift - band
-        inside = (j >= 1) & (j <= m)
-        cost = np.full(len(row), far)
-        cost[inside] = row[inside] + (b[j[inside] - 1] != a[i - 1])
-        cost[:-1] = np.minimum(cost[:-1], row[1:] + 1)
-        cost = np.where((j >= 0) & (j <= m), cost, far)
-        row = np.minimum(np.minimum.accumulate(cost - shift) + shift, far)
-        row = np.where((j >= 0) & (j <= m), row, far)
-        if row.min() > band:
-            return None
-    found = int(row[m - n + band])
+    band = min(band, n)
+    full = (1 << (2 * band + 1)) - 1
+    rise, fall = ((1 << (band + 1)) - 1) << band, 0
+    corner, last = 1 << (2 * band), 1 << (2 * band)
+    found, most = band, 2 * band + m - n
+    step = max(64, min(MARKED, (1 << 28) // (2 * band + MARKED)))
+    for s in range(0, m, step):
+        block = b[s:s + step].tolist()
+        marks = dict.fromkeys(block, 0)
+        for place, word in enumerate(a[max(0, s - band):s + len(block) + band].tolist(), max(0, band - s)):
+            if word in marks:
+                marks[word] |= 1 << place
+        for j, word in enumerate(block):
+            same = marks[word] >> j & full
+            kept = (((same & rise) + rise ^ rise) | same | fall) & full
+            up, down = fall | full ^ (kept | rise), kept & rise
+            if s + j < n - band:  # down the last diagonal of the band, then along the end of the longer text
+                found += not kept & corner
+            else:
+                last >>= 1
+                found += (up & last != 0) - (down & last != 0)
+            if found > most:  # no more rows are left than would bring it back
+                return None
+            kept >>= 1
+            rise, fall = down | full ^ (kept | up), kept & up
     return found if found <= band else None
 
 
@@ -311,11 +327,12 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         return d if d <= most else None
     band = min(most, max(8, abs(len(a) - len(b))))
     while True:
-        engine = _diagonals if (2 * band + 1) * (len(a) + 1) <= 4_000_000 else _rows
+        # Diagonals take work for each place of each, rows for each place and 64 of them.
+        engine = _diagonals if band <= 16 and (2 * band + 1) * (len(a) + 1) <= 4_000_000 else _rows
         found = engine(a, b, band)
         if found is not None or band >= most:
             return found
-        band = min(most, 4 * band)
+        band = min(most, max(4 * band, 512))
 
 
 def chained_distance(a: np.ndarray, b: np.ndarray, kmer: int = 5) -> int:
@@ -391,22 +408,22 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
 
 
 def _candidate_texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """``node, text, bag, words`` of every class that shares a sketch, a text for each class.
+    """``node, text, keys, bag, words`` of every class that shares a sketch, a text for each class.
 
     The one place where texts are shuffled, and always by a sort-merge join: they move once, in proportion to the input.
     """
     nodes = members.select("node").distinct()
-    wanted = cut_lineage(classes.join(nodes, "node").select("node", F.col("one.mark").alias("want")), "near-wanted")
-    texts = docs.join(wanted.hint("merge"), docs["mark"] == F.col("want")).select("node", "text").dropDuplicates(["node"])
+    wanted = cut_lineage(classes.join(nodes, "node").select("node", "keys", F.col("one.mark").alias("want")), "near-wanted")
+    texts = docs.join(wanted.hint("merge"), docs["mark"] == F.col("want")).select("node", "text", "keys").dropDuplicates(["node"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             hashes, first = word_hashes(t.column("text"))
             yield pa.RecordBatch.from_arrays([
                 *t.columns, pa.array([x.tobytes() for x in _binned(hashes, first)], pa.binary()), pa.array(word_lists(hashes, first), pa.binary())],
-                names=["node", "text", "bag", "words"])
+                names=["node", "text", "keys", "bag", "words"])
 
-    texts = cut_lineage(texts.mapInArrow(counted, "node binary, text string, bag binary, words binary"), "near-texts")
+    texts = cut_lineage(texts.mapInArrow(counted, "node binary, text string, keys array<long>, bag binary, words binary"), "near-texts")
     forget(wanted)
     return texts
 
@@ -479,15 +496,27 @@ def _merged(links: DataFrame, roots: DataFrame | None) -> DataFrame | None:
     return cut_lineage(moved.unionByName(found.join(roots, "node", "left_anti")), "near-roots")
 
 
-def _cross(cell: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of a cell's pairs that are in different groups and that lengths and binned counts don't rule out, some at a time.
+def shared_keys(first: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether two members (members x members) have a key in common; ``keys[first[i]:first[i + 1]]`` are those of member i."""
+    met = np.zeros((len(first) - 1, len(first) - 1), dtype=bool)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], np.repeat(np.arange(len(met)), np.diff(first))[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    some = np.flatnonzero(np.diff(at) > 1)
+    for x, z in zip(at[some].tolist(), at[some + 1].tolist(), strict=True):
+        met[owner[x:z, None], owner[x:z]] = True
+    return met
+
+
+def _cross(cell: tuple, similarity: float, low: float, high: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of a cell's pairs to be looked at now, some at a time: in different groups, of near lengths, and of this round's share.
 
-    A cell is ``side, n, root, bag`` of its members: those of side 0 are paired with each other, those of 1 with those of 2.
+    A cell is ``side, n, name, root, earlier`` of its members: those of side 0 are paired with each other, those of 1 with those of 2.
+    Members that have one of their ``earlier`` keys (first places, keys) in common meet in the sketch of that one, and are left out here.
     """
-    side, n, root, bag = cell
+    side, n, name, root, earlier = cell
     allowed = (1 - similarity) * n + 1e-9
-    total = [part.sum(axis=1, dtype=np.int64) for part in (bag[:, :BINS], bag[:, BINS:])]
-    rows = np.flatnonzero(side < 2)
+    rows, met = np.flatnonzero(side < 2), None
     step = max(1, AT_ONCE // len(n))
     for begin in range(0, len(rows), step):
         i = rows[begin:begin + step][:, None]
@@ -496,14 +525,24 @@ def _cross(cell: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np
         fits &= np.abs(n[i] - n[j]) <= np.maximum(allowed[i], allowed[j]).astype(np.int64)
         at, to = np.nonzero(fits)
         at = rows[begin:begin + step][at]
-        most = 2 * np.maximum(allowed[at], allowed[to]).astype(np.int64)
-        # The larger of both sums of differences is half of this; an edit changes one word, and two pairs of words at most.
-        for columns, sums, factor in ((slice(0, BINS), total[0], 1), (slice(BINS, None), total[1], 2)):
-            x, y = bag[at, columns], bag[to, columns]
-            apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-            keep = apart + np.abs(sums[at] - sums[to]) <= factor * most
-            at, to, most = at[keep], to[keep], most[keep]
-        yield at, to
+        drawn = (mix(name[at, 0] ^ name[to, 0]) >> np.uint64(32)).astype(np.float64) / (1 << 32)
+        now = (drawn >= low) & (drawn < high)
+        at, to = at[now], to[now]
+        if len(at):
+            met = shared_keys(*earlier) if met is None else met
+            new = ~met[at, to]
+            yield at[new], to[new]
+
+
+def _near_bags(bag: np.ndarray, at: np.ndarray, to: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether binned counts leave it open that the texts of a pair of places (at, to) are ``most`` edits apart."""
+    keep = np.arange(len(at))
+    # The larger of both sums of differences is half of this; an edit changes one word, and two pairs of words at most.
+    for part, factor in ((bag[:, :BINS], 1), (bag[:, BINS:], 2)):
+        total, x, y = part.sum(axis=1, dtype=np.int64), part[at[keep]], part[to[keep]]
+        apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+        keep = keep[apart + np.abs(total[at[keep]] - total[to[keep]]) <= 2 * factor * most[keep]]
+    return keep
 
 
 def _cells(known: DataFrame, similarity: float) -> DataFrame:
@@ -542,10 +581,14 @@ def _known(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _open_pairs(known: DataFrame, texts: DataFrame, similarity: float, low: float, high: float) -> DataFrame:
-    """The distinct pairs (a, b) of one sketch and different groups that the bounds leave, of a share of all pairs by their hash."""
+    """The pairs (a, b) of one sketch and different groups that the bounds leave, of a share of all pairs by their hash.
+
+    Texts that share several sketches are a pair in the first of these only, by the order of their keys: each pair is tested once and is one row.
+    """
     cells = _cells(known, similarity)
-    filled = cells.join(texts.select("node", "bag", "words"), "node").groupBy("key", "low", "i", "high", "j").agg(
-        F.collect_list(F.struct("side", "n", "node", "root", "bag", "words")).alias("cell")).select("cell")
+    earlier = F.slice("keys", F.lit(1), (F.array_position("keys", F.col("key")) - 1).cast("int")).alias("earlier")
+    filled = cells.join(texts.select("node", "bag", "words", "keys"), "node").groupBy("key", "low", "i", "high", "j").agg(
+        F.collect_list(F.struct("side", "n", "node", "root", "bag", "words", earlier)).alias("cell")).select("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -553,21 +596,22 @@ def _open_pairs(known: DataFrame, texts: DataFrame, similarity: float, low: floa
             first = lists.offsets.to_numpy()
             first, every = first - first[0], lists.flatten()
             for x, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                side, n, node, root, bag, words = (every.field(k).slice(x, z - x) for k in range(6))
+                side, n, node, root, bag, words, before = (every.field(k).slice(x, z - x) for k in range(7))
                 side, n = side.to_numpy(), n.to_numpy()
                 name, group = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, 2) for c in (node, root))
-                counts = None
-                for at, to in _cross((side, n, group, _bags(bag)), similarity):
-                    drawn = (mix(name[at, 0] ^ name[to, 0]) >> np.uint64(32)).astype(np.float64) / (1 << 32)
-                    now = (drawn >= low) & (drawn < high)
-                    at, to = at[now], to[now]
+                offsets = before.offsets.to_numpy()
+                bags = counts = None
+                for at, to in _cross((side, n, name, group, (offsets - offsets[0], before.flatten().to_numpy())), similarity, low, high):
+                    most = ((1 - similarity) * np.maximum(n[at], n[to]) + 1e-9).astype(np.int64)
+                    bags = _bags(bag) if bags is None else bags
+                    keep = _near_bags(bags, at, to, most)
+                    at, to, most = at[keep], to[keep], most[keep]
                     if len(at):
                         counts = word_counts(words.to_pylist(), n) if counts is None else counts
-                        most = ((1 - similarity) * np.maximum(n[at], n[to]) + 1e-9).astype(np.int64)
                         near = near_words(counts, at, to, most)
                         yield pa.RecordBatch.from_arrays([node.take(pa.array(k[near])) for k in (at, to)], names=["x", "y"])
 
-    return filled.mapInArrow(run, "x binary, y binary").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return filled.mapInArrow(run, "x binary, y binary").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def group(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -329,3 +329,45 @@ def test_near_duplicates_take_a_batch_in_slices():
     assert max(b.num_rows for b in found) <= order_minhash.FEATURED
     one_by_one = [b for k in range(600) for b in order_minhash._feature_rows(iter([batch.slice(k, 1)]), 0.8)]
     assert pa.Table.from_batches(found).to_pylist() == pa.Table.from_batches(one_by_one).to_pylist()
+
+
+def test_pairs_of_many_sketches_are_made_once(spark, monkeypatch):
+    """Texts that share nearly all of their sketches: a worker gives each pair out once, not once a sketch."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    texts = [" ".join([*base[:5 * i], f"own{i}", *base[5 * i + 1:]]) for i in range(12)]
+    given_out, pairs, real = [], set(), order_minhash._open_pairs
+
+    def received(plan):
+        children = plan.children()
+        own = plan.metrics().apply("pythonNumRowsReceived").value() if plan.nodeName() == "MapInArrow" else 0
+        return own + sum(received(children.apply(k)) for k in range(children.size()))
+
+    def counted(known, *args):
+        found = real(known.withColumn("root", known["node"]), *args)  # as if nothing were joined yet
+        pairs.update((bytes(r.a), bytes(r.b)) for r in found.collect())
+        given_out.append(received(found._jdf.queryExecution().executedPlan()))
+        return found
+
+    monkeypatch.setattr(order_minhash, "_open_pairs", counted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = order_minhash.group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {r.class_id for r in found} == {0}
+    assert len(pairs) == sum(given_out) == 66
+
+
+def test_alignment_by_rows_in_blocks(monkeypatch):
+    """Rows of a band against the whole table, also where a text's places are marked in several blocks."""
+    monkeypatch.setattr(order_minhash, "MARKED", 64)
+    rng = np.random.default_rng(5)
+    for n, share in ((90, 0.1), (150, 0.2), (200, 0.3)):
+        a = rng.integers(0, 40, n).astype(np.uint64)
+        b = np.concatenate([a[7:], rng.integers(0, 40, 11).astype(np.uint64)])
+        b[rng.random(len(b)) < share] = 99
+        true = plain.distance(list(a), list(b))
+        for band in (20, true - 1, true, true + 1, 300):
+            want = true if true <= band else None
+            assert order_minhash._rows(a, b, band) == want == order_minhash._rows(b, a, band)
