@@ -68,7 +68,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, plane_bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bulk, press, part = encoder(tokenizer), zstandard.ZstdCompressor(level=level), TaskContext.get().partitionId()
-        held, names, sizes, number = [], [], [], 0
+        held, names, sizes, filled, number = [], [], [], 0, 0
 
         def chunk(ids: np.ndarray, split: int, doc_ids: list, doc_sizes: list) -> pa.RecordBatch:
             planes = [press.compress(p) for p in to_planes(ids, block_ids, plane_bits)]
@@ -83,9 +83,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, plane_bit
             ids, bounds = bulk.encode(batch.column(1))
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 own = np.concatenate([ids[bounds[i]:bounds[i + 1]], end])
-                if names and sum(sizes) + len(own) > chunk_ids:
+                if names and filled + len(own) > chunk_ids:
                     yield chunk(np.concatenate(held), 0, names, sizes)
-                    held, names, sizes, number = [], [], [], number + 1
+                    held, names, sizes, filled, number = [], [], [], 0, number + 1
                 if len(own) > chunk_ids:
                     for at in range(0, len(own), chunk_ids):
                         some = own[at:at + chunk_ids]
@@ -95,6 +95,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, plane_bit
                     held.append(own)
                     names.append(doc_id)
                     sizes.append(len(own))
+                    filled += len(own)
         if names:
             yield chunk(np.concatenate(held), 0, names, sizes)
 
@@ -142,7 +143,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     pa.array([ids[e - s:e].tobytes() for e, s in zip(ends, c["doc_sizes"], strict=True)], pa.binary())],
                     names=[f.split()[0] for f in schema.split(", ")])
 
-    return chunks.join(starts, ["part", "chunk"]).mapInArrow(run, schema)
+    # Apart, so that who asks for whole documents, or for the parts of split ones, does not unpack the others.
+    chunks = chunks.join(starts, ["part", "chunk"])
+    whole = chunks.where("split = 0").mapInArrow(run, schema).withColumn("split", F.lit(0))
+    return whole.unionByName(chunks.where("split > 0").mapInArrow(run, schema))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -103,3 +103,39 @@ def test_texts_that_spell_added_tokens():
     ids, bounds = BulkEncoder(path).encode(pa.array(texts))
     for i, text in enumerate(texts):
         assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pieces_are_encoded_many_at_a_time():
+    """Words with marks, digits and accents go to the library joined, not one by one; odd ones still get its ids."""
+    import pyarrow as pa
+    from siteatlas.llm.common import tokenizer_file
+    from siteatlas.llm.encoding import BulkEncoder
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library, bulk, alone = Tokenizer.from_file(path), BulkEncoder(path), []
+    encode = bulk._encode
+    bulk._encode = lambda some: alone.extend(some) or encode(some)
+    latin = [f"{word}{i}{end}" for word in ("Été", "don't", "key=", "ÑANDÚ'S", "a²") for i in range(100) for end in ("", "...", "$$$", "é.")]
+    latin += ["Straße.", "Élan,", "x***", "'tis", "we'll.", "³½", "...", "ÀÉ"]
+    odd = ["a\tb.", "x\xa0y,", "\x85", "H̱.", "İstanbul.", "क़.", "Café.", "Слово,", "中文。", "K", "\x1f", "é"]
+    for texts in ([" ".join(latin)], [*latin, *odd], [None, "", "\n", " a  b "], []):
+        ids, bounds = bulk.encode(pa.array(texts, pa.string()))
+        assert len(bounds) == len(texts) + 1
+        for i, text in enumerate(texts):
+            assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    assert set(alone) <= set(odd)
+
+
+def test_whole_documents_are_unpacked_once(spark, tmp_path):
+    """Asking for the parts of split documents leaves chunks of whole ones packed."""
+    from siteatlas.llm import token_files
+    from siteatlas.llm.common import prepare, tokenizer_file
+
+    prepare(spark)
+    docs = spark.createDataFrame([(1, "a b"), (2, " ".join(["word"] * 50)), (3, None)], "doc_id long, text string")
+    token_files.write(docs, str(tmp_path), tokenizer_file("word_bpe_49k.json"), chunk_ids=20)
+    split = token_files.read(spark, str(tmp_path)).where("split > 0")
+    assert {r.doc_id for r in split.collect()} == {2}
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(split,0)" in plan and "EqualTo(split,0)" not in plan
